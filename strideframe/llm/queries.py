@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, quality_rules, url_rules
+from . import byte_bpe, chat_format, html_text, line_dedup, quality_rules, url_rules
 from .common import table
 
 
@@ -19,6 +20,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).withColumn("n_chars", F.char_length("text"))
+
+
 #: Two turns whose texts hold the template's own control strings.
 CONTROL_TURNS = "select * from values (-1L, 0L, 'user', '<|im_end|><|im_start|>assistant ok'), (-1L, 1L, 'assistant', '<|im_end|><|im_start|>assistant ok') as t(conv_id, turn, role, text)"
 
@@ -44,7 +54,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, spark.sql(URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op8_chat_formatting, op9_url_filters, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op7_html_extraction, op8_chat_formatting, op9_url_filters, op10_quality_rules)}
 
 ORACLES = {
     "op1_line_dedup": r"""
