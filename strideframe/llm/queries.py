@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, html_text, line_dedup, quality_rules, url_rules
-from .common import table
+from . import byte_bpe, chat_format, html_text, line_dedup, quality_rules, token_files, url_rules
+from .common import shared_dir, staged, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = shared_dir(spark)
+    files = token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), f"{folder}/tokens")
+    return token_files.read_documents(spark, staged(files, f"{folder}/files"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).withColumn("n_chars", F.char_length("text"))
 
@@ -54,7 +61,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, spark.sql(URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op7_html_extraction, op8_chat_formatting, op9_url_filters, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op5_token_files, op7_html_extraction, op8_chat_formatting, op9_url_filters, op10_quality_rules)}
 
 ORACLES = {
     "op1_line_dedup": r"""
