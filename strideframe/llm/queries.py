@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, html_text, line_dedup, quality_rules, token_files, url_rules
+from . import byte_bpe, chat_format, decontaminate, html_text, line_dedup, quality_rules, token_files, url_rules
 from .common import shared_dir, staged, table
 
 
@@ -32,6 +32,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, staged(files, f"{folder}/files"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "html")).withColumn("n_chars", F.char_length("text"))
 
@@ -61,7 +65,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, spark.sql(URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op5_token_files, op7_html_extraction, op8_chat_formatting, op9_url_filters, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op5_token_files, op6_decontamination, op7_html_extraction, op8_chat_formatting, op9_url_filters, op10_quality_rules)}
 
 ORACLES = {
     "op1_line_dedup": r"""
