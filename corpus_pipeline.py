@@ -1,2 +1,63 @@
-STAGES=[]
-def run(spark, sf_dir): raise NotImplementedError
+"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, tokenisation.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
+the next one's ``docs``. All but the last keep the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strideframe.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality_rules
+from strideframe.llm.common import shared_dir, staged, table
+
+#: Near-duplicate ids to take out that are broadcast, at most; beyond, the join is by shuffle.
+MAX_BROADCAST = 1_000_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned quality rules keep."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that others repeat; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id (rows that share an id stay together)."""
+    classes = jaccard_join.near_classes(docs)
+    gone = staged(classes.where("doc_id <> component_id").select("doc_id").distinct(), f"{shared_dir(spark)}/gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark text."""
+    return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).drop("decoded")
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("decontamination", clean), ("byte_bpe", tokens)]
+
+#: The learned rules and the alignments have no SQL form; tests hold the stages against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, f"{folder}/{k}-{name}")
+    return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, html_text, line_dedup, quality_rules, token_files, tree_score, url_rules
+from . import byte_bpe, chat_format, decontaminate, html_text, jaccard_join, line_dedup, quality_rules, token_files, tree_score, url_rules
 from .common import shared_dir, staged, table
 
 
@@ -25,6 +25,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_score.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -69,7 +73,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, spark.sql(URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_tree_score, op5_token_files, op6_decontamination, op7_html_extraction, op8_chat_formatting, op9_url_filters, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_jaccard_join, op4_tree_score, op5_token_files, op6_decontamination, op7_html_extraction, op8_chat_formatting, op9_url_filters, op10_quality_rules)}
 
 ORACLES = {
     "op1_line_dedup": r"""
