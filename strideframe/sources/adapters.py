@@ -28,7 +28,8 @@ def skeleton(spark: SparkSession, sf_dir: str, body: bool = True) -> DataFrame:
     """(seq_id, frame, joint, x, y, z) in mm from the embeddings, a sequence for each label; near-zero x is a missing point."""
     w = Window.partitionBy("label").orderBy("vec_id")
     names = F.array(*[F.lit(j) for j in (BODY21 if body else range(21))])
-    rows = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("seq_id"), (F.row_number().over(w) - 1).cast("int").alias("frame"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"))
+    frames = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("seq_id"), (F.row_number().over(w) - 1).cast("int").alias("frame"), "embedding")
+    rows = frames.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
     at = lambda d: F.get("embedding", F.col("k") * 3 + d).cast("double") * 1000
     seen = F.abs(at(0)) >= 5
     return rows.select("seq_id", "frame", F.get(names, F.col("k")).cast("int").alias("joint"), *[F.when(seen, at(d)).alias(c) for d, c in enumerate("xyz")])
