@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import layouts
 from ..functions.geometry import distortion_weight
-from ..operators import bones, contact, gaps, interact, quality
+from ..operators import bones, cameras, contact, filters, gaps, interact, quality, track
 from ..sources import adapters
+from . import recording as recording_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -258,3 +259,89 @@ def segment_means(p):
 @query("detections")
 def frame_spine(d):
     return interact.detection_counts(d)
+
+
+# ---- operators without an SQL form: ordered recursions and linear algebra; tests hold them against plain versions ----
+
+
+@query("skeleton")
+def filter_one_euro(p):
+    return filters.one_euro(p)
+
+
+@query("skeleton")
+def filter_butterworth(p):
+    return filters.butterworth(p)
+
+
+@query("skeleton")
+def filter_rts(p):
+    return filters.rts(p)
+
+
+@query("skeleton")
+def fill_spline(p):
+    return filters.fill_cubic(p)
+
+
+@query("skeleton")
+def rigid_bones(p):
+    return bones.rigid(p)
+
+
+@query("skeleton")
+def bone_outliers(p):
+    return bones.erase_outliers(p)
+
+
+@query("skeleton")
+def bone_solver(p):
+    return bones.solve(p, pairs=[(p_, c) for p_, c in layouts.RIGID_BONES])
+
+
+@query("skeleton")
+def ground_align(p):
+    return contact.align_to_ground(p, contact.ground_planes(p))
+
+
+@query("skeleton")
+def pin_feet(p):
+    return contact.pin_feet(p)
+
+
+@query("skeleton")
+def wrist_fix(p):
+    return contact.fix_wrists(p, 15, [31, 29, 32])
+
+
+@query("skeleton")
+def retarget(p):
+    return bones.retarget_uniform(p, 1800.0)
+
+
+@query("skeleton")
+def retarget_bones(p):
+    return bones.retarget_bones(p, dict.fromkeys(range(2, 10), 300.0))
+
+
+@query("skeleton")
+def recording(p):
+    return recording_plan.process(p, recording_plan.Options(wrists=False))
+
+
+def triangulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(cameras.triangulate(adapters.obs2d(spark, sf_dir), adapters.cameras(spark), conf=0.2), 4)
+
+
+def reprojection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs, cams = adapters.obs2d(spark, sf_dir), adapters.cameras(spark)
+    return _rounded(cameras.reprojection_errors(cameras.triangulate(obs, cams), obs, cams), 4)
+
+
+def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = adapters.detections(spark, sf_dir).where("cam = 0")
+    boxes = d.select((F.col("frame") % 50).cast("long").alias("seq_id"), F.floor(F.col("frame") / 50).cast("int").alias("frame"), F.col("det_pos").alias("actor_id"), (F.col("cx") - F.col("w") / 2).alias("x1"), (F.col("cy") - F.col("h") / 2).alias("y1"), (F.col("cx") + F.col("w") / 2).alias("x2"), (F.col("cy") + F.col("h") / 2).alias("y2"), (F.col("conf")).alias("conf"), F.lit(None).cast("array<double>").alias("feature"))
+    return track.track(boxes, "box")
+
+
+QUERIES |= {f.__name__: f for f in (triangulated, reprojection, tracked)}
