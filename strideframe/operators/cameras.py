@@ -38,7 +38,7 @@ def associate(dets: DataFrame, costs: DataFrame, limit: float = 50.0) -> DataFra
     marks = dets.select("frame", F.col("cam").alias("cam_a"), F.col("det_pos").alias("i")).distinct().withColumns({"cam_b": F.lit(None).cast("int"), "j": F.lit(None).cast("int"), "cost": F.lit(None).cast("double")})
     kind = dets.schema["frame"].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted({(int(r.cam_a), int(r.i)) for r in pdf[pdf.cam_b.isna()].itertuples()})
         up = {n: n for n in nodes}
 

@@ -18,7 +18,7 @@ def per_joint(points: DataFrame, f: Callable[[int, np.ndarray, np.ndarray], np.n
     """Replaces each joint's (frames x 3) array by ``f(joint, frames, array)``; missing is NaN inside, null outside."""
     seq = points.schema["seq_id"].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         out = f(int(key[1]), pdf["frame"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float))
         return pd.DataFrame({"seq_id": pdf["seq_id"], "frame": pdf["frame"], "joint": pdf["joint"], **{c: pd.Series(out[:, k], index=pdf.index).astype("Float64").mask(np.isnan(out[:, k])) for k, c in enumerate("xyz")}})

@@ -142,7 +142,7 @@ def track(dets: DataFrame, method: str = "feature", **options) -> DataFrame:
     """(seq_id, frame, actor_id, global_id), one serial pass over each sequence."""
     seq = dets.schema["seq_id"].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tracker = FeatureTracker(**options) if method == "feature" else BoxTracker(**options)
         rows = [(key[0], f, a, g) for f, actors in frames_of(pdf) for a, g in tracker.step(f, actors).items()]
         return pd.DataFrame(rows, columns=["seq_id", "frame", "actor_id", "global_id"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import valid
 from ..operators import bones, contact, filters, gaps, windows
+from .work import cut
 
 
 @dataclass(frozen=True)
@@ -49,27 +50,28 @@ def process(points: DataFrame, o: Options = Options()) -> DataFrame:
     keys = ["seq_id", "joint", "dim"]
     p = points.select("seq_id", "frame", "joint", "x", "y", "z")
     if o.fill:
-        p = _channels(p, lambda c: gaps.fill_and_erase(c, keys, o.max_gap, o.outlier))
+        p = cut(_channels(p, lambda c: gaps.fill_and_erase(c, keys, o.max_gap, o.outlier)))
     if o.bone_stage:
-        p = bones.erase_outliers(p, o.bone_outlier)
+        p = cut(bones.erase_outliers(p, o.bone_outlier))
     if o.fill:
         before = p
-        p = bones.anchor_feet(before, _channels(p, lambda c: gaps.fill_linear(c, keys, o.max_gap)))
+        p = cut(bones.anchor_feet(before, _channels(p, lambda c: gaps.fill_linear(c, keys, o.max_gap))))
     if o.bone_stage:
-        p = bones.rigid(p, o.rigid_first)
+        p = cut(bones.rigid(p, o.rigid_first))
     if o.solver:
         p = bones.solve(p, tolerance=o.solver_tolerance, passes=o.solver_passes)
     if o.smooth:
         p = filters.smooth(p, o.fps, o.min_cutoff, o.beta, o.z_ratio, o.cutoff, o.order)
+    p = cut(p)
     if o.bone_stage:
-        p = bones.rigid(p, o.rigid_second)
+        p = cut(bones.rigid(p, o.rigid_second))
     if o.solver:
-        p = bones.solve(p, tolerance=o.solver_tolerance, passes=o.solver_passes)
+        p = cut(bones.solve(p, tolerance=o.solver_tolerance, passes=o.solver_passes))
     if o.wrists:
         for wrist, hand in ((16, list(range(33, 54))), (15, list(range(54, 75)))):
-            p = contact.fix_wrists(p, wrist, hand)
+            p = cut(contact.fix_wrists(p, wrist, hand))
     if o.floor:
-        p = contact.align_to_ground(p, contact.ground_planes(p))
+        p = cut(contact.align_to_ground(p, contact.ground_planes(p)))
     if o.feet:
         p = contact.pin_feet(p)
     return filters.rts(p, o.fps) if o.rts else p
