@@ -156,6 +156,9 @@ def assign(cost: np.ndarray, penalty: float | None = None) -> list[tuple[int, in
     if not rows or not cols:
         return []
     finite = np.isfinite(cost)
+    keep = np.flatnonzero(finite.any(axis=1)), np.flatnonzero(finite.any(axis=0))
+    if len(keep[0]) < rows or len(keep[1]) < cols:  # rows and columns without a finite cost take no part
+        return [(int(keep[0][i]), int(keep[1][j])) for i, j in assign(cost[np.ix_(*keep)], penalty)]
     big = penalty if penalty is not None else (abs(cost[finite]).max() if finite.any() else 0.0) * 10 + 1e6
     n = max(rows, cols)
     c = np.full((n, n), big)
@@ -210,6 +213,17 @@ def iou(a, b) -> float:
     return inter / (area(a) + area(b) - inter)
 
 
+def ious(a: list, b: list) -> np.ndarray:
+    """Overlaps of every box of ``a`` with every box of ``b``."""
+    if not a or not b:
+        return np.zeros((len(a), len(b)))
+    p, q = np.asarray(a, float)[:, None], np.asarray(b, float)[None]
+    side = np.maximum(np.minimum(p[..., 2:], q[..., 2:]) - np.maximum(p[..., :2], q[..., :2]), 0)
+    area = lambda x: np.maximum((x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1]), 1.0)
+    inter = side[..., 0] * side[..., 1]
+    return inter / (area(p) + area(q) - inter)
+
+
 def pearson_p(r: float, n: int) -> float:
     """Two-sided p-value of a correlation, by the continued fraction of the incomplete beta function."""
     if n < 3 or math.isnan(r):

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.numeric import assign, iou
+from ..functions.numeric import assign, iou, ious
 
 OUT = "seq_id {seq}, frame int, actor_id int, global_id int"
 
@@ -110,25 +110,27 @@ class BoxTracker:
     iou_high: float = 0.3
     iou_low: float = 0.5
     max_age: int = 30
+    next_id: int = 0
     tracks: list[dict] = field(default_factory=list)
 
     def step(self, frame: int, actors: list[dict]) -> dict[int, int]:
         out: dict[int, int] = {}
-        live = [t for t in self.tracks if frame - t["seen"] <= self.max_age]
+        self.tracks = live = [t for t in self.tracks if frame - t["seen"] <= self.max_age]
         for t in live:
             t["filter"].predict()
         for keep, gate in ((lambda c: c >= self.high, self.iou_high), (lambda c: self.low <= c < self.high, self.iou_low)):
             free = [a for a in actors if keep(a["conf"]) and a["actor_id"] not in out]
             idle = [t for t in live if t["id"] not in out.values()]
-            overlap = np.array([[iou(t["filter"].box(), a["box"]) for a in free] for t in idle]).reshape(len(idle), len(free))
+            overlap = ious([t["filter"].box() for t in idle], [a["box"] for a in free])
             for i, j in assign(np.where(overlap >= gate, 1 - overlap, np.inf)):
                 idle[i]["filter"].update(free[j]["box"])
                 idle[i]["seen"] = frame
                 out[free[j]["actor_id"]] = idle[i]["id"]
         for a in actors:
             if a["actor_id"] not in out:
-                self.tracks.append({"id": len(self.tracks), "seen": frame, "filter": BoxFilter(a["box"])})
-                out[a["actor_id"]] = len(self.tracks) - 1
+                out[a["actor_id"]] = self.next_id
+                self.tracks.append({"id": self.next_id, "seen": frame, "filter": BoxFilter(a["box"])})
+                self.next_id += 1
         return out
 
 
