@@ -31,33 +31,52 @@ from pyspark.sql import functions as F
 
 from .common import n_shuffle, pieces
 
-MAX_WORDS = 300_000
+MAX_WORDS = 1_200_000
 ROWS = 256  # sequences of a batch
 
 FILES = "part int, first long, last long, n_docs long, n_ids long, ids_path string, index_path string"
 
 
 class WordEncoder:
-    """A ``tokenizers`` vocabulary that never joins across blanks, with the ids of words kept (at most MAX_WORDS)."""
+    """A ``tokenizers`` vocabulary that never joins across blanks, with the ids of words kept: about MAX_WORDS, in a newer and an older half."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        """A word as the tokenizer's own splitting has it: closing marks part from an ASCII letter or digit before them."""
+        core = word.rstrip(b".,;:!?")
+        return (core, word[len(core) :]) if 0 < len(core) < len(word) and core[-1:].isalnum() else (word,)
+
+    def _look_up(self, words: set[bytes]) -> list[bytes]:
+        """Moves words of the older half to the newer; returns those of neither."""
+        new = []
+        for w in words:
+            if w not in self.known:
+                ids = self.older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
+        return new
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text: of its words in turn."""
+        if len(self.known) > MAX_WORDS // 2:
+            self.older, self.known = self.known, {}
         words = [t.split() for t in texts]
-        new = [w for w in {w for ws in words for w in ws} if w not in self.known]
-        if len(self.known) + len(new) > MAX_WORDS:
-            self.known.clear()
-            new = list({w for ws in words for w in ws})
-        if new:
+        parts = {w: self._parts(w) for w in self._look_up(set().union(*words))}
+        if parts:
+            new = self._look_up({p for ps in parts.values() for p in ps})
             got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, got, strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
+            self.known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(new, got, strict=True))
+            self.known.update((w, self.known[ps[0]] + self.known[ps[1]]) for w, ps in parts.items() if len(ps) == 2)
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in ws]), np.uint32) for ws in words]
 
