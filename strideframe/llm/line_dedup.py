@@ -6,8 +6,8 @@ to one row per line and merge-anti-joined with the runs: lines that no run has b
 level 0; lines already known only add to their count, in a delta run. When a level holds ``fanout``
 runs they are merged into one of the next level, so a batch meets O(log batches) runs.
 
-Defined results: a null or empty text is one empty line; a document is a row, so repeated rows count
-each, and every row of the largest id keeps its lines; a null id is smaller than any other; lines
+Defined results: a null or empty text is one empty line; rows of one id are one document, and all of
+them keep the lines whose largest id it is; null ids are one document, smaller than any other; lines
 shorter than ``min_chars`` code points after normalising are never dropped; an empty table gives an
 empty result; columns named like the added ones are replaced.
 """
@@ -96,14 +96,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
         docs.select(doc_id.alias("doc_id"), row.alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
         .withColumn("key", line_key(F.col("line")))
         .where(F.char_length("key") >= min_chars)
-        .select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"), F.pmod(F.col("row"), F.lit(batches)).cast("int").alias("batch"))
+        .select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
     )
     occ.write.partitionBy("batch").parquet(f"{root}/lines")
     occ = spark.read.schema(occ.schema).parquet(f"{root}/lines")
 
     index = LineRuns(spark, root, fanout)
     for k in range(batches):
-        index.add(occ.where(F.col("batch") == k).groupBy("doc_id", "row", *KEY).agg(F.count(F.lit(1)).alias("copies")).select(*KEY, "doc_id"))
+        index.add(occ.where(F.col("batch") == k).select(*KEY, "doc_id").distinct())
     often = staged(index.totals().where(F.col("n") >= min_docs), f"{root}/often")
 
     # At most 1000 lines can each hold a thousandth of the index; those are broadcast, so no task gets a hot line's rows.
