@@ -228,6 +228,8 @@ def pearson_p(r: float, n: int) -> float:
     """Two-sided p-value of a correlation, by the continued fraction of the incomplete beta function."""
     if n < 3 or math.isnan(r):
         return math.nan
+    if r == 0:
+        return 1.0
     if abs(r) >= 1:
         return 0.0
     a, b = (n - 2) / 2, 0.5
