@@ -86,31 +86,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs of other than BLANKS) of the texts in turn, and the words of each text."""
+    import pyarrow.compute as pc
     import xxhash
 
-    words = [t.split() for t in texts]
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    flat = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
-    return (known[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)), lens
+    cut = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.large_string(), safe=False))
+    flat = cut.flatten().dictionary_encode()
+    words = flat.dictionary.cast(pa.large_binary()).to_pylist()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    full = np.fromiter(map(len, words), np.int64, len(words)) > 0  # blanks at an end leave an empty word
+    at = flat.indices.to_numpy()
+    real = full[at] if len(words) else np.zeros(0, bool)
+    ends = np.concatenate([[0], np.cumsum(real)])[np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))] if len(texts) else np.zeros(0, np.int64)
+    return (known[at[real]] if len(words) else np.zeros(0, np.uint64)), np.diff(ends, prepend=0)
 
 
 def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every ``width``-word shingle of each text (fewer words: the whole sequence as one) and their owners."""
+    """Hashes of every ``width``-word shingle of each text (fewer words: the whole sequence as one), and how many each has."""
     h, lens = word_hashes(texts)
-    n = len(h)
-    owner = np.repeat(np.arange(len(texts)), lens)
-    if not n:
-        return h, owner
-    left = np.repeat(np.cumsum(lens), lens) - np.arange(n)  # words from here to the end of the text
-    size = np.minimum(lens[owner], width)
-    start = left >= size
-    acc = np.zeros(n, np.uint64)
-    for k in range(width):
-        nxt = np.zeros(n, np.uint64)
-        nxt[: n - k] = h[k:]
-        acc = np.where(size > k, mix(acc * np.uint64(0x9E3779B97F4A7C15) + nxt + np.uint64(1)), acc)
-    return acc[start], owner[start]
+    step = np.uint64(0x9E3779B97F4A7C15)
+    counts = np.where(lens >= width, lens - width + 1, np.minimum(lens, 1))
+    first = np.cumsum(lens) - lens
+    at = np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+    padded = np.concatenate([h, np.zeros(width, np.uint64)])
+    acc = padded[at]
+    for k in range(1, width):
+        acc *= step
+        acc += padded[at + k]
+    for i in np.flatnonzero((lens > 0) & (lens < width)):
+        x = np.uint64(int(lens[i]))
+        for w in h[first[i] : first[i] + lens[i]]:
+            x = x * step + w
+        acc[int(counts[:i].sum())] = x
+    return mix(acc), counts
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -11,7 +11,7 @@ part of the hash range, and of all shingles of small sets. The order is only a m
 are the short lists of an inverted index. Lists of up to ``LIST`` classes give their pairs of fitting sizes, with how often and how late they
 meet; what they could still reach decides which pairs stay. Longer lists (large groups of near copies) are not paired out: a few classes
 (pivots) of each list meet the rest, what links is joined into components, and only classes still in different components meet in
-the next round, with four times the pivots, until a list is one component or all its pairs were tried.
+the next round, with GROWTH times the pivots, until a list is one component or all its pairs were tried.
 
 *Search.* Pairs are grouped into units of one query and at most about ``UNIT`` others; each unit builds inverted lists and
 runs DivideSkip: the longest lists are set aside, the short ones are heap-merged for the rest of the required occurrences, the long
@@ -36,21 +36,34 @@ from pyspark.sql import functions as F
 from .common import mix, n_shuffle, pieces, shared_dir, shingle_hashes, signed, staged
 
 WIDTH, PERCENT = 5, 75
-COUNTED = 0.4  # part of the hash range in which shingles are counted
+COUNTED = 0.35  # part of the hash range in which shingles are counted
 SMALL = 64  # sets up to this size are counted whole
 FREQUENT = 16  # documents that make a shingle frequent, at least
 MAX_FREQUENT = 4_000_000  # frequent shingles that are broadcast, at most
 LIST = 64
+GROWTH = 4.0  # how many times as many pivots the next round has
 UNIT = 256
 MAX_BROADCAST = 1_000_000  # rows of (query, document) that are broadcast, at most; beyond, texts are joined by shuffle
 _HOLD = 3_000_000
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    h, owner = shingle_hashes([t.lower() for t in texts], WIDTH)
-    cuts = np.searchsorted(owner, np.arange(1, len(texts)))
-    return [np.unique(x) for x in np.split(h, cuts)]
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text, one text after the other, and their numbers."""
+    h, counts = shingle_hashes([t.lower() for t in texts], WIDTH)
+    ends = np.cumsum(counts)
+    for lo, hi in zip(ends - counts, ends, strict=True):
+        h[lo:hi].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[(ends - counts)[counts > 0]] = True
+    return h[new], np.diff(np.concatenate([[0], np.cumsum(new)])[ends], prepend=0)
+
+
+def _sums(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``x``, modulo 2^64."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 def needed(n: int) -> int:
@@ -58,28 +71,25 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def _class(s: np.ndarray) -> tuple[int, int]:
-    """A 128-bit digest of a set that doesn't depend on order."""
-    return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
+def _classes(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the sets that don't depend on order."""
+    return _sums(mix(s), counts).view(np.int64), _sums(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), counts).view(np.int64)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n, c1, c2) of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for first, texts in pieces(b, "text"):
-                sets = shingle_sets(texts)
-                c = [_class(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in c], pa.int64()), pa.array([y for _, y in c], pa.int64())], ["doc_id", "n", "c1", "c2"])
+                s, counts = shingle_sets(texts)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(texts)), pa.array(counts), *map(pa.array, _classes(s, counts))], ["doc_id", "n", "c1", "c2"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, c1 long, c2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long")
 
 
-def frequent_shingles(docs: DataFrame, total: int) -> np.ndarray:
-    """The sorted hashes of shingles counted in many documents; at most MAX_FREQUENT."""
-    below = np.uint64(int(COUNTED * 2**64))
+def _counts_of(docs: DataFrame, pick) -> DataFrame:
+    """(token, n) of the shingles that ``pick(shingles, sizes of their sets)`` takes, in how many rows each is."""
 
     def run(batches):
         held, n = [], 0
@@ -90,58 +100,66 @@ def frequent_shingles(docs: DataFrame, total: int) -> np.ndarray:
 
         for b in batches:
             for _, texts in pieces(b, "text"):
-                for s in shingle_sets(texts):
-                    s = s if len(s) <= SMALL else s[: np.searchsorted(s, below)]
-                    held.append(s)
-                    n += len(s)
+                s, counts = shingle_sets(texts)
+                held.append(s[pick(s, np.repeat(counts, counts))])
+                n += len(held[-1])
                 if n > _HOLD:
                     yield emit()
                     held, n = [], 0
         if held:
             yield emit()
 
+    return docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def frequent_shingles(docs: DataFrame, total: int) -> np.ndarray:
+    """The sorted hashes of shingles counted in many documents; at most MAX_FREQUENT."""
+    below = np.uint64(int(COUNTED * 2**64))
     least = max(FREQUENT, -(-total // MAX_FREQUENT))
-    rows = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token")
+    rows = _counts_of(docs, lambda s, size: (s < below) | (size <= SMALL)).where(F.col("n") >= least).select("token")
     return np.sort(rows.toArrow().column("token").to_numpy().view(np.uint64))
 
 
-def _front(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - T + 1 shingles of a set in the order, and which of them may have long lists."""
-    p = len(s) - needed(len(s)) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        hot = frequent[at] == s
-        s, hot = np.concatenate([s[~hot], s[hot]]), np.concatenate([np.zeros(int((~hot).sum()), bool), np.ones(int(hot.sum()), bool)])
-    else:
-        hot = np.zeros(len(s), bool)
-    if len(s) > SMALL:
-        hot = hot | (s >= np.uint64(int(COUNTED * 2**64)))  # not counted
-    return s[:p], hot[:p]
+class Sieve:
+    """Membership in a sorted set of hashes: a bitmap answers most, a binary search the rest."""
+
+    def __init__(self, sorted_hashes: np.ndarray):
+        self.hashes = sorted_hashes
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(sorted_hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = self.bits[(x >> np.uint64(42)).astype(np.int64)]
+        if len(self.hashes):
+            some = np.flatnonzero(out)
+            out[some] = self.hashes[np.minimum(np.searchsorted(self.hashes, x[some]), len(self.hashes) - 1)] == x[some]
+        return out
 
 
 def _postings(docs: DataFrame, frequent) -> DataFrame:
+    """(token, c, n, pos, hot): the first n - T + 1 shingles of each set in the order; hot ones may have long lists."""
+    below = np.uint64(int(COUNTED * 2**64))
+
     def run(batches):
+        sieve = Sieve(frequent.value)
         for b in batches:
             for _, texts in pieces(b, "text"):
-                seen, out = set(), []
-                for s in shingle_sets(texts):
-                    c = _class(s)
-                    if len(s) and c not in seen:
-                        seen.add(c)
-                        t, hot = _front(s, frequent.value)
-                        out.append((t, hot, c[0], len(s)))
-                if out:
-                    lens = [len(t) for t, *_ in out]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            signed(np.concatenate([t for t, *_ in out])),
-                            pa.array(np.repeat([c for *_, c, _ in out], lens)),
-                            pa.array(np.repeat([n for *_, n in out], lens).astype(np.int32)),
-                            pa.array(np.concatenate([np.arange(k) for k in lens]).astype(np.int32)),
-                            pa.array(np.concatenate([h for _, h, *_ in out])),
-                        ],
-                        ["token", "c", "n", "pos", "hot"],
-                    )
+                s, counts = shingle_sets(texts)
+                hot, c = sieve.has(s), _classes(s, counts)[0]
+                ends, seen, at, lens = np.cumsum(counts), set(), [], []
+                for k in np.flatnonzero(counts):
+                    if c[k] not in seen:
+                        seen.add(c[k])
+                        lo, p = ends[k] - counts[k], int(counts[k]) - needed(int(counts[k])) + 1
+                        own = hot[lo : ends[k]]
+                        cold = np.flatnonzero(~own)[:p]
+                        at.append(lo + (cold if len(cold) == p else np.concatenate([cold, np.flatnonzero(own)[: p - len(cold)]])))
+                        lens.append((p, c[k], counts[k]))
+                if at:
+                    at, (p, own_c, n) = np.concatenate(at), (np.array(x) for x in zip(*lens, strict=True))
+                    n = np.repeat(n, p)
+                    rank = np.arange(len(at)) - np.repeat(np.cumsum(p) - p, p)
+                    yield pa.RecordBatch.from_arrays([signed(s[at]), pa.array(np.repeat(own_c, p)), pa.array(n.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(hot[at] | ((n > SMALL) & (s[at] >= below)))], ["token", "c", "n", "pos", "hot"])
 
     return docs.mapInArrow(run, "token long, c long, n int, pos int, hot boolean")
 
@@ -237,27 +255,32 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the units of a sorted partition."""
-    unit, queries, others = None, [], []
-    links: list[tuple[int, int]] = []
-
-    def close():
-        sets = shingle_sets([t for _, t in queries + others]) if others else []
-        for q, (node, _) in enumerate(queries[: len(queries) if others else 0]):
-            for k in divide_skip(sets[q], sets[len(queries) :]):
-                links.append((node, others[k][0]))
+    """Links of the units of a sorted partition; units are taken up to some MB of text at a time."""
+    units: list[tuple[tuple, list, list]] = []
+    size = 0
+
+    def solve():
+        texts = [t for _, q, o in units for _, t in q + o]
+        s, counts = shingle_sets(texts)
+        sets = iter(np.split(s, np.cumsum(counts)[:-1]))
+        links = []
+        for _, queries, others in units:
+            q, o = [next(sets) for _ in queries], [next(sets) for _ in others]
+            links += [(node, others[k][0]) for (node, _), x in zip(queries, q, strict=True) for k in divide_skip(x, o)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     for b in batches:
-        for row in zip(*(b.column(f).to_pylist() for f in ("query", "part", "is_query", "doc_id", "text")), strict=True):
-            if row[:2] != unit:
-                close()
-                unit, queries, others = row[:2], [], []
-                if len(links) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
-                    links.clear()
-            (queries if row[2] else others).append((row[3], (row[4] or "").encode("utf-8", "surrogatepass")))
-    close()
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+        for query, part, is_query, node, text in zip(*(b.column(f).to_pylist() for f in ("query", "part", "is_query", "doc_id", "text")), strict=True):
+            if not units or units[-1][0] != (query, part):
+                if size > 4 << 20:
+                    yield solve()
+                    units, size = [], 0
+                units.append(((query, part), [], []))
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            units[-1][1 if is_query else 2].append((node, raw))
+            size += len(raw)
+    if units:
+        yield solve()
 
 
 def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
@@ -289,6 +312,27 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _reach(docs: DataFrame, reps: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """(c, reach): of ``classes`` whose lists are long, how many shingles of each occur in another one of them.
+
+    That bounds every overlap among them; classes that can't reach the overlap they need with any set are left out.
+    """
+    asked = staged(classes.join(reps.select(F.col("c1").alias("c"), F.col("rep").alias("doc_id"), "n"), "c").select("c", "doc_id", "n"), f"{folder}/asked")
+    own = docs.join(F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked, "doc_id").select("c", "n", "text")
+
+    def run(batches):
+        for b in batches:
+            for first, texts in pieces(b, "text"):
+                s, counts = shingle_sets(texts)
+                c = b.column("c").slice(first, len(texts)).to_numpy()
+                own = np.repeat(_classes(s, counts)[0] == c, counts)  # another text of the same id is not the class
+                yield pa.RecordBatch.from_arrays([signed(s[own]), pa.array(np.repeat(c, counts)[own])], ["token", "c"])
+
+    alone = own.mapInArrow(run, "token long, c long").groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("other")).where("c = other").groupBy("c").agg(F.count(F.lit(1)).alias("alone"))
+    left = asked.groupBy("c").agg(F.max("n").alias("n")).join(alone, "c", "left").select("c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("reach"))
+    return staged(left.where(100 * F.col("reach") >= PERCENT * F.col("n")).select("c", "reach"), f"{folder}/reach")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -306,17 +350,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("c"), F.col("nx").alias("n")).distinct()
     sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = rows.join(sizes, "token").join(_reach(base, reps, rows.join(sizes, "token").select("c").distinct(), folder), "c")
     u = F.col("c").cast("double") / 2.0**64 + 0.5  # where a class stands in the order of pivots, in [0, 1)
-    lists = staged(rows.join(sizes, "token").withColumn("turn", u * F.col("size")), f"{folder}/lists-0")
+    lists = staged(rows.withColumn("turn", u * F.col("size")), f"{folder}/lists-0")
     edges, tried = None, 0
     while True:
         longest = lists.agg(F.max("size")).first()[0]
-        low, high = (4.0 ** (tried - 1) if tried else 0.0), 4.0**tried
+        low, high = (GROWTH ** (tried - 1) if tried else 0.0), GROWTH**tried
         new = pairs if tried == 0 else None
         if longest is not None:
-            pivots = lists.where((F.col("turn") >= low) & (F.col("turn") < high)).select("token", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("turn").alias("turn_x"), *([F.col("root").alias("root_x")] if tried else []))
-            met = lists.join(pivots, "token").where((F.col("turn") > F.col("turn_x")) & (100 * F.least("n", "nx") >= PERCENT * F.greatest("n", "nx")))
-            met = (met.where("root <> root_x") if tried else met).select("x", F.col("c").alias("y"))
+            pivots = lists.where((F.col("turn") >= low) & (F.col("turn") < high)).select("token", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("reach_x"), F.col("turn").alias("turn_x"), *([F.col("root").alias("root_x")] if tried else []))
+            fit = (F.col("turn") > F.col("turn_x")) & (100 * F.least("n", "nx") >= PERCENT * F.greatest("n", "nx")) & ((100 + PERCENT) * F.least("reach", "reach_x") >= PERCENT * (F.col("n") + F.col("nx")))
+            met = lists.join(pivots, "token").where(fit & (F.col("root") != F.col("root_x")) if tried else fit).select("x", F.col("c").alias("y"))
             new = met if new is None else new.unionByName(met)
         links = _links(base, reps, new.distinct(), f"{folder}/round-{tried}")
         edges = links if edges is None else edges.unionByName(links)
