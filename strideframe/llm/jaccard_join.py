@@ -356,6 +356,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges, tried = None, 0
     while True:
         longest = lists.agg(F.max("size")).first()[0]
+        if tried and longest is None:  # every list is one component
+            break
         low, high = (GROWTH ** (tried - 1) if tried else 0.0), GROWTH**tried
         new = pairs if tried == 0 else None
         if longest is not None:

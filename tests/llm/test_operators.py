@@ -133,6 +133,14 @@ def test_jaccard_edges(edge_docs, edge_rows):
     assert got == {i: (len(plain.shingles(t)), want[i]) for i, t in edge_rows}
 
 
+def test_jaccard_ends_when_every_long_list_is_closed(spark):
+    """The only large group is 40 near copies that all link."""
+    words = [f"w{k}" for k in range(100)]
+    rows = [(k + 1, " ".join([*words[: 2 * k], f"own{k}", *words[2 * k + 1 :]])) for k in range(40)]
+    got = jaccard_join.near_classes(spark.createDataFrame(rows, DOCS))
+    assert {r.doc_id: r.component_id for r in got.collect()} == plain.components(rows)
+
+
 def test_jaccard_null_ids_and_empty_table(spark, nothing):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "lonely"), (2, "A b c d e f")]
     assert rows_of(jaccard_join.near_classes(spark.createDataFrame(rows, DOCS)), "doc_id", "component_id") == sorted([(None, 2), (4, 2), (None, None), (2, 2)], key=repr)
