@@ -137,7 +137,11 @@ class Sieve:
 
 
 def _postings(docs: DataFrame, frequent) -> DataFrame:
-    """(token, c, n, pos, hot): the first n - T + 1 shingles of each set in the order; hot ones may have long lists."""
+    """(token, c, n, pos, hot): the first n - T + 1 shingles of each set in the order; hot ones may have long lists.
+
+    Whether a posting is hot depends on the shingle alone, so all postings of one meet: frequent ones are, and all of the upper
+    part of the hash range, where no count is whole.
+    """
     below = np.uint64(int(COUNTED * 2**64))
 
     def run(batches):
@@ -159,7 +163,7 @@ def _postings(docs: DataFrame, frequent) -> DataFrame:
                     at, (p, own_c, n) = np.concatenate(at), (np.array(x) for x in zip(*lens, strict=True))
                     n = np.repeat(n, p)
                     rank = np.arange(len(at)) - np.repeat(np.cumsum(p) - p, p)
-                    yield pa.RecordBatch.from_arrays([signed(s[at]), pa.array(np.repeat(own_c, p)), pa.array(n.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(hot[at] | ((n > SMALL) & (s[at] >= below)))], ["token", "c", "n", "pos", "hot"])
+                    yield pa.RecordBatch.from_arrays([signed(s[at]), pa.array(np.repeat(own_c, p)), pa.array(n.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(hot[at] | (s[at] >= below))], ["token", "c", "n", "pos", "hot"])
 
     return docs.mapInArrow(run, "token long, c long, n int, pos int, hot boolean")
 

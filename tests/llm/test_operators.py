@@ -141,6 +141,15 @@ def test_jaccard_ends_when_every_long_list_is_closed(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == plain.components(rows)
 
 
+def test_jaccard_sets_of_all_sizes_meet(spark, monkeypatch):
+    """A group that straddles SMALL: 14 sets of 62 shingles and two of 65 that share 56."""
+    monkeypatch.setattr(jaccard_join, "n_shuffle", lambda _: 97)  # with few partitions they may meet by chance
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k + 1, " ".join([*words, *(f"own{k}-{j}" for j in range(6 if k < 14 else 9))])) for k in range(16)]
+    got = jaccard_join.near_classes(spark.createDataFrame(rows, DOCS))
+    assert {r.doc_id: r.component_id for r in got.collect()} == plain.components(rows)
+
+
 def test_jaccard_null_ids_and_empty_table(spark, nothing):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "lonely"), (2, "A b c d e f")]
     assert rows_of(jaccard_join.near_classes(spark.createDataFrame(rows, DOCS)), "doc_id", "component_id") == sorted([(None, 2), (4, 2), (None, None), (2, 2)], key=repr)
