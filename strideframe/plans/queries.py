@@ -232,7 +232,7 @@ def nearest_marker(d):
 
 @query("detections")
 def marker_votes(d):
-    return interact.marker_votes(d.where("frame % 5 = 0").select(F.col("det_pos").alias("marker"), (F.col("cx").cast("int") % 4).alias("actor"), "cam"))
+    return interact.marker_votes(d.select(F.col("det_pos").alias("marker"), (F.col("cx").cast("int") % 4).alias("actor"), "cam"))
 
 
 @query("skeleton")

@@ -12,7 +12,7 @@ import __spark_entry__
 from strideframe.functions import numeric
 from strideframe.operators import bones, cameras, contact, filters, gaps, quality, track
 from strideframe.plans import oracles, queries, recording
-from strideframe.sources import files
+from strideframe.sources import adapters, files
 
 SF = "/root/testdata/sf0.001"
 POINTS = "seq_id long, frame int, joint int, x double, y double, z double"
@@ -42,6 +42,19 @@ def test_entry_and_names(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_marker_votes_count_every_frame(spark):
+    """Against a plain count over all detections; the SQL of the query takes every fifth frame only."""
+    votes = {}
+    for r in adapters.detections(spark, SF).select("det_pos", "cx", "cam").collect():
+        votes.setdefault(r.det_pos, []).append((int(r.cx) % 4, r.cam))
+    want = set()
+    for marker, named in votes.items():
+        n, _, actor = min((-sum(a == actor for a, _ in named), min(c for a, c in named if a == actor), actor) for actor in {a for a, _ in named})
+        if -n >= 2 or len(named) == 1:
+            want.add((marker, actor, -n))
+    assert {(r.marker, r.actor, r.votes) for r in queries.QUERIES["marker_votes"](spark, SF).collect()} == want
+
+
 def skeleton(frames=60, joints=33, seed=42, gaps_too=True):
     rnd = np.random.RandomState(seed)
     a = np.cumsum(rnd.randn(frames, joints, 3) * 0.5, axis=0) + 500 + rnd.randn(1, joints, 3) * 100
