@@ -339,8 +339,9 @@ def reprojection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = adapters.detections(spark, sf_dir).where("cam = 0")
-    boxes = d.select((F.col("frame") % 50).cast("long").alias("seq_id"), F.floor(F.col("frame") / 50).cast("int").alias("frame"), F.col("det_pos").alias("actor_id"), (F.col("cx") - F.col("w") / 2).alias("x1"), (F.col("cy") - F.col("h") / 2).alias("y1"), (F.col("cx") + F.col("w") / 2).alias("x2"), (F.col("cy") + F.col("h") / 2).alias("y2"), (F.col("conf")).alias("conf"), F.lit(None).cast("array<double>").alias("feature"))
+    """Every camera's detections, each camera's in sequences of its own: seq_id is 3 times the recording plus the camera."""
+    d = adapters.detections(spark, sf_dir)
+    boxes = d.select((F.col("frame") % 50 * 3 + F.col("cam")).cast("long").alias("seq_id"), F.floor(F.col("frame") / 50).cast("int").alias("frame"), F.col("det_pos").alias("actor_id"), (F.col("cx") - F.col("w") / 2).alias("x1"), (F.col("cy") - F.col("h") / 2).alias("y1"), (F.col("cx") + F.col("w") / 2).alias("x2"), (F.col("cy") + F.col("h") / 2).alias("y2"), (F.col("conf")).alias("conf"), F.lit(None).cast("array<double>").alias("feature"))
     return track.track(boxes, "box")
 
 

@@ -55,6 +55,19 @@ def test_marker_votes_count_every_frame(spark):
     assert {(r.marker, r.actor, r.votes) for r in queries.QUERIES["marker_votes"](spark, SF).collect()} == want
 
 
+def test_tracked_takes_every_camera(spark):
+    """Each detection of each camera has an identity, the one a tracker of that camera alone gives."""
+    want = set()
+    d = adapters.detections(spark, SF).toPandas()
+    for (recording_id, cam), seq in d.groupby([d["frame"] % 50, "cam"]):
+        tracker = track.BoxTracker()
+        for frame, part in seq.sort_values(["frame", "det_pos"]).groupby("frame", sort=True):
+            actors = [{"actor_id": r.det_pos, "box": [r.cx - r.w / 2, r.cy - r.h / 2, r.cx + r.w / 2, r.cy + r.h / 2], "conf": r.conf, "feature": None} for r in part.itertuples()]
+            want |= {(recording_id * 3 + cam, frame // 50, a, g) for a, g in tracker.step(frame // 50, actors).items()}
+    got = queries.QUERIES["tracked"](spark, SF).toPandas()
+    assert len(got) == len(d) and {tuple(r) for r in got.itertuples(index=False)} == want
+
+
 def skeleton(frames=60, joints=33, seed=42, gaps_too=True):
     rnd = np.random.RandomState(seed)
     a = np.cumsum(rnd.randn(frames, joints, 3) * 0.5, axis=0) + 500 + rnd.randn(1, joints, 3) * 100
