@@ -1,7 +1,7 @@
 """Layout-aware text of HTML pages.
 
 A tree builder reads the tags, closes what HTML lets authors leave open (paragraphs, list items, table
-parts, options) and ignores stray end tags. The renderer walks the tree without recursion and emits all
+parts, options), opens the rows that cells lack, moves what stands between cells before the table and ignores stray end tags. The renderer walks the tree without recursion and emits all
 visible text: scripts, styles, heads, templates, comments and elements hidden by attribute or inline style are left out;
 blocks stand on lines of their own, paragraphs and the like between blank lines; list items get bullets or
 numbers and the indent of their depth; table cells are laid out in aligned columns; ``pre`` keeps its spaces.
@@ -25,21 +25,22 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fie
 BLOCK = SPACED | frozenset("html body div li dt dd tr article aside section header footer main nav address form figcaption details summary center hr legend option caption menu".split())
 #: An opening tag closes the nearest open element of the second set, but not past one of the third.
 _CELL = frozenset({"td", "th"})
-_ROW_END = _CELL | {"tr"}
 IMPLIED = {
     **{t: (frozenset({"p"}), frozenset("td th li div button table body html".split())) for t in "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
     "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
-    "td": (_CELL, frozenset({"tr", "table"})),
-    "th": (_CELL, frozenset({"tr", "table"})),
-    "tr": (_ROW_END, frozenset({"table"})),
-    **{t: (_ROW_END | {"thead", "tbody", "tfoot", "caption", "colgroup"}, frozenset({"table"})) for t in ("thead", "tbody", "tfoot")},
     "body": (frozenset({"head"}), frozenset()),
 }
+#: Parts of a table that hold no text of their own, and what the innermost open one of tells where a tag stands.
+_SECTION = frozenset({"thead", "tbody", "tfoot"})
+_INNER = _SECTION | {"table", "tr"}
+_TABLE = _INNER | _CELL | {"caption", "template"}
+#: What a tag of a table stands in: all that is open within it closes.
+PARENT = {**dict.fromkeys(_SECTION | {"caption", "colgroup", "col"}, frozenset({"table"})), "tr": _SECTION | {"table"}, **dict.fromkeys(_CELL, _INNER)}
 #: What an end tag does not reach past.
-SCOPE = {**{t: frozenset({"table"}) for t in ("td", "th", "tr", "tbody", "thead", "tfoot", "p", "li", "div", "span", "b", "i", "a", "em", "strong")}, "li": frozenset({"ul", "ol", "table"})}
+SCOPE = {**{t: frozenset({"table"}) for t in ("td", "th", "tr", "tbody", "thead", "tfoot", "p", "li", "div", "span", "b", "i", "a", "em", "strong", "form")}, "li": frozenset({"ul", "ol", "table"})}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -62,7 +63,7 @@ def parse(source: str) -> Node:
         m = TOKEN.search(source, at)
         text = source[at : m.start() if m else n]
         if text:
-            stack[-1].children.append(html.unescape(text))
+            _put(stack, html.unescape(text))
         if not m:
             break
         at = m.end()
@@ -74,15 +75,17 @@ def parse(source: str) -> Node:
             continue
         if tag in IMPLIED:
             _close(stack, *IMPLIED[tag])
+        if tag in PARENT or tag == "table":
+            _enter(stack, tag)
         attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in reversed(ATTR.findall(m[3]))} if m[3].strip() else {}
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        _put(stack, node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             body = source[at : end.start() if end else n]
             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else n
-        elif tag not in VOID and not (tag in ("svg", "math") and m[3].endswith("/")):
+        elif tag not in VOID and not (tag in ("svg", "math") and m[3].endswith("/")) and not (tag == "colgroup" or (tag == "form" and stack[-1].tag in _INNER)):
             stack.append(node)
     return root
 
@@ -96,6 +99,41 @@ def _close(stack: list[Node], tags: frozenset[str], stop: frozenset[str]) -> Non
             return
 
 
+def _enter(stack: list[Node], tag: str) -> None:
+    """Make room for a tag of a table: close what it can't stand in, open the row that a cell lacks."""
+    at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in _TABLE), 0)
+    if tag == "table":  # a table right inside another one ends it
+        if stack[at].tag in _INNER:
+            _close(stack, frozenset({"table"}), frozenset())
+        return
+    if not at or stack[at].tag == "template":
+        return
+    while at and stack[at].tag not in PARENT[tag]:
+        at -= 1
+        if stack[at].tag == "template":
+            return
+    if not at:
+        return
+    del stack[at + 1 :]
+    if tag in _CELL and stack[at].tag != "tr":
+        row = Node("tr", {})
+        stack[at].children.append(row)
+        stack.append(row)
+
+
+def _put(stack: list[Node], item: Node | str) -> None:
+    """Add a text or element; what can't stand between the cells of a table goes before the table."""
+    to = stack[-1].children
+    if stack[-1].tag in _INNER and (item.strip() if isinstance(item, str) else item.tag not in PARENT):
+        k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table"), 0)
+        if k:
+            to = stack[k - 1].children
+            at = next((i for i in range(len(to) - 1, -1, -1) if to[i] is stack[k]), len(to))
+            to.insert(at, item)
+            return
+    to.append(item)
+
+
 def visible(node: Node) -> bool:
     return not (node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden") or INVISIBLE.search(node.attrs.get("style", "")))
 

@@ -338,6 +338,32 @@ def test_html_never_fails(source):
     assert isinstance(page_text(source), str)
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><thead><th>A<th>B</thead><tbody><td>x</td><td>y</td></tbody></table>", "A | B\nx | y"),
+        ("<table><td>x<td>y<tr><td>z</table>", "x | y\nz"),
+        ("<table><tr><form action=a><td>x</td><td>y</td></form></tr></table>", "x | y"),
+        ("<table><tr><div><td>x</td></div></tr></table>", "x"),
+        ("<div><table><tbody>one<tr><p>two</p><td>x</td></tr></tbody></table></div>", "one\n\ntwo\n\nx"),
+        ("<table><caption>top<tr><td>x<table><td>in</table></table>", "top\nx\n\nin"),
+    ],
+)
+def test_html_tables_lose_nothing(html, text):
+    assert page_text(html) == text
+
+
+def test_html_gives_all_text_of_any_tags():
+    """Random tags, none of them hidden: every text comes out."""
+    rnd = random.Random(11)
+    names = "table thead tbody tfoot tr td th caption colgroup col form div p b ul li select option center h1 q dl dd pre span a".split()
+    for _ in range(3000):
+        parts = [f"<{rnd.choice(['', '', '/'])}{rnd.choice(names)}>" if rnd.random() < 0.75 else f" w{k}z " for k in range(rnd.randrange(4, 40))]
+        source = "".join(parts)
+        text = page_text(source)
+        assert [w for w in source.replace("<", " <").split() if w[0] == "w" and w not in text] == [], source
+
+
 def test_html_edges(spark):
     rows = [(1, None, "t"), (2, "", None), (3, "<div>" * 30_000 + "deep", "t"), (4, "a < b & c &bogus; <", "t"), (None, "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "t"), (6, "<p>x</div></p></table>y", "t")]
     out = extract_text(spark.createDataFrame(rows, "page_id long, html string, text string"))
