@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist".split())
+#: What svg and math hold but do not show.
+UNSEEN = frozenset("desc metadata symbol clippath mask marker pattern annotation annotation-xml mphantom".split())
+#: Where svg and math hold HTML or text again.
+INTEGRATION = frozenset("foreignobject mi mn mo ms mtext".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
 BLOCK = SPACED | frozenset("html body div li dt dd tr article aside section header footer main nav address form figcaption details summary center hr legend option caption menu".split())
 #: An opening tag closes the nearest open element of the second set, but not past one of the third.
@@ -45,7 +49,9 @@ SCOPE = {**{t: frozenset({"table"}) for t in ("td", "th", "tr", "tbody", "thead"
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"[\t\n\x0b\x0c\r ]+")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+DECLARATION = re.compile(r"((?:[^;:\"'(]|\"[^\"]*\"|'[^']*'|\([^()]*\)|[\"'(])+):((?:[^;\"'(]|\"[^\"]*\"|'[^']*'|\([^()]*\)|[\"'(])*)")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+MAY_HIDE = re.compile(r"none|hidden|collapse", re.I)
 
 
 class Node:
@@ -80,16 +86,24 @@ def parse(source: str) -> Node:
         attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in reversed(ATTR.findall(m[3]))} if m[3].strip() else {}
         node = Node(tag, attrs)
         _put(stack, node)
-        if tag in RAW:
+        empty = m[3].endswith("/") and (tag in ("svg", "math") or _foreign(stack))
+        if tag in UNSEEN and _foreign(stack):
+            attrs["hidden"] = ""
+        if tag in RAW and not empty:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             body = source[at : end.start() if end else n]
             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else n
-        elif tag not in VOID and not (tag in ("svg", "math") and m[3].endswith("/")) and not (tag == "colgroup" or (tag == "form" and stack[-1].tag in _INNER)):
+        elif tag not in VOID and not empty and not (tag == "colgroup" or (tag == "form" and stack[-1].tag in _INNER)):
             stack.append(node)
     return root
 
 
+def _foreign(stack: list[Node]) -> bool:
+    """Whether the next tag is one of svg or math."""
+    return next((n.tag in ("svg", "math") for n in reversed(stack) if n.tag in ("svg", "math") or n.tag in INTEGRATION), False)
+
+
 def _close(stack: list[Node], tags: frozenset[str], stop: frozenset[str]) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in tags:
@@ -134,8 +148,26 @@ def _put(stack: list[Node], item: Node | str) -> None:
     to.append(item)
 
 
+def declared(style: str) -> dict[str, str]:
+    """The properties of an inline style, in lower case; the last declaration counts, an important one before others."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, value in DECLARATION.findall(CSS_COMMENT.sub(" ", style)):
+        value, mark, rest = value.lower().partition("!")
+        important, name = bool(mark) and rest.strip() == "important", name.strip().lower()
+        if value.strip() and (important or not out.get(name, (False,))[0]):
+            out[name] = important, value.strip()
+    return {name: value for name, (_, value) in out.items()}
+
+
+def _invisible(style: str) -> bool:
+    if not MAY_HIDE.search(style):
+        return False
+    found = declared(style)
+    return found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse")
+
+
 def visible(node: Node) -> bool:
-    return not (node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden") or INVISIBLE.search(node.attrs.get("style", "")))
+    return not (node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden") or _invisible(node.attrs.get("style", "")))
 
 
 class Lines:
@@ -303,6 +335,9 @@ def render(root: Node) -> str:
                     counters.pop()
 
             frames.append([iter(child.children), to, close, pre + (tag == "pre")])
+        elif tag == "text" and not pre:  # of svg: placed by itself
+            to.words(" ")
+            frames.append([iter(child.children), to, lambda to=to: to.words(" "), pre])
         elif tag == "q":
             to.words("“")
             frames.append([iter(child.children), to, lambda to=to: to.words("”"), pre])

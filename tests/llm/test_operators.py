@@ -364,6 +364,22 @@ def test_html_gives_all_text_of_any_tags():
         assert [w for w in source.replace("<", " <").split() if w[0] == "w" and w not in text] == [], source
 
 
+@pytest.mark.parametrize("style", ["backface-visibility: hidden", "-webkit-backface-visibility:hidden;color:red", "x-display:none", "display:none;display:block", "display:block!important;display:none", "background:url('a;display:none')", "/*display:none*/", "overflow:hidden"])
+def test_html_styles_that_hide_nothing(style):
+    assert page_text(f'<div style="{style}">shown</div>end') == "shown\nend"
+
+
+@pytest.mark.parametrize("style", ["display:none", "color:red; DISPLAY : None ", "visibility:hidden", "visibility:collapse", "display:none!important;display:block", "display:/**/none", "background:url(a;b);display:none"])
+def test_html_styles_that_hide(style):
+    assert page_text(f'<div style="{style}">not</div>end') == "end"
+
+
+def test_html_renders_svg_and_math():
+    assert page_text("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b") == "a x=1 b"
+    assert page_text("<svg><title>no</title><desc/><style>no</style><text>one</text><text>two</text><path d=m /><desc>no</desc></svg>end") == "one two end"
+    assert page_text("<svg><foreignObject><p>in</p><desc>it</desc></foreignObject><script href=x /></svg>end") == "in\n\nitend"
+
+
 def test_html_edges(spark):
     rows = [(1, None, "t"), (2, "", None), (3, "<div>" * 30_000 + "deep", "t"), (4, "a < b & c &bogus; <", "t"), (None, "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "t"), (6, "<p>x</div></p></table>y", "t")]
     out = extract_text(spark.createDataFrame(rows, "page_id long, html string, text string"))
