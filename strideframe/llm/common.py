@@ -112,14 +112,62 @@ def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.n
     for k in range(1, width):
         acc *= step
         acc += padded[at + k]
-    for i in np.flatnonzero((lens > 0) & (lens < width)):
-        x = np.uint64(int(lens[i]))
-        for w in h[first[i] : first[i] + lens[i]]:
-            x = x * step + w
-        acc[int(counts[:i].sum())] = x
+    own = np.cumsum(counts) - counts
+    for size in range(1, width):  # whole texts of fewer words
+        short = np.flatnonzero(lens == size)
+        x = np.full(len(short), size, np.uint64)
+        for k in range(size):
+            x = x * step + padded[first[short] + k]
+        acc[own[short]] = x
     return mix(acc), counts
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of a partition sorted by ``keys``, cut anew so that each holds only whole groups of equal keys."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(parts):
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in cols]))
+        cut = int(other[-1]) + 1 if len(other) else 0  # where the last group of the batch starts
+        if cut:
+            yield joined([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        elif held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in keys):
+            yield joined(held)
+            held = [b]
+        else:
+            held.append(b)
+    if held:
+        yield joined(held)
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system, as workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidy(run):
+    """``run`` (batches to batches) that ends by giving memory back."""
+
+    def own(batches):
+        yield from run(batches)
+        release()
+
+    return own
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as Spark's LONG."""
     return pa.array(x.view(np.int64))

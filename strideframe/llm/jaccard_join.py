@@ -1,24 +1,26 @@
 """Exact Jaccard join of word shingles by T-occurrence search.
 
 Two texts link when their sets of ``WIDTH``-word shingles overlap by at least ``PERCENT`` per cent of their union.
-Texts of one set are one class, named by its smallest document id; only classes are joined.
+Texts of one set are one class; only classes are joined. A set of n that links with any set overlaps it by T = ceil(PERCENT n / 100)
+at least, and in any fixed order of shingles the first j they share lie within the first n - T + j of it.
 
-*Order.* Shingles are ordered by (frequent, hash). Document counts come from a partial count in each task and a shuffle; as at
-most a quarter of a set is ever needed from the front of the order, counts are taken of shingles in the lower
-part of the hash range, and of all shingles of small sets. The order is only a matter of cost: any order fixed beforehand is exact.
+*Sieve.* Of each set the first ``EARLY`` per cent by hash are shuffled, packed by part of the hash range, and each class learns how many of them
+another class has too. Fewer than the shares above, and it links with nothing. What is left (near copies, mostly) is read again and its whole
+sets are counted likewise: a class of fewer than T shared shingles is out, and shingles of one class alone can be left out of
+every overlap. A shingle that two classes of one task hold goes out once, marked as shared, so no shingle has more rows than there are tasks.
 
-*Candidates.* A set of n shingles that overlaps another by T = ceil(PERCENT n / 100) must meet it in the first n - T + 1 of the order. These
-are the short lists of an inverted index. Lists of up to ``LIST`` classes give their pairs of fitting sizes, with how often and how late they
-meet; what they could still reach decides which pairs stay. Longer lists (large groups of near copies) are not paired out: a few classes
-(pivots) of each list meet the rest, what links is joined into components, and only classes still in different components meet in
-the next round, with GROWTH times the pivots, until a list is one component or all its pairs were tried.
+*Groups.* Shingles are ordered by (classes that have it, hash); those in very many classes come last. Classes that share one of their first n - T + 1
+meet in a list. A list's classes are tied to one of them, its pivot, and the connected groups of these ties hold every pair that can link.
 
-*Search.* Pairs are grouped into units of one query and at most about ``UNIT`` others; each unit builds inverted lists and
-runs DivideSkip: the longest lists are set aside, the short ones are heap-merged for the rest of the required occurrences, the long
-ones are probed by binary search, and the full count decides the link exactly.
+*Search.* The sets of a group, in blocks of at most about ``UNIT`` shingles, are inverted lists, and the classes ask them in turn by DivideSkip:
+the longest lists are set aside, the short ones are heap-merged for the rest of the T occurrences, the long ones are probed by
+binary search, and the full count decides the link exactly. Classes already in one component with the first that asked need not ask: whoever is
+outside does. In a group of one block all this is one task; where there are more, the pivots ask every block, and then each class outside the
+group's largest component does.
 
 Defined results: A-Z are lower-cased; null, empty and blank texts have empty sets and link with nothing; a text of fewer words than a
-shingle is one shingle; rows of one id are one node; a null id has no place in a component (its id is null if it stands alone).
+shingle is one shingle; rows of one id are one node, repeated rows change nothing; a null id has no place in a component (its id is null if
+it stands alone); an empty table gives an empty result; other columns are not looked at. Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -33,18 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, n_shuffle, pieces, shared_dir, shingle_hashes, signed, staged
+from .common import discard, mix, n_shuffle, pieces, shared_dir, shingle_hashes, signed, staged, tidy, whole_groups
 
 WIDTH, PERCENT = 5, 75
-COUNTED = 0.35  # part of the hash range in which shingles are counted
-SMALL = 64  # sets up to this size are counted whole
-FREQUENT = 16  # documents that make a shingle frequent, at least
-MAX_FREQUENT = 4_000_000  # frequent shingles that are broadcast, at most
-LIST = 64
-GROWTH = 4.0  # how many times as many pivots the next round has
-UNIT = 256
-MAX_BROADCAST = 1_000_000  # rows of (query, document) that are broadcast, at most; beyond, texts are joined by shuffle
-_HOLD = 3_000_000
+EARLY = 40  # per cent of a set that the sieve looks at
+UNIT = 2_000_000  # shingles of a block of a group
+PARTS = 4  # parts of the hash range for each shuffle partition
+LOCAL, COMMON = 8, 1024  # classes of one task, and of all, that make a shingle common
+MAX_COMMON = 1_000_000  # common shingles that are broadcast, at most
+MAX_BROADCAST = 1_000_000  # rows of (class, document) that are broadcast, at most; beyond, texts are joined by shuffle
+_HOLD = 3_000_000  # shingles a task keeps before it emits them
+_LAST = 2**31 - 1  # stands for the count of a common shingle
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,173 +67,231 @@ def _sums(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def needed(n: int) -> int:
+def needed(n):
     """The least overlap of a set of n with any set it links with."""
     return -(-PERCENT * n // 100)
 
 
 def _classes(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit digests of the sets that don't depend on order."""
-    return _sums(mix(s), counts).view(np.int64), _sums(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), counts).view(np.int64)
+    """128-bit digests of the sets that don't depend on order; the first is never 0."""
+    c = _sums(mix(s), counts).view(np.int64)
+    return np.where(c == 0, 1, c), _sums(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), counts).view(np.int64)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, c1, c2) of every row."""
+def _batch(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of ``schema`` in which absent columns are null."""
+    size = len(next(iter(columns.values())))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.nulls(size, kinds[k]) if f not in columns else pa.array(columns[f], kinds[k]) for f, k in fields], [f for f, _ in fields])
+
+
+# ---- sieve --------------------------------------------------------------------------------------
+
+
+def _packed(token: np.ndarray, c: np.ndarray, parts: int) -> dict[str, list]:
+    """Postings as one row for each part of the hash range."""
+    part = (token % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.diff(part[order], prepend=-1))
+    token, c = token[order], c[order]
+    ends = [*at[1:], len(part)]
+    return {"part": part[order][at].astype(np.int32), "tokens": [token[a:b].tobytes() for a, b in zip(at, ends, strict=True)], "classes": [c[a:b].tobytes() for a, b in zip(at, ends, strict=True)]}
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct postings of packed rows, sorted by shingle."""
+    tokens, classes = (batch.column(f).drop_null() for f in ("tokens", "classes"))
+    token = np.frombuffer(b"".join(tokens.to_pylist()), np.uint64)
+    c = np.frombuffer(b"".join(classes.to_pylist()), np.int64)
+    order = np.lexsort((c, token))
+    token, c = token[order], c[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (c[1:] != c[:-1])
+    return token[new], c[new]
+
+
+def _run_sizes(x: np.ndarray) -> np.ndarray:
+    """For each element of sorted ``x`` how often it occurs."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    n = np.diff(np.append(at, len(x)))
+    return np.repeat(n, n)
+
+
+#: kind 0: a row of the table; 1: packed postings, or how many (n) of a class's shingles another class has; 2: those seen within a task.
+FIRST = "kind int, part int, doc_id long, n long, c1 long, c2 long, tokens binary, classes binary"
+SEEN = "kind int, doc_id long, n long, c1 long, c2 long"
+
+
+def _early(docs: DataFrame, parts: int) -> DataFrame:
+    """Every row's class, and the packed first shingles of every class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, tokens, classes, held = set(), [], [], 0
+
+        def emit():
+            token, c = np.concatenate(tokens), np.concatenate(classes)
+            order = np.argsort(token, kind="stable")
+            token, c = token[order], c[order]
+            several = _run_sizes(token) > 1
+            own, n = np.unique(c[several], return_counts=True)
+            yield _batch(FIRST, kind=np.full(len(own), 2), part=(own % parts).astype(np.int32), c1=own, n=n)
+            marks = np.unique(token[several])
+            rows = _packed(np.concatenate([token[~several], marks]), np.concatenate([c[~several], np.zeros(len(marks), np.int64)]), parts)
+            yield _batch(FIRST, kind=np.ones(len(rows["part"]), np.int32), **rows)
+
+        for b in batches:
+            for first, texts in pieces(b, "text"):
+                s, counts = shingle_sets(texts)
+                c1, c2 = _classes(s, counts)
+                yield _batch(FIRST, kind=np.zeros(len(c1), np.int32), part=(c1 % parts).astype(np.int32), doc_id=b.column("doc_id").slice(first, len(texts)), n=counts, c1=c1, c2=c2)
+                p = np.maximum(counts - needed(counts) + 1, -(-EARLY * counts // 100)) * (counts > 0)
+                for k, c in enumerate(c1.tolist()):
+                    if c in seen:
+                        p[k] = 0
+                    seen.add(c)
+                at = np.repeat(np.cumsum(counts) - counts - (np.cumsum(p) - p), p) + np.arange(int(p.sum()))
+                tokens.append(s[at])
+                classes.append(np.repeat(c1, p))
+                held += len(at)
+                if held > _HOLD:
+                    yield from emit()
+                    tokens, classes, held = [], [], 0
+        if held:
+            yield from emit()
+
+    return docs.mapInArrow(tidy(run), FIRST)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the table and what tasks saw pass; packed postings become how many of a class's shingles are shared."""
+    for b in whole_groups(batches, ["part"]):
+        kind = b.column("kind").to_numpy()
+        yield b.filter(pa.array(kind != 1)).select([f.split(" ")[0] for f in SEEN.split(", ")])
+        token, c = _unpacked(b.filter(pa.array(kind == 1)))
+        marked = np.zeros(len(token), bool)
+        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        if len(at):
+            marked = np.repeat(np.logical_or.reduceat(c == 0, at), np.diff(np.append(at, len(token))))
+        own, n = np.unique(c[(marked | (_run_sizes(token) > 1)) & (c != 0)], return_counts=True)
+        yield _batch(SEEN, kind=np.ones(len(own), np.int32), c1=own, n=n)
+
+
+# ---- whole sets of what is left ------------------------------------------------------------------
+
+
+def _whole_sets(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """(c, tokens) of the classes ``left`` (c, doc_id), from the texts."""
 
     def run(batches):
         for b in batches:
             for first, texts in pieces(b, "text"):
                 s, counts = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(texts)), pa.array(counts), *map(pa.array, _classes(s, counts))], ["doc_id", "n", "c1", "c2"])
+                c = b.column("c").slice(first, len(texts)).to_numpy()
+                ends = np.cumsum(counts)
+                mine = np.flatnonzero(_classes(s, counts)[0] == c)  # another text of the same id is not the class
+                yield pa.RecordBatch.from_arrays([pa.array(c[mine]), pa.array([s[ends[k] - counts[k] : ends[k]].tobytes() for k in mine], pa.binary())], ["c", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long")
+    asked = F.broadcast(left) if left.count() <= MAX_BROADCAST else left
+    return docs.join(asked, "doc_id").select("c", "text").mapInArrow(tidy(run), "c long, tokens binary")
 
 
-def _counts_of(docs: DataFrame, pick) -> DataFrame:
-    """(token, n) of the shingles that ``pick(shingles, sizes of their sets)`` takes, in how many rows each is."""
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles known to be in very many sets, at most MAX_COMMON."""
 
     def run(batches):
-        held, n = [], 0
+        for b in batches:
+            k, n = np.unique(np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([signed(k[n >= LOCAL]), pa.array(n[n >= LOCAL])], ["token", "n"])
+
+    sums = sets.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    total = sets.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    return np.sort(sums.where(F.col("n") >= max(COMMON, total // 8 // MAX_COMMON)).select("token").toArrow().column("token").to_numpy().view(np.uint64))
+
+
+#: One posting a row, or (df < 0) the size of a class's set.
+POSTING = "part int, token long, c long, df int, tokens binary, classes binary"
+COUNTED = "token long, c long, df int"
+
+
+def _dealt(sets: DataFrame, common, parts: int) -> DataFrame:
+    """Packed postings of whole sets; common shingles and sizes of sets as rows of their own."""
+
+    def run(batches):
+        tokens, classes, held = [], [], 0
 
         def emit():
-            k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([signed(k), pa.array(c)], ["token", "n"])
+            rows = _packed(np.concatenate(tokens), np.concatenate(classes), parts)
+            return _batch(POSTING, **rows)
 
         for b in batches:
-            for _, texts in pieces(b, "text"):
-                s, counts = shingle_sets(texts)
-                held.append(s[pick(s, np.repeat(counts, counts))])
-                n += len(held[-1])
-                if n > _HOLD:
-                    yield emit()
-                    held, n = [], 0
+            c = b.column("c").to_numpy()
+            raw = b.column("tokens").to_pylist()
+            n = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
+            token, own = np.frombuffer(b"".join(raw), np.uint64), np.repeat(c, n)
+            yield _batch(POSTING, part=(c % parts).astype(np.int32), token=np.zeros(len(c), np.int64), c=c, df=-n)
+            at = np.minimum(np.searchsorted(common.value, token), max(len(common.value) - 1, 0))
+            is_common = common.value[at] == token if len(common.value) else np.zeros(len(token), bool)
+            yield _batch(POSTING, part=(own[is_common] % parts).astype(np.int32), token=signed(token[is_common]), c=own[is_common], df=np.full(int(is_common.sum()), _LAST))
+            tokens.append(token[~is_common])
+            classes.append(own[~is_common])
+            held += len(tokens[-1])
+            if held > _HOLD:
+                yield emit()
+                tokens, classes, held = [], [], 0
         if held:
             yield emit()
 
-    return docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
-
-def frequent_shingles(docs: DataFrame, total: int) -> np.ndarray:
-    """The sorted hashes of shingles counted in many documents; at most MAX_FREQUENT."""
-    below = np.uint64(int(COUNTED * 2**64))
-    least = max(FREQUENT, -(-total // MAX_FREQUENT))
-    rows = _counts_of(docs, lambda s, size: (s < below) | (size <= SMALL)).where(F.col("n") >= least).select("token")
-    return np.sort(rows.toArrow().column("token").to_numpy().view(np.uint64))
+    return sets.mapInArrow(tidy(run), POSTING)
 
 
-class Sieve:
-    """Membership in a sorted set of hashes: a bitmap answers most, a binary search the rest."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of shingles that two classes or more have, with how many; sizes pass."""
+    for b in whole_groups(batches, ["part"]):
+        yield b.filter(b.column("df").is_valid()).select(["token", "c", "df"])
+        token, c = _unpacked(b)
+        df = _run_sizes(token)
+        yield _batch(COUNTED, token=signed(token[df > 1]), c=c[df > 1], df=df[df > 1])
 
-    def __init__(self, sorted_hashes: np.ndarray):
-        self.hashes = sorted_hashes
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(sorted_hashes >> np.uint64(42)).astype(np.int64)] = True
 
-    def has(self, x: np.ndarray) -> np.ndarray:
-        out = self.bits[(x >> np.uint64(42)).astype(np.int64)]
-        if len(self.hashes):
-            some = np.flatnonzero(out)
-            out[some] = self.hashes[np.minimum(np.searchsorted(self.hashes, x[some]), len(self.hashes) - 1)] == x[some]
-        return out
+LEAN = "c long, n int, tokens binary"
 
 
-def _postings(docs: DataFrame, frequent) -> DataFrame:
-    """(token, c, n, pos, hot): the first n - T + 1 shingles of each set in the order; hot ones may have long lists.
+def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings sorted by (c, df, token): the shared shingles of each class that has enough of them, in that order."""
+    for b in whole_groups(batches, ["c"]):
+        c, df, token = (b.column(f).to_numpy() for f in ("c", "df", "token"))
+        new = np.ones(len(c), bool)  # a row that the table repeats counts once
+        new[1:] = (c[1:] != c[:-1]) | (df[1:] != df[:-1]) | (token[1:] != token[:-1])
+        c, df, token = c[new], df[new], token[new]
+        first = np.flatnonzero(df < 0)
+        n, ends = -df[first].astype(np.int64), np.append(first[1:], len(c))
+        own = np.flatnonzero(ends - first - 1 >= needed(n))
+        yield _batch(LEAN, c=c[first[own]], n=n[own], tokens=[token[first[k] + 1 : ends[k]].tobytes() for k in own])
 
-    Whether a posting is hot depends on the shingle alone, so all postings of one meet: frequent ones are, and all of the upper
-    part of the hash range, where no count is whole.
-    """
-    below = np.uint64(int(COUNTED * 2**64))
 
-    def run(batches):
-        sieve = Sieve(frequent.value)
-        for b in batches:
-            for _, texts in pieces(b, "text"):
-                s, counts = shingle_sets(texts)
-                hot, c = sieve.has(s), _classes(s, counts)[0]
-                ends, seen, at, lens = np.cumsum(counts), set(), [], []
-                for k in np.flatnonzero(counts):
-                    if c[k] not in seen:
-                        seen.add(c[k])
-                        lo, p = ends[k] - counts[k], int(counts[k]) - needed(int(counts[k])) + 1
-                        own = hot[lo : ends[k]]
-                        cold = np.flatnonzero(~own)[:p]
-                        at.append(lo + (cold if len(cold) == p else np.concatenate([cold, np.flatnonzero(own)[: p - len(cold)]])))
-                        lens.append((p, c[k], counts[k]))
-                if at:
-                    at, (p, own_c, n) = np.concatenate(at), (np.array(x) for x in zip(*lens, strict=True))
-                    n = np.repeat(n, p)
-                    rank = np.arange(len(at)) - np.repeat(np.cumsum(p) - p, p)
-                    yield pa.RecordBatch.from_arrays([signed(s[at]), pa.array(np.repeat(own_c, p)), pa.array(n.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(hot[at] | (s[at] >= below))], ["token", "c", "n", "pos", "hot"])
-
-    return docs.mapInArrow(run, "token long, c long, n int, pos int, hot boolean")
-
-
-PAIRS = "kind int, x long, y long, k int, nx int, ny int, px int, py int"
-
-
-def _fit(nx, ny):
-    return 100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)
-
-
-def _pair_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (kind 0) from the short lists of a partition; the rows of long lists pass through (kind 1)."""
-    parts = [{f: b.column(f).to_numpy(zero_copy_only=False) for f in b.schema.names} for b in batches]
-    if not parts:
-        return
-    col = {f: np.concatenate([p[f] for p in parts]) for f in parts[0]}
-    order = np.lexsort((col["c"], col["token"]))
-    col = {f: v[order] for f, v in col.items()}
-    same = np.zeros(len(order), bool)
-    same[1:] = (col["token"][1:] == col["token"][:-1]) & (col["c"][1:] == col["c"][:-1])
-    col = {f: v[~same] for f, v in col.items()}
-    token, c, n, pos, hot = (col[f] for f in ("token", "c", "n", "pos", "hot"))
-    _, first, size = np.unique(token, return_index=True, return_counts=True)
-    whole = np.repeat(size, size)
-    long = hot | (whole > LIST)
-    z = np.flatnonzero(long)
-    zero = np.zeros(len(z), np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(token[z]), pa.array(c[z]), pa.array(pos[z]), pa.array(n[z]), *[pa.array(zero)] * 3], ["kind", "x", "y", "k", "nx", "ny", "px", "py"])
-    a_all, b_all = [], []
-    pick = (size >= 2) & (size <= LIST) & ~hot[first]
-    for s in np.unique(size[pick]):
-        base = first[pick & (size == s)][:, None]
-        i, j = np.triu_indices(s, 1)
-        a, b = (base + i).ravel(), (base + j).ravel()
-        ok = _fit(n[a], n[b])
-        a_all.append(a[ok])
-        b_all.append(b[ok])
-    if a_all:
-        a, b = np.concatenate(a_all), np.concatenate(b_all)
-        order = np.lexsort((c[b], c[a]))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (c[a][1:] != c[a][:-1]) | (c[b][1:] != c[b][:-1])
-        at = np.flatnonzero(new)
-        if len(at):
-            k = np.diff(np.append(at, len(a))).astype(np.int32)
-            px, py = np.maximum.reduceat(pos[a], at), np.maximum.reduceat(pos[b], at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(c[a[at]]), pa.array(c[b[at]]), pa.array(k), pa.array(n[a[at]]), pa.array(n[b[at]]), pa.array(px), pa.array(py)], ["kind", "x", "y", "k", "nx", "ny", "px", "py"])
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, c, share): the shared ones of the first n - T + 1 shingles of each class, and the share of its set that is shared."""
+    for b in batches:
+        c, n = b.column("c").to_numpy(), b.column("n").to_numpy().astype(np.int64)
+        sets = [np.frombuffer(x, np.int64) for x in b.column("tokens").to_pylist()]
+        have = np.fromiter(map(len, sets), np.int64, len(sets))
+        p = np.maximum(have - needed(n) + 1, 0)  # n - T + 1 less the n - have that come before
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[:k] for s, k in zip(sets, p, strict=True)]) if len(p) else np.zeros(0, np.int64)), pa.array(np.repeat(c, p)), pa.array(np.repeat(have / np.maximum(n, 1), p))], ["token", "c", "share"])
 
 
-# ---- search within a unit -----------------------------------------------------------------------
+# ---- search within a block ------------------------------------------------------------------------
 
 
-def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
-    """Which of ``sets`` link with ``query``."""
-    lists: dict[int, list[int]] = {}
-    wanted = query
-    for k, s in enumerate(sets):
-        for t in s[np.isin(s, wanted, assume_unique=True)].tolist():
-            lists.setdefault(t, []).append(k)
-    least = needed(len(query))
+def t_occurrence(lists: list[np.ndarray], least: int) -> dict[int, int]:
+    """The numbers that occur in at least ``least`` of the sorted ``lists``, and in how many, by DivideSkip."""
     if len(lists) < least:
-        return []
-    by_size = sorted(lists.values(), key=len)
-    aside = min(int(least / (0.1 * math.log2(len(by_size[-1]) + 1) + 1)), least - 1)
-    short, long = by_size[: len(by_size) - aside], by_size[len(by_size) - aside :]
+        return {}
+    by_size = sorted(lists, key=len)
+    aside = min(int(least / (0.01 * math.log2(len(by_size[-1]) + 1) + 1)), least - 1)
+    short, long = [x.tolist() for x in by_size[: len(by_size) - aside]], by_size[len(by_size) - aside :]
     rest = least - aside  # occurrences the short lists must show
-    found: list[int] = []
+    found: list[tuple[int, int]] = []
     heap = [(x[0], i, 0) for i, x in enumerate(short)]
     heapq.heapify(heap)
     while heap:
@@ -241,64 +300,111 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
             popped.append(heapq.heappop(heap))
             n += 1
         if n >= rest:
-            n += sum(1 for x in long if (at := bisect_left(x, k)) < len(x) and x[at] == k)
-            if 100 * n >= PERCENT * (len(query) + len(sets[k]) - n):
-                found.append(k)
+            found.append((k, n))
             ahead = k + 1
         else:  # what can't reach the count is skipped: rest - 1 lists may jump to the next head
             while heap and len(popped) < rest - 1:
                 popped.append(heapq.heappop(heap))
-            ahead = max(heap[0][0], k + 1) if heap else k + 1
             if not heap and len(popped) < rest:
                 break
+            ahead = max(heap[0][0], k + 1) if heap else k + 1
         for _, i, at in popped:
             at = bisect_left(short[i], ahead, at)
             if at < len(short[i]):
                 heapq.heappush(heap, (short[i][at], i, at))
-    return found
+    if not found:
+        return {}
+    k, n = (np.array(x, np.int64) for x in zip(*found, strict=True))
+    for to_go, x in zip(range(len(long), 0, -1), long, strict=True):
+        able = n + to_go >= least
+        k, n = k[able], n[able]
+        if not len(k):
+            return {}
+        n = n + (x[np.minimum(np.searchsorted(x, k), len(x) - 1)] == k)
+    return dict(zip(k[n >= least].tolist(), n[n >= least].tolist(), strict=True))
+
+
+class Lists:
+    """Inverted lists over sets of shared shingles; ``n`` are the sizes of the whole sets."""
+
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray):
+        self.n, self.have = n, np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.member = np.repeat(np.arange(len(sets)), self.have)[order]
+        self.token, self.first, self.size = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def linked(self, query: np.ndarray, n: int, able: np.ndarray) -> np.ndarray:
+        """Which of the sets that ``able`` marks link with a set of n, of which ``query`` are the shared shingles."""
+        able = able & (100 * np.minimum(self.n, n) >= PERCENT * np.maximum(self.n, n)) & ((100 + PERCENT) * np.minimum(self.have, len(query)) >= PERCENT * (self.n + n))
+        if not able.any() or not len(self.token):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
+        at = at[self.token[at] == query]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        members = self.member[np.repeat(self.first[at] - (ends - size), size) + np.arange(int(size.sum()))]
+        kept = np.concatenate([[0], np.cumsum(able[members])])
+        least = -(-PERCENT * (n + int(self.n[able].min())) // (100 + PERCENT))
+        lists = np.split(members[able[members]], kept[ends][:-1])
+        got = t_occurrence([x for x in lists if len(x)], max(least, 1))
+        return np.array([k for k, both in got.items() if 100 * both >= PERCENT * (n + int(self.n[k]) - both)], np.int64)
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the units of a sorted partition; units are taken up to some MB of text at a time."""
-    units: list[tuple[tuple, list, list]] = []
-    size = 0
-
-    def solve():
-        texts = [t for _, q, o in units for _, t in q + o]
-        s, counts = shingle_sets(texts)
-        sets = iter(np.split(s, np.cumsum(counts)[:-1]))
-        links = []
-        for _, queries, others in units:
-            q, o = [next(sets) for _ in queries], [next(sets) for _ in others]
-            links += [(node, others[k][0]) for (node, _), x in zip(queries, q, strict=True) for k in divide_skip(x, o)]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+    """Which of ``sets`` link with ``query``; all are whole sets of hashes."""
+    lists = Lists([s.view(np.int64) for s in sets], np.array([len(s) for s in sets], np.int64))
+    return sorted(lists.linked(np.sort(query.view(np.int64)), len(query), np.ones(len(sets), bool)).tolist())
 
-    for b in batches:
-        for query, part, is_query, node, text in zip(*(b.column(f).to_pylist() for f in ("query", "part", "is_query", "doc_id", "text")), strict=True):
-            if not units or units[-1][0] != (query, part):
-                if size > 4 << 20:
-                    yield solve()
-                    units, size = [], 0
-                units.append(((query, part), [], []))
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            units[-1][1 if is_query else 2].append((node, raw))
-            size += len(raw)
-    if units:
-        yield solve()
-
-
-def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
-    """The linked pairs (a, b) of nodes among candidate pairs (x, y) of classes, written to ``folder``."""
-    n = n_shuffle(docs.sparkSession)
-    named = pairs.join(reps.select(F.col("c1").alias("x"), F.col("rep").alias("query")), "x").join(reps.select(F.col("c1").alias("y"), F.col("rep").alias("other")), "y").select("query", "other").where("query <> other")
-    size = named.groupBy("query").agg(F.count(F.lit(1)).alias("size"))
-    units = named.join(size, "query").select("query", F.pmod(F.xxhash64("other"), F.ceil(F.col("size") / UNIT)).cast("int").alias("part"), "other")
-    units = staged(units, f"{folder}/units")
-    rows = units.select("query", "part", F.lit(False).alias("is_query"), F.col("other").alias("doc_id")).unionByName(units.select("query", "part", F.lit(True).alias("is_query"), F.col("query").alias("doc_id"))).distinct()
-    rows = staged(rows, f"{folder}/rows")
-    asked = F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
-    dealt = docs.join(asked, "doc_id").select("query", "part", "is_query", "doc_id", "text").repartition(n, "query", "part").sortWithinPartitions("query", "part", F.desc("is_query"), "doc_id")
-    return staged(dealt.mapInArrow(_search, "a long, b long").distinct(), f"{folder}/links")
+
+#: ask 0: a set of the block; 1: a set that asks it. root: what the class is known to be linked with.
+UNITS = "unit long, block int, ask int, alone int, c long, n int, root long, tokens binary"
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) found in each block; in a group of one block, only as many as tie its components."""
+    for b in whole_groups(batches, ["unit", "block"]):
+        unit, block, ask, alone, c, n, root = (b.column(f).to_numpy(zero_copy_only=False) for f in ("unit", "block", "ask", "alone", "c", "n", "root"))
+        raw = b.column("tokens")
+        cuts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (block[1:] != block[:-1])]))
+        links: list[tuple[int, int]] = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(unit)], strict=True):
+            sets = [np.frombuffer(raw[k].as_py(), np.int64) for k in range(lo, hi)]
+            if alone[lo]:
+                label = _components_of(sets, n[lo:hi].astype(np.int64))
+                links += [(int(c[lo + k]), int(c[lo + x])) for k, x in enumerate(label) if x != k]
+            else:
+                m = int((ask[lo:hi] == 0).sum())
+                lists = Lists(sets[:m], n[lo : lo + m].astype(np.int64))
+                for k in range(m, hi - lo):
+                    links += [(int(c[lo + k]), int(c[lo + x])) for x in lists.linked(np.sort(sets[k]), int(n[lo + k]), root[lo : lo + m] != root[lo + k])]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+
+def _components_of(sets: list[np.ndarray], n: np.ndarray) -> list[int]:
+    """For each set the least one of its component. The first to ask is the one with the most shared shingles; those it reaches need not ask."""
+    lists = Lists(sets, n)
+    up = list(range(len(sets)))
+
+    def top(k):
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    order = np.argsort(-lists.have / np.maximum(n, 1), kind="stable").tolist()
+    asked = np.zeros(len(sets), bool)
+    for k in order:
+        main = top(order[0])
+        if asked.any() and top(k) == main:
+            continue
+        asked[k] = True
+        able = ~asked  # whoever has asked knows already
+        able[[x for x in np.flatnonzero(able).tolist() if top(x) == top(k)]] = False
+        for x in lists.linked(np.sort(sets[k]), int(n[k]), able).tolist():
+            i, j = top(k), top(x)
+            up[max(i, j)] = min(i, j)
+    return [top(k) for k in range(len(sets))]
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -310,76 +416,79 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         hooked = labels.join(seen, labels.node == seen.a).select("node", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
         new = staged(hooked.join(jump, "low", "left").select("node", F.coalesce("far", "low").alias("root"), (F.coalesce("far", "low") != F.col("root")).alias("moved")), f"{folder}/labels-{k}")
+        discard(edges.sparkSession, f"{folder}/labels-{k - 1}")
         labels = new.select("node", "root")
         if new.where("moved").isEmpty():
+            discard(edges.sparkSession, f"{folder}/both")
             return labels
     raise RuntimeError("components did not settle")
 
 
-def _reach(docs: DataFrame, reps: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """(c, reach): of ``classes`` whose lists are long, how many shingles of each occur in another one of them.
-
-    That bounds every overlap among them; classes that can't reach the overlap they need with any set are left out.
-    """
-    asked = staged(classes.join(reps.select(F.col("c1").alias("c"), F.col("rep").alias("doc_id"), "n"), "c").select("c", "doc_id", "n"), f"{folder}/asked")
-    own = docs.join(F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked, "doc_id").select("c", "n", "text")
-
-    def run(batches):
-        for b in batches:
-            for first, texts in pieces(b, "text"):
-                s, counts = shingle_sets(texts)
-                c = b.column("c").slice(first, len(texts)).to_numpy()
-                own = np.repeat(_classes(s, counts)[0] == c, counts)  # another text of the same id is not the class
-                yield pa.RecordBatch.from_arrays([signed(s[own]), pa.array(np.repeat(c, counts)[own])], ["token", "c"])
-
-    alone = own.mapInArrow(run, "token long, c long").groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("other")).where("c = other").groupBy("c").agg(F.count(F.lit(1)).alias("alone"))
-    left = asked.groupBy("c").agg(F.max("n").alias("n")).join(alone, "c", "left").select("c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("reach"))
-    return staged(left.where(100 * F.col("reach") >= PERCENT * F.col("n")).select("c", "reach"), f"{folder}/reach")
+def _ask(rows: DataFrame, folder: str) -> DataFrame:
+    """The links found by units ``rows``, written to ``folder``."""
+    dealt = rows.repartition(n_shuffle(rows.sparkSession), "unit", "block").sortWithinPartitions("unit", "block", "ask", "c")
+    return staged(dealt.mapInArrow(tidy(_search), "a long, b long"), folder)
+
+
+def _links(lean: DataFrame, folder: str) -> DataFrame:
+    """Links (a, b) that tie every component of the classes ``lean`` (c, n, tokens)."""
+    lists = staged(lean.mapInArrow(tidy(_lists), "token long, c long, share double"), f"{folder}/lists")
+    pivots = lists.groupBy("token").agg(F.max(F.struct("share", "c")).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", F.col("best.c").alias("b"))
+    ties = staged(lists.join(pivots, "token").where("c <> b").select(F.col("c").alias("a"), "b").distinct(), f"{folder}/ties")
+    groups = components(ties, f"{folder}/groups")
+    sets = staged(lean.join(groups, F.col("c") == F.col("node")).select(F.col("root").alias("unit"), "c", "n", "tokens"), f"{folder}/sets")
+    sizes = sets.groupBy("unit").agg(F.ceil(F.sum(F.length("tokens")) / (8.0 * UNIT)).cast("int").alias("blocks"))
+    sizes = staged(sizes, f"{folder}/sizes")
+    whole = sets.join(sizes.where("blocks <= 1"), "unit")
+    links = _ask(whole.select("unit", F.lit(0).alias("block"), F.lit(0).alias("ask"), F.lit(1).alias("alone"), "c", "n", F.col("c").alias("root"), "tokens"), f"{folder}/links-0")
+
+    large = sets.join(sizes.where("blocks > 1"), "unit")
+    if sizes.where("blocks > 1").isEmpty():
+        return links
+
+    def asked(of: DataFrame, who: DataFrame) -> DataFrame:
+        """Units of the blocks of ``of`` (with root) and the classes ``who`` (c), which ask all blocks of their groups."""
+        fields = ("unit", "block", "ask", F.lit(0).alias("alone"), "c", "n", "root", "tokens")
+        members = of.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("ask", F.lit(0))
+        queries = of.join(who, "c", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", F.lit(1))
+        return members.select(*fields).unionByName(queries.select(*fields))
+
+    found = _ask(asked(large.withColumn("root", F.col("c")), ties.select(F.col("b").alias("c")).distinct()), f"{folder}/links-1")
+    roots = components(found.where("a <> b"), f"{folder}/roots")
+    known = staged(large.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node"), f"{folder}/known")
+    main = known.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("unit").agg(F.max(F.struct("size", "root")).alias("most")).select("unit", F.col("most.root").alias("main"))
+    outside = known.join(main, "unit").where("root <> main").select("c")
+    more = _ask(asked(known, outside), f"{folder}/links-2")
+    return links.unionByName(found).unionByName(more).where("a <> b")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    n, parts = n_shuffle(spark), PARTS * n_shuffle(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = staged(digests(base), f"{folder}/members")
-    reps = staged(members.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), f"{folder}/reps")
-    total = members.agg(F.sum("n")).first()[0] or 0
-    frequent = spark.sparkContext.broadcast(frequent_shingles(base, total))
-    dealt = _postings(base, frequent).repartition(n_shuffle(spark), "token", F.when(F.col("hot"), F.pmod("c", F.lit(64))).otherwise(0))
-    found = staged(dealt.mapInArrow(_pair_lists, PAIRS), f"{folder}/pairs")
-
-    sums = found.where("kind = 0").groupBy("x", "y").agg(F.sum("k").alias("k"), *[F.max(c).alias(c) for c in ("nx", "ny", "px", "py")])
-    reach = F.least(F.col("nx") - F.col("px") - 1, F.col("ny") - F.col("py") - 1) + F.col("k")
-    pairs = sums.where((100 + PERCENT) * reach >= PERCENT * (F.col("nx") + F.col("ny"))).select("x", "y")
-
-    rows = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("c"), F.col("nx").alias("n")).distinct()
-    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = rows.join(sizes, "token").join(_reach(base, reps, rows.join(sizes, "token").select("c").distinct(), folder), "c")
-    u = F.col("c").cast("double") / 2.0**64 + 0.5  # where a class stands in the order of pivots, in [0, 1)
-    lists = staged(rows.withColumn("turn", u * F.col("size")), f"{folder}/lists-0")
-    edges, tried = None, 0
-    while True:
-        longest = lists.agg(F.max("size")).first()[0]
-        if tried and longest is None:  # every list is one component
-            break
-        low, high = (GROWTH ** (tried - 1) if tried else 0.0), GROWTH**tried
-        new = pairs if tried == 0 else None
-        if longest is not None:
-            pivots = lists.where((F.col("turn") >= low) & (F.col("turn") < high)).select("token", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("reach_x"), F.col("turn").alias("turn_x"), *([F.col("root").alias("root_x")] if tried else []))
-            fit = (F.col("turn") > F.col("turn_x")) & (100 * F.least("n", "nx") >= PERCENT * F.greatest("n", "nx")) & ((100 + PERCENT) * F.least("reach", "reach_x") >= PERCENT * (F.col("n") + F.col("nx")))
-            met = lists.join(pivots, "token").where(fit & (F.col("root") != F.col("root_x")) if tried else fit).select("x", F.col("c").alias("y"))
-            new = met if new is None else new.unionByName(met)
-        links = _links(base, reps, new.distinct(), f"{folder}/round-{tried}")
-        edges = links if edges is None else edges.unionByName(links)
-        roots = components(edges, f"{folder}/components-{tried}")
-        if longest is None or high > longest:
-            break
-        # Lists that are one component by now are done.
-        root_of = reps.select(F.col("c1").alias("c"), F.col("rep").alias("node")).groupBy("c").agg(F.min("node").alias("node")).join(roots, "node", "left").select("c", F.coalesce("root", "node").alias("root"))
-        with_root = staged(lists.drop("root").join(root_of, "c"), f"{folder}/rooted-{tried}")
-        open_lists = with_root.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        tried += 1
-        lists = staged(with_root.join(open_lists, "token"), f"{folder}/lists-{tried}")
-
-    classes = reps.join(roots, reps.rep == roots.node, "left").select("c1", "c2", "n", F.coalesce("root", "rep").alias("component"))
+    first = staged(_early(base, parts).repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(_seen), SEEN), f"{folder}/first")
+    members = first.where("kind = 0").select("doc_id", "n", "c1", "c2")
+    reps = members.where("n > 0 and doc_id is not null").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
+    seen = first.where("kind > 0").groupBy(F.col("c1").alias("c")).agg((F.coalesce(F.sum(F.expr("if(kind = 1, n, 0)")), F.lit(0)) + F.coalesce(F.max(F.expr("if(kind = 2, n, 0)")), F.lit(0))).alias("seen"))
+    # The first j that two sets share are seen in both, where j is the less of the two sets' shares: (EARLY - 100 + PERCENT) per cent of T at least.
+    enough = F.ceil((EARLY - 100 + PERCENT) * F.ceil(PERCENT * F.col("n") / 100) / 100)
+    reps = staged(reps.join(seen, reps.c1 == seen.c, "left").select("c1", "c2", "n", "rep", (F.col("seen") >= enough).alias("able")), f"{folder}/reps")
+
+    left = reps.where("able").groupBy(F.col("c1").alias("c")).agg(F.min("rep").alias("doc_id"))
+    sets = staged(_whole_sets(base, left), f"{folder}/left")
+    common = spark.sparkContext.broadcast(common_shingles(sets))
+    counted = _dealt(sets, common, parts).repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(_count), COUNTED)
+    lean = staged(counted.repartition(n, "c").sortWithinPartitions("c", "df", "token").mapInArrow(tidy(_lean), LEAN), f"{folder}/lean")
+    links = _links(lean, f"{folder}/search")
+    # Rows of one id are one node, also where their texts differ.
+    several = members.where("n > 0").groupBy("doc_id").agg(F.min("c1").alias("b"), F.max("c1").alias("most")).where("doc_id is not null and b <> most").select("doc_id", "b")
+    several = staged(members.where("n > 0").join(several, "doc_id").where("c1 <> b").select(F.col("c1").alias("a"), "b").distinct(), f"{folder}/several")
+    roots = components(links.unionByName(several), f"{folder}/components")
+    named = roots.join(reps.groupBy(F.col("c1").alias("node")).agg(F.min("rep").alias("rep")), "node")
+    least = named.groupBy("root").agg(F.min("rep").alias("component"))
+    classes = reps.join(named.join(least, "root").select(F.col("node").alias("c1"), "component"), "c1", "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("component"))
+    classes = staged(classes, f"{folder}/classes")
+    for name in ("reps", "left", "lean", "search", "several", "components"):
+        discard(spark, f"{folder}/{name}")
     return members.join(classes, ["c1", "c2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -115,13 +115,12 @@ def near_rows(seed, groups=14, size=7):
     return rows
 
 
-@pytest.mark.parametrize("long_lists", [False, True])
-def test_jaccard_equals_all_pairs(spark, monkeypatch, long_lists):
-    if long_lists:  # lists of any length go through rounds of pivots, units are small
-        monkeypatch.setattr(jaccard_join, "LIST", 2)
-        monkeypatch.setattr(jaccard_join, "FREQUENT", 3)
-        monkeypatch.setattr(jaccard_join, "UNIT", 3)
-    rows = near_rows(5 + long_lists)
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_equals_all_pairs(spark, monkeypatch, small):
+    if small:  # groups take many blocks, tasks emit often, many shingles are common
+        for name, value in {"UNIT": 30, "_HOLD": 50, "LOCAL": 1, "COMMON": 3}.items():
+            monkeypatch.setattr(jaccard_join, name, value)
+    rows = near_rows(5 + small)
     got = jaccard_join.near_classes(spark.createDataFrame(rows, DOCS))
     want = plain.components(rows)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == {(i, len(plain.shingles(t)), want[i]) for i, t in rows}
@@ -142,7 +141,7 @@ def test_jaccard_ends_when_every_long_list_is_closed(spark):
 
 
 def test_jaccard_sets_of_all_sizes_meet(spark, monkeypatch):
-    """A group that straddles SMALL: 14 sets of 62 shingles and two of 65 that share 56."""
+    """A group of sets of several sizes: 14 sets of 62 shingles and two of 65 that share 56."""
     monkeypatch.setattr(jaccard_join, "n_shuffle", lambda _: 97)  # with few partitions they may meet by chance
     words = [f"w{k}" for k in range(60)]
     rows = [(k + 1, " ".join([*words, *(f"own{k}-{j}" for j in range(6 if k < 14 else 9))])) for k in range(16)]
@@ -150,6 +149,26 @@ def test_jaccard_sets_of_all_sizes_meet(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == plain.components(rows)
 
 
+@pytest.mark.parametrize("unit", [300, 2_000_000])
+def test_jaccard_large_group_of_many_components(spark, monkeypatch, unit):
+    """Near copies of one text that lie too far apart to link all, in blocks or in one; and an id with two texts."""
+    monkeypatch.setattr(jaccard_join, "UNIT", unit)
+    rnd = random.Random(unit)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(rnd.randrange(7)):
+            w[rnd.randrange(60)] = f"own{rnd.randrange(30)}"
+        rows.append((k, " ".join(w)))
+    got = jaccard_join.near_classes(spark.createDataFrame(rows, DOCS))
+    want = plain.components(rows)
+    assert len(set(want.values())) > 3
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    two = [(5, "a b c d e f g"), (7, "a b c d e f g"), (7, "h i j k l m n"), (6, "h i j k l m n")]
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.near_classes(spark.createDataFrame(two, DOCS)).collect()} == {(5, 5), (7, 5), (6, 5)}
+
+
 def test_jaccard_null_ids_and_empty_table(spark, nothing):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "lonely"), (2, "A b c d e f")]
     assert rows_of(jaccard_join.near_classes(spark.createDataFrame(rows, DOCS)), "doc_id", "component_id") == sorted([(None, 2), (4, 2), (None, None), (2, 2)], key=repr)
