@@ -45,7 +45,6 @@ LOCAL, COMMON = 8, 1024  # classes of one task, and of all, that make a shingle
 MAX_COMMON = 1_000_000  # common shingles that are broadcast, at most
 MAX_BROADCAST = 1_000_000  # rows of (class, document) that are broadcast, at most; beyond, texts are joined by shuffle
 _HOLD = 3_000_000  # shingles a task keeps before it emits them
-_LAST = 2**31 - 1  # stands for the count of a common shingle
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,13 +208,13 @@ def common_shingles(sets: DataFrame) -> np.ndarray:
     return np.sort(sums.where(F.col("n") >= max(COMMON, total // 8 // MAX_COMMON)).select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
 
-#: One posting a row, or (df < 0) the size of a class's set.
-POSTING = "part int, token long, c long, df int, tokens binary, classes binary"
-COUNTED = "token long, c long, df int"
+#: Packed postings, or (df < 0) the size of a class's set and its common shingles.
+POSTING = "part int, c long, df int, tokens binary, classes binary"
+COUNTED = "token long, c long, df int, common binary"
 
 
 def _dealt(sets: DataFrame, common, parts: int) -> DataFrame:
-    """Packed postings of whole sets; common shingles and sizes of sets as rows of their own."""
+    """Packed postings of whole sets; a row for each class has its size and its common shingles."""
 
     def run(batches):
         tokens, classes, held = [], [], 0
@@ -229,10 +228,10 @@ def _dealt(sets: DataFrame, common, parts: int) -> DataFrame:
             raw = b.column("tokens").to_pylist()
             n = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
             token, own = np.frombuffer(b"".join(raw), np.uint64), np.repeat(c, n)
-            yield _batch(POSTING, part=(c % parts).astype(np.int32), token=np.zeros(len(c), np.int64), c=c, df=-n)
             at = np.minimum(np.searchsorted(common.value, token), max(len(common.value) - 1, 0))
             is_common = common.value[at] == token if len(common.value) else np.zeros(len(token), bool)
-            yield _batch(POSTING, part=(own[is_common] % parts).astype(np.int32), token=signed(token[is_common]), c=own[is_common], df=np.full(int(is_common.sum()), _LAST))
+            cuts = np.concatenate([[0], np.cumsum(is_common)])[np.cumsum(n)]
+            yield _batch(POSTING, part=(c % parts).astype(np.int32), c=c, df=-n, tokens=[x.tobytes() for x in np.split(token[is_common], cuts[:-1])] if len(c) else [])
             tokens.append(token[~is_common])
             classes.append(own[~is_common])
             held += len(tokens[-1])
@@ -246,10 +245,11 @@ def _dealt(sets: DataFrame, common, parts: int) -> DataFrame:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of shingles that two classes or more have, with how many; sizes pass."""
+    """Postings of shingles that two classes or more have, with how many; rows of classes pass."""
     for b in whole_groups(batches, ["part"]):
-        yield b.filter(b.column("df").is_valid()).select(["token", "c", "df"])
-        token, c = _unpacked(b)
+        own = b.filter(b.column("df").is_valid())
+        yield _batch(COUNTED, token=np.zeros(len(own), np.int64), c=own.column("c"), df=own.column("df"), common=own.column("tokens"))
+        token, c = _unpacked(b.filter(b.column("df").is_null()))
         df = _run_sizes(token)
         yield _batch(COUNTED, token=signed(token[df > 1]), c=c[df > 1], df=df[df > 1])
 
@@ -258,16 +258,18 @@ LEAN = "c long, n int, tokens binary"
 
 
 def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (c, df, token): the shared shingles of each class that has enough of them, in that order."""
+    """From postings sorted by (c, df, token): the shared shingles of each class that has enough of them, in that order, common ones last."""
     for b in whole_groups(batches, ["c"]):
         c, df, token = (b.column(f).to_numpy() for f in ("c", "df", "token"))
         new = np.ones(len(c), bool)  # a row that the table repeats counts once
         new[1:] = (c[1:] != c[:-1]) | (df[1:] != df[:-1]) | (token[1:] != token[:-1])
         c, df, token = c[new], df[new], token[new]
         first = np.flatnonzero(df < 0)
+        common = b.column("common").filter(pa.array(new)).take(pa.array(first)).to_pylist()
         n, ends = -df[first].astype(np.int64), np.append(first[1:], len(c))
-        own = np.flatnonzero(ends - first - 1 >= needed(n))
-        yield _batch(LEAN, c=c[first[own]], n=n[own], tokens=[token[first[k] + 1 : ends[k]].tobytes() for k in own])
+        have = ends - first - 1 + np.fromiter((len(x) // 8 for x in common), np.int64, len(common))
+        own = np.flatnonzero(have >= needed(n))
+        yield _batch(LEAN, c=c[first[own]], n=n[own], tokens=[token[first[k] + 1 : ends[k]].tobytes() + common[k] for k in own])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
