@@ -6,17 +6,18 @@ become rows of (word, position, id), one for each byte. The recursive query pair
 joins them with the merge table, and contracts each word's leftmost pair of the lowest rank, until no pair
 of the word is in the table. Ids are decoded by an ordered aggregation of their bytes.
 
-Words repeat, so their ids and decoded bytes are kept by word, at most ``MAX_WORDS`` at a time in a worker;
-beyond, the store starts anew, which changes no result. Words longer than ``LONG_WORD`` (runs of one character
-class) follow the same rule from a heap of ranked pairs, as one query step for each contraction would not end.
+A word is cut first between two bytes that no token holds side by side, as nothing can merge across. A query
+takes ``STEPS`` steps at most; words that need more go on in the next one, so what a query holds is bounded.
+Words repeat, so their ids and decoded bytes are kept by word, up to ``MAX_BYTES`` of words in a worker;
+beyond, the store starts anew, which changes no result.
 
-Defined results: a null text is empty; an empty text has no ids and decodes to nothing; rows and ids may repeat.
+Defined results: a null text is empty; an empty text has no ids and decodes to nothing; rows and ids may repeat and are
+coded each; an empty table gives an empty result; other columns are not looked at. Long texts and words are taken whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from functools import cache
 
 import numpy as np
@@ -24,34 +25,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_WORDS = 400_000
-BATCH_WORDS = 50_000
-STEP_ROWS = 32 << 20  # rows of all steps of one query, about
+from .common import tidy
+
+MAX_BYTES = 1_200_000  # bytes of the words that a worker keeps
+BATCH_BYTES = 400_000  # bytes of the words of a query, about
+STEPS = 24
 POS_BITS = 32  # positions within a word
-LONG_WORD = 2048  # bytes; longer words are contracted pair by pair from a heap, as steps times rows would grow with the square
 
-#: Rows stay in the order of (word, position): DuckDB keeps the order of what it scans, and one thread runs here.
+#: One step takes the lowest rank of each word. Where no pair with the new id ranks lower (``safe``), the next leftmost pair is
+#: the next one of this rank, so all of them are contracted at once, every second one where they overlap; else the leftmost alone.
 ENCODE = f"""
-with recursive s(k, id, done) as (
-  select k, id, false from word_bytes
+with recursive s(k, id, done, step) as (
+  select k, id, false, 0 from word_bytes
   union all
   select * from (
-    with a as (select k, id, lead(k) over () as nk, lead(id) over () as nid from s where not done),
+    with a as (
+      select k, id, step, row_number() over (order by k) as n, lead(k) over (order by k) as nk, lead(id) over (order by k) as nid from s where not done and step < {STEPS}
+    ),
     pairs as materialized (
-      select a.k, a.id, m.id as merged
+      select a.k, a.id, a.step, a.n, m.id as merged, m.safe
       from a left join merges m on m.pair = case when a.nk >> {POS_BITS} = a.k >> {POS_BITS} then a.id::bigint * 1048576 + a.nid end
     ),
     best as (
       select k >> {POS_BITS} as w, min((merged::bigint << {POS_BITS}) | (k & {2**POS_BITS - 1})) as b
       from pairs where merged is not null group by 1
     ),
-    z as (select p.k, p.id, best.b, lag(p.k) over () as pk from pairs p left join best on best.w = p.k >> {POS_BITS})
-    select k, case when b is not null and (k & {2**POS_BITS - 1}) = (b & {2**POS_BITS - 1}) then (b >> {POS_BITS})::int else id end, b is null
-    from z
-    where b is null or pk is null or not (pk >> {POS_BITS} = k >> {POS_BITS} and (pk & {2**POS_BITS - 1}) = (b & {2**POS_BITS - 1}))
+    hits as (
+      select p.k, p.id, p.step, p.n, p.merged, best.b, coalesce(p.merged = best.b >> {POS_BITS} and (p.safe or p.k & {2**POS_BITS - 1} = best.b & {2**POS_BITS - 1}), false) as hit
+      from pairs p left join best on best.w = p.k >> {POS_BITS}
+    ),
+    runs as (select *, lag(hit, 1, false) over (order by k) as before from hits),
+    firsts as (select *, max(case when hit and not before then n end) over (order by k rows unbounded preceding) as first from runs),
+    taken as (select *, hit and (n - first) % 2 = 0 as take from firsts),
+    gone as (select *, lag(take, 1, false) over (order by k) as gone from taken)
+    select k, case when take then merged else id end, b is null, step + 1 from gone where not gone
   )
 )
-select k >> {POS_BITS} as w, id, k & {2**POS_BITS - 1} as p from s where done order by k
+select k >> {POS_BITS} as w, id, k & {2**POS_BITS - 1} as p, done from s where done or step = {STEPS} order by k
 """
 
 DECODE = """
@@ -74,53 +84,49 @@ class Codec:
         import duckdb
 
         ranks = load_ranks(path)
-        pairs = [(a * 1048576 + b, r) for tok, r in ranks.items() for k in range(1, len(tok)) if (a := ranks.get(tok[:k])) is not None and (b := ranks.get(tok[k:])) is not None]
+        pairs = [(a, b, r) for tok, r in ranks.items() for k in range(1, len(tok)) if (a := ranks.get(tok[:k])) is not None and (b := ranks.get(tok[k:])) is not None]
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "id": pa.array([r for _, r in pairs], pa.int32())})
+        left, right, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        unsafe = np.concatenate([left[merged < left], right[merged < right]])
+        beside = np.zeros(1 << 16, bool)  # byte pairs that some token holds
+        for tok in ranks:
+            beside[[a << 8 | b for a, b in zip(tok, tok[1:], strict=False)]] = True
+        self.beside = beside
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        merges = pa.table({"pair": left * 1048576 + right, "id": pa.array(merged, pa.int32()), "safe": ~np.isin(merged, unsafe)})
         vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
         self.db.register("m", merges)
         self.db.register("v", vocab)
         self.db.execute("create table merges as select * from m")
         self.db.execute("create table vocab as select * from v")
-        self.merges = dict(pairs)
         self.words: dict[str, tuple[bytes, bytes]] = {}
-
-    def encode_long(self, word: bytes) -> np.ndarray:
-        """The ids of one long word: the leftmost pair of the lowest rank first, from a heap."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda k: self.merges.get(ids[k] * 1048576 + ids[after[k]]) if after[k] < n else None
-        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := rank(k)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, k, left, right = heapq.heappop(heap)
-            if ids[k] != left or after[k] >= n or ids[after[k]] != right:
-                continue
-            gone = after[k]
-            ids[k], ids[gone], after[k] = r, -1, after[gone]
-            if after[k] < n:
-                before[after[k]] = k
-            for j in (before[k], k):
-                if j >= 0 and (x := rank(j)) is not None:
-                    heapq.heappush(heap, (x, j, ids[j], ids[after[j]]))
-        return np.array([i for i in ids if i >= 0], np.int32)
+        self.kept = 0
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        total = int(lens.sum())
-        if not total:
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        if not len(raw):
             return [np.zeros(0, np.int32) for _ in words]
-        w = np.repeat(np.arange(len(words), dtype=np.int64), lens)
-        pos = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
-        rows = pa.table({"k": (w << POS_BITS) | pos, "id": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]})
-        self.db.register("word_bytes", rows)
-        got = self.db.sql(ENCODE).to_arrow_table()
-        self.db.unregister("word_bytes")
-        owner = got.column("w").to_numpy()
-        return np.split(got.column("id").to_numpy().astype(np.int32), np.searchsorted(owner, np.arange(1, len(words))))
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        own = np.repeat(np.arange(len(words)), lens)
+        cut = np.ones(len(raw), bool)  # where a part that merges by itself starts
+        cut[1:] = (own[1:] != own[:-1]) | ~self.beside[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        part = np.cumsum(cut) - 1
+        first = np.flatnonzero(cut)
+        rows = pa.table({"k": (part << POS_BITS) | (np.arange(len(raw)) - first[part]), "id": self.byte_ids[raw]})
+        at, ids = [], []
+        while len(rows):
+            self.db.register("word_bytes", rows)
+            got = self.db.sql(ENCODE).to_arrow_table()
+            self.db.unregister("word_bytes")
+            w, i, p, done = (got.column(f).to_numpy() for f in ("w", "id", "p", "done"))
+            at.append((w[done].astype(np.int64) << POS_BITS) | p[done])
+            ids.append(i[done])
+            rows = pa.table({"k": (w[~done].astype(np.int64) << POS_BITS) | p[~done], "id": pa.array(i[~done], pa.int32())})
+        at, ids = np.concatenate(at), np.concatenate(ids).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        owner = own[first][at[order] >> POS_BITS]
+        return np.split(ids[order], np.searchsorted(owner, np.arange(1, len(words))))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -137,24 +143,21 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Encode and decode the words not yet kept, in queries of bounded size."""
-        new = sorted((w for w in words if w not in self.words), key=len)
-        if len(self.words) + len(new) > MAX_WORDS:
+        if self.kept > MAX_BYTES:
             self.words.clear()
-            new = sorted(set(words), key=len)
+            self.kept = 0
+        new = [w for w in words if w not in self.words]
         at = 0
         while at < len(new):
-            end, size = at, 0
-            while end < len(new) and end - at < BATCH_WORDS and (size == 0 or size + len(new[end]) ** 2 < STEP_ROWS):
-                size += len(new[end]) ** 2
-                end += 1
-            part = new[at:end]
-            if len(part[0]) >= LONG_WORD // 4:
-                part, end = part[:1], at + 1
-            raw = [w.encode() for w in part]
-            ids = self.encode(raw) if len(raw[0]) <= LONG_WORD or len(part) > 1 else [self.encode_long(raw[0])]
-            for word, i, raw in zip(part, ids, self.decode(ids), strict=True):
+            part, size = [], 0
+            while at < len(new) and (not part or size + len(new[at]) <= BATCH_BYTES):
+                part.append(new[at].encode())
+                size += len(part[-1])
+                at += 1
+            self.kept += size
+            ids = self.encode(part)
+            for word, i, raw in zip(new[at - len(part) : at], ids, self.decode(ids), strict=True):
                 self.words[word] = (i.astype("<u4").tobytes(), raw)
-            at = end
 
 
 @cache
@@ -205,4 +208,4 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str =
                     names += ["token_ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return base.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return base.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

@@ -6,12 +6,15 @@ filter looks up every q-gram of a document in an index of the benchmark, counts
 bands of 2(k+1) diagonals (any k+1 neighbouring diagonals lie within one), keeps the bands that reach the
 bound, and verifies each by an alignment of the benchmark text within the band. k is a tenth of the text.
 
-Texts are compared lower-cased with runs of blanks as one space. Benchmark texts of over ``PIECE`` characters are cut into
-overlapping pieces, each looked for by itself. The benchmark is a stated query set: it is taken in blocks of about ``BLOCK_CHARS`` characters, each
+Texts are compared lower-cased with runs of blanks as one space. A benchmark text is looked for by its windows of ``window``
+characters, one at every eighth of a window and one at its end, so a passage of it of nine eighths of a window is found wherever it lies; a text no
+longer than a window is one window, that is, looked for whole. In windows of fewer than 40 characters or so, k is less than a tenth, so
+that the bound stays above zero. The benchmark is a stated query set: it is taken in blocks of about ``BLOCK_CHARS`` characters, each
 broadcast, against all documents.
 
-Defined results: null or empty texts match nothing; benchmark texts of fewer than q characters are not looked for;
-repeated rows and ids are judged each; an empty benchmark keeps all.
+Defined results: null or empty texts, of documents or of the benchmark, match nothing; benchmark texts of fewer than q characters are not
+looked for; repeated rows and ids are judged each; an empty benchmark keeps all, an empty table gives none; other columns pass
+(``drop_leaked``) or are not looked at (``find_leaks``). Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, tidy
 
 Q = 8
-PIECE = 512
+WINDOW = 512
 BLOCK_CHARS = 4_000_000
 _BITS = 22
-_CHARS = 1 << 21  # characters of documents looked at together
+_CHARS = 1 << 18  # characters of documents looked at together
+_HITS = 1 << 20  # shared q-grams counted together
+_CELLS = 1 << 21  # characters aligned together
 
 
 def normal(text: str | None) -> str:
@@ -51,16 +56,16 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 class Index:
     """The q-grams of a block of benchmark texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, window: int = WINDOW):
         self.ids: list[int] = []
         codes = []
         for item, text in items:
             text = normal(text)
-            cuts = [text] if len(text) <= PIECE else [text[a : a + PIECE] for a in range(0, len(text) - PIECE // 2, PIECE // 2)]
-            for cut in cuts:
-                if len(cut) >= Q:
+            last = max(len(text) - window, 0)
+            for at in sorted({*range(0, last, max(window // 8, 1)), last}):
+                if len(text) >= Q:
                     self.ids.append(item)
-                    codes.append(_codes(cut))
+                    codes.append(_codes(text[at : at + window]))
         self.m = np.array([len(c) for c in codes], np.int64)
         self.k = np.minimum((rate * self.m).astype(np.int64), (self.m - Q) // Q)
         self.need = self.m + 1 - Q * (self.k + 1)
@@ -97,21 +102,31 @@ class Index:
         where, g = where[same], g[same]
         if not len(where):
             return []
-        n = self.count[g]
-        hit = np.repeat(self.first[g] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        place, item = np.repeat(where, n), self.item[hit]
-        width = self.k[item] + 1
-        band = (place - self.pos[hit]) // width
-        owner = np.searchsorted(starts, place, "right") - 1
         top = len(doc) + 2
-        key = (owner * len(self.codes) + item) * top + band + 1
-        keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n, lo = np.cumsum(self.count[g]), 0
+        while lo < len(where):
+            hi = max(lo + 1, int(np.searchsorted(n, (n[lo - 1] if lo else 0) + _HITS, "right")))
+            size = self.count[g[lo:hi]]
+            hit = np.repeat(self.first[g[lo:hi]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            place, item = np.repeat(where[lo:hi], size), self.item[hit]
+            band = (place - self.pos[hit]) // (self.k[item] + 1)
+            key = ((np.searchsorted(starts, place, "right") - 1) * len(self.codes) + item) * top + band + 1
+            keys, at = np.unique(np.concatenate([keys, key, key - 1]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, np.ones(2 * len(key), np.int64)]), len(keys)).astype(np.int64)
+            lo = hi
         item = keys // top % len(self.codes)
         good = counts >= self.need[item]
         keys, item = keys[good], item[good]
         found: dict[tuple[int, int], int] = {}
-        for lo in range(0, len(keys), 512):
-            part, own = keys[lo : lo + 512], item[lo : lo + 512]
+        order = np.argsort(self.m[item], kind="stable")  # texts of like length are aligned together
+        keys, item = keys[order], item[order]
+        lo = 0
+        while lo < len(keys):
+            room = self.m[item[lo:]] + 4 * self.k[item[lo:]] + 3
+            hi = lo + max(1, int(np.searchsorted(room[:512] * np.arange(1, len(room[:512]) + 1), _CELLS, "right")))
+            part, own = keys[lo:hi], item[lo:hi]
+            lo = hi
             edits = self._align(doc, own, (part % top - 1) * (self.k[own] + 1) - self.k[own])
             for o, i, e in zip(part // top // len(self.codes), own, edits, strict=True):
                 if e <= self.k[i]:
@@ -159,7 +174,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, rate: float):
             yield docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits) of every document row that holds a benchmark text."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -167,34 +182,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col:
     for shared in _blocks(docs, benchmark, rate):
 
         def run(batches, shared=shared):
-            index = Index(shared.value, rate)
+            index = Index(shared.value, rate, window)
             for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
                     texts = [normal(t) for t in part.column("text").to_pylist()]
                     for first, some in _runs(texts):
                         hits = index.find(some)
                         rows = pa.array([first + o for o, _, _ in hits], pa.int64())
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(rows), pa.array([i for _, i, _ in hits], pa.int64()), pa.array([e for _, _, e in hits], pa.int32())], ["doc_id", "item_id", "edits"])
 
-        found = base.mapInArrow(run, f"doc_id {kind}, item_id long, edits int")
+        found = base.mapInArrow(tidy(run), f"doc_id {kind}, item_id long, edits int")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, edits int")
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text_col: str = "text") -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark text."""
     for shared in _blocks(docs, benchmark, rate):
 
         def run(batches, shared=shared):
-            index = Index(shared.value, rate)
+            index = Index(shared.value, rate, window)
             for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
                     keep = np.ones(part.num_rows, bool)
                     for first, some in _runs([normal(t) for t in part.column(text_col).to_pylist()]):
                         keep[[first + o for o, _, _ in index.find(some)]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, word_hashes
+from .common import mix, pieces, tidy, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_stops"]
@@ -82,7 +82,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 got = _stats(texts)
                 yield pa.RecordBatch.from_arrays([b.column(f.name).slice(first, len(texts)) for f in kept] + [pa.array(got[s].astype(np.int64)) for s in STATS], [f.name for f in kept] + STATS)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def base_failed() -> Column:

@@ -86,10 +86,16 @@ def test_bpe_every_code_point_block(spark):
     assert {r.doc_id: r.token_ids for r in got.collect()} == {i: enc.encode_ordinary(t) for i, t in rows}
 
 
-def test_bpe_long_words_follow_the_same_rule():
-    codec = byte_bpe.codec(VOCAB)
-    for word in (b"ab" * 300, "é".encode() * 500, b"=" * 900, b"thethethat" * 90):
-        assert codec.encode_long(word).tolist() == codec.encode([word])[0].tolist()
+def test_bpe_long_and_random_words(monkeypatch):
+    """Words of any length take the same query, also where it ends before they do."""
+    codec, enc, rnd = byte_bpe.codec(VOCAB), own_encoding(), random.Random(3)
+    words = [b"ab" * 5000, "é".encode() * 3000, b"=" * 9000, b"thethethat" * 900, b"x" * 30_000, b" " * 4001]
+    words += ["".join(rnd.choice("aeiothns") for _ in range(rnd.randrange(1, 90))).encode() for _ in range(300)]
+    words += ["".join(rnd.choice("ab=é日") for _ in range(rnd.randrange(1, 30))).encode() for _ in range(300)]
+    want = [enc._core_bpe.encode_single_piece(w) for w in words]
+    assert [x.tolist() for x in codec.encode(words)] == want
+    monkeypatch.setattr(byte_bpe, "ENCODE", byte_bpe.ENCODE.replace(f"step < {byte_bpe.STEPS}", "step < 2").replace(f"step = {byte_bpe.STEPS}", "step = 2"))
+    assert [x.tolist() for x in codec.encode(words)] == want
 
 
 def test_bpe_empty_table(nothing):
