@@ -8,8 +8,8 @@ of the word is in the table. Ids are decoded by an ordered aggregation of their
 
 A word is cut first between two bytes that no token holds side by side, as nothing can merge across. A query
 takes ``STEPS`` steps at most; words that need more go on in the next one, so what a query holds is bounded.
-Words repeat, so their ids and decoded bytes are kept by word, up to ``MAX_BYTES`` of words in a worker;
-beyond, the store starts anew, which changes no result.
+Words repeat, so their ids and decoded bytes are kept by word. When a worker has ``MAX_BYTES`` of words, it starts a new store and
+drops the one before the last; words that are used again move to the new one. This changes no result.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to nothing; rows and ids may repeat and are
 coded each; an empty table gives an empty result; other columns are not looked at. Long texts and words are taken whole.
@@ -39,26 +39,27 @@ with recursive s(k, id, done, step) as (
   select k, id, false, 0 from word_bytes
   union all
   select * from (
-    with a as (
-      select k, id, step, row_number() over (order by k) as n, lead(k) over (order by k) as nk, lead(id) over (order by k) as nid from s where not done and step < {STEPS}
-    ),
+    with a as (select k, id, step, lead(k) over (order by k) as nk, lead(id) over (order by k) as nid from s where not done and step < {STEPS}),
     pairs as materialized (
-      select a.k, a.id, a.step, a.n, m.id as merged, m.safe
+      select a.k, a.id, a.step, a.nk, m.id as merged, m.safe
       from a left join merges m on m.pair = case when a.nk >> {POS_BITS} = a.k >> {POS_BITS} then a.id::bigint * 1048576 + a.nid end
     ),
-    best as (
+    best as materialized (
       select k >> {POS_BITS} as w, min((merged::bigint << {POS_BITS}) | (k & {2**POS_BITS - 1})) as b
       from pairs where merged is not null group by 1
     ),
     hits as (
-      select p.k, p.id, p.step, p.n, p.merged, best.b, coalesce(p.merged = best.b >> {POS_BITS} and (p.safe or p.k & {2**POS_BITS - 1} = best.b & {2**POS_BITS - 1}), false) as hit
-      from pairs p left join best on best.w = p.k >> {POS_BITS}
+      select k, nk, merged, row_number() over (order by k) as n, lag(nk) over (order by k) as before
+      from pairs join best on best.w = k >> {POS_BITS}
+      where merged = b >> {POS_BITS} and (safe or k & {2**POS_BITS - 1} = b & {2**POS_BITS - 1})
     ),
-    runs as (select *, lag(hit, 1, false) over (order by k) as before from hits),
-    firsts as (select *, max(case when hit and not before then n end) over (order by k rows unbounded preceding) as first from runs),
-    taken as (select *, hit and (n - first) % 2 = 0 as take from firsts),
-    gone as (select *, lag(take, 1, false) over (order by k) as gone from taken)
-    select k, case when take then merged else id end, b is null, step + 1 from gone where not gone
+    runs as (select *, max(case when before is distinct from k then n end) over (order by k rows unbounded preceding) as first from hits),
+    acts as materialized (
+      select unnest([k, nk]) as k, unnest([merged, -1]) as id from runs where (n - first) % 2 = 0
+    )
+    select p.k, coalesce(t.id, p.id), best.w is null, p.step + 1
+    from pairs p left join acts t on t.k = p.k left join best on best.w = p.k >> {POS_BITS}
+    where t.id is distinct from -1
   )
 )
 select k >> {POS_BITS} as w, id, k & {2**POS_BITS - 1} as p, done from s where done or step = {STEPS} order by k
@@ -99,7 +100,8 @@ class Codec:
         self.db.register("v", vocab)
         self.db.execute("create table merges as select * from m")
         self.db.execute("create table vocab as select * from v")
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, bytes | None]] = {}  # ids, and what they decode to where that is not the word
+        self.before: dict[str, tuple[bytes, bytes | None]] = {}
         self.kept = 0
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
@@ -144,9 +146,16 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Encode and decode the words not yet kept, in queries of bounded size."""
         if self.kept > MAX_BYTES:
-            self.words.clear()
-            self.kept = 0
-        new = [w for w in words if w not in self.words]
+            self.before, self.words, self.kept = self.words, {}, 0
+        new = []
+        for w in words:
+            if w not in self.words:
+                known = self.before.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    self.words[w] = known
+                    self.kept += len(w)
         at = 0
         while at < len(new):
             part, size = [], 0
@@ -156,8 +165,13 @@ class Codec:
                 at += 1
             self.kept += size
             ids = self.encode(part)
-            for word, i, raw in zip(new[at - len(part) : at], ids, self.decode(ids), strict=True):
-                self.words[word] = (i.astype("<u4").tobytes(), raw)
+            for word, own, i, raw in zip(new[at - len(part) : at], part, ids, self.decode(ids), strict=True):
+                self.words[word] = i.astype("<u4").tobytes(), (None if raw == own else raw)
+
+    def coded(self, word: str) -> tuple[bytes, bytes]:
+        """The ids of a learned word and the bytes they decode to."""
+        ids, raw = self.words[word]
+        return ids, word.encode() if raw is None else raw
 
 
 @cache
@@ -189,7 +203,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str =
                 ids = np.empty(len(dictionary), object)
                 raw = np.empty(len(dictionary), object)
                 for k, w in enumerate(dictionary):
-                    ids[k], raw[k] = own.words[w]
+                    ids[k], raw[k] = own.coded(w)
                 at = flat.indices.to_numpy()
                 ids, raw = ids[at], raw[at]
                 ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
