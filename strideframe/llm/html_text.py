@@ -1,23 +1,28 @@
 """Layout-aware text of HTML pages.
 
 A tree builder reads the tags, closes what HTML lets authors leave open (paragraphs, list items, table
-parts, options), opens the rows that cells lack, moves what stands between cells before the table and ignores stray end tags. The renderer walks the tree without recursion and emits all
-visible text: scripts, styles, heads, templates, comments and elements hidden by attribute or inline style are left out;
+parts, options), opens the rows that cells lack, moves what stands between cells before the table and ignores stray end tags. It
+reads forward once, also where tags or quotes never end. The renderer walks the tree without recursion and emits all visible text: scripts,
+styles, heads, templates, comments and elements hidden by attribute or inline style are left out (``visibility`` is inherited until a descendant sets it anew);
 blocks stand on lines of their own, paragraphs and the like between blank lines; list items get bullets or
 numbers and the indent of their depth; table cells are laid out in aligned columns; ``pre`` keeps its spaces.
 
-Defined results: null or empty HTML has an empty text; broken markup gives what its readable parts say.
+Defined results: null or empty HTML has an empty text; broken markup gives what its readable parts say; a tag that never ends is text. Long
+pages are taken whole; repeated rows give a row each; an empty table gives an empty one; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist".split())
@@ -46,12 +51,13 @@ PARENT = {**dict.fromkeys(_SECTION | {"caption", "colgroup", "col"}, frozenset({
 #: What an end tag does not reach past.
 SCOPE = {**{t: frozenset({"table"}) for t in ("td", "th", "tr", "tbody", "thead", "tfoot", "p", "li", "div", "span", "b", "i", "a", "em", "strong", "form")}, "li": frozenset({"ul", "ol", "table"})}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"[\t\n\x0b\x0c\r ]+")
 DECLARATION = re.compile(r"((?:[^;:\"'(]|\"[^\"]*\"|'[^']*'|\([^()]*\)|[\"'(])+):((?:[^;\"'(]|\"[^\"]*\"|'[^']*'|\([^()]*\)|[\"'(])*)")
 CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
-MAY_HIDE = re.compile(r"none|hidden|collapse", re.I)
+MAY_HIDE = re.compile(r"none|visibility", re.I)
 
 
 class Node:
@@ -61,20 +67,73 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class Stack(list):
+    """The open elements, and how many of each tag are open."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.open: Counter[str] = Counter()
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.open[node.tag] += 1
+
+    def cut(self, at: int) -> None:
+        for node in self[at:]:
+            self.open[node.tag] -= 1
+        del self[at:]
+
+
+class Ends:
+    """Where tags end: at the next ``>`` outside quotes. Stops from which no end was found are kept, so that all searches together are one pass."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.since, self.stop = 0, -1  # the stop next to any place between these two
+        self.failed: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """The place of the ``>``, or -1."""
+        path = []
+        while at <= self.last:
+            if not self.since <= at <= self.stop:
+                m = STOP.search(self.source, at)
+                self.since, self.stop = at, m.start()  # the last ``>`` at the latest
+            k = self.stop
+            if k in self.failed:
+                break
+            if self.source[k] == ">":
+                return k
+            path.append(k)
+            close = self.source.find(self.source[k], k + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.failed.update(path)
+        return -1
+
+
 def parse(source: str) -> Node:
     """The tree of a page: children are nodes or texts."""
     root = Node("#root", {})
-    stack, at, n = [root], 0, len(source)
+    stack, ends, at, n, held = Stack(root), Ends(source), 0, len(source), []
     while at < n:
-        m = TOKEN.search(source, at)
-        text = source[at : m.start() if m else n]
-        if text:
-            _put(stack, html.unescape(text))
+        m = MARKUP.search(source, at)
+        held.append(source[at : m.start() if m else n])
         if not m:
             break
         at = m.end()
+        if m[2] is not None:
+            end = ends.end(at)
+            if end < 0:  # text
+                held.append(m[0])
+                continue
+        if text := "".join(held):
+            _put(stack, html.unescape(text))
+        held = []
         if m[2] is None:
             continue
+        rest, at = source[at:end], end + 1
         tag = m[2].lower()
         if m[1]:
             _close(stack, frozenset({tag}), SCOPE.get(tag, frozenset()))
@@ -83,38 +142,46 @@ def parse(source: str) -> Node:
             _close(stack, *IMPLIED[tag])
         if tag in PARENT or tag == "table":
             _enter(stack, tag)
-        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in reversed(ATTR.findall(m[3]))} if m[3].strip() else {}
+        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in reversed(ATTR.findall(rest))} if rest.strip() else {}
         node = Node(tag, attrs)
         _put(stack, node)
-        empty = m[3].endswith("/") and (tag in ("svg", "math") or _foreign(stack))
+        empty = rest.endswith("/") and (tag in ("svg", "math") or _foreign(stack))
         if tag in UNSEEN and _foreign(stack):
             attrs["hidden"] = ""
         if tag in RAW and not empty:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-            body = source[at : end.start() if end else n]
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            body = source[at : close.start() if close else n]
             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
-            at = end.end() if end else n
+            at = close.end() if close else n
         elif tag not in VOID and not empty and not (tag == "colgroup" or (tag == "form" and stack[-1].tag in _INNER)):
-            stack.append(node)
+            stack.push(node)
+    if text := "".join(held):
+        _put(stack, html.unescape(text))
     return root
 
 
-def _foreign(stack: list[Node]) -> bool:
+def _foreign(stack: Stack) -> bool:
     """Whether the next tag is one of svg or math."""
+    if not (stack.open["svg"] or stack.open["math"]):
+        return False
     return next((n.tag in ("svg", "math") for n in reversed(stack) if n.tag in ("svg", "math") or n.tag in INTEGRATION), False)
 
 
-def _close(stack: list[Node], tags: frozenset[str], stop: frozenset[str]) -> None:
+def _close(stack: Stack, tags: frozenset[str], stop: frozenset[str]) -> None:
+    if not any(stack.open[t] for t in tags):
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in tags:
-            del stack[k:]
+            stack.cut(k)
             return
         if stack[k].tag in stop:
             return
 
 
-def _enter(stack: list[Node], tag: str) -> None:
+def _enter(stack: Stack, tag: str) -> None:
     """Make room for a tag of a table: close what it can't stand in, open the row that a cell lacks."""
+    if not any(stack.open[t] for t in _TABLE):
+        return
     at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in _TABLE), 0)
     if tag == "table":  # a table right inside another one ends it
         if stack[at].tag in _INNER:
@@ -128,14 +195,14 @@ def _enter(stack: list[Node], tag: str) -> None:
             return
     if not at:
         return
-    del stack[at + 1 :]
+    stack.cut(at + 1)
     if tag in _CELL and stack[at].tag != "tr":
         row = Node("tr", {})
         stack[at].children.append(row)
-        stack.append(row)
+        stack.push(row)
 
 
-def _put(stack: list[Node], item: Node | str) -> None:
+def _put(stack: Stack, item: Node | str) -> None:
     """Add a text or element; what can't stand between the cells of a table goes before the table."""
     to = stack[-1].children
     if stack[-1].tag in _INNER and (item.strip() if isinstance(item, str) else item.tag not in PARENT):
@@ -159,15 +226,20 @@ def declared(style: str) -> dict[str, str]:
     return {name: value for name, (_, value) in out.items()}
 
 
-def _invisible(style: str) -> bool:
-    if not MAY_HIDE.search(style):
-        return False
-    found = declared(style)
-    return found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse")
+def _style(node: Node) -> dict[str, str]:
+    style = node.attrs.get("style", "")
+    return declared(style) if MAY_HIDE.search(style) else {}
+
+
+def left_out(node: Node) -> bool:
+    """Whether the element and all in it is not rendered."""
+    return node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden") or _style(node).get("display") == "none"
 
 
-def visible(node: Node) -> bool:
-    return not (node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden") or _invisible(node.attrs.get("style", "")))
+def shows(node: Node, inherited: bool) -> bool:
+    """Whether the texts right inside a rendered element are visible."""
+    own = _style(node).get("visibility")
+    return inherited if own in (None, "inherit") else own not in ("hidden", "collapse")
 
 
 class Lines:
@@ -235,26 +307,26 @@ def _int(value: str | None, default: int) -> int:
     return int(value) if value and re.fullmatch(r"-?\d{1,6}", value.strip()) else default
 
 
-def _grid(table: Node) -> list[list[tuple[Node, int]]]:
-    """Rows of a table as (cell, columns it spans); cells that span rows leave blanks below them."""
-    rows, todo, found = [], [table], []
+def _grid(table: Node, shown: bool) -> list[list[tuple[Node | None, int, bool]]]:
+    """Rows of a table as (cell, columns it spans, whether it shows); cells that span rows leave blanks below them."""
+    rows, todo, found = [], [(table, shown)], []
     while todo:
-        node = todo.pop()
+        node, seen = todo.pop()
         for c in reversed(node.children):
-            if isinstance(c, Node) and visible(c) and c.tag in ("thead", "tbody", "tfoot", "tr"):
-                todo.append(c)
+            if isinstance(c, Node) and not left_out(c) and c.tag in ("thead", "tbody", "tfoot", "tr"):
+                todo.append((c, shows(c, seen)))
         if node.tag == "tr":
-            found.append(node)
+            found.append((node, seen))
     below: dict[int, int] = {}
-    for tr in found:
+    for tr, seen in found:
         row, at = [], 0
-        for cell in [c for c in tr.children if isinstance(c, Node) and c.tag in _CELL and visible(c)]:
+        for cell in [c for c in tr.children if isinstance(c, Node) and c.tag in _CELL and not left_out(c)]:
             while below.get(at, 0) > 0:
                 below[at] -= 1
-                row.append((None, 1))
+                row.append((None, 1, False))
                 at += 1
             span, deep = min(max(_int(cell.attrs.get("colspan"), 1), 1), 1000), min(max(_int(cell.attrs.get("rowspan"), 1), 1), 65534)
-            row.append((cell, span))
+            row.append((cell, span, shows(cell, seen)))
             for k in range(at, at + span):
                 below[k] = deep - 1
             at += span
@@ -287,10 +359,10 @@ def _layout(cells: list[list[tuple[list[str], int]]]) -> list[str]:
 def render(root: Node) -> str:
     """The visible text of a tree."""
     out = Lines()
-    frames: list[list] = [[iter(root.children), out, None, 0]]  # children left, where text goes, what to do at the end, pre depth
+    frames: list[list] = [[iter(root.children), out, None, 0, True]]  # children left, where text goes, what to do at the end, pre depth, visible
     counters: list[int | None] = []
     while frames:
-        children, to, end, pre = frames[-1]
+        children, to, end, pre, shown = frames[-1]
         child = next(children, None)
         if child is None:
             frames.pop()
@@ -298,17 +370,20 @@ def render(root: Node) -> str:
                 end()
             continue
         if isinstance(child, str):
-            (to.kept if pre else to.words)(child)
+            if shown:
+                (to.kept if pre else to.words)(child)
             continue
         tag = child.tag
-        if not visible(child):
+        if left_out(child):
             continue
+        shown = shows(child, shown)
         if tag == "br":
-            to.newline()
+            if shown:
+                to.newline()
         elif tag == "wbr":
             pass
         elif tag == "table":
-            _open_table(child, frames, to, pre)
+            _open_table(child, frames, to, pre, shown)
         elif tag in BLOCK:
             spaced = tag in SPACED and not (tag in ("ul", "ol") and counters)
             to.block(spaced)
@@ -334,35 +409,35 @@ def render(root: Node) -> str:
                 elif tag in ("ul", "ol", "menu"):
                     counters.pop()
 
-            frames.append([iter(child.children), to, close, pre + (tag == "pre")])
+            frames.append([iter(child.children), to, close, pre + (tag == "pre"), shown])
         elif tag == "text" and not pre:  # of svg: placed by itself
             to.words(" ")
-            frames.append([iter(child.children), to, lambda to=to: to.words(" "), pre])
-        elif tag == "q":
+            frames.append([iter(child.children), to, lambda to=to: to.words(" "), pre, shown])
+        elif tag == "q" and shown:
             to.words("“")
-            frames.append([iter(child.children), to, lambda to=to: to.words("”"), pre])
+            frames.append([iter(child.children), to, lambda to=to: to.words("”"), pre, shown])
         else:
-            frames.append([iter(child.children), to, None, pre + (tag in ("textarea", "xmp"))])
+            frames.append([iter(child.children), to, None, pre + (tag in ("textarea", "xmp")), shown])
     return out.text()
 
 
-def _open_table(table: Node, frames: list[list], to: Lines, pre: int) -> None:
+def _open_table(table: Node, frames: list[list], to: Lines, pre: int, shown: bool) -> None:
     """Lay out every cell by itself, then the rows; a caption and text outside cells come first."""
     to.block(True)
-    grid = _grid(table)
-    cells = [[(Lines(), span) for _, span in row] for row in grid]
+    grid = _grid(table, shown)
+    cells = [[(Lines(), span) for _, span, _ in row] for row in grid]
 
     def close():
         to.rows(_layout([[(sub.text().split("\n"), span) for sub, span in row] for row in cells]))
         to.block(True)
 
-    frames.append([iter(()), to, close, pre])
+    frames.append([iter(()), to, close, pre, shown])
     for row, subs in zip(reversed(grid), reversed(cells), strict=True):
-        for (cell, _), (sub, _) in zip(reversed(row), reversed(subs), strict=True):
+        for (cell, _, seen), (sub, _) in zip(reversed(row), reversed(subs), strict=True):
             if cell is not None:
-                frames.append([iter(cell.children), sub, None, pre])
+                frames.append([iter(cell.children), sub, None, pre, seen])
     loose = [c for c in table.children if (isinstance(c, str) and c.strip()) or (isinstance(c, Node) and c.tag not in ("thead", "tbody", "tfoot", "tr", "colgroup", "col"))]
-    frames.append([iter(loose), to, lambda: to.block(False), pre])
+    frames.append([iter(loose), to, lambda: to.block(False), pre, shown])
 
 
 def page_text(source: str | None) -> str:
@@ -382,4 +457,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text"
                 texts = pa.array([page_text(h.as_py()).encode("utf-8", "replace").decode() for h in part.column("__html")], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in rest] + [texts], [f.name for f in rest] + [out_col])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

@@ -1,8 +1,11 @@
 import base64
 import collections
 import hashlib
+import html.parser
 import math
 import random
+import re
+import time
 import zlib
 
 import duckdb
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strideframe.llm import byte_bpe, chat_format, common, decontaminate, jaccard_join, line_dedup, quality_rules, token_files, tree_score, url_rules
+from strideframe.llm import html_text
 from strideframe.llm.html_text import extract_text, page_text
 
 from . import plain
@@ -539,3 +543,70 @@ def test_oracles_run_on_duckdb(tmp_path):
     assert set(ORACLES) <= set(QUERIES)
     assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert duckdb.sql("select 1").fetchall() == [(1,)]
+
+
+# ---- HTML, against a second parser ----
+
+
+class Texts(html.parser.HTMLParser):
+    """All text outside hidden elements, by the standard library's parser and a plain stack."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag not in html_text.VOID:
+            self.stack.append((tag, tag in html_text.HIDDEN or "hidden" in attrs or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()))
+        if tag in html_text.BLOCK or tag in ("br", "td", "th"):
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+        if tag in html_text.BLOCK or tag in ("td", "th"):
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.stack):
+            self.out.append(data)
+
+
+def test_every_visible_word_of_the_pages_comes_out(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    marks = re.compile(r"-|\||[0-9]+\.")
+    texts = {r.page_id: r.text for r in extract_text(pages.select("page_id", "html")).collect()}
+    for r in pages.collect():
+        p = Texts()
+        p.feed(r.html or "")
+        p.close()
+        keep = lambda words: collections.Counter(w for w in words if not marks.fullmatch(w))
+        assert keep(plain.WORD.findall("".join(p.out))) == keep(plain.WORD.findall(texts[r.page_id])), r.page_id
+
+
+@pytest.mark.parametrize("source", ["<a " * 200_000, "<a '" * 200_001 + ">", '<a "<a" ' * 200_000 + '"', "<a " * 200_000 + "'>", "<div>" * 20_000 + "</span>" * 20_000, "<!--" * 200_000])
+def test_broken_pages_are_read_in_one_pass(source):
+    began = time.time()
+    html_text.page_text(source)
+    assert time.time() - began < 10
+
+
+def test_inherited_visibility():
+    assert html_text.page_text("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>") == "yes"
+    assert html_text.page_text("<table style='visibility:collapse'><tr><td>a</td><td style='visibility:visible'>b</td></tr></table>").split() == ["|", "b"]
+    assert html_text.page_text("<p style='display:none'>a<b style='visibility:visible'>b</b></p>c") == "c"
+
+
+# ---- the queries themselves ----
+
+
+@pytest.mark.parametrize("name, table, key", [("op1", "documents", "doc_id"), ("op2", "documents", "doc_id"), ("op5", "documents", "doc_id"), ("op8", "conversations", "conv_id"), ("op10", "documents", "doc_id")])
+def test_queries_return_a_row_for_each_key(spark, name, table, key):
+    from strideframe.llm import queries
+
+    query = next(f for n, f in queries.QUERIES.items() if n.startswith(name + "_"))
+    rows = [r[key] for r in query(spark, "/root/testdata/sf0.001").select(key).collect()]
+    want = {r[0] for r in spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").select(key).collect()}
+    assert len(rows) == len(set(rows)) and set(rows) - {-1} == want
