@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, n_shuffle, shared_dir, staged
+from .common import BLANKS, ascii_lower, discard, n_shuffle, shared_dir, staged
 
 KEY = ["h1", "h2"]
 
@@ -38,7 +38,7 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = []
         self.deltas: list[DataFrame] = []
         self.paths: dict[int, str] = {}
-        self.held: list[DataFrame] = []
+        self.held: list[DataFrame] = []  # run files are named by the identity of their frames, which so stay alive
 
     def _write(self, rows: DataFrame) -> DataFrame:
         """A run: one sorted file for each bucket."""
@@ -77,6 +77,13 @@ class LineRuns:
         """All rows of some runs, read as plain files (a union of bucketed scans would wrongly count as one bucketing)."""
         return self.spark.read.schema(runs[0].schema).parquet(*[self.paths[id(run)] for run in runs])
 
+    def drop(self) -> None:
+        """Forget all runs and delete their files."""
+        for path in self.paths.values():
+            self.spark.sql(f"drop table if exists {path.rsplit('/', 1)[1]}")
+            discard(self.spark, path)
+        self.levels, self.deltas, self.paths, self.held = [], [], {}, []
+
     def totals(self) -> DataFrame:
         """(h1, h2, n, last_doc) of every known line: runs hold a key once, deltas add to it."""
         return self._rows(self.runs() + self.deltas).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last_doc").alias("last_doc"))
@@ -105,6 +112,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
     for k in range(batches):
         index.add(occ.where(F.col("batch") == k).select(*KEY, "doc_id").distinct())
     often = staged(index.totals().where(F.col("n") >= min_docs), f"{root}/often")
+    index.drop()
 
     # At most 1000 lines can each hold a thousandth of the index; those are broadcast, so no task gets a hot line's rows.
     total = often.agg(F.sum("n")).first()[0] or 0

@@ -45,6 +45,7 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.largest = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -131,6 +132,9 @@ def write_tokens(docs: DataFrame, vocab_path: str, folder: str, length: int = 10
 
     ``wide`` stores ids as 32 bits; 16 do for vocabularies of up to 65,536.
     """
+    largest = max(encoder(vocab_path).largest, end_id)
+    if not wide and largest > 65535:
+        raise ValueError(f"id {largest} takes more than 16 bits: write with wide=True")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt = base.repartitionByRange(n_shuffle(docs.sparkSession), F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
 
