@@ -12,6 +12,12 @@ BODY = (
 ).split()
 J = {name: k for k, name in enumerate(BODY)}
 
+
+def body(points: DataFrame) -> DataFrame:
+    """The points of the body joints alone, without hands and face."""
+    return points.where(points["joint"] < len(BODY))
+
+
 # Segments of the 553-point and the 133-point layout as (first, end).
 SEGMENTS_553 = {"body": (0, 33), "right_hand": (33, 54), "left_hand": (54, 75), "face": (75, 553)}
 SEGMENTS_133 = {"body": (0, 17), "feet": (17, 23), "face": (23, 91), "left_hand": (91, 112), "right_hand": (112, 133)}
@@ -38,6 +44,7 @@ VIRTUAL = {
     "hips_center": {23: 0.5, 24: 0.5},
     "trunk_center": {11: 0.25, 12: 0.25, 23: 0.25, 24: 0.25},
 }
+# Foot markers, sides of the body and body regions as joint indices.
 FEET = {"left": (27, 29, 31), "right": (28, 30, 32)}
 SIDES = {"left": (11, 13, 15, 23, 25, 27), "right": (12, 14, 16, 24, 26, 28)}
 
@@ -46,8 +53,6 @@ COCO_TO_BODY = {0: 0, 1: 2, 2: 5, 3: 7, 4: 8, 5: 11, 6: 12, 7: 13, 8: 14, 9: 15,
 
 # Body regions and left-right siblings.
 REGIONS = {"head": range(11), "torso": (11, 12, 23, 24), "left_arm": (13, 15, 17, 19, 21), "right_arm": (14, 16, 18, 20, 22), "left_leg": (25, 27, 29, 31), "right_leg": (26, 28, 30, 32)}
-SIBLINGS = [(11, 12), (23, 24), (13, 14), (15, 16), (17, 18), (19, 20), (21, 22), (25, 26), (27, 28), (29, 30), (31, 32)]
-SYMMETRY = [(5, 6), (7, 8), (9, 10), (11, 12), (13, 14), (15, 16)]
 
 
 def bones(spark: SparkSession, pairs: list[tuple[int, int]]) -> DataFrame:

@@ -153,7 +153,7 @@ def retarget_uniform(points: DataFrame, target_height: float) -> DataFrame:
     """Each sequence scaled about its left hip, frame by frame, so that its height is ``target_height``."""
     scale = proportions(points).select("seq_id", F.when(F.col("height") > 1e-6, target_height / F.col("height")).otherwise(1.0).alias("scale"))
     hip = points.where("joint = 23").select("seq_id", "frame", *[F.col(c).alias(f"h{c}") for c in "xyz"])
-    out = points.join(hip, ["seq_id", "frame"], "left").join(F.broadcast(scale), "seq_id", "left")
+    out = points.join(hip, ["seq_id", "frame"], "left").join(scale, "seq_id", "left")
     return out.select("seq_id", "frame", "joint", *[F.coalesce(F.col(f"h{c}") + (F.col(c) - F.col(f"h{c}")) * F.col("scale"), F.col(c)).alias(c) for c in "xyz"])
 
 

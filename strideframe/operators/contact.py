@@ -26,29 +26,31 @@ def velocities(points: DataFrame, keys: list[str], fps: float = 30.0) -> DataFra
     return points.withColumns({f"v{c}": v(c) for c in "xyz"})
 
 
-def foot_contacts(points: DataFrame, least: int = 3, floor_speed: float = 0.5) -> DataFrame:
+def foot_contacts(points: DataFrame, least: int = 3, floor_speed: float = 0.5, fps: float = 30.0) -> DataFrame:
     """(seq_id, side, start, end, length, mx, my, mz): runs of slow frames of a foot and its mean place.
 
-    Slow is at most the larger of the first quartile of the foot's speeds and ``floor_speed``, in mm a frame.
+    Slow is below the larger of the first quartile of the foot's speeds and ``floor_speed``, both a second.
     """
-    feet = velocities(foot_centres(points), ["seq_id", "side"], fps=1.0).withColumn("speed", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")))
+    feet = velocities(foot_centres(points), ["seq_id", "side"], fps).withColumn("speed", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")))
     limit = feet.groupBy("seq_id", "side").agg(F.greatest(F.percentile("speed", F.lit(0.25)), F.lit(floor_speed)).alias("limit"))
-    slow = feet.join(limit, ["seq_id", "side"]).where("speed <= limit")
+    slow = feet.join(limit, ["seq_id", "side"]).where("speed < limit")
     runs = slow.withColumn("g", F.col("frame") - F.row_number().over(by(["seq_id", "side"])))
     out = runs.groupBy("seq_id", "side", "g").agg(F.min("frame").alias("start"), F.max("frame").alias("end"), F.count(F.lit(1)).alias("length"), *[F.avg(c).alias(f"m{c}") for c in "xyz"])
     return out.drop("g").where(F.col("length") >= least)
 
 
 def pin_feet(points: DataFrame, blend: int = 5, **contact) -> DataFrame:
-    """Foot markers shifted so that the foot stays at its run's mean place, fading over ``blend`` frames at either side."""
+    """Foot markers shifted so that the foot stays at its run's mean place; the shift fades in and out within the run.
+
+    The fade takes ``blend`` frames at either end, at most half of the run.
+    """
     runs = foot_contacts(points, **contact)
     side = F.when(F.col("joint").isin(*layouts.FEET["left"]), "left").when(F.col("joint").isin(*layouts.FEET["right"]), "right")
     centre = foot_centres(points).select("seq_id", "side", "frame", *[F.col(c).alias(f"c{c}") for c in "xyz"])
-    spans = runs.select("seq_id", "side", "start", "end", "mx", "my", "mz", F.explode(F.sequence(F.col("start") - blend, F.col("end") + blend)).alias("frame"))
-    inside = F.col("frame").between(F.col("start"), F.col("end"))
-    a = F.when(inside, 1.0).when(F.col("frame") < F.col("start"), (F.col("frame") - F.col("start") + blend + 1) / (blend + 1.0)).otherwise((F.col("end") + blend + 1 - F.col("frame")) / (blend + 1.0))
-    best = Window.partitionBy("seq_id", "side", "frame").orderBy(F.desc("a"), "start")
-    shift = spans.withColumn("a", a).withColumn("k", F.row_number().over(best)).where("k = 1").join(centre, ["seq_id", "side", "frame"]).select("seq_id", "side", "frame", *[(F.col("a") * (F.col(f"m{c}") - F.col(f"c{c}"))).alias(f"s{c}") for c in "xyz"])
+    spans = runs.select("seq_id", "side", "start", "end", "length", "mx", "my", "mz", F.explode(F.sequence("start", "end")).alias("frame"))
+    fade = F.least(F.lit(blend), F.floor(F.col("length") / 2)) + 1.0
+    a = F.least(F.lit(1.0), (F.least(F.col("frame") - F.col("start"), F.col("end") - F.col("frame")) + 1) / fade)
+    shift = spans.join(centre, ["seq_id", "side", "frame"]).select("seq_id", "side", "frame", *[(a * (F.col(f"m{c}") - F.col(f"c{c}"))).alias(f"s{c}") for c in "xyz"])
     out = points.withColumn("side", side).join(shift, ["seq_id", "side", "frame"], "left")
     return out.select("seq_id", "frame", "joint", *[(F.col(c) + F.coalesce(f"s{c}", F.lit(0.0))).alias(c) for c in "xyz"])
 
@@ -88,7 +90,7 @@ def align_to_ground(points: DataFrame, planes: DataFrame, height: float | None =
     c = F.col("ny")
     ax, az = F.when(s > 1e-12, -F.col("nz") / s).otherwise(0.0), F.when(s > 1e-12, F.col("nx") / s).otherwise(0.0)
     turn = planes.select("seq_id", c.alias("c"), s.alias("s"), ax.alias("ax"), az.alias("az"))
-    p = points.join(F.broadcast(turn), "seq_id", "left")
+    p = points.join(turn, "seq_id", "left")
     dot = F.col("ax") * F.col("x") + F.col("az") * F.col("z")
     rot = {
         "x": F.col("x") * F.col("c") + (-F.col("az") * F.col("y")) * F.col("s") + F.col("ax") * dot * (1 - F.col("c")),
@@ -97,11 +99,11 @@ def align_to_ground(points: DataFrame, planes: DataFrame, height: float | None =
     }
     turned = p.select("seq_id", "frame", "joint", *[F.when(F.col("c").isNotNull(), rot[d]).otherwise(F.col(d)).alias(d) for d in "xyz"])
     low = foot_centres(turned).groupBy("seq_id").agg(F.min("y").alias("low"))
-    flat = turned.join(F.broadcast(low), "seq_id", "left").select("seq_id", "frame", "joint", "x", (F.col("y") - F.coalesce("low", F.lit(0.0))).alias("y"), "z")
+    flat = turned.join(low, "seq_id", "left").select("seq_id", "frame", "joint", "x", (F.col("y") - F.coalesce("low", F.lit(0.0))).alias("y"), "z")
     if height is None:
         return flat
     scale = proportions(flat).select("seq_id", (F.lit(height) / F.nullif("height", F.lit(0.0))).alias("k"))
-    return flat.join(F.broadcast(scale), "seq_id", "left").select("seq_id", "frame", "joint", *[(F.col(d) * F.coalesce("k", F.lit(1.0))).alias(d) for d in "xyz"])
+    return flat.join(scale, "seq_id", "left").select("seq_id", "frame", "joint", *[(F.col(d) * F.coalesce("k", F.lit(1.0))).alias(d) for d in "xyz"])
 
 
 def floor_penetration(points: DataFrame, plane_y: float | None = None, margin: float = 10.0) -> DataFrame:
@@ -110,7 +112,7 @@ def floor_penetration(points: DataFrame, plane_y: float | None = None, margin: f
     if plane_y is not None:
         return feet.where(F.col("y") < plane_y - margin)
     low = feet.groupBy("seq_id").agg(F.min("y").alias("low"))
-    return feet.join(F.broadcast(low), "seq_id").where(F.col("y") < F.col("low") - margin).drop("low")
+    return feet.join(low, "seq_id").where(F.col("y") < F.col("low") - margin).drop("low")
 
 
 def wrist_mismatch(points: DataFrame, wrist: int, hand: int, flag: float = 50.0) -> DataFrame:
@@ -121,22 +123,24 @@ def wrist_mismatch(points: DataFrame, wrist: int, hand: int, flag: float = 50.0)
 
 
 def fix_wrists(points: DataFrame, wrist: int, hand: list[int], strategy: str = "confidence_weighted") -> DataFrame:
-    """Frames where wrist and hand base part by more than median + 3 deviations are joined again.
+    """Where wrist and hand base part by more than median + 3 deviations, the hand moves; the body stays.
 
-    confidence_weighted and average move both towards each other, body_wins moves the hand, hand_wins moves neither. The hand's
-    points follow its base, fading with their distance by the hand's mean spread.
+    body_wins brings the base to the wrist, average half way, hand_wins nowhere. confidence_weighted goes by which of the two moved less over the
+    last five frames, and the hand's points follow their base the less the further off they are, by the hand's mean radius in frames where it is whole.
     """
     base = hand[0]
     steps = lambda j, n: points.where(F.col("joint") == j).select("seq_id", "frame", *[F.col(c).alias(f"{n}{c}") for c in "xyz"]).withColumn(f"{n}s", F.avg(F.sqrt(sum(F.pow(F.col(f"{n}{c}") - F.lag(f"{n}{c}").over(by(["seq_id"])), 2) for c in "xyz"))).over(by(["seq_id"]).rowsBetween(-4, 0)))
     both = steps(wrist, "w").join(steps(base, "h"), ["seq_id", "frame"]).withColumn("d", F.sqrt(sum(F.pow(F.col(f"h{c}") - F.col(f"w{c}"), 2) for c in "xyz"))).where("d is not null")
     cut = both.groupBy("seq_id").agg((median("d") + 3 * F.stddev_pop("d")).alias("cut"))
-    share = {"confidence_weighted": F.coalesce(F.col("hs") / F.nullif(F.col("hs") + F.col("ws"), F.lit(0.0)), F.lit(0.5)), "average": F.lit(0.5), "body_wins": F.lit(1.0), "hand_wins": F.lit(0.0)}[strategy]
-    bad = both.join(F.broadcast(cut), "seq_id").where("d > cut").select("seq_id", "frame", *[(share * (F.col(f"w{c}") - F.col(f"h{c}"))).alias(f"s{c}") for c in "xyz"], *[(((1 - share) if strategy != "hand_wins" else F.lit(0.0)) * (F.col(f"h{c}") - F.col(f"w{c}"))).alias(f"b{c}") for c in "xyz"], *[F.col(f"h{c}") for c in "xyz"])
-    far = points.where(F.col("joint").isin(hand)).join(bad, ["seq_id", "frame"]).withColumn("r", F.sqrt(sum(F.pow(F.col(c) - F.col(f"h{c}"), 2) for c in "xyz")))
-    spread = far.groupBy("seq_id", "frame").agg(F.avg("r").alias("spread"))
-    fade = 1 / (1 + F.col("r") / F.greatest(F.col("spread"), F.lit(1e-9)))
-    moved = far.join(spread, ["seq_id", "frame"]).select("seq_id", "frame", "joint", *[(F.col(f"s{c}") * fade).alias(f"m{c}") for c in "xyz"])
-    moved = moved.unionByName(bad.select("seq_id", "frame", F.lit(wrist).alias("joint"), *[F.col(f"b{c}").alias(f"m{c}") for c in "xyz"]))
+    total = F.col("hs") + F.col("ws")
+    share = {"confidence_weighted": F.when(total.isNull(), 0.5).when(total > 0, F.col("hs") / total).otherwise(0.0), "average": F.lit(0.5), "body_wins": F.lit(1.0), "hand_wins": F.lit(0.0)}[strategy]
+    own = points.where(F.col("joint").isin(hand)).join(both, ["seq_id", "frame"], "left").withColumn("r", F.sqrt(sum(F.pow(F.col(c) - F.col(f"h{c}"), 2) for c in "xyz")))
+    bases = points.where(F.col("joint") == base).select("seq_id", "frame", *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    radius = points.where(F.col("joint").isin(hand)).join(bases, ["seq_id", "frame"]).withColumn("r", F.sqrt(sum(F.pow(F.col(c) - F.col(f"b{c}"), 2) for c in "xyz")))
+    radius = radius.groupBy("seq_id", "frame").agg(F.count("r").alias("n"), F.avg("r").alias("r")).where(F.col("n") == len(hand)).groupBy("seq_id").agg(F.avg("r").alias("radius"))
+    bad = own.join(cut, "seq_id").where("d > cut").join(radius, "seq_id", "left")
+    fade = 1 / (1 + F.col("r") / F.coalesce(F.nullif("radius", F.lit(0.0)), F.lit(1.0))) if strategy == "confidence_weighted" else F.lit(1.0)
+    moved = bad.select("seq_id", "frame", "joint", *[(fade * share * (F.col(f"w{c}") - F.col(f"h{c}"))).alias(f"m{c}") for c in "xyz"])
     return points.join(moved, ["seq_id", "frame", "joint"], "left").select("seq_id", "frame", "joint", *[(F.col(c) + F.coalesce(f"m{c}", F.lit(0.0))).alias(c) for c in "xyz"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import valid
+from ..layouts import body
 from .windows import by, islands, median, moves, neighbours
 
 MAD = 1.4826
@@ -55,7 +56,7 @@ def channel_gaps(channels: DataFrame, keys: list[str], fps: float = 30.0) -> Dat
 
 def body_gaps(points: DataFrame) -> DataFrame:
     """Per sequence: frames in which any body coordinate is missing, their runs, and how clustered the runs are."""
-    frames = points.groupBy("seq_id", "frame").agg(F.max(F.when(~valid(), 1).otherwise(0)).alias("gap"))
+    frames = body(points).groupBy("seq_id", "frame").agg(F.max(F.when(~valid(), 1).otherwise(0)).alias("gap"))
     runs = islands(frames, ["seq_id"], F.col("gap") == 1)
     starts = runs.withColumn("apart", F.col("start") - F.lag("start").over(by(["seq_id"], "start")))
     spread = F.stddev_pop("apart") / F.avg("apart")
@@ -90,13 +91,16 @@ def swaps(points: DataFrame, left: int, right: int) -> DataFrame:
 
 
 def frame_confidence(points: DataFrame) -> DataFrame:
-    """0.6 visibility + 0.4 smoothness of each frame; the first and last have smoothness one half."""
+    """0.6 visibility + 0.4 smoothness of the body in each frame; the first and last have smoothness one half.
+
+    Smoothness falls with the mean change of a coordinate and the mean second difference, over joints there in three frames in a row.
+    """
     w = by(["seq_id", "joint"])
-    p = points.withColumns({f"{n}{c}": F.lag(c, k).over(w) for c in "xyz" for n, k in (("a", 1), ("b", -1))})
-    speed = F.sqrt(sum((F.col(c) - F.col(f"a{c}")) * (F.col(c) - F.col(f"a{c}")) for c in "xyz"))
-    accel = F.sqrt(sum((F.col(f"b{c}") - 2 * F.col(c) + F.col(f"a{c}")) * (F.col(f"b{c}") - 2 * F.col(c) + F.col(f"a{c}")) for c in "xyz"))
+    p = body(points).withColumns({f"{n}{c}": F.lag(c, k).over(w) for c in "xyz" for n, k in (("a", 1), ("b", -1))})
+    speed = sum(F.abs(F.col(c) - F.col(f"a{c}")) for c in "xyz") / 3
+    accel = sum(F.abs(F.col(f"b{c}") - 2 * F.col(c) + F.col(f"a{c}")) for c in "xyz") / 3
     frames = p.withColumns({"speed": F.when(accel.isNotNull(), speed), "accel": accel}).groupBy("seq_id", "frame").agg(F.avg(valid().cast("double")).alias("visibility"), F.avg("speed").alias("speed"), F.avg("accel").alias("accel"), F.count("accel").alias("n"))
-    smooth = F.when(F.col("n") > 3, 1 / (1 + 10 * F.col("speed") / 1000 + 5 * F.col("accel") / 1000)).otherwise(0.5)
+    smooth = F.when(F.col("n") > 3, 1 / (1 + 10 * F.col("speed") + 5 * F.col("accel"))).otherwise(0.5)
     return frames.select("seq_id", "frame", "visibility", (0.6 * F.col("visibility") + 0.4 * smooth).alias("confidence"))
 
 

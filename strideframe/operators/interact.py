@@ -68,8 +68,6 @@ def bounding_boxes(obs: DataFrame, pad: float = 15.0) -> DataFrame:
 
 def detection_counts(dets: DataFrame, conf: float = 0.5) -> DataFrame:
     """One row: frames between the first and last, detections at or over ``conf``, persons a frame, empty frames."""
-    ends = dets.agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
-    spine = ends.select(F.explode(F.sequence("lo", "hi")).alias("frame"))
-    n = dets.where(F.col("conf") >= conf).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
-    each = F.coalesce("n", F.lit(0))
-    return spine.join(n, "frame", "left").agg(F.count(F.lit(1)).alias("frames"), F.sum(each).alias("detections"), F.avg(each).alias("mean_persons"), F.max(each).alias("max_persons"), F.count_if(F.col("n").isNull()).alias("empty_frames"))
+    n = dets.groupBy("frame").agg(F.count_if(F.col("conf") >= conf).alias("n"))
+    frames = F.max("frame").cast("long") - F.min("frame") + 1
+    return n.agg(frames.alias("frames"), F.sum("n").alias("detections"), (F.sum("n") / frames).alias("mean_persons"), F.max("n").alias("max_persons"), (frames - F.count_if(F.col("n") > 0)).alias("empty_frames")).where("frames is not null")

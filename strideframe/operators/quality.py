@@ -58,7 +58,7 @@ def worst_frames(flags: DataFrame, top: int = 10) -> DataFrame:
 
 def frame_drops(points: DataFrame, fps: float = 30.0, limit: float = 5000.0, jump: float = 100.0) -> DataFrame:
     """Per sequence: bursts of empty frames, jumps, excessive speed, and the confidence that frames were dropped."""
-    step = moves(points).groupBy("seq_id", "frame").agg(F.count_if(valid()).alias("n_valid"), F.count("step").alias("n"), F.avg("step").alias("mean"), F.max("step").alias("most"))
+    step = moves(layouts.body(points)).groupBy("seq_id", "frame").agg(F.count_if(valid()).alias("n_valid"), F.count("step").alias("n"), F.avg("step").alias("mean"), F.max("step").alias("most"))
     w = by(["seq_id"])
     ok = (F.col("n_valid") >= 10) & (F.lag("n_valid").over(w) >= 10) & (F.lag("frame").over(w) == F.col("frame") - 1) & (F.col("n") >= 5)
     step = step.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumns({"speed": F.when(F.col("ok"), F.col("mean") * fps).otherwise(0.0), "most": F.when(F.col("ok"), F.col("most")).otherwise(0.0)})
@@ -81,7 +81,7 @@ def timestamp_drops(stamps: DataFrame, fps: float = 30.0, tolerance_ms: float =
     """Per camera: the unit of its stamps, intervals over the ideal, and interval statistics in ms."""
     gaps = stamps.withColumn("gap", F.col("t") - F.lag("t").over(by(["cam"]))).where("gap is not null")
     unit = gaps.groupBy("cam").agg(median("gap").alias("med")).withColumn("scale", F.when(F.col("med") > 10, 1.0).otherwise(1000.0))
-    ms = gaps.join(F.broadcast(unit), "cam").withColumn("ms", F.col("gap") * F.col("scale"))
+    ms = gaps.join(unit, "cam").withColumn("ms", F.col("gap") * F.col("scale"))
     ideal = 1000.0 / fps
     return ms.groupBy("cam").agg(F.count(F.lit(1)).alias("intervals"), F.count_if(F.col("ms") > ideal + tolerance_ms).alias("drops"), F.avg(F.when(F.col("ms") > 0, F.col("ms"))).alias("mean_ms"), F.stddev_pop(F.when(F.col("ms") > 0, F.col("ms"))).alias("std_ms"), F.max("ms").alias("max_ms"))
 
@@ -90,7 +90,7 @@ def shared_drops(stamps: DataFrame, fps: float = 30.0, tolerance_ms: float = 2.0
     """(frame, n_cams, kind): frames dropped by several cameras are correlated, by one specific."""
     gaps = stamps.withColumn("gap", F.col("t") - F.lag("t").over(by(["cam"]))).where("gap is not null")
     unit = gaps.groupBy("cam").agg(median("gap").alias("med"))
-    ms = gaps.join(F.broadcast(unit), "cam").where(F.col("gap") * F.when(F.col("med") > 10, 1.0).otherwise(1000.0) > 1000.0 / fps + tolerance_ms)
+    ms = gaps.join(unit, "cam").where(F.col("gap") * F.when(F.col("med") > 10, 1.0).otherwise(1000.0) > 1000.0 / fps + tolerance_ms)
     counts = ms.groupBy("frame").agg(F.count(F.lit(1)).alias("n_cams"))
     return counts.withColumn("kind", F.when(F.col("n_cams") >= 2, "correlated").otherwise("specific"))
 
@@ -98,7 +98,7 @@ def shared_drops(stamps: DataFrame, fps: float = 30.0, tolerance_ms: float = 2.0
 def desync(points: DataFrame) -> DataFrame:
     """Per sequence: depth jitter against planar jitter, its tie to speed, and a severity."""
     d = [F.col(c) - F.col(f"p{c}") for c in "xyz"]
-    step = moves(points).withColumns({"xy": F.sqrt(d[0] * d[0] + d[1] * d[1]), "dz": F.abs(d[2])})
+    step = moves(layouts.body(points)).withColumns({"xy": F.sqrt(d[0] * d[0] + d[1] * d[1]), "dz": F.abs(d[2])})
     frames = step.groupBy("seq_id", "frame").agg(F.count_if(valid()).alias("n_valid"), F.count("step").alias("n"), F.avg(F.when(F.col("step").isNotNull(), F.col("xy"))).alias("xy"), F.avg(F.when(F.col("step").isNotNull(), F.col("dz"))).alias("dz"), F.avg("step").alias("speed"))
     w = by(["seq_id"])
     ok = (F.col("n_valid") > 10) & (F.lag("n_valid").over(w) > 10) & (F.lag("frame").over(w) == F.col("frame") - 1) & (F.col("n") >= 5)
@@ -134,7 +134,7 @@ def quality_by_position(points: DataFrame, bins: int = 5) -> DataFrame:
     ends = nose.groupBy("seq_id").agg(F.min("nx").alias("lo"), F.max("nx").alias("hi"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= bins * 5)
     at = F.least(F.floor((F.col("nx") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
     binned = nose.join(ends, "seq_id").withColumn("bin", at)
-    own = points.join(binned.select("seq_id", "frame", "bin"), ["seq_id", "frame"])
+    own = layouts.body(points).join(binned.select("seq_id", "frame", "bin"), ["seq_id", "frame"])
     w = Window.partitionBy("seq_id", "joint", "bin").orderBy("frame")
     step = own.withColumn("step", F.sqrt(sum(F.pow(F.col(c) - F.lag(c).over(w), 2) for c in "xyz")))
     frames = step.groupBy("seq_id", "bin", "frame").agg(F.max((~valid()).cast("int")).alias("gap"), F.count("step").alias("n"), F.avg("step").alias("jitter"))
@@ -155,14 +155,31 @@ def blurred(scores: DataFrame, sigmas: float = 2.0) -> DataFrame:
     return stats.join(low, "seq_id")
 
 
-def texture_risk(points: DataFrame) -> DataFrame:
-    """Per body region: stability (spread of the centre), confidence (share of valid points), mean jerk."""
-    rows = [(j, r) for r, js in layouts.REGIONS.items() for j in js]
-    own = points.join(F.broadcast(points.sparkSession.createDataFrame(rows, "joint int, region string")), "joint", "left").withColumn("region", F.coalesce("region", F.lit("unknown")))
+def texture_risk(points: DataFrame, fps: float = 30.0) -> DataFrame:
+    """(seq_id, region, quality, jitter, finding): how steady and how jerky a body region is against the others.
+
+    Quality is the mean of one less the region's displacement as a share of its largest; jitter the mean change of speed of its joints. A region
+    of high jitter (mean + 1.5 deviations) is interference if its quality is low too (mean - 1), else an artifact; quality below 0.3 is low.
+    """
+    spark = points.sparkSession
+    region = spark.createDataFrame([(j, r) for r, js in layouts.REGIONS.items() for j in js], "joint int, region string")
+    own = moves(points).join(F.broadcast(region), "joint")
     w = by(["seq_id", "joint"])
-    third = lambda c: F.col(c) - 3 * F.lag(c, 1).over(w) + 3 * F.lag(c, 2).over(w) - F.lag(c, 3).over(w)
-    own = own.withColumn("jerk", F.sqrt(sum(F.pow(third(c), 2) for c in "xyz")))
-    return own.groupBy("seq_id", "region").agg(F.avg(valid().cast("double")).alias("confidence"), (F.stddev_pop("x") + F.stddev_pop("y") + F.stddev_pop("z")).alias("spread"), F.avg("jerk").alias("jerk"))
+    own = own.withColumn("change", F.abs(F.col("step") - F.when(F.lag("frame").over(w) == F.col("frame") - 1, F.lag("step").over(w))) * fps)
+    disp = own.groupBy("seq_id", "region", "frame").agg(F.avg("step").alias("disp")).where("disp is not null")
+    most = disp.groupBy("seq_id", "region").agg(F.max("disp").alias("most"))
+    steady = F.when(F.col("most") > 1e-8, 1 - F.least(F.col("disp") / F.col("most"), F.lit(1.0))).otherwise(1.0)
+    quality = disp.join(most, ["seq_id", "region"]).groupBy("seq_id", "region").agg(F.avg(steady).alias("quality"))
+    jitter = own.groupBy("seq_id", "region", "joint").agg(F.avg("change").alias("change")).groupBy("seq_id", "region").agg(F.avg("change").alias("jitter"))
+    every = points.select("seq_id").distinct().select("seq_id", F.explode(F.array(*map(F.lit, layouts.REGIONS))).alias("region"))
+    both = every.join(quality, ["seq_id", "region"], "left").join(jitter, ["seq_id", "region"], "left").fillna(0.0, ["quality", "jitter"])
+    every = Window.partitionBy("seq_id")
+    mean = lambda c: F.avg(c).over(every)
+    sd = lambda c: F.stddev_pop(c).over(every)
+    both = both.withColumns({"mq": mean("quality"), "sq": sd("quality"), "mj": mean("jitter"), "sj": sd("jitter")})
+    high = F.when(F.col("sj") > 1e-8, F.col("jitter") > F.col("mj") + 1.5 * F.col("sj")).otherwise(F.col("jitter") > 1.5 * F.col("mj"))
+    low = F.when(F.col("sq") > 1e-8, F.col("quality") < F.col("mq") - F.col("sq")).otherwise(F.col("quality") < 0.7 * F.col("mq"))
+    return both.select("seq_id", "region", "quality", "jitter", F.when(high & low, "interference").when(high, "artifact").when(F.col("quality") < 0.3, "low quality").alias("finding"))
 
 
 def calibration_drift(errors: DataFrame, window: int = 30, sigmas: float = 3.0) -> DataFrame:
@@ -185,14 +202,22 @@ def drift_alerts(metrics: DataFrame, first: int = 30, limits: tuple[float, float
     return drops.where(F.col("drop") > limit).withColumn("severity", F.when(F.col("drop") > 2 * limit, "high").otherwise("moderate"))
 
 
-def self_occlusion(obs: DataFrame, conf: float = 0.3, ratio: float = 2.0, half: int = 15) -> DataFrame:
-    """(seq_id, frame, joint, disagreement, baseline): camera disagreement over ``ratio`` times its centred mean."""
-    a = obs.where(F.col("conf") > conf).select("seq_id", "frame", "joint", "cam", "u", "v")
-    b = a.select("seq_id", "frame", "joint", F.col("cam").alias("cam_b"), F.col("u").alias("ub"), F.col("v").alias("vb"))
-    pairs = a.join(b, ["seq_id", "frame", "joint"]).where("cam < cam_b").withColumn("d", F.sqrt(F.pow(F.col("u") - F.col("ub"), 2) + F.pow(F.col("v") - F.col("vb"), 2)))
-    mean = pairs.groupBy("seq_id", "frame", "joint").agg(F.avg("d").alias("disagreement"))
-    w = by(["seq_id", "joint"]).rowsBetween(-half, half)
-    return mean.withColumn("baseline", F.avg("disagreement").over(w)).where(F.col("disagreement") > ratio * F.col("baseline"))
+def self_occlusion(obs: DataFrame, conf: float = 0.3, ratio: float = 2.0, half: int = 15, width: float = 640.0, height: float = 480.0) -> DataFrame:
+    """(seq_id, cam, frame, joint, score, baseline): a camera's mean distance from the others, in units of the image, over ``ratio`` times its centred mean.
+
+    Cameras that are not confident of a joint have the score 0 and count in nobody's mean.
+    """
+    ok = F.coalesce(F.col("conf") > conf, F.lit(False)) & F.col("u").isNotNull() & F.col("v").isNotNull()
+    views = obs.groupBy("seq_id", "frame", "joint").agg(F.collect_list(F.struct("cam", (F.col("u") / width).alias("u"), (F.col("v") / height).alias("v"), ok.alias("ok"))).alias("views"))
+    each = views.withColumn("own", F.explode("views"))
+    far = F.transform(
+        F.filter("views", lambda o: o["ok"] & F.col("own.ok") & (o["cam"] != F.col("own.cam"))),
+        lambda o: F.sqrt((o["u"] - F.col("own.u")) * (o["u"] - F.col("own.u")) + (o["v"] - F.col("own.v")) * (o["v"] - F.col("own.v"))),
+    )
+    score = F.when(F.size(far) > 0, F.aggregate(far, F.lit(0.0), lambda a, d: a + d) / F.size(far)).otherwise(0.0)
+    scores = each.select("seq_id", F.col("own.cam").alias("cam"), "frame", "joint", score.alias("score"))
+    w = by(["seq_id", "cam", "joint"]).rowsBetween(-half, half)
+    return scores.withColumn("baseline", F.avg("score").over(w)).where(F.col("score") > ratio * F.greatest(F.col("baseline"), F.lit(1e-10)))
 
 
 def edge_reliability(obs: DataFrame, width: float = 640.0, height: float = 480.0, edge: float = 0.7) -> DataFrame:
@@ -242,5 +267,5 @@ def energy_peaks(audio: DataFrame, window: int = 8, above: float = 3.0) -> DataF
     db = win.withColumn("db", 10 * F.log10(F.greatest(F.col("e"), F.lit(1e-10))))
     med = db.groupBy("cam").agg((median("db") + above).alias("limit"))
     w = Window.partitionBy("cam").orderBy("win")
-    near = db.withColumns({"a": F.lag("db").over(w), "b": F.lead("db").over(w)}).join(F.broadcast(med), "cam")
+    near = db.withColumns({"a": F.lag("db").over(w), "b": F.lead("db").over(w)}).join(med, "cam")
     return near.where((F.col("db") > F.col("limit")) & (F.col("db") > F.col("a")) & (F.col("db") >= F.col("b"))).select("cam", "win", "db")

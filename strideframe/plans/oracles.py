@@ -40,6 +40,12 @@ def bones(pairs) -> str:
     return f"bones(ord, parent, child) as (values {_values([(k, p, c) for k, (p, c) in enumerate(pairs)])}), lens as (select a.seq_id, a.frame, b.ord, b.parent, b.child, sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) + (a.z - c.z) * (a.z - c.z)) as length from bones b join pts a on a.joint = b.parent join pts c on c.seq_id = a.seq_id and c.frame = a.frame and c.joint = b.child)"
 
 
+SLOW_FEET = """ft as (select seq_id, frame, case when joint in (27, 29, 31) then 'left' else 'right' end side, avg(x) x, avg(y) y, avg(z) z from pts where joint in (27, 28, 29, 30, 31, 32) group by all),
+n as (select *, lag(frame) over j pf, lead(frame) over j nf, lag(x) over j px, lead(x) over j nx, lag(y) over j py, lead(y) over j ny, lag(z) over j pz, lead(z) over j nz from ft window j as (partition by seq_id, side order by frame)),
+v as (select *, 30 * ((case when nf is null then x else nx end) - (case when pf is null then x else px end)) / (coalesce(nf, frame) - coalesce(pf, frame)) vx, 30 * ((case when nf is null then y else ny end) - (case when pf is null then y else py end)) / (coalesce(nf, frame) - coalesce(pf, frame)) vy, 30 * ((case when nf is null then z else nz end) - (case when pf is null then z else pz end)) / (coalesce(nf, frame) - coalesce(pf, frame)) vz from n),
+s as (select *, sqrt(vx * vx + vy * vy + vz * vz) sp from v), l as (select seq_id, side, greatest(quantile_cont(sp, 0.25), 0.5) lim from s group by all),
+g as (select s.*, frame - row_number() over (partition by s.seq_id, s.side order by frame) g from s join l on l.seq_id = s.seq_id and l.side = s.side where sp < lim)"""
+
 RIGID = bones(layouts.RIGID_BONES)
 NAMED = bones(layouts.NAMED_BONES)
 OUTLIER = bones(layouts.OUTLIER_BONES)
@@ -83,9 +89,9 @@ select seq_id, frame, round(ms, 6) as mean_step, round(off / (mad * 1.4826), 6)
     "side_swaps": f"""with {SKELETON}, b as (select l.seq_id, l.frame, sign(l.x - r.x) side, sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) + (l.z - r.z) * (l.z - r.z)) dist from pts l join pts r on l.seq_id = r.seq_id and l.frame = r.frame where l.joint = 15 and r.joint = 16 and l.x is not null and r.x is not null),
 w as (select *, lag(side) over (partition by seq_id order by frame) s0, lag(dist) over (partition by seq_id order by frame) d0 from b) select seq_id, frame, round(dist, 6) as dist from w where side * s0 < 0 and dist > 0.1 * d0 and frame >= 2""",
     "frame_confidence": f"""with {SKELETON}, n as (select *, lag(x) over j ax1, lag(y) over j ay1, lag(z) over j az1, lead(x) over j bx, lead(y) over j by_, lead(z) over j bz from pts window j as (partition by seq_id, joint order by frame)),
-m as (select seq_id, frame, x, sqrt((x - ax1) ** 2 + (y - ay1) ** 2 + (z - az1) ** 2) speed, sqrt((bx - 2 * x + ax1) ** 2 + (by_ - 2 * y + ay1) ** 2 + (bz - 2 * z + az1) ** 2) accel from n),
+m as (select seq_id, frame, x, (abs(x - ax1) + abs(y - ay1) + abs(z - az1)) / 3 speed, (abs(bx - 2 * x + ax1) + abs(by_ - 2 * y + ay1) + abs(bz - 2 * z + az1)) / 3 accel from n where joint < 33),
 f as (select seq_id, frame, avg((x is not null)::int) vis, avg(speed) filter (accel is not null) sp, avg(accel) ac, count(accel) k from m group by all)
-select seq_id, frame, round(vis, 6) as visibility, round(0.6 * vis + 0.4 * case when k > 3 then 1 / (1 + 10 * sp / 1000 + 5 * ac / 1000) else 0.5 end, 6) as confidence from f""",
+select seq_id, frame, round(vis, 6) as visibility, round(0.6 * vis + 0.4 * case when k > 3 then 1 / (1 + 10 * sp + 5 * ac) else 0.5 end, 6) as confidence from f""",
     "outlier_flags": f"""with {MOVES}, {OUTLIER},
 nx as (select *, case when lead(frame) over j = frame + 1 then lead(x) over j end qx, case when lead(frame) over j = frame + 1 then lead(y) over j end qy, case when lead(frame) over j = frame + 1 then lead(z) over j end qz from mv window j as (partition by seq_id, joint order by frame)),
 f0 as (select seq_id, frame, count(*) n, count(*) filter (x is null) missing, max(step) step, max(sqrt((qx - 2 * x + px) ** 2 + (qy - 2 * y + py) ** 2 + (qz - 2 * z + pz) ** 2)) accel from nx group by all),
@@ -132,17 +138,25 @@ select seq_id, bin, count(*) as frames, round(avg(gap) * 100, 6) as nan_rate, ro
     "motion_intensity": f"""with {MOVES}, s as (select seq_id, frame - 1 as frame, avg(step) ms from mv group by all having ms is not null), t as (select seq_id, avg(ms) + 1.5 * stddev_pop(ms) lim from s group by 1) select seq_id, frame, round(ms, 6) as mean_step from s join t using (seq_id) where ms > lim""",
     "blur_scores": f"""with {CHANNEL}, t as (select seq_id, avg(v) - 1.0 * stddev_pop(v) th, quantile_cont(v, 0.05) p5, quantile_cont(v, 0.95) p95 from chan group by 1), l as (select seq_id, count(*) filter (v < th) k from chan join t using (seq_id) group by 1)
 select seq_id, round(th, 6) as threshold, round(p5, 6) as p5, round(p95, 6) as p95, k as n_blurred from t join l using (seq_id)""",
-    "texture_risk": f"""with {SKELETON}, rg(joint, region) as (values {_values([(j, f"'{r}'") for r, js in layouts.REGIONS.items() for j in js])}),
-o as (select p.*, coalesce(region, 'unknown') region, sqrt((x - 3 * lag(x, 1) over j + 3 * lag(x, 2) over j - lag(x, 3) over j) ** 2 + (y - 3 * lag(y, 1) over j + 3 * lag(y, 2) over j - lag(y, 3) over j) ** 2 + (z - 3 * lag(z, 1) over j + 3 * lag(z, 2) over j - lag(z, 3) over j) ** 2) jerk from pts p left join rg on rg.joint = p.joint window j as (partition by seq_id, p.joint order by frame))
-select seq_id, region, round(avg((x is not null)::int), 6) as confidence, round(stddev_pop(x) + stddev_pop(y) + stddev_pop(z), 6) as spread, round(avg(jerk), 6) as jerk from o group by all""",
+    "texture_risk": f"""with {MOVES}, rg(joint, region) as (values {_values([(j, f"'{r}'") for r, js in layouts.REGIONS.items() for j in js])}),
+sp as (select mv.seq_id, region, mv.joint, frame, step, abs(step - case when lag(frame) over j = frame - 1 then lag(step) over j end) * 30 as change from mv join rg on rg.joint = mv.joint window j as (partition by mv.seq_id, mv.joint order by frame)),
+fr as (select seq_id, region, frame, avg(step) disp from sp group by all having avg(step) is not null), mx as (select seq_id, region, max(disp) most from fr group by all),
+st as (select seq_id, region, avg(case when most > 1e-8 then 1 - least(disp / most, 1) else 1 end) quality from fr join mx using (seq_id, region) group by all),
+jj as (select seq_id, region, joint, avg(change) jit from sp group by all), jr as (select seq_id, region, avg(jit) jitter from jj group by all),
+al as (select s.seq_id, r.region, coalesce(quality, 0) quality, coalesce(jitter, 0) jitter from (select distinct seq_id from pts) s cross join (select distinct region from rg) r left join st on st.seq_id = s.seq_id and st.region = r.region left join jr on jr.seq_id = s.seq_id and jr.region = r.region),
+ms as (select seq_id, avg(quality) mq, stddev_pop(quality) sq, avg(jitter) mj, stddev_pop(jitter) sj from al group by 1),
+fl as (select *, case when sj > 1e-8 then jitter > mj + 1.5 * sj else jitter > 1.5 * mj end hi, case when sq > 1e-8 then quality < mq - sq else quality < 0.7 * mq end lo from al join ms using (seq_id))
+select seq_id, region, round(quality, 6) as quality, round(jitter, 6) as jitter, case when hi and lo then 'interference' when hi then 'artifact' when quality < 0.3 then 'low quality' end as finding from fl""",
     "calibration_drift": f"""with {CHANNEL}, k as (select *, row_number() over (partition by seq_id order by frame) k from chan where v is not null), b as (select seq_id, avg(v) + 1.0 * stddev_pop(v) lim from k where k <= 10 group by 1),
 h as (select c.*, c.frame - row_number() over (partition by c.seq_id order by c.frame) g from chan c join b using (seq_id) where v > lim) select seq_id, min(frame) as "start", max(frame) as "end", count(*) as length, round(max(v), 6) as worst from h group by seq_id, g""",
     "drift_alerts": f"""with {SKELETON}, f as (select seq_id, frame, avg((x is not null)::int) confidence, count(x) / 17.0 completeness from pts group by all), k as (select *, row_number() over (partition by seq_id order by frame) k from f), b as (select seq_id, avg(confidence) b0, avg(completeness) b1 from k where k <= 10 group by 1),
 d as (select k.seq_id, frame, 'confidence' metric, (b0 - confidence) / b0 dr, 0.03 lim from k join b using (seq_id) where k > 10 union all select k.seq_id, frame, 'completeness', (b1 - completeness) / b1, 0.04 from k join b using (seq_id) where k > 10)
 select seq_id, frame, metric, round(dr, 6) as "drop", case when dr > 2 * lim then 'high' else 'moderate' end as severity from d where dr > lim""",
-    "self_occlusion": f"""with {OBS}, a as (select * from obs where conf > 0.3), p as (select a.seq_id, a.frame, a.joint, sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) d from a join a b on a.seq_id = b.seq_id and a.frame = b.frame and a.joint = b.joint and a.cam < b.cam),
-m as (select seq_id, frame, joint, avg(d) dis from p group by all), w as (select *, avg(dis) over (partition by seq_id, joint order by frame rows between 15 preceding and 15 following) base from m)
-select seq_id, frame, joint, round(dis, 4) as disagreement, round(base, 4) as baseline from w where dis > 1.2 * base""",
+    "self_occlusion": f"""with {OBS}, a as (select seq_id, cam, frame, joint, u / 640 as u, v / 480 as v, coalesce(conf > 0.3, false) and u is not null and v is not null as ok from obs),
+p as (select a.seq_id, a.cam, a.frame, a.joint, avg(sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2)) d from a join a b on a.seq_id = b.seq_id and a.frame = b.frame and a.joint = b.joint and a.cam <> b.cam where a.ok and b.ok group by all),
+m as (select a.seq_id, a.cam, a.frame, a.joint, coalesce(d, 0) score from a left join p using (seq_id, cam, frame, joint)),
+w as (select *, avg(score) over (partition by seq_id, cam, joint order by frame rows between 15 preceding and 15 following) base from m)
+select seq_id, cam, frame, joint, round(score, 4) as score, round(base, 4) as baseline from w where score > 2 * greatest(base, 1e-10)""",
     "edge_reliability": f"""with {OBS} select cam, joint, count(*) as n, round(avg((sqrt((u - 320) ** 2 + (v - 240) ** 2) / 400 > 0.7)::int), 6) as edge_share, avg((sqrt((u - 320) ** 2 + (v - 240) ** 2) / 400 > 0.7)::int) > 0.5 as unreliable from obs where u is not null group by all""",
     "joint_coverage": f"""with {OBS} select cam, least(greatest(floor(v / 480 * 10), 0), 9)::int as "row", least(greatest(floor(u / 640 * 10), 0), 9)::int as col, count(*) as n, round(avg(conf), 6) as mean_conf from obs where u is not null and v is not null group by all""",
     "detection_stats": f"""with {DETS}, f as (select cam, frame, count(*) n, sum(conf) c from dets group by all) select cam, count(*) as frames, sum(n)::bigint as detections, round(avg(n), 6) as mean_n, max(n) as max_n, round(sum(c) / sum(n), 6) as mean_conf from f group by all""",
@@ -150,11 +164,7 @@ select seq_id, frame, joint, round(dis, 4) as disagreement, round(base, 4) as ba
     "frame_issues": f"""with {SKELETON}, f as (select seq_id, frame, avg((x is not null)::int) c from pts group by all) select seq_id, round(avg(c), 6) as mean_confidence, round(avg((c > 0.95)::int), 6) as good_share_95, count(*) filter (c < 0.95) as gap_frames from f group by 1""",
     "energy_peaks": f"""with a as (select event_type cam, (row_number() over (partition by event_type order by ts, event_id) - 1) as idx, value::double * value::double e from events), w as (select cam, (idx // 8)::bigint win, avg(e) e from a group by all), d as (select cam, win, 10 * log10(greatest(e, 1e-10)) db from w), m as (select cam, quantile_cont(db, 0.5) + 3 lim from d group by 1),
 n as (select d.*, lag(db) over (partition by cam order by win) a, lead(db) over (partition by cam order by win) b from d) select cam, win, round(db, 6) as db from n join m using (cam) where db > lim and db > a and db >= b""",
-    "foot_contacts": f"""with {SKELETON}, ft as (select seq_id, frame, case when joint in (27, 29, 31) then 'left' else 'right' end side, avg(x) x, avg(y) y, avg(z) z from pts where joint in (27, 28, 29, 30, 31, 32) group by all),
-n as (select *, lag(frame) over j pf, lead(frame) over j nf, lag(x) over j px, lead(x) over j nx, lag(y) over j py, lead(y) over j ny, lag(z) over j pz, lead(z) over j nz from ft window j as (partition by seq_id, side order by frame)),
-v as (select *, ((case when nf is null then x else nx end) - (case when pf is null then x else px end)) / (coalesce(nf, frame) - coalesce(pf, frame)) vx, ((case when nf is null then y else ny end) - (case when pf is null then y else py end)) / (coalesce(nf, frame) - coalesce(pf, frame)) vy, ((case when nf is null then z else nz end) - (case when pf is null then z else pz end)) / (coalesce(nf, frame) - coalesce(pf, frame)) vz from n),
-s as (select *, sqrt(vx * vx + vy * vy + vz * vz) sp from v), l as (select seq_id, side, greatest(quantile_cont(sp, 0.25), 0.5) lim from s group by all),
-g as (select s.*, frame - row_number() over (partition by s.seq_id, s.side order by frame) g from s join l on l.seq_id = s.seq_id and l.side = s.side where sp <= lim)
+    "foot_contacts": f"""with {SKELETON}, {SLOW_FEET}
 select seq_id, side, min(frame) as "start", max(frame) as "end", count(*) as length, round(avg(x), 6) as mx, round(avg(y), 6) as my, round(avg(z), 6) as mz from g group by seq_id, side, g having count(*) >= 2""",
     "wrist_mismatch": f"""with {SKELETON}, d as (select a.seq_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) d from pts a join pts b on a.seq_id = b.seq_id and a.frame = b.frame where a.joint = 15 and b.joint = 31 and a.x is not null and b.x is not null)
 select seq_id, count(*) as n, round(avg(d), 6) as mean, round(max(d), 6) as max, round(quantile_cont(d, 0.5), 6) as median, round(quantile_cont(d, 0.95), 6) as p95, count(*) filter (d > 200) as flagged from d group by 1""",
@@ -164,15 +174,16 @@ a as (select seq_id, quantile_cont(y, 0.5) ay from (select seq_id, frame, avg(y)
 select seq_id, round(hw, 6) as hip_width, round(sw, 6) as shoulder_width, round(la, 6) as left_arm, round(ra, 6) as right_arm, round(ll, 6) as left_leg, round(rl, 6) as right_leg, round(abs(ay - ny), 6) as height, round(sw / hw, 6) as shoulder_hip_ratio, round((la + ra) / (ll + rl), 6) as arm_leg_ratio from s left join a using (seq_id) left join n using (seq_id)""",
     "virtual_markers": f"""with {SKELETON}, vm(name, joint, w) as (values {_values([(f"'{n}'", j, w) for n, js in layouts.VIRTUAL.items() for j, w in js.items()])}), k as (select name, count(*) k from vm group by 1)
 select seq_id, frame, p.name, round(case when count(x) = any_value(k) then sum(w * x) end, 6) as x, round(case when count(x) = any_value(k) then sum(w * y) end, 6) as y, round(case when count(x) = any_value(k) then sum(w * z) end, 6) as z from (select pts.*, name, w from pts join vm on vm.joint = pts.joint) p join k on k.name = p.name group by seq_id, frame, p.name""",
-    "contact_pairs": f"""with {SKELETON}, a as (select * from pts where x is not null)
-select a.frame, a.seq_id as actor_a, b.seq_id as actor_b, a.joint as joint_a, b.joint as joint_b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) as dist from a join a b on a.frame = b.frame and a.seq_id < b.seq_id where sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 40""",
+    "contact_pairs": f"""with {SKELETON}, a as materialized (select *, floor(x / 40)::bigint gx, floor(y / 40)::bigint gy from pts where x is not null),
+b as materialized (select seq_id, frame, joint, x, y, z, gx + dx as gx, gy + dy as gy from a, (values (-1), (0), (1)) as s(dx), (values (-1), (0), (1)) as t(dy))
+select a.frame, a.seq_id as actor_a, b.seq_id as actor_b, a.joint as joint_a, b.joint as joint_b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) as dist from a join b on a.frame = b.frame and a.gx = b.gx and a.gy = b.gy where a.seq_id < b.seq_id and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 40""",
     "interpenetration": f"""with {SKELETON}, a as (select * from pts where x is not null), n as (select a.frame, a.seq_id sa, b.seq_id sb, a.joint, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) d from a join a b on a.frame = b.frame and a.seq_id < b.seq_id group by all),
 j as (select frame, sa, sb, avg((d < 60)::int) f from n group by all) select frame, sa as actor_a, sb as actor_b, round(f, 6) as overlap_fraction from j where f >= 0.3""",
     "detection_iou": f"""with {DETS}, p as (select a.frame, a.cam, a.det_pos i, b.det_pos j, greatest(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2), 0) * greatest(least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2), 0) inter, greatest(a.w * a.h, 1) aa, greatest(b.w * b.h, 1) ab from dets a join dets b on a.frame = b.frame and a.cam = b.cam and a.det_pos < b.det_pos)
 select frame, cam, i, j, round(inter / greatest(aa + ab - inter, 1), 6) as iou from p where inter > 0""",
     "nearest_marker": f"""with {DETS}, m as (select frame, cam, det_pos, cx, cy from dets where det_pos > 0), b as (select frame, cam, det_pos as person, cx + 30 as tx, cy + 20 as ty from dets), d as (select m.frame, m.cam, m.det_pos as marker_id, person, sqrt((cx - tx) ** 2 + (cy - ty) ** 2) dist from m join b on b.frame = m.frame and b.cam = m.cam),
 r as (select *, row_number() over (partition by frame, cam, marker_id order by dist, person) k from d where dist <= 120) select frame, cam, marker_id, person, round(dist, 6) as dist from r where k = 1""",
-    "marker_votes": f"""with {DETS}, v as (select det_pos as marker, (cx::int % 4) as actor, cam from dets where frame % 5 = 0), c as (select marker, actor, count(*) n, min(cam) first_cam from v group by all), r as (select *, row_number() over (partition by marker order by n desc, first_cam, actor) k, sum(n) over (partition by marker) tot from c) select marker, actor, n as votes from r where k = 1 and (n >= 2 or tot = 1)""",
+    "marker_votes": f"""with {DETS}, v as (select det_pos as marker, (cx::int % 4) as actor, cam from dets), c as (select marker, actor, count(*) n, min(cam) first_cam from v group by all), r as (select *, row_number() over (partition by marker order by n desc, first_cam, actor) k, sum(n) over (partition by marker) tot from c) select marker, actor, n as votes from r where k = 1 and (n >= 2 or tot = 1)""",
     "shutter_severity": f"""with {SKELETON}, n as (select *, lag(frame) over j pf, lead(frame) over j nf, lag(x) over j px, lead(x) over j nx, lag(y) over j py, lead(y) over j ny, lag(z) over j pz, lead(z) over j nz from pts window j as (partition by seq_id, joint order by frame)),
 v as (select seq_id, frame, ((case when nf is null then x else nx end) - (case when pf is null then x else px end)) / nullif(coalesce(nf, frame) - coalesce(pf, frame), 0) * 30 vx, ((case when nf is null then y else ny end) - (case when pf is null then y else py end)) / nullif(coalesce(nf, frame) - coalesce(pf, frame), 0) * 30 vy, ((case when nf is null then z else nz end) - (case when pf is null then z else pz end)) / nullif(coalesce(nf, frame) - coalesce(pf, frame), 0) * 30 vz from n),
 d as (select seq_id, frame, max(sqrt(vx * vx + vy * vy + vz * vz)) * 0.016 dist from v group by all) select seq_id, frame, round(dist, 6) as distortion, case when dist > 5 then 'severe' when dist > 1 then 'moderate' else 'mild' end as severity from d where dist > 0.1""",
@@ -180,4 +191,18 @@ d as (select seq_id, frame, max(sqrt(vx * vx + vy * vy + vz * vz)) * 0.016 dist
     "bounding_boxes": f"""with {OBS} select seq_id, cam, frame, round(greatest(min(u) - 15, 0), 4) as x1, round(greatest(min(v) - 15, 0), 4) as y1, round(max(u) + 15, 4) as x2, round(max(v) + 15, 4) as y2 from obs where u is not null and not (u = 0 and v = 0) group by all""",
     "segment_means": f"""with {SKELETON} select seq_id, case when joint < 33 then 'body' end as segment, count(x) as n_valid, round(avg(x), 6) as mean_x, round(avg(y), 6) as mean_y, round(avg(z), 6) as mean_z from pts group by all""",
     "frame_spine": f"""with {DETS}, ends as (select min(frame) lo, max(frame) hi from dets), sp as (select unnest(range(lo, hi + 1)) frame from ends), c as (select frame, count(*) n from dets where conf >= 0.5 group by 1) select count(*) as frames, sum(coalesce(n, 0))::bigint as detections, round(avg(coalesce(n, 0)), 6) as mean_persons, max(coalesce(n, 0)) as max_persons, count(*) filter (n is null) as empty_frames from sp left join c using (frame)""",
+    "pin_feet": f"""with {SKELETON}, {SLOW_FEET},
+r as (select seq_id, side, min(frame) s, max(frame) e, count(*) n, avg(x) mx, avg(y) my, avg(z) mz from g group by seq_id, side, g having count(*) >= 3),
+sh as (select ft.seq_id, ft.side, ft.frame, least(1.0::double, (least(ft.frame - s, e - ft.frame) + 1) / (least(5, n // 2) + 1.0::double)) a, mx - x as dx, my - y as dy, mz - z as dz from ft join r on r.seq_id = ft.seq_id and r.side = ft.side and ft.frame between s and e)
+select p.seq_id, p.frame, p.joint, round(p.x + coalesce(a * dx, 0), 6) as x, round(p.y + coalesce(a * dy, 0), 6) as y, round(p.z + coalesce(a * dz, 0), 6) as z
+from pts p left join sh on sh.seq_id = p.seq_id and sh.frame = p.frame and sh.side = case when p.joint in (27, 29, 31) then 'left' when p.joint in (28, 30, 32) then 'right' end""",
+    "wrist_fix": f"""with {SKELETON}, st as (select seq_id, frame, joint, x, y, z, sqrt((x - lag(x) over j) ** 2 + (y - lag(y) over j) ** 2 + (z - lag(z) over j) ** 2) step from pts where joint in (15, 31) window j as (partition by seq_id, joint order by frame)),
+sm as (select *, avg(step) over (partition by seq_id, joint order by frame rows between 4 preceding and current row) sp from st),
+b as (select w.seq_id, w.frame, w.x - h.x dx, w.y - h.y dy, w.z - h.z dz, w.sp ws, h.sp hs, h.x hx, h.y hy, h.z hz, sqrt((w.x - h.x) ** 2 + (w.y - h.y) ** 2 + (w.z - h.z) ** 2) d from sm w join sm h on h.seq_id = w.seq_id and h.frame = w.frame and w.joint = 15 and h.joint = 31 where w.x is not null and h.x is not null),
+c as (select seq_id, quantile_cont(d, 0.5) + 3 * stddev_pop(d) lim from b group by 1),
+ra as (select p.seq_id, p.frame, count(p.x) n, avg(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2)) r from pts p join pts q on q.seq_id = p.seq_id and q.frame = p.frame and q.joint = 31 where p.joint in (31, 29, 32) and q.x is not null group by all),
+rd as (select seq_id, avg(r) radius from ra where n = 3 group by 1),
+m as (select p.seq_id, p.frame, p.joint, dx, dy, dz, (case when ws is null or hs is null then 0.5 when ws + hs > 0 then hs / (hs + ws) else 0 end) / (1 + sqrt((p.x - hx) ** 2 + (p.y - hy) ** 2 + (p.z - hz) ** 2) / coalesce(nullif(radius, 0), 1)) k
+from pts p join b on b.seq_id = p.seq_id and b.frame = p.frame join c on c.seq_id = p.seq_id left join rd on rd.seq_id = p.seq_id where p.joint in (31, 29, 32) and d > lim)
+select p.seq_id, p.frame, p.joint, round(p.x + coalesce(k * dx, 0), 6) as x, round(p.y + coalesce(k * dy, 0), 6) as y, round(p.z + coalesce(k * dz, 0), 6) as z from pts p left join m using (seq_id, frame, joint)""",
 }

@@ -149,7 +149,7 @@ def drift_alerts(p):
 
 @query("obs2d", 4)
 def self_occlusion(o):
-    return quality.self_occlusion(o, ratio=1.2)
+    return quality.self_occlusion(o)
 
 
 @query("obs2d")

@@ -329,3 +329,62 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], POINTS)
     for op in (gaps.body_gaps, gaps.time_drift, gaps.frame_confidence, quality.outlier_flags, quality.frame_drops, quality.desync, bones.rigid, bones.proportions, contact.pin_feet, filters.smooth):
         assert op(none).count() == 0
+
+
+# ---- the body alone counts, on the 553-point layout ----
+
+
+def dense(spark, frames=40, joints=553):
+    """All joints move by one unit a frame along x; hands and face are missing in every third frame."""
+    rows = [(0, f, j, *((float(f + j), float(j), 0.0) if j < 33 or f % 3 else (None, None, None))) for f in range(frames) for j in range(joints)]
+    return spark.createDataFrame(rows, "seq_id long, frame int, joint int, x double, y double, z double")
+
+
+def test_missing_face_and_hands_are_no_gaps(spark):
+    from strideframe.operators import gaps, quality
+
+    points = dense(spark)
+    assert gaps.body_gaps(points).count() == 0
+    conf = {r.frame: (r.visibility, round(r.confidence, 9)) for r in gaps.frame_confidence(points).collect()}
+    assert conf[0] == (1.0, 0.8) and conf[39] == (1.0, 0.8)
+    assert conf[20] == (1.0, round(0.6 + 0.4 / (1 + 10 / 3), 9))  # a third of the coordinates moves by 1, none speeds up
+    drops = quality.frame_drops(points).first()
+    assert (drops.frames, drops.empty_frames, drops.bursts, drops.median_speed) == (40, 0, 0, 30.0)
+    assert quality.quality_by_position(points).agg({"nan_rate": "max"}).first()[0] == 0.0
+
+
+def test_pinned_feet_fade_within_the_run(spark):
+    from strideframe.operators import contact
+
+    # The left foot creeps by 0.01 a frame in frames 10 to 29 and runs else.
+    x, rows = 0.0, []
+    for f in range(60):
+        x += 0.01 if 10 < f < 30 else 5.0
+        rows += [(0, f, j, x + j, 0.0, 0.0) for j in (27, 29, 31)]
+    points = spark.createDataFrame(rows, "seq_id long, frame int, joint int, x double, y double, z double")
+    run = contact.foot_contacts(points).first()
+    assert (run.start, run.end) == (11, 28)
+    before = {r.frame: r.x for r in points.where("joint = 27").collect()}
+    after = {r.frame: r.x for r in contact.pin_feet(points).where("joint = 27").collect()}
+    mean = sum(before[f] for f in range(11, 29)) / 18
+    for f in before:
+        a = min(1, (min(f - 11, 28 - f) + 1) / 6) if 11 <= f <= 28 else 0
+        assert after[f] == pytest.approx(before[f] + a * (mean - before[f]))
+
+
+@pytest.mark.parametrize("strategy", ["confidence_weighted", "average", "body_wins", "hand_wins"])
+def test_wrist_fix_moves_the_hand_only(spark, strategy):
+    from strideframe.operators import contact
+
+    rows = []
+    for f in range(30):
+        off = 100.0 if f == 20 else 1.0
+        rows += [(0, f, 15, float(f), 0.0, 0.0), (0, f, 33, f + off, 0.0, 0.0), (0, f, 34, f + off + 2, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "seq_id long, frame int, joint int, x double, y double, z double")
+    got = {(r.frame, r.joint): r.x for r in contact.fix_wrists(points, 15, [33, 34], strategy).collect()}
+    ws, hs = 1.0, (4 * 1.0 + 100.0) / 5  # means of the last five steps
+    share = {"confidence_weighted": hs / (hs + ws), "average": 0.5, "body_wins": 1.0, "hand_wins": 0.0}[strategy]
+    fade = 1 / (1 + 2 / 1.0) if strategy == "confidence_weighted" else 1.0  # two off the base, mean radius one
+    for f, j, x in ((r[1], r[2], r[3]) for r in rows):
+        move = -100.0 * share * (1.0 if j == 33 else fade) if f == 20 and j != 15 else 0.0
+        assert got[f, j] == pytest.approx(x + move)
