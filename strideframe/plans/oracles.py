@@ -205,4 +205,29 @@ rd as (select seq_id, avg(r) radius from ra where n = 3 group by 1),
 m as (select p.seq_id, p.frame, p.joint, dx, dy, dz, (case when ws is null or hs is null then 0.5 when ws + hs > 0 then hs / (hs + ws) else 0 end) / (1 + sqrt((p.x - hx) ** 2 + (p.y - hy) ** 2 + (p.z - hz) ** 2) / coalesce(nullif(radius, 0), 1)) k
 from pts p join b on b.seq_id = p.seq_id and b.frame = p.frame join c on c.seq_id = p.seq_id left join rd on rd.seq_id = p.seq_id where p.joint in (31, 29, 32) and d > lim)
 select p.seq_id, p.frame, p.joint, round(p.x + coalesce(k * dx, 0), 6) as x, round(p.y + coalesce(k * dy, 0), 6) as y, round(p.z + coalesce(k * dz, 0), 6) as z from pts p left join m using (seq_id, frame, joint)""",
+    "hand_quality": f"""with {MOVES}, hd as (select * from mv where joint in (15, 29, 30, 31, 32)), ce as (select seq_id, frame, avg(x) mx, avg(y) my, avg(z) mz from hd where x is not null group by all),
+sh as (select h.seq_id, h.frame, avg(sqrt((h.x - mx) ** 2 + (h.y - my) ** 2 + (h.z - mz) ** 2)) spread, avg(sqrt((h.x - w.x) ** 2 + (h.y - w.y) ** 2 + (h.z - w.z) ** 2)) dist from hd h join ce using (seq_id, frame) join pts w on w.seq_id = h.seq_id and w.frame = h.frame and w.joint = 13 where h.x is not null and w.x is not null group by all),
+wr as (select seq_id, count(*) k from sh where spread > 0 and dist > 0 and (spread / dist < 0.3 or spread / dist > 3) group by 1),
+fr as (select seq_id, frame, count(x) n, case when count(step) > 3 then avg(step) end st from hd group by all),
+su as (select seq_id, count(*) frames, avg(n) / 5 * 100 cov, coalesce(avg(st), 0) mj, coalesce(quantile_cont(st, 0.95), 0) pj from fr group by 1),
+sc as (select su.*, coalesce(k, 0) k, greatest(100 - case when cov < 50 then (50 - cov) * 0.5 else 0 end - case when mj > 20 then (mj - 20) * 0.3 else 0 end - case when coalesce(k, 0) > frames * 0.1 then 15 else 0 end, 0) score from su left join wr using (seq_id))
+select seq_id, round(cov, 6) as coverage, k as boundary_frames, round(k / frames * 100, 6) as boundary_rate, round(mj, 6) as mean_jitter, round(pj, 6) as p95_jitter, round(score, 6) as score, case when score < 60 then 'poor' when score < 80 then 'moderate' else 'good' end as severity from sc""",
+    "face_quality": f"""with {MOVES}, fc as (select seq_id, frame, count(x) n, avg(x) cx, avg(y) cy, avg(z) cz, max(z) - min(z) deep, greatest(max(x), max(y)) - least(min(x), min(y)) wide, count(step) k, avg(step) step from mv where joint in (7, 8, 9, 10, 11, 12) group by all),
+st as (select fc.*, lag(n) over (partition by fc.seq_id order by fc.frame) pn, case when n > 3 then deep / greatest(wide, 1e-6) end depth, sqrt((cx - w.x) ** 2 + (cy - w.y) ** 2 + (cz - w.z) ** 2) off_ from fc left join pts w on w.seq_id = fc.seq_id and w.frame = fc.frame and w.joint = 0 and w.x is not null),
+su as (select seq_id, avg(n) / 6 * 100 cov, coalesce(avg(depth) filter (depth > 0), 0) md, count(*) filter (depth > 0 and depth < 0.05) col, case when count(off_) > 5 then stddev_pop(off_) else 0 end nw, coalesce(avg(step) filter (n > 2 and pn > 2 and k > 1 and step > 0), 0) mj from st group by 1),
+sc as (select *, greatest(100 - case when cov < 50 then (50 - cov) * 0.5 else 0 end - least(col * 2, 30) - case when nw > 30 then least((nw - 30) * 0.5, 20) else 0 end - case when mj > 15 then least((mj - 15) * 0.5, 15) else 0 end, 0) score from su)
+select seq_id, round(cov, 6) as coverage, round(md, 6) as mean_depth, col as collapsed, round(nw, 6) as nose_wander, round(mj, 6) as mean_jitter, round(score, 6) as score, case when score < 60 then 'poor' when score < 80 then 'moderate' else 'good' end as severity from sc""",
+    "hand_blend": f"""with {SKELETON}, hd as (select *, case when lag(frame) over j is not null then sqrt(coalesce((x - lag(x) over j) ** 2, 0) + coalesce((y - lag(y) over j) ** 2, 0) + coalesce((z - lag(z) over j) ** 2, 0)) end step from pts where joint in (15, 29, 30, 31, 32) window j as (partition by seq_id, joint order by frame)),
+fr as (select seq_id, frame, count(x) / 5 as share, count(x) = 5 as whole, sum(step) moved, (frame * 3 % 10) / 10.0::double conf from hd group by all), us as (select seq_id, quantile_cont(moved, 0.5) usual from fr group by 1),
+q as (select fr.*, share * coalesce(greatest(1 - moved / ((case when usual > 0 then usual else 1 end) * 5 + 1e-8), 0), 1) quality from fr join us using (seq_id)),
+u as (select *, conf > 0.3 and (quality < 0.3 or not whole) as use_ from q),
+p as (select *, frame - max(case when use_ then frame end) over (partition by seq_id order by frame rows between 6 preceding and current row) - 1 as k from u),
+w as (select seq_id, frame, case when use_ then 1.0 when k between 1 and 5 then k / 6.0 end::double wt from p),
+b as (select p.*, w.wt, case when (p.joint + p.frame) % 7 > 0 then coalesce(p.x, 0) + 5 end ox, case when (p.joint + p.frame) % 7 > 0 then coalesce(p.y, 0) + 5 end oy, case when (p.joint + p.frame) % 7 > 0 then coalesce(p.z, 0) + 5 end oz from pts p left join w on w.seq_id = p.seq_id and w.frame = p.frame and p.joint in (15, 29, 30, 31, 32) and w.wt > 0)
+select seq_id, frame, joint, {", ".join(f"round(case when wt is null then {c} when x is null and ox is null then null else (1 - wt) * coalesce({c}, 0) + wt * coalesce(o{c}, 0) end, 6) as {c}" for c in "xyz")} from b""",
+    "fused_drops": f"""with dr as (FRAME_DROPS), st as (select seq_id, seq_id % 2 * 4 drops, seq_id / 10.0::double conf from dr where seq_id % 3 > 0)
+select dr.seq_id, round(case when drops is null then dr.confidence when drops > 0 and dr.confidence > 0.3 then least(0.99, greatest(conf, dr.confidence) + 0.03) when drops > 0 then conf when dr.confidence > 0.3 then dr.confidence * 0.7 else greatest(conf, dr.confidence) end, 6) as confidence,
+case when drops is null then 'motion_only' when drops > 0 and dr.confidence > 0.3 then 'both_agree' when drops > 0 then 'timestamps_only' when dr.confidence > 0.3 then 'motion_only_possible_artifact' else 'neither' end as source from dr left join st using (seq_id)""",
 }
+
+ORACLES["fused_drops"] = ORACLES["fused_drops"].replace("FRAME_DROPS", ORACLES["frame_drops"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import layouts
 from ..functions.geometry import distortion_weight
-from ..operators import bones, cameras, contact, filters, gaps, interact, quality, track
+from ..operators import bones, cameras, contact, filters, gaps, hands, interact, quality, track
 from ..sources import adapters
 from . import recording as recording_plan
 
@@ -261,6 +261,33 @@ def frame_spine(d):
     return interact.detection_counts(d)
 
 
+HAND = [15, 29, 30, 31, 32]
+
+
+@query("skeleton")
+def hand_quality(p):
+    return hands.hand_quality(p, 13, HAND)
+
+
+@query("skeleton")
+def face_quality(p):
+    return hands.face_quality(p, [7, 8, 9, 10, 11, 12], flat_points=3, jitter_points=2, jitter_pairs=1)
+
+
+@query("skeleton")
+def hand_blend(p):
+    there = F.pmod(F.col("joint") + F.col("frame"), F.lit(7)) > 0
+    other = p.select("seq_id", "frame", "joint", *[F.when(there, F.coalesce(c, F.lit(0.0)) + 5).alias(c) for c in "xyz"])
+    conf = p.select("seq_id", "frame").distinct().withColumn("conf", F.pmod(F.col("frame") * 3, F.lit(10)) / 10.0)
+    return hands.blend_hands(p, other, conf, HAND)
+
+
+@query("skeleton")
+def fused_drops(p):
+    stamps = p.where("pmod(seq_id, 3) > 0").groupBy("seq_id").agg((F.max("seq_id") % 2 * 4).alias("drops"), (F.max("seq_id") / 10.0).alias("confidence"))
+    return hands.fused_drops(quality.frame_drops(p), stamps)
+
+
 # ---- operators without an SQL form: ordered recursions and linear algebra; tests hold them against plain versions ----
 
 
