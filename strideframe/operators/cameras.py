@@ -105,3 +105,48 @@ def coverage(cameras: DataFrame, grid: DataFrame) -> DataFrame:
     seen = in_frustum("x", "y", "z", "cx", "cy", "cz", "dx", "dy", "dz", "h_fov", "v_fov")
     cells = grid.join(F.broadcast(cameras), how="cross").groupBy("x", "y", "z").agg(F.count_if(seen).alias("n"))
     return cells.groupBy("x", "z").agg(F.max("n").alias("n_cams"))
+
+
+def coverage_heatmap(cameras: DataFrame, grid: DataFrame, width: float = 640.0, height: float = 480.0) -> DataFrame:
+    """(x, z, n_cams): how many cameras (cam, p) have a cell of ``grid`` (x, y, z) in their image, the most over heights.
+
+    Points behind a camera count by where they project. Cameras are a handful and are broadcast.
+    """
+    u, v = project("p", "x", "y", "z")
+    seen = F.coalesce((u >= 0) & (u < width) & (v >= 0) & (v < height), F.lit(False))
+    cells = grid.join(F.broadcast(cameras), how="cross").groupBy("x", "y", "z").agg(F.count_if(seen).alias("n"))
+    return cells.groupBy("x", "z").agg(F.max("n").alias("n_cams"))
+
+
+def coverage_summary(heatmap: DataFrame) -> DataFrame:
+    """(n_cams, cells, percent, percent_or_more) for each number of cameras that some cell has."""
+    counts = heatmap.groupBy("n_cams").agg(F.count(F.lit(1)).alias("cells"))
+    total = heatmap.agg(F.count(F.lit(1)).alias("total"))
+    more = counts.select(F.col("n_cams").alias("k"), F.col("cells").alias("c"))  # numbers of cameras: a handful
+    at_least = counts.join(F.broadcast(more), F.col("k") >= F.col("n_cams")).groupBy("n_cams", "cells").agg(F.sum("c").alias("or_more"))
+    return at_least.join(F.broadcast(total), how="cross").select("n_cams", "cells", (F.col("cells") / F.col("total") * 100).alias("percent"), (F.col("or_more") / F.col("total") * 100).alias("percent_or_more"))
+
+
+def same_time(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(t, frame_a, frame_b): the frames of two cameras (t, frame) that have one time stamp."""
+    return a.select("t", F.col("frame").alias("frame_a")).join(b.select("t", F.col("frame").alias("frame_b")), "t")
+
+
+def unmatched(dets: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
+    """The detections that are in no match."""
+    return dets.join(matched.select(*keys), keys, "left_anti")
+
+
+def pose_similarity(a: DataFrame, b: DataFrame, conf: float = 0.3, scale: float = 50.0) -> DataFrame:
+    """(seq_id, frame, similarity) of the poses of two cameras (seq_id, frame, joint, u, v, conf): exp(-mean distance / scale) over joints both are sure of, else 0."""
+    both = a.join(b.select("seq_id", "frame", "joint", F.col("u").alias("bu"), F.col("v").alias("bv"), F.col("conf").alias("bc")), ["seq_id", "frame", "joint"])
+    apart = F.sqrt((F.col("u") - F.col("bu")) * (F.col("u") - F.col("bu")) + (F.col("v") - F.col("bv")) * (F.col("v") - F.col("bv")))
+    mean = F.avg(F.when((F.col("conf") > conf) & (F.col("bc") > conf), apart))
+    return both.groupBy("seq_id", "frame").agg(F.coalesce(F.exp(-mean / scale), F.lit(0.0)).alias("similarity"))
+
+
+def near_plane(points: DataFrame, normal: tuple[float, float, float], point: tuple[float, float, float], most: float = 30.0) -> DataFrame:
+    """The points closer than ``most`` to a plane; missing points are not."""
+    size = sum(c * c for c in normal) ** 0.5
+    off = F.abs(sum((F.col(c) - p) * (n / size) for c, p, n in zip("xyz", point, normal, strict=True)))
+    return points.where(off < most)

@@ -228,6 +228,19 @@ select seq_id, frame, joint, {", ".join(f"round(case when wt is null then {c} wh
     "fused_drops": f"""with dr as (FRAME_DROPS), st as (select seq_id, seq_id % 2 * 4 drops, seq_id / 10.0::double conf from dr where seq_id % 3 > 0)
 select dr.seq_id, round(case when drops is null then dr.confidence when drops > 0 and dr.confidence > 0.3 then least(0.99, greatest(conf, dr.confidence) + 0.03) when drops > 0 then conf when dr.confidence > 0.3 then dr.confidence * 0.7 else greatest(conf, dr.confidence) end, 6) as confidence,
 case when drops is null then 'motion_only' when drops > 0 and dr.confidence > 0.3 then 'both_agree' when drops > 0 then 'timestamps_only' when dr.confidence > 0.3 then 'motion_only_possible_artifact' else 'neither' end as source from dr left join st using (seq_id)""",
+    "coverage_heatmap": f"""with {SKELETON}, grid as (select distinct floor(x / 100) * 100 gx, floor(y / 100) * 100 gy, floor(z / 100) * 100 gz from pts where x is not null), cams(cam, {", ".join(_P)}) as (values {_values([(c, *p) for c, p in CAMERAS])}),
+hm as (select gx, gy, gz, p1 * gx + p2 * gy + p3 * gz + p4 hu, p5 * gx + p6 * gy + p7 * gz + p8 hv, p9 * gx + p10 * gy + p11 * gz + p12 hw from grid, cams),
+ce as (select gx, gy, gz, count(*) filter (abs(hw) > 1e-10 and hu / hw >= 0 and hu / hw < 300 and hv / hw >= 0 and hv / hw < 230) n from hm group by all), ht as (select gx as x, gz as z, max(n) as n_cams from ce group by all)
+select x, z, n_cams from ht""",
+    "coverage_summary": f"""with {SKELETON}, grid as (select distinct floor(x / 100) * 100 gx, floor(y / 100) * 100 gy, floor(z / 100) * 100 gz from pts where x is not null), cams(cam, {", ".join(_P)}) as (values {_values([(c, *p) for c, p in CAMERAS])}),
+hm as (select gx, gy, gz, p1 * gx + p2 * gy + p3 * gz + p4 hu, p5 * gx + p6 * gy + p7 * gz + p8 hv, p9 * gx + p10 * gy + p11 * gz + p12 hw from grid, cams),
+ce as (select gx, gy, gz, count(*) filter (abs(hw) > 1e-10 and hu / hw >= 0 and hu / hw < 300 and hv / hw >= 0 and hv / hw < 230) n from hm group by all), ht as (select gx as x, gz as z, max(n) as n_cams from ce group by all),
+c as (select n_cams, count(*) cells from ht group by 1)
+select n_cams, cells, round(cells / (select sum(cells) from c) * 100, 6) as percent, round((select sum(d.cells) from c d where d.n_cams >= c.n_cams) / (select sum(cells) from c) * 100, 6) as percent_or_more from c""",
+    "same_time": f"""with {STAMPS} select floor(a.t)::bigint as t, a.frame as frame_a, b.frame as frame_b from stamps a join stamps b on floor(a.t) = floor(b.t) and a.cam = 'click' and b.cam = 'purchase'""",
+    "unmatched_detections": f"""with {DETS} select frame, det_pos, round(cx, 6) as cx, round(cy, 6) as cy from dets a where cam = 0 and not exists (select 1 from dets b where b.cam = 1 and b.frame = a.frame and b.det_pos = a.det_pos)""",
+    "pose_similarity": f"""with {OBS} select a.seq_id, a.frame, round(coalesce(exp(-avg(sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2)) filter (a.conf > 0.3 and b.conf > 0.3) / 50), 0), 6) as similarity from obs a join obs b on a.seq_id = b.seq_id and a.frame = b.frame and a.joint = b.joint and a.cam = 0 and b.cam = 1 group by all""",
+    "near_plane": f"""with {SKELETON} select seq_id, frame, joint, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from pts where abs((2 * (y - 100) + z) / sqrt(5)) < 60""",
 }
 
 ORACLES["fused_drops"] = ORACLES["fused_drops"].replace("FRAME_DROPS", ORACLES["frame_drops"])

@@ -288,6 +288,39 @@ def fused_drops(p):
     return hands.fused_drops(quality.frame_drops(p), stamps)
 
 
+@query("skeleton")
+def coverage_heatmap(p):
+    grid = p.where("x is not null").select(*[(F.floor(F.col(c) / 100) * 100).cast("double").alias(c) for c in "xyz"]).distinct()
+    return cameras.coverage_heatmap(adapters.cameras(p.sparkSession), grid, 300.0, 230.0)
+
+
+@query("skeleton")
+def coverage_summary(p):
+    grid = p.where("x is not null").select(*[(F.floor(F.col(c) / 100) * 100).cast("double").alias(c) for c in "xyz"]).distinct()
+    return cameras.coverage_summary(cameras.coverage_heatmap(adapters.cameras(p.sparkSession), grid, 300.0, 230.0))
+
+
+@query("cam_ts")
+def same_time(t):
+    whole = t.withColumn("t", F.floor("t"))
+    return cameras.same_time(whole.where("cam = 'click'"), whole.where("cam = 'purchase'"))
+
+
+@query("detections")
+def unmatched_detections(d):
+    return cameras.unmatched(d.where("cam = 0"), d.where("cam = 1"), ["frame", "det_pos"]).select("frame", "det_pos", "cx", "cy")
+
+
+@query("obs2d")
+def pose_similarity(o):
+    return cameras.pose_similarity(o.where("cam = 0"), o.where("cam = 1"))
+
+
+@query("skeleton")
+def near_plane(p):
+    return cameras.near_plane(p, (0.0, 2.0, 1.0), (0.0, 100.0, 0.0), 60.0)
+
+
 # ---- operators without an SQL form: ordered recursions and linear algebra; tests hold them against plain versions ----
 
 
