@@ -7,14 +7,16 @@ weighted probabilities are mixed half and half. After training, a decision's pro
 posterior mixture along its context path (a context not seen in training leaves the rest of the path out), so the
 sum of its logarithms is the code length of the text.
 
-Training counts byte grams of DEPTH + 1 bytes in every partition, sums them by gram in a shuffle, and builds the
-tree in partitions that hold all contexts ending in the same two bytes; the two levels above have at most 65,280
-nodes and are built on the driver. Scoring needs one number for each distinct gram: these come in
-blocks of at most ``BLOCK_ROWS`` sorted rows, each broadcast for one pass over the texts, and partial sums
-are added by document. So memory is bounded at any size, and the model grows with the corpus.
+The rows are dealt to chunks of about ``CHUNK_BYTES`` of text by a hash of id and text. Training sends each
+chunk's distinct grams and their counts, packed, to slots that hold all contexts ending in the same two bytes;
+a slot sums them and builds its part of the tree, ``BLOCK_GRAMS`` grams at a time down to three context bytes. The two levels
+above the slots have at most 65,280 nodes and are built on the driver. For scoring each slot answers every chunk with one
+number for each gram that the chunk holds, and a chunk's texts are summed beside the answers. So the texts are read twice
+at any size, nothing that grows with the corpus goes through the driver or a broadcast, and the model grows with the corpus.
 
 Defined results: a null or empty text is the end token alone; a null id counts as the empty text in the split; rows of
-equal id and text give one row; without training rows every decision has probability one half.
+equal id and text give one row (each counts in training); other columns are left out; an empty table gives no rows; without
+training rows every decision has probability one half.
 """
 
 from __future__ import annotations
@@ -27,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_shuffle, pieces, shared_dir, signed, staged, word_hashes
+from .common import discard, n_shuffle, pieces, shared_dir, staged, word_hashes
 
 DEPTH = 5
 END = b"\n"
-BLOCK_ROWS = 6_000_000
+CHUNK_BYTES = 16 << 20
+BLOCK_GRAMS = 250_000
+SLOTS = 256  # at least; more where there are many chunks
 HELD_OUT, FOLDS = 2, 7
-_HOLD = 3_000_000  # counts a task keeps before it emits them
+_HOLD = 3_000_000  # counts a task keeps before it folds them
+_RUN = 1 << 16  # positions that fit beside a gram in one word
 
 
 def held_out(doc_id) -> bool:
@@ -61,58 +66,127 @@ def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, np.cumsum(lens), end[0]), lens + 1
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """64-bit values as bytes of equal weight side by side, compressed, after their length."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(x: bytes, dtype=np.int64) -> np.ndarray:
+    size = int.from_bytes(x[:8], "little")
+    raw = pa.Codec("zstd").decompress(x[8:], size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(dtype).ravel()
+
+
+def _pack_keys(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.int64(0)))  # sorted; differences wrap around and back
+
+
+def _unpack_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(x))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array and where each starts, with the array's end."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.append(at, len(x))
+
+
 class _Counts:
     """Sums of counts by key, folded together whenever many are held."""
 
     def __init__(self):
         self.keys, self.sums, self.held = [], [], 0
 
-    def add(self, keys: np.ndarray, train: np.ndarray) -> None:
-        k, inverse = np.unique(keys, return_inverse=True)
-        self.keys.append(k)
-        self.sums.append(np.bincount(inverse, train, len(k)).astype(np.int64))
-        self.held += len(k)
-        if self.held > _HOLD and len(self.keys) > 1:
+    def add(self, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.sums.append(sums)
+        self.held += len(keys)
+        if self.held > _HOLD and self.held > 2 * len(self.keys[0]):
             self.fold()
 
     def fold(self) -> None:
-        k, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-        s = np.zeros(len(k), np.int64)
-        np.add.at(s, inverse, np.concatenate(self.sums))
-        self.keys, self.sums, self.held = [k], [s], len(k)
+        keys, sums = np.concatenate(self.keys), np.concatenate(self.sums)
+        order = np.argsort(keys, kind="stable")
+        k, at = _runs(keys[order])
+        self.keys, self.sums, self.held = [k], [np.add.reduceat(sums[order], at[:-1]) if len(k) else sums], len(k)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys and their sums."""
+        if not self.keys:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.fold()
-        out = self.keys[0], self.sums[0]
-        self.keys, self.sums, self.held = [], [], 0
-        return out
+        return self.keys[0], self.sums[0]
 
 
-def count_keys(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) with n in training rows: kind 0 byte grams (0 where only held-out rows have it), kind 1 tokens."""
+def _gram_counts(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and how often each is in training rows (0 where only held-out rows have it)."""
+    marked, at = _runs(np.sort(grams << 1 | train))
+    k, first = _runs(marked >> 1)
+    return k, np.add.reduceat(np.where(marked & 1, np.diff(at), 0), first[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [_Counts(), _Counts()]
 
-        def emit(kind):
-            k, n = counts[kind].take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), signed(k) if k.dtype == np.uint64 else pa.array(k), pa.array(n)], ["kind", "key", "n"])
+def _token_counts(tokens: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k, _ = _runs(np.sort(tokens))
+    seen, at = _runs(np.sort(tokens[train]))
+    n = np.zeros(len(k), np.int64)
+    n[np.searchsorted(k, seen)] = np.diff(at)
+    return k, n
+
+
+def _slots(kind: int, keys: np.ndarray, slots: int) -> np.ndarray:
+    """Grams by the last two bytes of their context, tokens by their hash, in slots of their own."""
+    if kind:
+        return slots + (keys & (slots - 1))
+    return ((keys >> 8 & 65535) * 40503 & 65535) * slots >> 16
+
+
+def _spans(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The runs of equal values of the columns in a batch, with the values."""
+    cols = [batch.column(c).to_numpy() for c in columns]
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    ends = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+    for a, z in zip(ends[:-1], ends[1:], strict=True):
+        if z > a:
+            yield tuple(int(c[a]) for c in cols), batch.slice(a, z - a)
+
+
+def chunk_counts(dealt: DataFrame, slots: int) -> DataFrame:
+    """(chunk, slot, keys, counts): what each chunk holds, packed by slot. ``dealt`` is partitioned and sorted by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, counts = None, None
+
+        def emit():
+            for kind in (0, 1):
+                k, n = counts[kind].take()
+                slot = _slots(kind, k, slots)
+                order = np.argsort(slot, kind="stable")
+                own, at = _runs(slot[order])
+                k, n = k[order], n[order]
+                rows = [(current, int(own[j]), _pack_keys(k[at[j] : at[j + 1]]), _pack(n[at[j] : at[j + 1]])) for j in range(len(own))]
+                for first in range(0, len(rows), 64):
+                    chunk, slot_, keys, sums = zip(*rows[first : first + 64], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(slot_, pa.int32()), pa.array(keys, pa.binary()), pa.array(sums, pa.binary())], ["chunk", "slot", "keys", "counts"])
 
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            for first, texts in pieces(b, "text"):
-                texts = [t.lower() for t in texts]
-                train = np.array([not held_out(i) for i in ids[first : first + len(texts)]])
-                for kind, (keys, lens) in enumerate((byte_grams(texts), token_keys(texts))):
-                    counts[kind].add(keys, np.repeat(train, lens))
-                    if counts[kind].held > _HOLD:
-                        yield emit(kind)
-        for kind in (0, 1):
-            if counts[kind].keys:
-                yield emit(kind)
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "kind int, key long, n long")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+            for (chunk,), part in _spans(b, ["chunk"]):
+                if chunk != current:
+                    if counts is not None:
+                        yield from emit()
+                    current, counts = chunk, (_Counts(), _Counts())
+                ids = part.column("doc_id").to_pylist()
+                for first, texts in pieces(part, "text"):
+                    texts = [t.lower() for t in texts]
+                    train = np.array([not held_out(i) for i in ids[first : first + len(texts)]])
+                    grams, lens = byte_grams(texts)
+                    counts[0].add(*_gram_counts(grams, np.repeat(train, lens)))
+                    tokens, lens = token_keys(texts)
+                    counts[1].add(*_token_counts(tokens.view(np.int64), np.repeat(train, lens)))
+        if counts is not None:
+            yield from emit()
+
+    return dealt.select("chunk", "doc_id", "text").mapInArrow(run, "chunk int, slot int, keys binary, counts binary")
 
 
 # ---- the tree ---------------------------------------------------------------------------------
@@ -168,15 +242,36 @@ class Level:
         return np.where(n0 + n1 > 0, p, np.nan)
 
 
-def deep_levels(node: np.ndarray, bit: np.ndarray, n: np.ndarray) -> list[Level]:
-    """Levels DEPTH down to 2."""
+def deep_levels(grams: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels DEPTH down to 3."""
+    node, bit = _decisions(grams)
+    n = np.repeat(n, 8)
     key, inverse = np.unique(node, return_inverse=True)
     levels = [Level(key, np.bincount(inverse, n * (bit == 0), len(key)), np.bincount(inverse, n * (bit == 1), len(key)))]
-    for depth in range(DEPTH - 1, 1, -1):
+    for depth in range(DEPTH - 1, 2, -1):
         levels.append(Level(*levels[-1].above(depth)))
     return levels
 
 
+def _blocks(grams: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of the grams in blocks of about BLOCK_GRAMS that hold whole contexts of three bytes."""
+    context = grams >> 8 & 0xFFFFFF
+    order = np.argsort(context, kind="stable")
+    _, at = _runs(context[order])
+    first = 0
+    for end in at[1:].tolist():
+        if end - first >= BLOCK_GRAMS or end == len(grams):
+            yield order[first:end]
+            first = end
+
+
+def slot_sums(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """At level 2, from all grams of a slot: keys, zeros, ones, log weighted probability below."""
+    parts = [deep_levels(grams[at], n[at])[-1].above(2) for at in _blocks(grams)]
+    key, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return key, *(np.bincount(inverse, np.concatenate([p[j] for p in parts]), len(key)) for j in (1, 2, 3))
+
+
 def top_levels(rows: list[tuple]) -> list[Level]:
     """Levels 1 and 0 from the sums at level 1: (key, zeros, ones, log weighted probability below)."""
     key, n0, n1, below = (np.array(x) for x in zip(*rows, strict=True))
@@ -185,64 +280,113 @@ def top_levels(rows: list[tuple]) -> list[Level]:
     return [one, Level(*one.above(0))]
 
 
-def _table(batches) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches]
-    return (np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.zeros(0, np.int64),) * 2
+def merged_counts(requests: DataFrame, slots: int, parts: int) -> DataFrame:
+    """(slot, keys, counts, two, n, seen): the sums of each slot over all chunks, and for grams the sums at level 2."""
+
+    def run(batches):
+        current, counts = None, None
+
+        def emit():
+            k, n = counts.take()
+            two = b"" if current >= slots else b"".join(len(x).to_bytes(8, "little") + x for x in map(_pack, slot_sums(k, n)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([current], pa.int32()), pa.array([_pack_keys(k)], pa.binary()), pa.array([_pack(n)], pa.binary()), pa.array([two], pa.binary()), pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])],
+                ["slot", "keys", "counts", "two", "n", "seen"],
+            )
+
+        for b in batches:
+            for (slot,), part in _spans(b, ["slot"]):
+                if slot != current:
+                    if counts is not None:
+                        yield from emit()
+                    current, counts = slot, _Counts()
+                for keys, sums in zip(part.column("keys").to_pylist(), part.column("counts").to_pylist(), strict=True):
+                    counts.add(_unpack_keys(keys), _unpack(sums))
+        if counts is not None:
+            yield from emit()
 
+    dealt = requests.select("slot", "keys", "counts").repartition(parts, "slot").sortWithinPartitions("slot")
+    return dealt.mapInArrow(run, "slot int, keys binary, counts binary, two binary, n long, seen long")
 
-def gram_logs(counts: DataFrame) -> DataFrame:
-    """(key, log10 probability of the gram's last byte after the others) of counted grams (key, n)."""
-    dealt = counts.select("key", "n").repartition(n_shuffle(counts.sparkSession), F.shiftright("key", 8).bitwiseAND(65535))
 
-    def sums(batches):
-        grams, n = _table(batches)
-        if len(grams):
-            node, bit = _decisions(grams)
-            key, n0, n1, below = deep_levels(node, bit, np.repeat(n, 8))[-1].above(1)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key), "n0": pa.array(n0), "n1": pa.array(n1), "below": pa.array(below)})
+def _level_two(two: bytes) -> tuple[np.ndarray, ...]:
+    out, at = [], 0
+    for dtype in (np.int64, float, float, float):
+        size = int.from_bytes(two[at : at + 8], "little")
+        out.append(_unpack(two[at + 8 : at + 8 + size], dtype))
+        at += 8 + size
+    return tuple(out)
 
-    rows = dealt.mapInArrow(sums, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
-    if not rows:
-        return counts.select("key", F.lit(0.0).alias("value"))
-    top = counts.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
 
-    def logs(batches):
-        grams, n = _table(batches)
-        if not len(grams):
-            return
-        node, bit = _decisions(grams)
+def tree_top(merged: DataFrame, slots: int) -> list[Level]:
+    """Levels 1 and 0: at most 65,280 sums reach the driver."""
+
+    def run(batches):
+        for b in batches:
+            for two in b.column("two").to_pylist():
+                key, n0, n1, below = Level(*_level_two(two)).above(1)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "n0": pa.array(n0), "n1": pa.array(n1), "below": pa.array(below)})
+
+    sums = merged.where(F.col("slot") < slots).select("two").mapInArrow(run, "key long, n0 double, n1 double, below double")
+    rows = sums.groupBy("key").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
+    return top_levels([tuple(r) for r in rows]) if rows else []
+
+
+def gram_logs(grams: np.ndarray, n: np.ndarray, upper: list[Level]) -> np.ndarray:
+    """log10 probability of the last byte of each gram after the others, given the levels from 2 up."""
+    out = np.zeros(len(grams))
+    for at in _blocks(grams):
+        node, bit = _decisions(grams[at])
         p = np.full(len(node), np.nan)
-        depth = DEPTH
-        for level in deep_levels(node, bit, np.repeat(n, 8)) + top_levels(top.value):
+        for depth, level in zip(range(DEPTH, -1, -1), deep_levels(grams[at], n[at]) + upper, strict=True):
             p = level.mix(_parent(node, depth), bit, p)
-            depth -= 1
-        value = np.log10(np.where(np.isnan(p), 0.5, p)).reshape(-1, 8).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(value)], ["key", "value"])
+        out[at] = np.log10(np.where(np.isnan(p), 0.5, p)).reshape(-1, 8).sum(axis=1)
+    return out
 
-    return dealt.mapInArrow(logs, "key long, value double")
 
+def answers(requests: DataFrame, merged: DataFrame, top: list[Level], slots: int, parts: int) -> DataFrame:
+    """(chunk, slot, keys, values): for each gram of a chunk its logarithm, for each token log10(count + 1), NaN where untrained."""
+    shared = requests.sparkSession.sparkContext.broadcast(top)
 
-# ---- scoring ----------------------------------------------------------------------------------
+    def run(batches):
+        keys, values = None, None
+        for b in batches:
+            asked = [], [], [], []
+            for chunk, slot, own, n, two in zip(*(b.column(c).to_pylist() for c in ("chunk", "slot", "keys", "counts", "two")), strict=True):
+                if chunk < 0:  # the slot's own row comes first
+                    keys, n = _unpack_keys(own), _unpack(n)
+                    if slot < slots:
+                        values = gram_logs(keys, n, [Level(*_level_two(two)), *shared.value])
+                    else:
+                        values = np.where(n > 0, np.log10(n + 1.0), np.nan)
+                else:
+                    for out, x in zip(asked, (chunk, slot, own, _pack(values[np.searchsorted(keys, _unpack_keys(own))])), strict=True):
+                        out.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[0], pa.int32()), pa.array(asked[1], pa.int32()), pa.array(asked[2], pa.binary()), pa.array(asked[3], pa.binary())], ["chunk", "slot", "keys", "values"])
+
+    none = F.lit(None).cast("binary")
+    rows = requests.select("chunk", "slot", "keys", none.alias("counts"), none.alias("two"))
+    rows = rows.unionByName(merged.select(F.lit(-1).alias("chunk"), "slot", "keys", "counts", "two"))
+    dealt = rows.repartition(parts, "slot").sortWithinPartitions("slot", "chunk")
+    return dealt.mapInArrow(run, "chunk int, slot int, keys binary, values binary")
 
 
-def _blocks(df: DataFrame, columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of ``df`` as sorted arrays, at most about BLOCK_ROWS at a time."""
-    n = df.count() // BLOCK_ROWS + 1
-    for k in range(n):
-        part = df.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).select(*columns).toArrow()
-        got = {c: part.column(c).to_numpy() for c in columns}
-        order = np.argsort(got["key"])
-        yield {c: v[order] for c, v in got.items()}
+# ---- scoring ----------------------------------------------------------------------------------
 
 
-def _sums(table, keys: np.ndarray, lens: np.ndarray, docs: int) -> list[np.ndarray]:
-    """For each text: the sum of its keys' values in the block, and how many keys it holds."""
-    k, inverse = np.unique(keys, return_inverse=True)
-    at = np.minimum(np.searchsorted(table["key"], k), max(len(table["key"]) - 1, 0))
-    known = table["key"][at] == k if len(table["key"]) else np.zeros(len(k), bool)
-    value = np.where(known, table["value"][at], 0.0) if len(table["key"]) else np.zeros(len(k))
-    owner = np.repeat(np.arange(docs), lens)
-    return [np.bincount(owner, value[inverse], docs), np.bincount(owner, known[inverse], docs).astype(np.int64)]
+def _look_up(keys: np.ndarray, values: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The value of every gram; the grams are sorted in runs so that neighbours meet neighbours in the table."""
+    n = len(grams)
+    rows = -(-n // _RUN)
+    packed = np.zeros(rows * _RUN, np.uint64)
+    packed[:n] = grams.astype(np.uint64) << np.uint64(16)
+    packed[n:] = packed[0]
+    packed |= np.tile(np.arange(_RUN, dtype=np.uint64), rows)
+    packed = np.sort(packed.reshape(rows, _RUN), axis=1)
+    place = (packed & np.uint64(_RUN - 1)).astype(np.int64) + (np.arange(rows) * _RUN)[:, None]
+    out = np.empty(rows * _RUN)
+    out[place.ravel()] = values[np.searchsorted(keys, (packed >> np.uint64(16)).astype(np.int64).ravel())]
+    return out[:n]
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,46 +394,56 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
     folder = shared_dir(spark)
-    counts = count_keys(base)
-    counts.write.partitionBy("kind").parquet(f"{folder}/counts")
-    counts = spark.read.schema("key long, n long, kind int").parquet(f"{folder}/counts")
-    tokens = counts.where("kind = 1 and n > 0")
-    size = tokens.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, kinds = size.n or 0, size.v
-    grams = staged(gram_logs(counts.where("kind = 0")), f"{folder}/grams")
-    words = tokens.select("key", F.log10(F.col("n") + 1).alias("value"))
+    size = base.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    chunks = size // CHUNK_BYTES + 1
+    slots = SLOTS
+    while slots < min(chunks // 4, 65536):
+        slots *= 2
+    parts = max(n_shuffle(spark), chunks // 4)
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row"), F.lit(chunks)).cast("int"))
+    requests = staged(chunk_counts(base.repartition(parts, "chunk").sortWithinPartitions("chunk"), slots), f"{folder}/requests")
+    merged = staged(merged_counts(requests, slots, min(parts, 2 * slots)), f"{folder}/merged")
+    tokens = merged.where(F.col("slot") >= slots).agg(F.sum("n").alias("n"), F.sum("seen").alias("v")).first()
+    total, kinds = tokens.n or 0, tokens.v or 0
+    known = staged(answers(requests, merged, tree_top(merged, slots), slots, min(parts, 2 * slots)), f"{folder}/answers")
+    for done in ("requests", "merged"):
+        discard(spark, f"{folder}/{done}")
     kind = base.schema["doc_id"].dataType.simpleString()
-    columns = "n_tokens long, n_bytes long, base double, known long, score double"
     unseen = np.log10(total + kinds + 1.0)
 
-    out = None
-    empty = {"key": np.zeros(0, np.int64), "value": np.zeros(0)}
-    gram_blocks, word_blocks = _blocks(grams, ["key", "value"]), _blocks(words, ["key", "value"])
-    passes = 0
-    while True:
-        pair = next(gram_blocks, None), next(word_blocks, None)
-        if pair == (None, None):
-            break
-        shared = spark.sparkContext.broadcast(tuple(x if x is not None else empty for x in pair))
-
-        def run(batches, shared=shared, first=passes == 0):
-            for b in batches:
-                for at, texts in pieces(b, "text", 2 << 20):
+    def run(batches):
+        current, held, tables = None, None, None
+        for b in batches:
+            for (chunk, is_text), part in _spans(b, ["chunk", "is_text"]):
+                if chunk != current:
+                    current, held, tables = chunk, [], None
+                if not is_text:
+                    held += zip(part.column("slot").to_pylist(), part.column("keys").to_pylist(), part.column("values").to_pylist(), strict=True)
+                    continue
+                if tables is None:
+                    tables = []
+                    for wanted in (False, True):
+                        rows = [(_unpack_keys(k), _unpack(v, float)) for slot, k, v in held if (slot >= slots) == wanted]
+                        k, v = (np.concatenate(x) for x in zip(*rows, strict=True))
+                        order = np.argsort(k)
+                        tables.append((k[order], v[order]))
+                    held = []
+                for at, texts in pieces(part, "text", 2 << 20):
                     texts = [t.lower() for t in texts]
                     n = len(texts)
                     g, g_lens = byte_grams(texts)
+                    score = np.bincount(np.repeat(np.arange(n), g_lens), _look_up(*tables[0], g), n)
                     t, t_lens = token_keys(texts)
-                    score, _ = _sums(shared.value[0], g, g_lens, n)
-                    known, hits = _sums(shared.value[1], t.view(np.int64), t_lens, n)
-                    zero = np.zeros(n, np.int64)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("row").slice(at, n), pa.array(t_lens if first else zero), pa.array(g_lens if first else zero), pa.array(known), pa.array(hits), pa.array(score)], ["doc_id", "row", "n_tokens", "n_bytes", "base", "known", "score"])
-
-        part = base.mapInArrow(run, f"doc_id {kind}, row long, {columns}")
-        out = part if out is None else out.unionByName(part)
-        passes += 1
-    copies = F.count(F.lit(1)) / passes
-    whole = ("n_tokens", "n_bytes", "known")
-    out = out.groupBy("doc_id", "row").agg(*[(F.sum(c) / copies).cast("long" if c in whole else "double").alias(c) for c in (*whole, "base", "score")])
+                    value = tables[1][1][np.searchsorted(tables[1][0], t.view(np.int64))]
+                    seen, owner = ~np.isnan(value), np.repeat(np.arange(n), t_lens)
+                    sums = np.bincount(owner, np.nan_to_num(value), n)
+                    hits = np.bincount(owner, seen, n).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, n), part.column("row").slice(at, n), pa.array(t_lens), pa.array(g_lens), pa.array(sums), pa.array(hits), pa.array(score)], ["doc_id", "row", "n_tokens", "n_bytes", "base", "known", "score"])
+
+    rows = base.withColumn("is_text", F.lit(1)).unionByName(known.withColumn("is_text", F.lit(0)), allowMissingColumns=True)
+    rows = rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "is_text")
+    out = rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_bytes long, base double, known long, score double")
+    out = out.groupBy("doc_id", "row").agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_bytes", "known", "base", "score")])
     is_held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
     return out.select(
         "doc_id",

@@ -262,12 +262,27 @@ def test_tree_scores_equal_the_plain_tree(spark, monkeypatch):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tok(t)), sum(c[w] > 0 for w in tok(t)), n)
         assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)))
-    monkeypatch.setattr(tree_score, "BLOCK_ROWS", 150)  # many passes give the same
+    monkeypatch.setattr(tree_score, "CHUNK_BYTES", 150)  # many chunks and slots, and small blocks of the tree, give the same
+    monkeypatch.setattr(tree_score, "SLOTS", 2)
+    monkeypatch.setattr(tree_score, "BLOCK_GRAMS", 20)
     again = {r.doc_id: r for r in tree_score.score_texts(df).collect()}
     assert [again[i].score for i, _ in rows] == pytest.approx(want, rel=1e-9)
     assert [again[i].n_known for i, _ in rows] == [got[i].n_known for i, _ in rows]
 
 
+def test_tree_counts_and_packing():
+    rng = np.random.default_rng(4)
+    for size in (1, 7, 70_000, 200_000):
+        grams = rng.integers(0, 1 << 48, size // 3 + 1)[rng.integers(0, size // 3 + 1, size)]
+        train = rng.random(size) < 0.7
+        k, n = tree_score._gram_counts(grams, train)
+        want = collections.Counter(grams[train].tolist())
+        assert k.tolist() == sorted(set(grams.tolist())) and n.tolist() == [want[g] for g in k.tolist()]
+        assert tree_score._look_up(k, k.astype(float), grams).tolist() == grams.astype(float).tolist()
+        hashes = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, size))
+        assert tree_score._unpack_keys(tree_score._pack_keys(hashes)).tolist() == hashes.tolist()
+
+
 def test_tree_scores_edges(spark, edge_docs, edge_rows, nothing):
     got = tree_score.score_texts(edge_docs).collect()
     assert {r.doc_id for r in got} == {i for i, _ in edge_rows}
