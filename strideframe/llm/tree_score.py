@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, n_shuffle, pieces, shared_dir, staged, word_hashes
+from .common import discard, n_shuffle, pieces, shared_dir, staged, tidy, word_hashes
 
 DEPTH = 5
 END = b"\n"
@@ -176,7 +176,7 @@ def chunk_counts(dealt: DataFrame, slots: int) -> DataFrame:
                         yield from emit()
                     current, counts = chunk, (_Counts(), _Counts())
                 ids = part.column("doc_id").to_pylist()
-                for first, texts in pieces(part, "text"):
+                for first, texts in pieces(part, "text", 1 << 20):
                     texts = [t.lower() for t in texts]
                     train = np.array([not held_out(i) for i in ids[first : first + len(texts)]])
                     grams, lens = byte_grams(texts)
@@ -186,7 +186,7 @@ def chunk_counts(dealt: DataFrame, slots: int) -> DataFrame:
         if counts is not None:
             yield from emit()
 
-    return dealt.select("chunk", "doc_id", "text").mapInArrow(run, "chunk int, slot int, keys binary, counts binary")
+    return dealt.select("chunk", "doc_id", "text").mapInArrow(tidy(run), "chunk int, slot int, keys binary, counts binary")
 
 
 # ---- the tree ---------------------------------------------------------------------------------
@@ -306,7 +306,7 @@ def merged_counts(requests: DataFrame, slots: int, parts: int) -> DataFrame:
             yield from emit()
 
     dealt = requests.select("slot", "keys", "counts").repartition(parts, "slot").sortWithinPartitions("slot")
-    return dealt.mapInArrow(run, "slot int, keys binary, counts binary, two binary, n long, seen long")
+    return dealt.mapInArrow(tidy(run), "slot int, keys binary, counts binary, two binary, n long, seen long")
 
 
 def _level_two(two: bytes) -> tuple[np.ndarray, ...]:
@@ -327,7 +327,7 @@ def tree_top(merged: DataFrame, slots: int) -> list[Level]:
                 key, n0, n1, below = Level(*_level_two(two)).above(1)
                 yield pa.RecordBatch.from_pydict({"key": pa.array(key), "n0": pa.array(n0), "n1": pa.array(n1), "below": pa.array(below)})
 
-    sums = merged.where(F.col("slot") < slots).select("two").mapInArrow(run, "key long, n0 double, n1 double, below double")
+    sums = merged.where(F.col("slot") < slots).select("two").mapInArrow(tidy(run), "key long, n0 double, n1 double, below double")
     rows = sums.groupBy("key").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect()
     return top_levels([tuple(r) for r in rows]) if rows else []
 
@@ -368,7 +368,7 @@ def answers(requests: DataFrame, merged: DataFrame, top: list[Level], slots: int
     rows = requests.select("chunk", "slot", "keys", none.alias("counts"), none.alias("two"))
     rows = rows.unionByName(merged.select(F.lit(-1).alias("chunk"), "slot", "keys", "counts", "two"))
     dealt = rows.repartition(parts, "slot").sortWithinPartitions("slot", "chunk")
-    return dealt.mapInArrow(run, "chunk int, slot int, keys binary, values binary")
+    return dealt.mapInArrow(tidy(run), "chunk int, slot int, keys binary, values binary")
 
 
 # ---- scoring ----------------------------------------------------------------------------------
@@ -428,7 +428,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         order = np.argsort(k)
                         tables.append((k[order], v[order]))
                     held = []
-                for at, texts in pieces(part, "text", 2 << 20):
+                for at, texts in pieces(part, "text", 1 << 20):
                     texts = [t.lower() for t in texts]
                     n = len(texts)
                     g, g_lens = byte_grams(texts)
@@ -442,7 +442,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = base.withColumn("is_text", F.lit(1)).unionByName(known.withColumn("is_text", F.lit(0)), allowMissingColumns=True)
     rows = rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "is_text")
-    out = rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_bytes long, base double, known long, score double")
+    out = rows.mapInArrow(tidy(run), f"doc_id {kind}, row long, n_tokens long, n_bytes long, base double, known long, score double")
     out = out.groupBy("doc_id", "row").agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_bytes", "known", "base", "score")])
     is_held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
     return out.select(
