@@ -87,20 +87,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs of other than BLANKS) of the texts in turn, and the words of each text."""
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """How many words (runs of other than BLANKS) each text has, for all words in turn their place among the distinct ones, and these."""
     import pyarrow.compute as pc
-    import xxhash
 
     cut = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.large_string(), safe=False))
     flat = cut.flatten().dictionary_encode()
     words = flat.dictionary.cast(pa.large_binary()).to_pylist()
-    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    full = np.fromiter(map(len, words), np.int64, len(words)) > 0  # blanks at an end leave an empty word
-    at = flat.indices.to_numpy()
-    real = full[at] if len(words) else np.zeros(0, bool)
-    ends = np.concatenate([[0], np.cumsum(real)])[np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))] if len(texts) else np.zeros(0, np.int64)
-    return (known[at[real]] if len(words) else np.zeros(0, np.uint64)), np.diff(ends, prepend=0)
+    at = flat.indices.to_numpy().astype(np.int64)
+    lens = np.asarray(cut.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    if b"" in words:  # blanks at an end leave an empty word
+        gone = words.index(b"")
+        real = at != gone
+        ends = np.concatenate([[0], np.cumsum(real)])[np.cumsum(lens)]
+        lens, at = np.diff(ends, prepend=0), at[real]
+        at -= at > gone
+        del words[gone]
+    return lens, at, words
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of other than BLANKS) of the texts in turn, and the words of each text."""
+    import xxhash
+
+    lens, at, words = split_words(texts)
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))[at], lens
 
 
 def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:

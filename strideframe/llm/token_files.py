@@ -19,7 +19,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_shuffle, pieces
+from .common import n_shuffle, pieces, split_words
 
 MAX_WORDS = 1_200_000
 ROWS = 256  # sequences of a batch
@@ -55,7 +56,7 @@ class WordEncoder:
         core = word.rstrip(b".,;:!?")
         return (core, word[len(core) :]) if 0 < len(core) < len(word) and core[-1:].isalnum() else (word,)
 
-    def _look_up(self, words: set[bytes]) -> list[bytes]:
+    def _look_up(self, words: Iterable[bytes]) -> list[bytes]:
         """Moves words of the older half to the newer; returns those of neither."""
         new = []
         for w in words:
@@ -71,15 +72,20 @@ class WordEncoder:
         """The ids of each text: of its words in turn."""
         if len(self.known) > MAX_WORDS // 2:
             self.older, self.known = self.known, {}
-        words = [t.split() for t in texts]
-        parts = {w: self._parts(w) for w in self._look_up(set().union(*words))}
+        cut, places, words = split_words(texts)
+        parts = {w: self._parts(w) for w in self._look_up(words)}
         if parts:
             new = self._look_up({p for ps in parts.values() for p in ps})
             got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(new, got, strict=True))
+            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, got, strict=True))
             self.known.update((w, self.known[ps[0]] + self.known[ps[1]]) for w, ps in parts.items() if len(ps) == 2)
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in ws]), np.uint32) for ws in words]
+        own = [self.known[w] for w in words]
+        flat = np.frombuffer(b"".join(own), np.uint32)
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        first, size = (np.cumsum(size) - size)[places], size[places]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+        return np.split(ids, ends[np.cumsum(cut)[:-1]])
 
 
 @cache
