@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import n_shuffle, pieces, split_words
 
 MAX_WORDS = 1_200_000
+CLOSING = b".,;:!?"
 ROWS = 256  # sequences of a batch
 
 FILES = "part int, first long, last long, n_docs long, n_ids long, ids_path string, index_path string"
@@ -53,7 +54,7 @@ class WordEncoder:
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
         """A word as the tokenizer's own splitting has it: closing marks part from an ASCII letter or digit before them."""
-        core = word.rstrip(b".,;:!?")
+        core = word.rstrip(CLOSING)
         return (core, word[len(core) :]) if 0 < len(core) < len(word) and core[-1:].isalnum() else (word,)
 
     def _look_up(self, words: Iterable[bytes]) -> list[bytes]:
@@ -73,12 +74,13 @@ class WordEncoder:
         if len(self.known) > MAX_WORDS // 2:
             self.older, self.known = self.known, {}
         cut, places, words = split_words(texts)
-        parts = {w: self._parts(w) for w in self._look_up(words)}
-        if parts:
-            new = self._look_up({p for ps in parts.values() for p in ps})
+        missing = self._look_up(words)
+        if missing:
+            marked = {w: self._parts(w) for w in missing if w[-1] in CLOSING}
+            new = list({w for w in missing if w not in marked}.union(self._look_up({p for ps in marked.values() for p in ps})))
             got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, got, strict=True))
-            self.known.update((w, self.known[ps[0]] + self.known[ps[1]]) for w, ps in parts.items() if len(ps) == 2)
+            self.known.update(zip(new, [array("I", e.ids).tobytes() for e in got], strict=True))
+            self.known.update([(w, self.known[ps[0]] + self.known[ps[1]]) for w, ps in marked.items() if len(ps) == 2])
         own = [self.known[w] for w in words]
         flat = np.frombuffer(b"".join(own), np.uint32)
         size = np.fromiter(map(len, own), np.int64, len(own)) // 4
