@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, html_text, jaccard_join, line_dedup, quality_rules, token_files, tree_score, url_rules
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, periodic_runs, quality_rules, spelling, token_files, tree_score, url_rules
 from .common import shared_dir, staged, table
 
 
@@ -73,9 +75,71 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, spark.sql(URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_jaccard_join, op4_tree_score, op5_token_files, op6_decontamination, op7_html_extraction, op8_chat_formatting, op9_url_filters, op10_quality_rules)}
+def with_periods(docs: DataFrame) -> DataFrame:
+    """One document in ten (by the hash of its id) gets a periodic tail: its words from some place on repeat the first of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(h / 10), F.size("__w")
+    start = (F.col("__g") % n).cast("int")
+    period = (F.lit(1) + F.floor((n - F.col("__a")) / (F.lit(3) + F.col("__g") % 8))).cast("int")
+    source = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(F.col("__w"), F.when(k < F.col("__a"), k).otherwise(F.col("__a") + (k - F.col("__a")) % F.col("__p"))))
+    docs = docs.withColumn("__w", F.when(h % 10 == 0, words)).withColumn("__g", g)
+    docs = docs.withColumn("__a", F.when(n > 0, start)).withColumn("__p", F.when(n > 0, period))
+    return docs.withColumn("text", F.when(n > 0, F.array_join(source, " ")).otherwise(F.col("text"))).drop("__w", "__g", "__a", "__p")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.mark_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    before = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda top, r: F.when(before(r, top), r).otherwise(top))
+    out = out.withColumn("best", best)
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_slips(doc_id: int | None, words: dict[str, int]) -> dict[str, int]:
+    """The words of a document where about one in 199 (by the hash of id and word) lacks a letter."""
+    if doc_id is None:
+        return words
+    head, out = zlib.crc32(f"{doc_id}:".encode()), {}
+    for word, n in words.items():
+        h = zlib.crc32(word.encode(), head)
+        if h % 199 == 0:
+            at = h % len(word)
+            word = word[:at] + word[at + 1 :]
+        out[word] = out.get(word, 0) + n
+    return out
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.count_words(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=6, alter=with_slips)
+    return spelling.group_variants(counts, min_chars=6, min_count=5, ratio=5)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_jaccard_join, op4_tree_score, op5_token_files, op6_decontamination, op7_html_extraction, op8_chat_formatting, op9_url_filters, op10_quality_rules, op11_periodic_runs, op12_spelling_variants, op13_exact_dedup)}
 
 ORACLES = {
+    "op13_exact_dedup": r"""
+with normal as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+       row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256
+from normal
+""",
     "op1_line_dedup": r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
