@@ -207,6 +207,50 @@ def fundamental(ka, rta, kb, rtb) -> np.ndarray:
     return f / size if size > 0 else f
 
 
+def fundamental_of(pa, pb) -> np.ndarray:
+    """The fundamental matrix of two 3x4 projections, from pixels of the first to lines of the second, of unit norm."""
+    pa, pb = (np.asarray(m, float).reshape(3, 4) for m in (pa, pb))
+    centre = np.linalg.svd(pa)[2][-1]
+    e = pb @ centre
+    f = np.array([[0, -e[2], e[1]], [e[2], 0, -e[0]], [-e[1], e[0], 0]]) @ pb @ np.linalg.pinv(pa)
+    size = np.linalg.norm(f)
+    return f / size if size > 0 else f
+
+
+def reprojection(p: np.ndarray, uv: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Pixels between every view ``uv`` (n, c, 2) and the projection by ``p`` (n, c, 3, 4) of the points ``x``; NaN at no depth."""
+    h = p[..., :3] @ x[:, None, :, None] + p[..., 3:]
+    depth = np.where(np.abs(h[..., 2, 0]) > 1e-10, h[..., 2, 0], np.nan)
+    return np.sqrt((uv[..., 0] - h[..., 0, 0] / depth) ** 2 + (uv[..., 1] - h[..., 1, 0] / depth) ** 2)
+
+
+def triangulate_robust(p: np.ndarray, uv: np.ndarray, weight: np.ndarray, seen: np.ndarray, reject: float | None = None, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, errors by view and which views were used. While a view of a point is off by more than ``reject`` pixels and
+    more than ``least`` are left, the view goes without which the others agree best (a wrong view spoils the errors of all)."""
+    seen = seen.copy()
+
+    def solved(at, there):
+        x = triangulate(p[at], uv[at], weight[at] * there)
+        return x, np.where(there, reprojection(p[at], uv[at], x), np.nan)
+
+    every = np.arange(len(seen))
+    x, err = solved(every, seen)
+    todo = every if reject is not None else every[:0]
+    while True:
+        todo = todo[(np.nan_to_num(err[todo], nan=-1.0) > reject).any(axis=1) & (seen[todo].sum(1) > least)] if len(todo) else todo
+        if not len(todo):
+            return x, err, seen
+        rest = np.full((len(todo), seen.shape[1]), np.inf)
+        for view in range(seen.shape[1]):
+            has = seen[todo, view]
+            there = seen[todo[has]].copy()
+            there[:, view] = False
+            others = solved(todo[has], there)[1]
+            rest[has, view] = np.where(there, np.nan_to_num(others, nan=np.inf), 0.0).sum(1) / there.sum(1)
+        seen[todo, np.argmin(rest, axis=1)] = False
+        x[todo], err[todo] = solved(todo, seen[todo])
+
+
 def iou(a, b) -> float:
     inter = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
     area = lambda x: max(1.0, (x[2] - x[0]) * (x[3] - x[1]))

@@ -3,64 +3,100 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..functions.geometry import distortion_weight, project
+from ..functions.geometry import distortion_weight, epipolar_distance, project
 
 #: Body keypoints that decide whether two detections are one person.
 MATCH_POINTS = (0, 5, 6, 11, 12)
 
 
-def pair_costs(dets: DataFrame, pairs: dict[tuple[int, int], np.ndarray], conf: float = 0.3) -> DataFrame:
-    """(frame, cam_a, cam_b, i, j, cost): the median epipolar distance of detections (frame, cam, det_pos, joint, u, v, conf) of two cameras.
+def fundamentals(cams: list[tuple[int, list[float]]]) -> dict[tuple[int, int], np.ndarray]:
+    """A fundamental matrix for each two cameras (cam, row-major projection), the lower number first."""
+    return {(a, b): numeric.fundamental_of(pa, pb) for a, pa in cams for b, pb in cams if a < b}
 
-    ``pairs`` has a fundamental matrix for each camera pair. At least two keypoints must be seen by both.
+
+def pair_costs(dets: DataFrame, pairs: dict[tuple[int, int], np.ndarray], conf: float = 0.3, points: tuple[int, ...] = MATCH_POINTS, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """(keys, cam_a, cam_b, i, j, cost): the median epipolar distance of detections (keys, cam, det_pos, joint, u, v, conf) of two cameras.
+
+    ``pairs`` has a fundamental matrix for each camera pair. At least two of ``points`` must be seen by both.
     """
     rows = [(a, b, [float(x) for x in f.ravel()]) for (a, b), f in pairs.items()]
     dim = F.broadcast(dets.sparkSession.createDataFrame(rows, "cam_a int, cam_b int, f array<double>"))
-    own = dets.where(F.col("joint").isin(*MATCH_POINTS) & (F.col("conf") >= conf)).select("frame", "cam", "det_pos", "joint", "u", "v")
+    own = dets.where(F.col("joint").isin(*points) & (F.col("conf") >= conf)).select(*keys, "cam", "det_pos", "joint", "u", "v")
     a = own.withColumnsRenamed({"cam": "cam_a", "det_pos": "i", "u": "ua", "v": "va"}).join(dim, "cam_a")
     b = own.withColumnsRenamed({"cam": "cam_b", "det_pos": "j", "u": "ub", "v": "vb"})
-    m = [F.get("f", k) for k in range(9)]
-    line = [m[3 * r] * F.col("ua") + m[3 * r + 1] * F.col("va") + m[3 * r + 2] for r in range(3)]
-    size = F.sqrt(line[0] * line[0] + line[1] * line[1])
-    d = F.when(size >= 1e-10, F.abs(line[0] * F.col("ub") + line[1] * F.col("vb") + line[2]) / size)
-    both = a.join(b, ["frame", "joint", "cam_b"]).withColumn("d", d).where("d is not null")
-    return both.groupBy("frame", "cam_a", "cam_b", "i", "j").agg(F.percentile("d", F.lit(0.5)).alias("cost"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
-
-
-def associate(dets: DataFrame, costs: DataFrame, limit: float = 50.0) -> DataFrame:
-    """(frame, cam, det_pos, actor_id): detections of one person, by an assignment for each camera pair and union-find in each frame."""
-    marks = dets.select("frame", F.col("cam").alias("cam_a"), F.col("det_pos").alias("i")).distinct().withColumns({"cam_b": F.lit(None).cast("int"), "j": F.lit(None).cast("int"), "cost": F.lit(None).cast("double")})
-    kind = dets.schema["frame"].dataType.simpleString()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({(int(r.cam_a), int(r.i)) for r in pdf[pdf.cam_b.isna()].itertuples()})
-        up = {n: n for n in nodes}
-
-        def root(n):
-            while up[n] != n:
-                n = up[n]
-            return n
-
-        for (a, b), part in pdf[pdf.cam_b.notna()].groupby(["cam_a", "cam_b"], sort=True):
-            left, right = ([p for c, p in nodes if c == cam] for cam in (a, b))
-            cost = np.full((len(left), len(right)), np.inf)
-            for r in part.itertuples():
-                cost[left.index(int(r.i)), right.index(int(r.j))] = r.cost
-            for i, j in numeric.assign(cost):
-                if cost[i, j] <= limit:
-                    x, y = root((int(a), left[i])), root((int(b), right[j]))
-                    up[max(x, y)] = min(x, y)
-        ids: dict = {}
-        out = [(key[0], c, p, ids.setdefault(root((c, p)), len(ids))) for c, p in nodes]
-        return pd.DataFrame(out, columns=["frame", "cam", "det_pos", "actor_id"])
-
-    return marks.unionByName(costs.select("frame", "cam_a", "i", "cam_b", "j", "cost")).groupBy("frame").applyInPandas(run, f"frame {kind}, cam int, det_pos int, actor_id int")
+    both = a.join(b, [*keys, "joint", "cam_b"]).withColumn("d", epipolar_distance([F.get("f", k) for k in range(9)], "ua", "va", "ub", "vb")).where("d is not null")
+    return both.groupBy(*keys, "cam_a", "cam_b", "i", "j").agg(F.percentile("d", F.lit(0.5)).alias("cost"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+
+
+def _joined(nodes: list[tuple[int, int]], edges: list[dict], limit: float) -> list[int]:
+    """An actor for each node of a frame: an assignment for each camera pair, then union-find."""
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    by_pair: dict[tuple[int, int], list[dict]] = {}
+    for e in edges:
+        by_pair.setdefault((e["cam_a"], e["cam_b"]), []).append(e)
+    for (a, b), part in sorted(by_pair.items()):
+        left, right = ([p for c, p in nodes if c == cam] for cam in (a, b))
+        place = {p: k for k, p in enumerate(left)}, {p: k for k, p in enumerate(right)}
+        cost = np.full((len(left), len(right)), np.inf)
+        for e in part:
+            cost[place[0][e["i"]], place[1][e["j"]]] = e["cost"]
+        for i, j in numeric.assign(cost):
+            if cost[i, j] <= limit:
+                x, y = root((a, left[i])), root((b, right[j]))
+                up[max(x, y)] = min(x, y)
+    ids: dict = {}
+    return [ids.setdefault(root(n), len(ids)) for n in nodes]
+
+
+def associate(dets: DataFrame, costs: DataFrame, limit: float = 50.0, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """(keys, cam, det_pos, actor_id): detections of one person, by an assignment for each camera pair and union-find in each frame.
+
+    A frame is a row with its detections and costs, so a call serves a whole batch of frames.
+    """
+    nodes = dets.select(*keys, F.col("cam").cast("int"), F.col("det_pos").cast("int")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cam", "det_pos"))).alias("nodes"))
+    edge = F.struct(*[F.col(c).cast("int").alias(c) for c in ("cam_a", "i", "cam_b", "j")], "cost")
+    frames = nodes.join(costs.groupBy(*keys).agg(F.collect_list(edge).alias("edges")), list(keys), "left")
+    kinds = ", ".join(f"{k} {dets.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for b in batches:
+            at, out = [], []
+            for k, (own, edges) in enumerate(zip(b.column("nodes").to_pylist(), b.column("edges").to_pylist(), strict=True)):
+                own = [(n["cam"], n["det_pos"]) for n in own]
+                at += [k] * len(own)
+                out += [(*n, actor) for n, actor in zip(own, _joined(own, edges or [], limit), strict=True)]
+            pick = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pick) for k in keys] + [pa.array([r[d] for r in out], pa.int32()) for d in range(3)], [*keys, "cam", "det_pos", "actor_id"])
+
+    return frames.select(*keys, "nodes", "edges").mapInArrow(run, f"{kinds}, cam int, det_pos int, actor_id int")
+
+
+def view_arrays(views: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Projections (n, c, 3, 4), pixels (n, c, 2), weights (n, c) and which views there are, of lists of (u, v, w, p), padded to the longest."""
+    lens = np.asarray(views.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    n, c = len(lens), int(lens.max()) if len(lens) else 0
+    row = np.repeat(np.arange(n), lens)
+    col = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+    flat = views.flatten()
+    value = lambda name: pc.struct_field(flat, name)
+    p, uv, w, seen = np.zeros((n, c, 3, 4)), np.zeros((n, c, 2)), np.zeros((n, c)), np.zeros((n, c), bool)
+    if len(row):
+        p[row, col] = value("p").flatten().to_numpy().reshape(-1, 3, 4)
+        uv[row, col] = np.stack([value("u").to_numpy(zero_copy_only=False), value("v").to_numpy(zero_copy_only=False)], 1)
+        w[row, col], seen[row, col] = value("w").to_numpy(zero_copy_only=False), True
+    return p, uv, w, seen
 
 
 def triangulate(obs: DataFrame, cameras: DataFrame, conf: float = 0.0, weighted: bool = False, width: float = 640.0, height: float = 480.0) -> DataFrame:
@@ -76,14 +112,9 @@ def triangulate(obs: DataFrame, cameras: DataFrame, conf: float = 0.0, weighted:
 
     def run(batches):
         for b in batches:
-            views = b.column("views").to_pylist()
-            n, c = len(views), max(map(len, views), default=0)
-            p, uv, wt = np.zeros((n, c, 3, 4)), np.zeros((n, c, 2)), np.zeros((n, c))
-            for i, vs in enumerate(views):
-                for k, v in enumerate(vs):
-                    p[i, k], uv[i, k], wt[i, k] = np.reshape(v["p"], (3, 4)), (v["u"], v["v"]), v["w"]
-            x = numeric.triangulate(p, uv, wt) if n else np.zeros((0, 3))
-            yield pa.RecordBatch.from_arrays([b.column("seq_id"), b.column("frame"), b.column("joint"), *[pa.array(np.nan_to_num(x[:, k]), mask=np.isnan(x[:, k])) for k in range(3)], pa.array([len(v) for v in views], pa.int32())], ["seq_id", "frame", "joint", "x", "y", "z", "n_cams"])
+            p, uv, wt, seen = view_arrays(b.column("views"))
+            x = numeric.triangulate(p, uv, wt) if b.num_rows else np.zeros((0, 3))
+            yield pa.RecordBatch.from_arrays([b.column("seq_id"), b.column("frame"), b.column("joint"), *[pa.array(np.nan_to_num(x[:, k]), mask=np.isnan(x[:, k])) for k in range(3)], pa.array(seen.sum(1), pa.int32())], ["seq_id", "frame", "joint", "x", "y", "z", "n_cams"])
 
     return rows.mapInArrow(run, f"seq_id {seq}, frame int, joint int, x double, y double, z double, n_cams int")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import layouts
+from ..operators.cameras import fundamentals
 from ..sources.adapters import BODY21, CAMERAS
 
 
@@ -50,7 +51,17 @@ RIGID = bones(layouts.RIGID_BONES)
 NAMED = bones(layouts.NAMED_BONES)
 OUTLIER = bones(layouts.OUTLIER_BONES)
 
+SCENE = OBS + """,
+scene as (select (frame // 20)::bigint as seq_id, frame % 20 as frame, cam, ((seq_id * 3 + cam * 7) % 10)::int as det_pos, joint, u, v, conf, seq_id as person from obs where u is not null and v is not null)"""
+_F = [f"f{k}" for k in range(9)]
+PAIRS = f"fund(cam_a, cam_b, {', '.join(_F)}) as (values {_values([(a, b, *[repr(float(x)) + '::double' for x in f.ravel()]) for (a, b), f in fundamentals(CAMERAS).items()])})"
+
 ORACLES: dict[str, str] = {
+    "pair_costs": f"""with {SCENE}, {PAIRS}, own as materialized (select * from scene where joint in (0, 11, 12, 23, 24) and conf >= 0.3),
+lines as materialized (select a.*, f.cam_a, f.cam_b, f0 * u + f1 * v + f2 as la, f3 * u + f4 * v + f5 as lb, f6 * u + f7 * v + f8 as lc from own a join fund f on f.cam_a = a.cam),
+d as (select a.seq_id, a.frame, a.cam_a, a.cam_b, a.det_pos as i, b.det_pos as j, abs(la * b.u + lb * b.v + lc) / sqrt(la * la + lb * lb) as d
+from lines a join own b on b.seq_id = a.seq_id and b.frame = a.frame and b.joint = a.joint and b.cam = a.cam_b where sqrt(la * la + lb * lb) >= 1e-10)
+select seq_id, frame, cam_a::int as cam_a, cam_b::int as cam_b, i, j, round(quantile_cont(d, 0.5), 4) + 0.0 as cost from d group by all having count(*) >= 2""",
     "bone_length_stats": f"""with {SKELETON}, {NAMED}, own as (select * from lens where length is not null),
 st as (select seq_id, parent, child, count(*) n, avg(length) m, quantile_cont(length, 0.5) med, stddev_pop(length) sd from own group by all)
 select o.seq_id, o.parent::int as parent, o.child::int as child, any_value(n)::bigint as n, round(any_value(m), 6) as mean_length, round(any_value(med), 6) as median_length, round(any_value(sd), 6) as std_length,

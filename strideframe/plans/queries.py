@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import layouts
 from ..functions.geometry import distortion_weight
-from ..operators import bones, cameras, contact, filters, gaps, hands, interact, quality, track
+from ..operators import actors, bones, cameras, contact, filters, gaps, hands, interact, quality, track
 from ..sources import adapters
 from . import recording as recording_plan
+from .work import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -405,4 +406,55 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.track(boxes, "box")
 
 
-QUERIES |= {f.__name__: f for f in (triangulated, reprojection, tracked)}
+def pair_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two detections of every two cameras in each frame of the scene."""
+    return _rounded(cameras.pair_costs(adapters.scene(spark, sf_dir), cameras.fundamentals(adapters.CAMERAS), points=SCENE_POINTS, keys=("seq_id", "frame")), 4)
+
+
+#: Joints of the adapter's skeletons that stand for nose, shoulders and hips.
+SCENE_POINTS = (0, 11, 12, 23, 24)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The scene's keypoints, and which detections are one actor."""
+    scene, keys = adapters.scene(spark, sf_dir).drop("person"), ("seq_id", "frame")
+    costs = cameras.pair_costs(scene, cameras.fundamentals(adapters.CAMERAS), points=SCENE_POINTS, keys=keys)
+    return scene, cut(cameras.associate(scene, costs, keys=keys))
+
+
+def associated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(spark, sf_dir)[1]
+
+
+def _tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scene, members = _members(spark, sf_dir)
+    return scene, members, cut(track.track(actors.actor_boxes(scene, members), "feature"))
+
+
+def tracked_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tracks(spark, sf_dir)[2]
+
+
+def actor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of every identity; a view more than 40 pixels off is left out where two others remain."""
+    scene, members, tracks = _tracks(spark, sf_dir)
+    return _rounded(actors.triangulate_actors(scene, actors.actor_views(members, tracks), adapters.cameras(spark), reject=40.0), 4)
+
+
+def actor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scene, members, tracks = _tracks(spark, sf_dir)
+    views = cut(actors.actor_views(members, tracks))
+    return _rounded(actors.actor_summary(actors.triangulate_actors(scene, views, adapters.cameras(spark)), views), 4)
+
+
+def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track.track_summary(_tracks(spark, sf_dir)[2])
+
+
+@query("skeleton")
+def shared_floor(p):
+    """The skeletons in scenes of three actors."""
+    return recording_plan.shared_floor(p, p.select("seq_id", F.floor(F.col("seq_id") / 3).alias("scene")).distinct())
+
+
+QUERIES |= {f.__name__: f for f in (triangulated, reprojection, tracked, pair_costs, associated, tracked_actors, actor_points, actor_summary, track_summary)}

@@ -85,10 +85,30 @@ def report(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.select(F.col("seq").alias("seq_id"), "when", F.expr("stack(3, 'frames', frames, 'missing_points', missing_points, 'mean_step', mean_step) as (metric, value)")).select("seq_id", F.concat_ws("_", "metric", "when").alias("metric"), "value")
 
 
-def process_actors(points: DataFrame, o: Options = Options()) -> DataFrame:
-    """Sequences of one scene (actors) processed alike and aligned to one floor: that of the first actor with one."""
-    done = process(points, o)
-    planes = contact.ground_planes(done)
-    shared = planes.where("n >= 5").agg(F.min_by(F.struct("nx", "ny", "nz"), "seq_id").alias("g"))
-    flat = done.select("seq_id").distinct().join(F.broadcast(shared), how="cross").select("seq_id", *[F.coalesce(f"g.{c}", F.lit(float(c == "ny"))).alias(c) for c in ("nx", "ny", "nz")])
-    return contact.align_to_ground(done, flat)
+def shared_floor(points: DataFrame, scenes: DataFrame | None = None, least_frames: int = 20, least_contacts: int = 5) -> DataFrame:
+    """(seq_id, nx, ny, nz, floor_of): the floor of each actor's scene, which is that of the scene's first actor that is seen
+    in ``least_frames`` and touches the ground ``least_contacts`` times; (0, 1, 0) and null where none does.
+
+    ``scenes`` is (seq_id, scene); without it all sequences are of one scene.
+    """
+    seqs = points.groupBy("seq_id").agg(F.count_distinct(F.when(valid(), F.col("frame"))).alias("seen"))
+    seqs = seqs.withColumn("scene", F.lit(0)) if scenes is None else seqs.join(scenes.select("seq_id", "scene"), "seq_id", "left")
+    planes = contact.ground_planes(points).where(F.col("n") >= least_contacts).select("seq_id", "nx", "ny", "nz")
+    first = seqs.where(F.col("seen") >= least_frames).join(planes, "seq_id").groupBy("scene").agg(F.min_by(F.struct("nx", "ny", "nz", "seq_id"), "seq_id").alias("g"))
+    floor = seqs.join(first, seqs["scene"].eqNullSafe(first["scene"]), "left").select("seq_id", *[F.coalesce(f"g.{c}", F.lit(float(c == "ny"))).alias(c) for c in ("nx", "ny", "nz")], F.col("g.seq_id").alias("floor_of"))
+    return floor
+
+
+def process_actors(points: DataFrame, o: Options = Options(), scenes: DataFrame | None = None) -> DataFrame:
+    """Actors (sequences) processed alike and aligned to their scene's one floor, which is estimated before the processing."""
+    floor = cut(shared_floor(points, scenes))
+    return contact.align_to_ground(cut(process(points, o)), floor.drop("floor_of"))
+
+
+def actors_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(seq_id, missing_before, missing_after, filled) of each actor, and a row of null id for all."""
+    missing = lambda df, name: df.groupBy("seq_id").agg(F.count_if(~valid()).alias(name))
+    both = missing(before, "missing_before").join(missing(after, "missing_after"), "seq_id", "full")
+    counts = both.groupBy("seq_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("missing_before", "missing_after")])
+    whole = counts.agg(F.lit(None).cast(counts.schema["seq_id"].dataType).alias("seq_id"), F.sum("missing_before").alias("missing_before"), F.sum("missing_after").alias("missing_after"))
+    return counts.unionByName(whole).withColumn("filled", F.col("missing_before") - F.col("missing_after"))

@@ -71,3 +71,23 @@ def obs2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = skeleton(spark, sf_dir).join(F.broadcast(cameras(spark)), how="cross")
     u, v = project("p", "x", "y", "z")
     return pts.select("seq_id", "cam", "frame", "joint", u.alias("u"), v.alias("v"), ((F.pmod(F.col("joint") * 7 + F.col("frame") * 3 + F.col("cam") * 5, F.lit(10)) + 1) / 10.0).alias("conf"))
+
+
+#: Frames of a clip of the scene that all skeletons act in.
+CLIP = 20
+
+
+def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, frame, cam, det_pos, joint, u, v, conf, person): the skeletons as people in one room, in clips of CLIP frames;
+    each camera numbers its detections in an order of its own."""
+    return obs2d(spark, sf_dir).where("u is not null and v is not null").select(
+        F.floor(F.col("frame") / CLIP).cast("long").alias("seq_id"),
+        (F.col("frame") % CLIP).alias("frame"),
+        "cam",
+        F.pmod(F.col("seq_id") * 3 + F.col("cam") * 7, F.lit(10)).cast("int").alias("det_pos"),
+        "joint",
+        "u",
+        "v",
+        "conf",
+        F.col("seq_id").alias("person"),
+    )
