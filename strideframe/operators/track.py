@@ -33,12 +33,14 @@ class FeatureTracker:
     iou_weight: float = 0.3
     search_window: int = 30
     max_distance: float = 100.0
-    tracks: list[dict] = field(default_factory=list)
+    next_id: int = 0
+    tracks: dict[int, dict] = field(default_factory=dict)
     anchors: dict[int, int] = field(default_factory=dict)
 
     def _new(self, frame: int, actor: dict) -> int:
-        self.tracks.append({"id": len(self.tracks), "seen": frame, "lost": None, "box": actor["box"], "feature": actor["feature"]})
-        return len(self.tracks) - 1
+        gid, self.next_id = self.next_id, self.next_id + 1
+        self.tracks[gid] = {"id": gid, "seen": frame, "lost": None, "box": actor["box"], "feature": actor["feature"]}
+        return gid
 
     def _seen(self, track: dict, frame: int, actor: dict) -> int:
         track |= {"seen": frame, "lost": None, "box": actor["box"]}
@@ -49,7 +51,9 @@ class FeatureTracker:
     def step(self, frame: int, actors: list[dict], markers: dict[int, int] | None = None) -> dict[int, int]:
         """Actors (actor_id, box, feature) of a frame to global ids; ``markers`` (marker, actor_id) anchor identities."""
         out: dict[int, int] = {}
-        live = [t for t in self.tracks if t["lost"] is None or frame - t["lost"] <= self.search_window]
+        live = [t for t in self.tracks.values() if t["lost"] is None or frame - t["lost"] <= self.search_window]
+        held = {t["id"] for t in live} | set(self.anchors.values())  # no other can be found again
+        self.tracks = {gid: t for gid, t in self.tracks.items() if gid in held}
         by_id = {a["actor_id"]: a for a in actors}
         for marker, actor_id in (markers or {}).items():
             if actor_id in by_id and actor_id not in out:
@@ -135,18 +139,20 @@ class BoxTracker:
 
 
 def frames_of(pdf: pd.DataFrame):
-    """(frame, actors) of a sequence in order; ties of a frame by actor id."""
+    """(frame, actors, markers) of a sequence in order; ties of a frame by actor id."""
     for frame, part in pdf.sort_values(["frame", "actor_id"]).groupby("frame", sort=True):
-        yield int(frame), [{"actor_id": int(r.actor_id), "box": [r.x1, r.y1, r.x2, r.y2], "conf": float(r.conf), "feature": None if r.feature is None else np.asarray(r.feature, float).reshape(-1, 2)} for r in part.itertuples()]
+        markers = {int(m): int(a) for m, a in zip(part["marker"], part["actor_id"], strict=True) if m == m and m is not None} if "marker" in part else {}
+        yield int(frame), [{"actor_id": int(r.actor_id), "box": [r.x1, r.y1, r.x2, r.y2], "conf": float(r.conf), "feature": None if r.feature is None else np.asarray(r.feature, float).reshape(-1, 2)} for r in part.itertuples()], markers
 
 
 def track(dets: DataFrame, method: str = "feature", **options) -> DataFrame:
-    """(seq_id, frame, actor_id, global_id), one serial pass over each sequence."""
+    """(seq_id, frame, actor_id, global_id), one serial pass over each sequence. A ``marker`` column anchors the feature tracker's identities."""
     seq = dets.schema["seq_id"].dataType.simpleString()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tracker = FeatureTracker(**options) if method == "feature" else BoxTracker(**options)
-        rows = [(key[0], f, a, g) for f, actors in frames_of(pdf) for a, g in tracker.step(f, actors).items()]
+        given = (lambda markers: (markers,)) if method == "feature" else (lambda markers: ())
+        rows = [(key[0], f, a, g) for f, actors, markers in frames_of(pdf) for a, g in tracker.step(f, actors, *given(markers)).items()]
         return pd.DataFrame(rows, columns=["seq_id", "frame", "actor_id", "global_id"])
 
     return dets.groupBy("seq_id").applyInPandas(run, OUT.format(seq=seq))

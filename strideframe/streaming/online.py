@@ -1,4 +1,4 @@
-"""Online operators: state by sequence, frames stepped in order, for Structured Streaming.
+"""The One-Euro filter online, for Structured Streaming: state by sequence and joint, frames stepped as they come.
 
 Each micro-batch of a key is sorted by frame before it is stepped. A frame not after the last one stepped is late: it is dropped and
 counted in ``late``. State is small arrays, kept by the state store, and expires with processing time.
@@ -41,56 +41,3 @@ def one_euro_stream(points: DataFrame, fps: float = 30.0, min_cutoff: float = 1.
         state.setTimeoutDuration(timeout_ms)
 
     return points.groupBy("seq_id", "joint").applyInPandasWithState(step, "seq_id long, joint int, frame int, x double, y double, z double, late int", "last int, x array<double>, dx array<double>, t array<double>, rate array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def drift_stream(metrics: DataFrame, first: int = 30, limits: tuple[float, float] = (0.15, 0.20), timeout_ms: int = 600_000) -> DataFrame:
-    """Alerts of metrics (seq_id long, frame, confidence, completeness) that fall against the mean of the first frames."""
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, n, s0, s1 = state.get if state.exists else (-1, 0, 0.0, 0.0)
-        rows, _ = _in_order(pdfs, last)
-        out = []
-        for r in rows.itertuples():
-            if n < first:
-                n, s0, s1 = n + 1, s0 + r.confidence, s1 + r.completeness
-            else:
-                for name, base, now, limit in (("confidence", s0 / n, r.confidence, limits[0]), ("completeness", s1 / n, r.completeness, limits[1])):
-                    drop = (base - now) / base if base else 0.0
-                    if drop > limit:
-                        out.append((key[0], r.frame, name, drop, "high" if drop > 2 * limit else "moderate"))
-            last = int(r.frame)
-        state.update((last, n, float(s0), float(s1)))
-        state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["seq_id", "frame", "metric", "drop", "severity"])
-
-    return metrics.groupBy("seq_id").applyInPandasWithState(step, "seq_id long, frame int, metric string, drop double, severity string", "last int, n int, s0 double, s1 double", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def track_stream(dets: DataFrame, search_window: int = 30, timeout_ms: int = 600_000) -> DataFrame:
-    """(seq_id, frame, actor_id, global_id) of detections as they come; the feature tracker's tracks are the state."""
-    from ..operators.track import FeatureTracker, frames_of
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tracker, last = FeatureTracker(search_window=search_window), -1
-        if state.exists:
-            last, seen, lost, boxes, features = state.get
-            for k in range(len(seen)):
-                f = np.asarray(features[k], float).reshape(-1, 2) if features[k] is not None else None
-                tracker.tracks.append({"id": k, "seen": seen[k], "lost": lost[k] if lost[k] >= 0 else None, "box": list(boxes[k]), "feature": f})
-        rows, _ = _in_order(pdfs, last)
-        out = []
-        for frame, actors in frames_of(rows) if len(rows) else ():
-            out += [(key[0], frame, a, g) for a, g in tracker.step(frame, actors).items()]
-            last = frame
-        ts = tracker.tracks
-        state.update((last, [t["seen"] for t in ts], [-1 if t["lost"] is None else t["lost"] for t in ts], [[float(x) for x in t["box"]] for t in ts], [None if t["feature"] is None else t["feature"].ravel().tolist() for t in ts]))
-        state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["seq_id", "frame", "actor_id", "global_id"])
-
-    return dets.groupBy("seq_id").applyInPandasWithState(step, "seq_id long, frame int, actor_id int, global_id int", "last int, seen array<int>, lost array<int>, boxes array<array<double>>, features array<array<double>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
