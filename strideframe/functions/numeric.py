@@ -217,6 +217,41 @@ def fundamental_of(pa, pb) -> np.ndarray:
     return f / size if size > 0 else f
 
 
+def distort(xy: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Normalised points (n, 2) as a lens bends them; ``d`` (n, 8): k1, k2, p1, p2, k3, k4, k5, k6."""
+    x, y = xy[:, 0], xy[:, 1]
+    k1, k2, p1, p2, k3, k4, k5, k6 = d.T
+    r = x * x + y * y
+    radial = (1 + r * (k1 + r * (k2 + r * k3))) / (1 + r * (k4 + r * (k5 + r * k6)))
+    return np.stack([x * radial + 2 * p1 * x * y + p2 * (r + 2 * x * x), y * radial + p1 * (r + 2 * y * y) + 2 * p2 * x * y], 1)
+
+
+def undistort(xy: np.ndarray, d: np.ndarray, passes: int = 100, tolerance: float = 1e-11) -> np.ndarray:
+    """The points that ``distort`` bends to ``xy``, by fixed-point iteration. Points that do not settle, or to which the lens
+    does not lead back, are NaN."""
+    k1, k2, p1, p2, k3, k4, k5, k6 = d.T
+    out, todo = xy.astype(float).copy(), np.arange(len(xy))
+    done = np.zeros(len(xy), bool)
+    for _ in range(passes):
+        if not len(todo):
+            break
+        x, y = out[todo].T
+        own = [k[todo] for k in (k1, k2, p1, p2, k3, k4, k5, k6)]
+        r = x * x + y * y
+        with np.errstate(all="ignore"):
+            scale = (1 + r * (own[5] + r * (own[6] + r * own[7]))) / (1 + r * (own[0] + r * (own[1] + r * own[4])))
+            nx = (xy[todo, 0] - 2 * own[2] * x * y - own[3] * (r + 2 * x * x)) * scale
+            ny = (xy[todo, 1] - own[2] * (r + 2 * y * y) - 2 * own[3] * x * y) * scale
+            change = np.hypot(nx - x, ny - y)
+        out[todo] = np.stack([nx, ny], 1)
+        done[todo[change <= tolerance]] = True
+        todo = todo[(change > tolerance) & np.isfinite(change)]
+    with np.errstate(all="ignore"):
+        done &= np.hypot(*(distort(out, d) - xy).T) < 1e-8
+    out[~done] = np.nan
+    return out
+
+
 def reprojection(p: np.ndarray, uv: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Pixels between every view ``uv`` (n, c, 2) and the projection by ``p`` (n, c, 3, 4) of the points ``x``; NaN at no depth."""
     h = p[..., :3] @ x[:, None, :, None] + p[..., 3:]

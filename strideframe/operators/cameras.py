@@ -83,6 +83,44 @@ def associate(dets: DataFrame, costs: DataFrame, limit: float = 50.0, keys: tupl
     return frames.select(*keys, "nodes", "edges").mapInArrow(run, f"{kinds}, cam int, det_pos int, actor_id int")
 
 
+def _lens(points: DataFrame, lenses: DataFrame, bend) -> DataFrame:
+    """``points`` with u and v replaced by ``bend`` of their normalised places; missing points stay missing."""
+    names = points.columns
+    rows = points.join(F.broadcast(lenses.select("cam", F.col("k").alias("__k"), F.col("dist").alias("__d"))), "cam").select(*names, "__k", "__d")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            k = b.column("__k").flatten().to_numpy().reshape(n, 9)
+            size = np.asarray(b.column("__d").value_lengths().to_numpy(zero_copy_only=False), int)
+            d = np.zeros((n, 8))
+            d[np.repeat(np.arange(n), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = b.column("__d").flatten().to_numpy()
+            u, v = (b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "uv")
+            fx, fy, cx, cy = k[:, 0], k[:, 4], k[:, 2], k[:, 5]
+            seen = ~np.isnan(u) & ~np.isnan(v)
+            out = np.full((n, 2), np.nan)
+            out[seen] = bend(np.stack([(u - cx) / fx, (v - cy) / fy], 1)[seen], d[seen])
+            new = {"u": out[:, 0] * fx + cx, "v": out[:, 1] * fy + cy}
+            yield pa.RecordBatch.from_arrays([pa.array(np.nan_to_num(new[c]), mask=np.isnan(new[c])) if c in new else b.column(c) for c in names], names)
+
+    return rows.mapInArrow(run, kinds)
+
+
+def undistort(points: DataFrame, lenses: DataFrame) -> DataFrame:
+    """Pixels (cam, u, v and more) as a camera without a lens would see them; ``lenses`` is (cam, k 3x3 row-major, dist k1 k2 p1 p2 [k3 [k4 k5 k6]]).
+
+    Where the inverse does not settle the point is missing. Cameras are a handful and are broadcast; cameras without a
+    lens are left out.
+    """
+    return _lens(points, lenses, numeric.undistort)
+
+
+def distort(points: DataFrame, lenses: DataFrame) -> DataFrame:
+    """The inverse of ``undistort``."""
+    return _lens(points, lenses, numeric.distort)
+
+
 def view_arrays(views: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Projections (n, c, 3, 4), pixels (n, c, 2), weights (n, c) and which views there are, of lists of (u, v, w, p), padded to the longest."""
     lens = np.asarray(views.value_lengths().to_numpy(zero_copy_only=False), np.int64)

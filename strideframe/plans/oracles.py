@@ -56,7 +56,70 @@ scene as (select (frame // 20)::bigint as seq_id, frame % 20 as frame, cam, ((se
 _F = [f"f{k}" for k in range(9)]
 PAIRS = f"fund(cam_a, cam_b, {', '.join(_F)}) as (values {_values([(a, b, *[repr(float(x)) + '::double' for x in f.ravel()]) for (a, b), f in fundamentals(CAMERAS).items()])})"
 
+# Sound: events' values as samples, eight to a window; peaks over the median, kept five windows apart by recursion.
+LEVELS = """smp as (select event_type as cam, row_number() over (partition by event_type order by ts, event_id) - 1 as idx, value::double as v from events),
+sz as (select cam, count(*) n from smp group by cam),
+lev as materialized (select s.cam, s.idx // 8 as win, avg(v * v) e, 10 * log10(greatest(avg(v * v), 1e-10)) db from smp s join sz on sz.cam = s.cam where s.idx // 8 < n // 8 or n < 8 group by all),
+med as materialized (select cam, quantile_cont(db, 0.5) as median from lev group by cam),
+loc as materialized (select n.cam, win, e, db, median, db - median as over_ from (select *, lag(db) over w a, lead(db) over w b from lev window w as (partition by cam order by win)) n join med on med.cam = n.cam where db > a and db >= b),
+lim as (select cam, case when max(over_) > 2.0 then 2.0 else 1.0 end as lim from loc group by cam),
+pk as materialized (select l.*, row_number() over (partition by l.cam order by win) as k from loc l join lim on lim.cam = l.cam where over_ > lim),
+walk as (select cam, k, win, e, db, median, win as last, true as kept from pk where k = 1
+union all select p.cam, p.k, p.win, p.e, p.db, p.median, case when p.win - w.last >= 5 then p.win else w.last end, p.win - w.last >= 5 from walk w join pk p on p.cam = w.cam and p.k = w.k + 1)"""
+
+
+def _lens_columns() -> str:
+    from .queries import LENSES
+
+    rows = [(cam, *(f"{float(k[i])!r}::double" for i in (0, 4, 2, 5)), *(f"{x!r}::double" for x in [*dist, *[0.0] * 8][:8])) for cam, k, dist in LENSES]
+    return f"lens(cam, fx, fy, cx, cy, k1, k2, p1, p2, k3, k4, k5, k6) as (values {_values(rows)})"
+
+
+# Floors of rooms and the arrangements of four cameras that are tried on them.
+ROOMS = SKELETON + """,
+rooms as materialized (select seq_id as room, round(3 + (max(x) - min(x)) / 200, 1) as w, round(3 + (max(z) - min(z)) / 200, 1) as d from pts group by seq_id),
+dim as (select *, greatest(2, floor(w / 0.2)::int) as nx, greatest(2, floor(d / 0.2)::int) as ny from rooms),
+cells as materialized (select room, w * i / (nx - 1) as x, d * j / (ny - 1) as y, w, d from dim, range(1000) a(i), range(1000) b(j) where i < nx and j < ny),
+four as (select unnest(range(4)) as cam),
+ring as (select room, 0 as ord, 'circle_equal' as arrangement, cam, w / 2 + least(w, d) * 0.42 * cos(2 * pi() * cam / 4) as x, d / 2 + least(w, d) * 0.42 * sin(2 * pi() * cam / 4) as y, w, d from rooms, four
+union all select room, 1, 'circle_alternating', cam, w / 2 + least(w, d) * 0.42 * (0.85 + 0.15 * (cam % 2)) * cos(2 * pi() * cam / 4 + pi() / 4), d / 2 + least(w, d) * 0.42 * (0.85 + 0.15 * (cam % 2)) * sin(2 * pi() * cam / 4 + pi() / 4), w, d from rooms, four
+union all select room, 1000 + ord, 'random_optimized', cam, w / 2 + least(w, d) * (0.35::double + ((ord * 613 + cam * 257 + 11) * 1103515245 % 2147483648) / 2147483648.0::double * 0.13::double) * cos(2 * pi() * cam / 4 + (((ord * 977 + cam * 131 + 7) * 1103515245 % 2147483648) / 2147483648.0::double * 0.6::double - 0.3::double)),
+d / 2 + least(w, d) * (0.35::double + ((ord * 613 + cam * 257 + 11) * 1103515245 % 2147483648) / 2147483648.0::double * 0.13::double) * sin(2 * pi() * cam / 4 + (((ord * 977 + cam * 131 + 7) * 1103515245 % 2147483648) / 2147483648.0::double * 0.6::double - 0.3::double)), w, d from rooms, four, range(30) r(ord)),
+aimed as (select room, ord, arrangement, cam, case when ord >= 1000 then greatest(0.3, least(w - 0.3, x)) else x end as x, case when ord >= 1000 then greatest(0.3, least(d - 0.3, y)) else y end as y, degrees(atan2(d / 2 - y, w / 2 - x)) as yaw from ring
+union all select room, 2, 'wall_opposite', cam, case cam when 0 then 0.3 when 1 then w - 0.3 else w / 2 end, case cam when 2 then 0.3 when 3 then d - 0.3 else d / 2 end, case cam when 0 then 0 when 1 then 180 when 2 then 90 else -90 end from rooms, four
+union all select room, 3, 'corners_plus_center', cam, case when cam in (0, 3) then 0.5 else w - 0.5 end, case when cam in (0, 1) then 0.5 else d - 0.5 end, case cam when 0 then 45 when 1 then 135 when 2 then -135 else -45 end from rooms, four),
+axes as materialized (select *, cos(radians(-15)) * cos(radians(yaw)) as ax, cos(radians(-15)) * sin(radians(yaw)) as ay, sin(radians(-15)) as az from aimed),
+hit as (select c.room, a.ord, c.x, c.y, c.w, c.d, count(*) filter (dist between 0.5 and 10 and degrees(acos(greatest(-1, least(1, (ax * dx + ay * dy + az * -2.5) / dist)))) <= 35) as n
+from (select room, x, y, w, d from cells) c join lateral (select ord, ax, ay, az, c.x - a.x as dx, c.y - a.y as dy, sqrt((c.x - a.x) * (c.x - a.x) + (c.y - a.y) * (c.y - a.y) + 6.25) as dist from axes a where a.room = c.room) a on true group by all),
+tot as (select room, ord, count(*) as total_cells, 100.0 * count(*) filter (n >= 1) / count(*) as c1, 100.0 * count(*) filter (n >= 2) / count(*) as c2, 100.0 * count(*) filter (n >= 3) / count(*) as c3,
+100.0 * count(*) filter (n >= 2 and x between w / 4 and w * 3 / 4 and y between d / 4 and d * 3 / 4) / greatest(1, count(*) filter (x between w / 4 and w * 3 / 4 and y between d / 4 and d * 3 / 4)) as cc from hit group by all),
+sc as (select *, round_even((0.30::double * c1 + 0.35::double * c2 + 0.15::double * c3 + 0.20::double * cc) / 100.0, 4) as score from tot),
+top as (select * from sc qualify row_number() over (partition by room order by score desc, ord) = 1)"""
+
 ORACLES: dict[str, str] = {
+    "sync_peaks": f"with recursive {LEVELS} select cam, win, round(db, 6) as db, round(median, 6) as median from walk where kept",
+    "sync_offsets": f"""with recursive {LEVELS},
+best as (select cam, win, round_even(least(greatest((db - median) / 40, 0), 1), 4) as confidence from walk where kept qualify row_number() over (partition by cam order by db desc, win) = 1),
+ref as (select cam as rc, win as rw from best order by confidence desc, cam limit 1),
+o as (select c.cam, coalesce(rc, (select min(cam) from sz)) as reference, coalesce((win - rw) * 8, 0)::bigint as offset_samples, confidence, rc is null as none from (select distinct cam from lev) c left join best b on b.cam = c.cam left join ref on true),
+m as (select max(abs(round_even(offset_samples / 100.0::double * 1000, 2))) as most from o)
+select cam, reference, offset_samples, round_even(offset_samples / (100.0::double / 30), 0)::bigint as offset_frames, round(round_even(offset_samples / 100.0::double * 1000, 2), 6) as offset_ms, round(confidence, 6) as confidence, round(most, 6) as max_offset_ms,
+case when none then 'no_pulses_found' when most < 5 / 30.0 then 'excellent' when most < 20 / 30.0 then 'good' when most < 60000 then 'acceptable' else 'poor' end as quality from o, m""",
+    "camera_placement": f"""with {ROOMS}
+select t.room, a.arrangement, t.score, round_even(c1, 1) as coverage, round_even(c2, 1) as coverage_2plus, round_even(c3, 1) as coverage_3plus, round_even(cc, 1) as central, total_cells, a.cam::int as cam,
+round_even(a.x, 3) + 0.0 as x, round_even(a.y, 3) + 0.0 as y, 2.5::double as z, round_even(a.yaw, 1) + 0.0 as yaw, -15.0::double as pitch from top t join aimed a on a.room = t.room and a.ord = t.ord""",
+    "missing_runs": f"""with {SKELETON}, g as (select seq_id || '/' || joint as k, frame, frame - row_number() over (partition by seq_id, joint order by frame) as run from pts where x is null)
+select k, min(frame)::bigint as start, max(frame)::bigint as stop, count(*) as size from g group by k, run""",
+    "processing_time": f"""with {SKELETON}, n as (select seq_id, count(distinct frame) as frames from pts group by seq_id)
+select seq_id, frames, 3::int as cameras, round_even(frames / 25.0::double, 1) as duration_s, round_even(frames * 1.86::double * 3, 1) as processing_s, round_even(frames * 1.86::double * 3 / 60, 1) as processing_min,
+round_even(frames * 1.86::double * 3 / greatest(1, frames / 25.0::double), 1) as realtime_factor from n""",
+    "undistorted": f"""with recursive {OBS}, {_lens_columns()},
+n0 as materialized (select seq_id, o.cam, frame, joint, (u - cx) / fx as bx, (v - cy) / fy as by_, l.* exclude (cam) from obs o join lens l on l.cam = o.cam),
+it as (select *, bx as x, by_ as y, 0 as step from n0 where bx is not null
+union all select * exclude (x, y, step), (bx - 2 * p1 * x * y - p2 * (x * x + y * y + 2 * x * x)) * (1 + (x * x + y * y) * (k4 + (x * x + y * y) * (k5 + (x * x + y * y) * k6))) / (1 + (x * x + y * y) * (k1 + (x * x + y * y) * (k2 + (x * x + y * y) * k3))),
+(by_ - p1 * (x * x + y * y + 2 * y * y) - 2 * p2 * x * y) * (1 + (x * x + y * y) * (k4 + (x * x + y * y) * (k5 + (x * x + y * y) * k6))) / (1 + (x * x + y * y) * (k1 + (x * x + y * y) * (k2 + (x * x + y * y) * k3))), step + 1 from it where step < 30)
+select seq_id, cam, frame, joint, round(x * fx + cx, 4) + 0.0 as u, round(y * fy + cy, 4) + 0.0 as v from it where step = 30
+union all select seq_id, cam, frame, joint, null, null from n0 where bx is null""",
     "pair_costs": f"""with {SCENE}, {PAIRS}, own as materialized (select * from scene where joint in (0, 11, 12, 23, 24) and conf >= 0.3),
 lines as materialized (select a.*, f.cam_a, f.cam_b, f0 * u + f1 * v + f2 as la, f3 * u + f4 * v + f5 as lb, f6 * u + f7 * v + f8 as lc from own a join fund f on f.cam_a = a.cam),
 d as (select a.seq_id, a.frame, a.cam_a, a.cam_b, a.det_pos as i, b.det_pos as j, abs(la * b.u + lb * b.v + lc) / sqrt(la * la + lb * lb) as d

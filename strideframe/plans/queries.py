@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import layouts
+from ..functions import tables
 from ..functions.geometry import distortion_weight
-from ..operators import actors, bones, cameras, contact, filters, gaps, hands, interact, quality, track
+from ..operators import actors, audio, bones, cameras, contact, filters, gaps, hands, interact, placement, quality, track
 from ..sources import adapters
 from . import recording as recording_plan
 from .work import cut
@@ -190,6 +191,68 @@ def energy_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["energy_peaks"] = energy_peaks
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event type as a camera's sound: event values in order are samples, eight of them a window."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    return audio.levels(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("cam"), (F.row_number().over(w) - 1).alias("idx"), F.col("value").cast("double").alias("v")), window=8)
+
+
+def sync_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(audio.sync_peaks(_levels(spark, sf_dir), above=2.0, distance=5))
+
+
+def sync_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(audio.sync_offsets(_levels(spark, sf_dir), window=8, rate=100.0, above=2.0, distance=5, max_offset_s=60.0))
+
+
+def _rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A room for each sequence, by how far its points reach."""
+    side = lambda c: F.round(3 + (F.max(c) - F.min(c)) / 200, 1)
+    return adapters.skeleton(spark, sf_dir).groupBy(F.col("seq_id").alias("room")).agg(side("x").alias("width"), side("z").alias("depth"))
+
+
+#: Restarts of the query, drawn by a linear congruence that SQL can state as well.
+RESTARTS = "select ord, cam, ((ord * 977 + cam * 131 + 7) * 1103515245 % 2147483648) / 2147483648.0D * 0.6D - 0.3D as jitter, 0.35D + ((ord * 613 + cam * 257 + 11) * 1103515245 % 2147483648) / 2147483648.0D * 0.13D as reach from (select id div 4 as ord, id % 4 as cam from range(120))"
+
+
+def camera_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four cameras for every room: the best of the presets and 30 restarts."""
+    draws = spark.sql(RESTARTS).select(F.col("ord").cast("int"), F.col("cam").cast("int"), F.col("jitter").cast("double"), F.col("reach").cast("double"))
+    return _rounded(placement.poses(placement.best_placement(_rooms(spark, sf_dir), 4, draws)))
+
+
+@query("skeleton")
+def missing_runs(p):
+    """Runs of missing frames of each joint, by the table function."""
+    tables.register(p.sparkSession)
+    gone = p.where("x is null").select(F.concat_ws("/", "seq_id", "joint").alias("k"), "frame")
+    return p.sparkSession.sql("select k, start, stop, size from islands(table(select k, frame from {gone}) partition by k order by (frame), 1)", gone=gone)
+
+
+@query("skeleton")
+def processing_time(p):
+    return placement.processing_time(p.groupBy("seq_id").agg(F.countDistinct("frame").alias("frames")).withColumn("cameras", F.lit(3)))
+
+
+#: Lenses of the adapter's cameras: (cam, k, dist).
+LENSES = [
+    (0, [800.0, 0.0, 320.0, 0.0, 800.0, 240.0, 0.0, 0.0, 1.0], [-0.28, 0.07, 0.0003, -0.0002, 0.01]),
+    (1, [700.0, 0.0, 320.0, 0.0, 700.0, 240.0, 0.0, 0.0, 1.0], [0.12, -0.05, 0.001, 0.0005]),
+    (2, [750.0, 0.0, 320.0, 0.0, 750.0, 240.0, 0.0, 0.0, 1.0], [0.2, 0.01, 0.0, 0.0, 0.002, 0.1, 0.02, 0.001]),
+]
+
+
+@query("obs2d", 4)
+def undistorted(o):
+    lenses = o.sparkSession.createDataFrame(LENSES, "cam int, k array<double>, dist array<double>")
+    return cameras.undistort(o.select("seq_id", "cam", "frame", "joint", "u", "v"), lenses)
+
+
+QUERIES |= {f.__name__: f for f in (sync_peaks, sync_offsets, camera_placement)}
+
+
 @query("skeleton")
 def foot_contacts(p):
     return contact.foot_contacts(p, least=2)
