@@ -196,22 +196,29 @@ def coverage_summary(heatmap: DataFrame) -> DataFrame:
     return at_least.join(F.broadcast(total), how="cross").select("n_cams", "cells", (F.col("cells") / F.col("total") * 100).alias("percent"), (F.col("or_more") / F.col("total") * 100).alias("percent_or_more"))
 
 
-def same_time(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(t, frame_a, frame_b): the frames of two cameras (t, frame) that have one time stamp."""
-    return a.select("t", F.col("frame").alias("frame_a")).join(b.select("t", F.col("frame").alias("frame_b")), "t")
+def same_time(a: DataFrame, b: DataFrame, cam: str | None = None) -> DataFrame:
+    """(t, frame_a, frame_b): the frames of two cameras (t, frame) that have one time stamp.
 
+    With ``cam`` the tables hold several cameras, named by that column, and every two of them are joined: (cam_a, cam_b) lead.
+    """
+    side = lambda df, x: df.select("t", F.col("frame").alias(f"frame_{x}"), *([F.col(cam).alias(f"cam_{x}")] if cam else []))
+    both = side(a, "a").join(side(b, "b"), "t")
+    return both.where("cam_a < cam_b").select("cam_a", "cam_b", "t", "frame_a", "frame_b") if cam else both
 
-def unmatched(dets: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
-    """The detections that are in no match."""
-    return dets.join(matched.select(*keys), keys, "left_anti")
 
+def pose_similarity(a: DataFrame, b: DataFrame, conf: float = 0.3, scale: float = 50.0, cam: str | None = None) -> DataFrame:
+    """(seq_id, frame, similarity) of the poses of two cameras (seq_id, frame, joint, u, v, conf): exp(-mean distance / scale) over joints both are sure of, else 0.
 
-def pose_similarity(a: DataFrame, b: DataFrame, conf: float = 0.3, scale: float = 50.0) -> DataFrame:
-    """(seq_id, frame, similarity) of the poses of two cameras (seq_id, frame, joint, u, v, conf): exp(-mean distance / scale) over joints both are sure of, else 0."""
-    both = a.join(b.select("seq_id", "frame", "joint", F.col("u").alias("bu"), F.col("v").alias("bv"), F.col("conf").alias("bc")), ["seq_id", "frame", "joint"])
+    With ``cam`` the tables hold several cameras, named by that column, and every two of them are compared: (cam_a, cam_b) are keys too.
+    """
+    keys = ["seq_id", "frame"]
+    b = b.select("seq_id", "frame", "joint", F.col("u").alias("bu"), F.col("v").alias("bv"), F.col("conf").alias("bc"), *([F.col(cam).alias("cam_b")] if cam else []))
+    both = (a.withColumnRenamed(cam, "cam_a") if cam else a).join(b, ["seq_id", "frame", "joint"])
+    if cam:
+        both, keys = both.where("cam_a < cam_b"), [*keys, "cam_a", "cam_b"]
     apart = F.sqrt((F.col("u") - F.col("bu")) * (F.col("u") - F.col("bu")) + (F.col("v") - F.col("bv")) * (F.col("v") - F.col("bv")))
     mean = F.avg(F.when((F.col("conf") > conf) & (F.col("bc") > conf), apart))
-    return both.groupBy("seq_id", "frame").agg(F.coalesce(F.exp(-mean / scale), F.lit(0.0)).alias("similarity"))
+    return both.groupBy(*keys).agg(F.coalesce(F.exp(-mean / scale), F.lit(0.0)).alias("similarity"))
 
 
 def near_plane(points: DataFrame, normal: tuple[float, float, float], point: tuple[float, float, float], most: float = 30.0) -> DataFrame:

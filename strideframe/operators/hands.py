@@ -120,12 +120,3 @@ def blend_hands(points: DataFrame, other: DataFrame, confidence: DataFrame, hand
         return F.when(F.col("weight").isNull(), F.col(c)).when(here | there, mix).alias(c)
 
     return both.select("seq_id", "frame", "joint", *[blended(c) for c in "xyz"])
-
-
-def fused_drops(motion: DataFrame, stamps: DataFrame) -> DataFrame:
-    """(seq_id, confidence, source) from drops seen in motion (seq_id, confidence) and in time stamps (seq_id, drops, confidence), where there are any."""
-    both = motion.select("seq_id", F.col("confidence").alias("m")).join(stamps.select("seq_id", "drops", F.col("confidence").alias("t")), "seq_id", "left")
-    moved, dropped = F.col("m") > 0.3, F.col("drops") > 0
-    fused = F.when(F.col("drops").isNull(), F.col("m")).when(dropped & moved, F.least(F.lit(0.99), F.greatest("t", "m") + 0.03)).when(dropped, F.col("t")).when(moved, F.col("m") * 0.7).otherwise(F.greatest("t", "m"))
-    source = F.when(F.col("drops").isNull(), "motion_only").when(dropped & moved, "both_agree").when(dropped, "timestamps_only").when(moved, "motion_only_possible_artifact").otherwise("neither")
-    return both.select("seq_id", fused.alias("confidence"), source.alias("source"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import layouts
 from ..functions.geometry import severity, valid
 from .bones import lengths
-from .windows import by, islands, median, moves
+from .windows import by, corr, islands, median, moves
 
 
 def outlier_flags(points: DataFrame, nan_ratio: float = 0.3, velocity: float = 50.0, stretch: float = 0.5, jitter: float = 20.0, pairs: list[tuple[int, int]] = layouts.OUTLIER_BONES) -> DataFrame:
@@ -95,6 +95,15 @@ def shared_drops(stamps: DataFrame, fps: float = 30.0, tolerance_ms: float = 2.0
     return counts.withColumn("kind", F.when(F.col("n_cams") >= 2, "correlated").otherwise("specific"))
 
 
+def fused_drops(motion: DataFrame, stamps: DataFrame) -> DataFrame:
+    """(seq_id, confidence, source) from drops seen in motion (seq_id, confidence) and in time stamps (seq_id, drops, confidence), where there are any."""
+    both = motion.select("seq_id", F.col("confidence").alias("m")).join(stamps.select("seq_id", "drops", F.col("confidence").alias("t")), "seq_id", "left")
+    moved, dropped = F.col("m") > 0.3, F.col("drops") > 0
+    fused = F.when(F.col("drops").isNull(), F.col("m")).when(dropped & moved, F.least(F.lit(0.99), F.greatest("t", "m") + 0.03)).when(dropped, F.col("t")).when(moved, F.col("m") * 0.7).otherwise(F.greatest("t", "m"))
+    source = F.when(F.col("drops").isNull(), "motion_only").when(dropped & moved, "both_agree").when(dropped, "timestamps_only").when(moved, "motion_only_possible_artifact").otherwise("neither")
+    return both.select("seq_id", fused.alias("confidence"), source.alias("source"))
+
+
 def desync(points: DataFrame) -> DataFrame:
     """Per sequence: depth jitter against planar jitter, its tie to speed, and a severity."""
     d = [F.col(c) - F.col(f"p{c}") for c in "xyz"]
@@ -103,7 +112,7 @@ def desync(points: DataFrame) -> DataFrame:
     w = by(["seq_id"])
     ok = (F.col("n_valid") > 10) & (F.lag("n_valid").over(w) > 10) & (F.lag("frame").over(w) == F.col("frame") - 1) & (F.col("n") >= 5)
     frames = frames.withColumn("ok", ok).where("ok").withColumn("ratio", F.col("dz") / F.greatest(F.col("xy"), F.lit(1e-8)))
-    stats = frames.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), median("ratio").alias("median_ratio"), F.avg("ratio").alias("mean_ratio"), F.percentile("speed", F.lit(0.75)).alias("p75"), F.percentile("speed", F.lit(0.25)).alias("p25"), F.corr("speed", "ratio").alias("speed_corr"))
+    stats = frames.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), median("ratio").alias("median_ratio"), F.avg("ratio").alias("mean_ratio"), F.percentile("speed", F.lit(0.75)).alias("p75"), F.percentile("speed", F.lit(0.25)).alias("p25"), corr("speed", "ratio").alias("speed_corr"))
     ends = frames.join(stats.select("seq_id", "p75", "p25"), "seq_id").groupBy("seq_id").agg(median(F.when(F.col("speed") > F.col("p75"), F.col("ratio"))).alias("fast_ratio"), median(F.when(F.col("speed") < F.col("p25"), F.col("ratio"))).alias("slow_ratio"))
     out = stats.where("n >= 10").join(ends, "seq_id").select("seq_id", "n", "median_ratio", "mean_ratio", F.coalesce("fast_ratio", "median_ratio").alias("fast_ratio"), F.coalesce("slow_ratio", "median_ratio").alias("slow_ratio"), F.coalesce("speed_corr", F.lit(0.0)).alias("speed_corr"))
     level = F.when((F.col("median_ratio") > 2.5) | (F.col("speed_corr") > 0.5), "high").when((F.col("median_ratio") > 1.5) | (F.col("speed_corr") > 0.3), "moderate").otherwise("low")
@@ -251,8 +260,8 @@ def tracker_agreement(a: DataFrame, b: DataFrame, near: float = 20.0) -> DataFra
     both = a.join(b.select("seq_id", "frame", "joint", *[F.col(c).alias(f"b{c}") for c in "xyz"]), ["seq_id", "frame", "joint"]).where(valid("x", "y", "z", "bx", "by", "bz"))
     both = both.withColumn("d", F.sqrt(sum(F.pow(F.col(c) - F.col(f"b{c}"), 2) for c in "xyz")))
     flat = both.select("seq_id", "d", F.expr("stack(2, x, bx, y, by) as (va, vb)"))
-    corr = flat.groupBy("seq_id").agg(F.corr("va", "vb").alias("xy_corr"))
-    return both.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_distance"), F.avg((F.col("d") < near).cast("double")).alias("near_share")).join(corr, "seq_id")
+    flat_corr = flat.groupBy("seq_id").agg(corr("va", "vb").alias("xy_corr"))
+    return both.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_distance"), F.avg((F.col("d") < near).cast("double")).alias("near_share")).join(flat_corr, "seq_id")
 
 
 def frame_issues(points: DataFrame, low: float = 0.3) -> DataFrame:

@@ -33,6 +33,12 @@ def median(c) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
+def corr(a: str, b: str) -> Column:
+    """The correlation of two columns; null where one of them does not vary."""
+    spread = lambda x, y: F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x)))
+    return F.try_divide(F.covar_pop(a, b), spread(a, b) * spread(b, a))
+
+
 def unpivot(points: DataFrame) -> DataFrame:
     """(seq_id, joint, dim, frame, v) from points."""
     return points.select("seq_id", "joint", "frame", F.expr("stack(3, 0, x, 1, y, 2, z) as (dim, v)"))

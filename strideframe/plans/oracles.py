@@ -16,6 +16,9 @@ names(k, joint) as (values {_values(enumerate(BODY21))}),
 xyz as (select seq_id, frame, joint::int as joint, embedding[3 * k + 1]::double * 1000 as ax, embedding[3 * k + 2]::double * 1000 as ay, embedding[3 * k + 3]::double * 1000 as az from raw, names),
 pts as (select seq_id, frame, joint, case when abs(ax) >= 5 then ax end as x, case when abs(ax) >= 5 then ay end as y, case when abs(ax) >= 5 then az end as z from xyz)"""
 
+# The same, computed once each however often a query names them.
+HELD = SKELETON.replace("raw as (", "raw as materialized (").replace("pts as (", "pts as materialized (")
+
 CHANNEL = """chan as (select user_id as seq_id, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as frame, epoch(ts)::double as t,
 case when event_type <> 'error' then value::double end as v from events)"""
 
@@ -96,7 +99,76 @@ tot as (select room, ord, count(*) as total_cells, 100.0 * count(*) filter (n >=
 sc as (select *, round_even((0.30::double * c1 + 0.35::double * c2 + 0.15::double * c3 + 0.20::double * cc) / 100.0, 4) as score from tot),
 top as (select * from sc qualify row_number() over (partition by room order by score desc, ord) = 1)"""
 
+# What is true of the scene: poses of one person match, at the cost and confidence that the cameras' geometry gives.
+MATCHES = SCENE + f""", {PAIRS}, own as materialized (select * from scene where conf > 0.3), det as materialized (select seq_id, frame, cam, det_pos, avg(conf) s from scene group by all),
+la as materialized (select o.*, f.*, f0 * u + f1 * v + f2 x0, f3 * u + f4 * v + f5 x1, f6 * u + f7 * v + f8 x2 from own o join fund f on f.cam_a = o.cam),
+sam as (select a.seq_id, a.frame, a.cam_a, a.cam_b, a.det_pos as i, b.det_pos as j, sqrt((b.u * x0 + b.v * x1 + x2) ** 2 / greatest(x0 * x0 + x1 * x1 + (f0 * b.u + f3 * b.v + f6) ** 2 + (f1 * b.u + f4 * b.v + f7) ** 2, 1e-12)) e, sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2) d
+from la a join own b on b.seq_id = a.seq_id and b.frame = a.frame and b.joint = a.joint and b.cam = a.cam_b and b.person = a.person),
+co as materialized (select seq_id, frame, cam_a, cam_b, i, j, avg(e) epi, exp(-avg(d) / 50) alike from sam group by all having avg(e) <= 5),
+mat as materialized (select c.*, epi * (2 - alike) as cost, 0.3 * (p.s + q.s) / 2 + 0.4 * greatest(0, 1 - epi / 5) + 0.3 * alike as confidence from co c
+join det p on p.seq_id = c.seq_id and p.frame = c.frame and p.cam = c.cam_a and p.det_pos = c.i join det q on q.seq_id = c.seq_id and q.frame = c.frame and q.cam = c.cam_b and q.det_pos = c.j),
+both_ as materialized (select a.seq_id, a.frame, cam_a, cam_b from fund join (select distinct seq_id, frame, cam from det) a on a.cam = cam_a join (select distinct seq_id, frame, cam from det) b on b.cam = cam_b and b.seq_id = a.seq_id and b.frame = a.frame),
+lone as materialized (select b.seq_id, b.frame, b.cam_a, b.cam_b, d.cam, d.det_pos from both_ b join det d on d.seq_id = b.seq_id and d.frame = b.frame and d.cam in (b.cam_a, b.cam_b)
+where not exists (select 1 from mat m where m.seq_id = b.seq_id and m.frame = b.frame and m.cam_a = b.cam_a and m.cam_b = b.cam_b and ((d.cam = m.cam_a and d.det_pos = m.i) or (d.cam = m.cam_b and d.det_pos = m.j))))"""
+
+
+def _health(errors: str, window: int, sigmas: float) -> str:
+    """Calibration health over a table of errors (seq_id, frame, v)."""
+    return f"""er as materialized (select *, row_number() over (partition by seq_id order by frame) k, count(*) over (partition by seq_id) n from ({errors}) where v is not null),
+ba as materialized (select seq_id, avg(v) m, greatest(stddev_pop(v), 1e-8) sd from er where k <= {window} group by seq_id),
+hi as (select e.seq_id, k - row_number() over (partition by e.seq_id order by k) run, (v - m) / sd as o from er e join ba on ba.seq_id = e.seq_id where v > m + {sigmas} * sd),
+sg as (select seq_id, run, max(o) as sev from hi group by all), sq as (select seq_id, count(*) signals, max(sev) severity from sg group by all),
+hs as (select seq_id, avg(v) mean_error, any_value(n) n, avg(v) filter (k <= n // 2) a, avg(v) filter (k > n // 2) b from er group by all)
+select h.seq_id, case when severity > {2 * sigmas} then 'unreliable' when signals > 0 then 'drift_detected' else 'ok' end as status, round(mean_error, 6) as mean_error,
+case when n <= {window} then 'stable' when b > a * 1.2 then 'increasing' when b < a * 0.8 then 'decreasing' else 'stable' end as trend, coalesce(signals, 0) as signals, round(severity, 6) as severity from hs h left join sq on sq.seq_id = h.seq_id"""
+
+
+def _drift(metrics: str, first: int, last: int, limits: tuple[float, float, float]) -> str:
+    """The drift report over a table of metrics (seq_id, frame, n_detections, confidence, completeness)."""
+    drops = {"confidence": "greatest(0.01, base_confidence)", "completeness": "greatest(0.01, base_completeness)", "n_detections": "case when base_n_detections > 0 then base_n_detections end"}
+    over = lambda k: " + ".join(f"coalesce(((base_{c} - {c}) / {of} > {k * limit!r})::int, 0)" for (c, of), limit in zip(drops.items(), limits, strict=True))
+    return f"""me as materialized (select *, row_number() over (partition by seq_id order by frame) k, row_number() over (partition by seq_id order by frame desc) back from ({metrics})),
+ba as materialized (select seq_id, avg(confidence) base_confidence, avg(completeness) base_completeness, avg(n_detections) base_n_detections from me where k <= {first} group by seq_id having count(*) = {first}),
+ju as (select m.*, base_confidence, base_completeness, base_n_detections, {over(2)} as high, {over(1)} as every from me m left join ba on ba.seq_id = m.seq_id),
+su as (select seq_id, count(*) frames, any_value(base_confidence) bc, any_value(base_completeness) bp, any_value(base_n_detections) bn, round_even(avg(confidence) filter (back <= {last}), 4) nc, round_even(avg(completeness) filter (back <= {last}), 4) np,
+coalesce(sum(high) filter (k >= {first}), 0)::bigint high_alerts, coalesce(sum(every - high) filter (k >= {first}), 0)::bigint moderate_alerts from ju group by seq_id),
+sc as (select *, coalesce(round_even(round(abs(bc - nc) * 50 + abs(bp - np) * 50, 9), 3), 0) as score from su)
+select seq_id, frames, round(bc, 3) as base_confidence, round(bp, 3) as base_completeness, round(bn, 3) as base_n_detections, round(nc, 3) as now_confidence, round(np, 3) as now_completeness, high_alerts, moderate_alerts, score,
+case when score < 0.05 then 'stable' when score < 0.15 then 'minor' when score < 0.30 then 'moderate' else 'significant' end as level from sc"""
+
+
 ORACLES: dict[str, str] = {
+    "pose_matches": f"with {MATCHES} select seq_id, frame, cam_a::int as cam_a, cam_b::int as cam_b, i, j, round(cost, 4) + 0.0 as cost, round(confidence, 4) as confidence, confidence < 0.6 as ambiguous from mat",
+    "unmatched_detections": f"with {MATCHES} select seq_id, frame, cam_a::int as cam_a, cam_b::int as cam_b, cam, det_pos from lone",
+    "pair_statistics": f"""with {MATCHES} select f.cam_a::int as cam_a, f.cam_b::int as cam_b, (select count(*) from both_ b where b.cam_a = f.cam_a and b.cam_b = f.cam_b) as frames,
+(select count(*) from mat m where m.cam_a = f.cam_a and m.cam_b = f.cam_b) as matches, round((select count(*) from mat m where m.cam_a = f.cam_a and m.cam_b = f.cam_b) / (select count(*) from both_ b where b.cam_a = f.cam_a and b.cam_b = f.cam_b), 6) as per_frame,
+(select count(*) from mat m where m.cam_a = f.cam_a and m.cam_b = f.cam_b and confidence >= 0.6) as confident, (select count(*) from mat m where m.cam_a = f.cam_a and m.cam_b = f.cam_b and confidence < 0.6) as ambiguous,
+(select count(*) from lone m where m.cam_a = f.cam_a and m.cam_b = f.cam_b) as unmatched from fund f""",
+    "crossing_statistics": f"""with {MATCHES}, pe as materialized (select (frame // 20)::bigint as seq_id, frame % 20 as frame, seq_id as person, x, y, z from pts where joint = 0 and x is not null),
+le as (select a.seq_id, a.frame, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) < 150 as crossing from pe a join pe b on b.seq_id = a.seq_id and b.frame = a.frame and a.person < b.person group by all)
+select crossing, count(*) as total, count(*) filter (confidence >= 0.6) as confident, count(*) filter (confidence < 0.6) as ambiguous, round(100 * count(*) filter (confidence >= 0.6) / count(*), 6) as confident_percent from mat m join le on le.seq_id = m.seq_id and le.frame = m.frame group by crossing""",
+    "drift_report": f"""with {DETS}, {_drift("select cam as seq_id, frame, count(*) n_detections, round_even(avg(conf), 4) as confidence, 1.0::double as completeness from dets group by all", 30, 50, (0.15, 0.20, 0.30))}""",
+    "skeleton_drift": f"""with {SKELETON}, {_drift("select seq_id, frame, (count(x) > 0)::bigint n_detections, round_even(count(x) / count(*), 4) as confidence, round_even(count(x) / count(*), 4) as completeness from pts group by all", 10, 15, (0.03, 0.04, 0.3))}""",
+    "calibration_health": f"with {CHANNEL}, {_health('select seq_id, frame, v from chan', 10, 1.0)}",
+    "trajectory_health": f"""with {MOVES}, ch as (select *, abs(lead(step) over (partition by seq_id, joint order by frame) - step) c from mv), en as (select seq_id, min(frame) a, max(frame) b from pts group by seq_id),
+ro as (select ch.seq_id, ch.frame, case when ch.frame = any_value(a) or ch.frame = any_value(b) then 0 else avg(c) end as v from ch join en on en.seq_id = ch.seq_id group by ch.seq_id, ch.frame), {_health('select seq_id, frame, v from ro', 10, 1.5)}""",
+    # The p-value by the power series of the incomplete beta function in the squared correlation.
+    "deblur_impact": f"""with recursive {CHANNEL}, dq as (select seq_id, frame, v, t - lag(t) over (partition by seq_id order by frame) as q from chan), rw as materialized (select * from dq where v is not null and q is not null),
+st as materialized (select seq_id, count(*) n, corr(v, q) r, quantile_cont(q, 0.25) q25, quantile_cont(v, 0.25) v25 from rw group by seq_id),
+lo as (select rw.seq_id, quantile_cont(v, 0.75) l from rw join st on st.seq_id = rw.seq_id where q < q25 group by rw.seq_id),
+se as (select seq_id, (n - 2) / 2.0::double as a, r * r as x, 1.0::double as term, 0 as k, 2.0::double as total from st where n >= 3 and r is not null and abs(r) < 1
+union all select seq_id, a, x, term * (k + 1 - a) / (k + 1) * x, k + 1, total + term * (k + 1 - a) / (k + 1) * x / (k + 1.5::double) from se where k < 300),
+pv as (select seq_id, 1 - sqrt(x) * total * exp(lgamma(a + 0.5::double) - lgamma(a) - lgamma(0.5::double)) as p from se where k = 300),
+fi as (select st.seq_id, n, r, coalesce(l, v25) th, p from st left join lo on lo.seq_id = st.seq_id left join pv on pv.seq_id = st.seq_id)
+select seq_id, n, round(r, 6) + 0.0 as correlation, round(th, 6) as threshold, round(p, 6) + 0.0 as p_value, case when abs(r) > 0.5 and p < 0.05 then 'deblur likely helps' when abs(r) > 0.25 and p < 0.1 then 'marginal benefit' else 'not recommended' end as advice from fi""",
+    "cross_tracker": f"""with {HELD}, cams(cam, {", ".join(_P)}) as (values {_values([(c, *p) for c, p in CAMERAS])}),
+tw as (select seq_id, frame, joint, 0 as who, x, y, z from pts union all select seq_id, frame, joint, 1, x + 3 + joint % 4, y + 3 + joint % 4, z + 3 + joint % 4 from pts where (joint + frame) % 7 > 0),
+ey as materialized (select seq_id, frame, joint, who, cam::int as cam, case when p9 * x + p10 * y + p11 * z + p12 > 1e-8 then (p1 * x + p2 * y + p3 * z + p4) / (p9 * x + p10 * y + p11 * z + p12) end as u, case when p9 * x + p10 * y + p11 * z + p12 > 1e-8 then (p5 * x + p6 * y + p7 * z + p8) / (p9 * x + p10 * y + p11 * z + p12) end as v from tw, cams where x is not null and z > 1e-8),
+er as (select seq_id, cam, who, avg(sqrt((u - 180) ** 2 + (v - 135) ** 2) / 360 * 0.01) filter (u >= 0 and u < 360 and v >= 0 and v < 270) e from ey group by all),
+di as (select a.seq_id, a.cam, avg(sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2)) d from ey a join ey b on b.seq_id = a.seq_id and b.frame = a.frame and b.joint = a.joint and b.cam = a.cam and a.who = 0 and b.who = 1 group by all),
+al_ as (select seq_id, cam, max(e) filter (who = 0) ea, max(e) filter (who = 1) eb from er group by all), li as (select seq_id, coalesce(quantile_cont(e, 0.75), 0) lim from er group by all), mo as (select seq_id, max(d) most from di group by all)
+select a.seq_id, a.cam, round(ea, 6) as a_error, round(eb, 6) as b_error, round(d, 6) as distance, round(coalesce(greatest(0, least(1, 1 - most / 450.0::double)), 0), 6) as agreement, coalesce(ea > lim and eb > lim, false) as suspect
+from al_ a left join di on di.seq_id = a.seq_id and di.cam = a.cam join li on li.seq_id = a.seq_id left join mo on mo.seq_id = a.seq_id""",
     "sync_peaks": f"with recursive {LEVELS} select cam, win, round(db, 6) as db, round(median, 6) as median from walk where kept",
     "sync_offsets": f"""with recursive {LEVELS},
 best as (select cam, win, round_even(least(greatest((db - median) / 40, 0), 1), 4) as confidence from walk where kept qualify row_number() over (partition by cam order by db desc, win) = 1),
@@ -265,12 +337,12 @@ d as (select seq_id, frame, max(sqrt(vx * vx + vy * vy + vz * vz)) * 0.016 dist
     "bounding_boxes": f"""with {OBS} select seq_id, cam, frame, round(greatest(min(u) - 15, 0), 4) as x1, round(greatest(min(v) - 15, 0), 4) as y1, round(max(u) + 15, 4) as x2, round(max(v) + 15, 4) as y2 from obs where u is not null and not (u = 0 and v = 0) group by all""",
     "segment_means": f"""with {SKELETON} select seq_id, case when joint < 33 then 'body' end as segment, count(x) as n_valid, round(avg(x), 6) as mean_x, round(avg(y), 6) as mean_y, round(avg(z), 6) as mean_z from pts group by all""",
     "frame_spine": f"""with {DETS}, ends as (select min(frame) lo, max(frame) hi from dets), sp as (select unnest(range(lo, hi + 1)) frame from ends), c as (select frame, count(*) n from dets where conf >= 0.5 group by 1) select count(*) as frames, sum(coalesce(n, 0))::bigint as detections, round(avg(coalesce(n, 0)), 6) as mean_persons, max(coalesce(n, 0)) as max_persons, count(*) filter (n is null) as empty_frames from sp left join c using (frame)""",
-    "pin_feet": f"""with {SKELETON}, {SLOW_FEET},
-r as (select seq_id, side, min(frame) s, max(frame) e, count(*) n, avg(x) mx, avg(y) my, avg(z) mz from g group by seq_id, side, g having count(*) >= 3),
-sh as (select ft.seq_id, ft.side, ft.frame, least(1.0::double, (least(ft.frame - s, e - ft.frame) + 1) / (least(5, n // 2) + 1.0::double)) a, mx - x as dx, my - y as dy, mz - z as dz from ft join r on r.seq_id = ft.seq_id and r.side = ft.side and ft.frame between s and e)
+    "pin_feet": f"""with {HELD}, {SLOW_FEET},
+r as materialized (select seq_id, side, g, min(frame) s, max(frame) e, count(*) n, avg(x) mx, avg(y) my, avg(z) mz from g group by seq_id, side, g having count(*) >= 3),
+sh as (select g.seq_id, g.side, g.frame, least(1.0::double, (least(g.frame - r.s, r.e - g.frame) + 1) / (least(5, r.n // 2) + 1.0::double)) a, mx - x as dx, my - y as dy, mz - z as dz from g join r on r.seq_id = g.seq_id and r.side = g.side and r.g = g.g)
 select p.seq_id, p.frame, p.joint, round(p.x + coalesce(a * dx, 0), 6) as x, round(p.y + coalesce(a * dy, 0), 6) as y, round(p.z + coalesce(a * dz, 0), 6) as z
 from pts p left join sh on sh.seq_id = p.seq_id and sh.frame = p.frame and sh.side = case when p.joint in (27, 29, 31) then 'left' when p.joint in (28, 30, 32) then 'right' end""",
-    "wrist_fix": f"""with {SKELETON}, st as (select seq_id, frame, joint, x, y, z, sqrt((x - lag(x) over j) ** 2 + (y - lag(y) over j) ** 2 + (z - lag(z) over j) ** 2) step from pts where joint in (15, 31) window j as (partition by seq_id, joint order by frame)),
+    "wrist_fix": f"""with {HELD}, st as materialized (select seq_id, frame, joint, x, y, z, sqrt((x - lag(x) over j) ** 2 + (y - lag(y) over j) ** 2 + (z - lag(z) over j) ** 2) step from pts where joint in (15, 31) window j as (partition by seq_id, joint order by frame)),
 sm as (select *, avg(step) over (partition by seq_id, joint order by frame rows between 4 preceding and current row) sp from st),
 b as (select w.seq_id, w.frame, w.x - h.x dx, w.y - h.y dy, w.z - h.z dz, w.sp ws, h.sp hs, h.x hx, h.y hy, h.z hz, sqrt((w.x - h.x) ** 2 + (w.y - h.y) ** 2 + (w.z - h.z) ** 2) d from sm w join sm h on h.seq_id = w.seq_id and h.frame = w.frame and w.joint = 15 and h.joint = 31 where w.x is not null and h.x is not null),
 c as (select seq_id, quantile_cont(d, 0.5) + 3 * stddev_pop(d) lim from b group by 1),
@@ -291,7 +363,7 @@ st as (select fc.*, lag(n) over (partition by fc.seq_id order by fc.frame) pn, c
 su as (select seq_id, avg(n) / 6 * 100 cov, coalesce(avg(depth) filter (depth > 0), 0) md, count(*) filter (depth > 0 and depth < 0.05) col, case when count(off_) > 5 then stddev_pop(off_) else 0 end nw, coalesce(avg(step) filter (n > 2 and pn > 2 and k > 1 and step > 0), 0) mj from st group by 1),
 sc as (select *, greatest(100 - case when cov < 50 then (50 - cov) * 0.5 else 0 end - least(col * 2, 30) - case when nw > 30 then least((nw - 30) * 0.5, 20) else 0 end - case when mj > 15 then least((mj - 15) * 0.5, 15) else 0 end, 0) score from su)
 select seq_id, round(cov, 6) as coverage, round(md, 6) as mean_depth, col as collapsed, round(nw, 6) as nose_wander, round(mj, 6) as mean_jitter, round(score, 6) as score, case when score < 60 then 'poor' when score < 80 then 'moderate' else 'good' end as severity from sc""",
-    "hand_blend": f"""with {SKELETON}, hd as (select *, case when lag(frame) over j is not null then sqrt(coalesce((x - lag(x) over j) ** 2, 0) + coalesce((y - lag(y) over j) ** 2, 0) + coalesce((z - lag(z) over j) ** 2, 0)) end step from pts where joint in (15, 29, 30, 31, 32) window j as (partition by seq_id, joint order by frame)),
+    "hand_blend": f"""with {HELD}, hd as materialized (select *, case when lag(frame) over j is not null then sqrt(coalesce((x - lag(x) over j) ** 2, 0) + coalesce((y - lag(y) over j) ** 2, 0) + coalesce((z - lag(z) over j) ** 2, 0)) end step from pts where joint in (15, 29, 30, 31, 32) window j as (partition by seq_id, joint order by frame)),
 fr as (select seq_id, frame, count(x) / 5 as share, count(x) = 5 as whole, sum(step) moved, (frame * 3 % 10) / 10.0::double conf from hd group by all), us as (select seq_id, quantile_cont(moved, 0.5) usual from fr group by 1),
 q as (select fr.*, share * coalesce(greatest(1 - moved / ((case when usual > 0 then usual else 1 end) * 5 + 1e-8), 0), 1) quality from fr join us using (seq_id)),
 u as (select *, conf > 0.3 and (quality < 0.3 or not whole) as use_ from q),
@@ -299,7 +371,8 @@ p as (select *, frame - max(case when use_ then frame end) over (partition by se
 w as (select seq_id, frame, case when use_ then 1.0 when k between 1 and 5 then k / 6.0 end::double wt from p),
 b as (select p.*, w.wt, case when (p.joint + p.frame) % 7 > 0 then coalesce(p.x, 0) + 5 end ox, case when (p.joint + p.frame) % 7 > 0 then coalesce(p.y, 0) + 5 end oy, case when (p.joint + p.frame) % 7 > 0 then coalesce(p.z, 0) + 5 end oz from pts p left join w on w.seq_id = p.seq_id and w.frame = p.frame and p.joint in (15, 29, 30, 31, 32) and w.wt > 0)
 select seq_id, frame, joint, {", ".join(f"round(case when wt is null then {c} when x is null and ox is null then null else (1 - wt) * coalesce({c}, 0) + wt * coalesce(o{c}, 0) end, 6) as {c}" for c in "xyz")} from b""",
-    "fused_drops": f"""with dr as (FRAME_DROPS), st as (select seq_id, seq_id % 2 * 4 drops, seq_id / 10.0::double conf from dr where seq_id % 3 > 0)
+    "fused_drops": f"""with dr as (FRAME_DROPS), td as (TIMESTAMP_DROPS),
+st as (select seq_id, drops, 1 - drops / intervals as conf from dr join td on td.cam = ['click', 'error', 'purchase', 'signup', 'view'][seq_id // 2 + 1])
 select dr.seq_id, round(case when drops is null then dr.confidence when drops > 0 and dr.confidence > 0.3 then least(0.99, greatest(conf, dr.confidence) + 0.03) when drops > 0 then conf when dr.confidence > 0.3 then dr.confidence * 0.7 else greatest(conf, dr.confidence) end, 6) as confidence,
 case when drops is null then 'motion_only' when drops > 0 and dr.confidence > 0.3 then 'both_agree' when drops > 0 then 'timestamps_only' when dr.confidence > 0.3 then 'motion_only_possible_artifact' else 'neither' end as source from dr left join st using (seq_id)""",
     "coverage_heatmap": f"""with {SKELETON}, grid as (select distinct floor(x / 100) * 100 gx, floor(y / 100) * 100 gy, floor(z / 100) * 100 gz from pts where x is not null), cams(cam, {", ".join(_P)}) as (values {_values([(c, *p) for c, p in CAMERAS])}),
@@ -311,10 +384,14 @@ hm as (select gx, gy, gz, p1 * gx + p2 * gy + p3 * gz + p4 hu, p5 * gx + p6 * gy
 ce as (select gx, gy, gz, count(*) filter (abs(hw) > 1e-10 and hu / hw >= 0 and hu / hw < 300 and hv / hw >= 0 and hv / hw < 230) n from hm group by all), ht as (select gx as x, gz as z, max(n) as n_cams from ce group by all),
 c as (select n_cams, count(*) cells from ht group by 1)
 select n_cams, cells, round(cells / (select sum(cells) from c) * 100, 6) as percent, round((select sum(d.cells) from c d where d.n_cams >= c.n_cams) / (select sum(cells) from c) * 100, 6) as percent_or_more from c""",
-    "same_time": f"""with {STAMPS} select floor(a.t)::bigint as t, a.frame as frame_a, b.frame as frame_b from stamps a join stamps b on floor(a.t) = floor(b.t) and a.cam = 'click' and b.cam = 'purchase'""",
-    "unmatched_detections": f"""with {DETS} select frame, det_pos, round(cx, 6) as cx, round(cy, 6) as cy from dets a where cam = 0 and not exists (select 1 from dets b where b.cam = 1 and b.frame = a.frame and b.det_pos = a.det_pos)""",
-    "pose_similarity": f"""with {OBS} select a.seq_id, a.frame, round(coalesce(exp(-avg(sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2)) filter (a.conf > 0.3 and b.conf > 0.3) / 50), 0), 6) as similarity from obs a join obs b on a.seq_id = b.seq_id and a.frame = b.frame and a.joint = b.joint and a.cam = 0 and b.cam = 1 group by all""",
+    "same_time": f"""with {STAMPS} select a.cam as cam_a, b.cam as cam_b, floor(a.t)::bigint as t, a.frame as frame_a, b.frame as frame_b from stamps a join stamps b on floor(a.t) = floor(b.t) and a.cam < b.cam""",
+    "pose_similarity": f"""with {OBS} select a.seq_id, a.frame, a.cam as cam_a, b.cam as cam_b, round(coalesce(exp(-avg(sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2)) filter (a.conf > 0.3 and b.conf > 0.3) / 50), 0), 6) as similarity
+from obs a join obs b on a.seq_id = b.seq_id and a.frame = b.frame and a.joint = b.joint and a.cam < b.cam group by all""",
     "near_plane": f"""with {SKELETON} select seq_id, frame, joint, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from pts where abs((2 * (y - 100) + z) / sqrt(5)) < 60""",
 }
 
-ORACLES["fused_drops"] = ORACLES["fused_drops"].replace("FRAME_DROPS", ORACLES["frame_drops"])
+ORACLES["fused_drops"] = ORACLES["fused_drops"].replace("FRAME_DROPS", ORACLES["frame_drops"]).replace("TIMESTAMP_DROPS", ORACLES["timestamp_drops"])
+ORACLES["worst_frames"] = f"""with fl as ({ORACLES["outlier_flags"]}), su as (select seq_id, frame, round(sum(score), 6) as score from fl group by all)
+select seq_id, frame, score, row_number() over (partition by seq_id order by score desc, frame)::int as rank from su qualify rank <= 10"""
+ORACLES["flag_counts"] = f"""with fl as ({ORACLES["outlier_flags"]})
+select seq_id, category, severity, count(*) as n, count(distinct frame) as frames from fl group by grouping sets ((seq_id, category, severity), (seq_id, category), (seq_id, severity), (seq_id))"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import layouts
 from ..functions import tables
 from ..functions.geometry import distortion_weight
-from ..operators import actors, audio, bones, cameras, contact, filters, gaps, hands, interact, placement, quality, track
+from ..operators import actors, audio, bones, cameras, contact, filters, gaps, hands, interact, pairs, placement, quality, reports, track, windows
 from ..sources import adapters
 from . import recording as recording_plan
 from .work import cut
@@ -346,10 +346,14 @@ def hand_blend(p):
     return hands.blend_hands(p, other, conf, HAND)
 
 
-@query("skeleton")
-def fused_drops(p):
-    stamps = p.where("pmod(seq_id, 3) > 0").groupBy("seq_id").agg((F.max("seq_id") % 2 * 4).alias("drops"), (F.max("seq_id") / 10.0).alias("confidence"))
-    return hands.fused_drops(quality.frame_drops(p), stamps)
+def fused_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops in the motion of each skeleton and in the stamps of the camera that films it (a camera films two); the stamps'
+    confidence is the share of intervals that are not drops."""
+    names = F.array_sort(F.array(*[F.lit(n) for n in ("click", "error", "purchase", "signup", "view")]))
+    stamps = quality.timestamp_drops(adapters.cam_ts(spark, sf_dir)).select("cam", "drops", (1 - F.col("drops") / F.col("intervals")).alias("confidence"))
+    motion = quality.frame_drops(adapters.skeleton(spark, sf_dir))
+    films = motion.select("seq_id", F.get(names, F.floor(F.col("seq_id") / 2).cast("int")).alias("cam"))
+    return _rounded(quality.fused_drops(motion, films.join(stamps, "cam").drop("cam")))
 
 
 @query("skeleton")
@@ -366,18 +370,21 @@ def coverage_summary(p):
 
 @query("cam_ts")
 def same_time(t):
+    """Frames of equal seconds of every two cameras."""
     whole = t.withColumn("t", F.floor("t"))
-    return cameras.same_time(whole.where("cam = 'click'"), whole.where("cam = 'purchase'"))
+    return cameras.same_time(whole, whole, "cam")
 
 
-@query("detections")
-def unmatched_detections(d):
-    return cameras.unmatched(d.where("cam = 0"), d.where("cam = 1"), ["frame", "det_pos"]).select("frame", "det_pos", "cx", "cy")
+def unmatched_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections that the assignment of a camera pair leaves over, for every two cameras."""
+    scene, funds, matches = _matches(spark, sf_dir)
+    return pairs.unmatched(scene, matches, list(funds), SCENE)
 
 
 @query("obs2d")
 def pose_similarity(o):
-    return cameras.pose_similarity(o.where("cam = 0"), o.where("cam = 1"))
+    """The poses of a person in every two cameras."""
+    return cameras.pose_similarity(o, o, cam="cam")
 
 
 @query("skeleton")
@@ -510,6 +517,79 @@ def actor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(actors.actor_summary(actors.triangulate_actors(scene, views, adapters.cameras(spark)), views), 4)
 
 
+SCENE = ("seq_id", "frame")
+
+
+def _matches(spark: SparkSession, sf_dir: str):
+    """The scene, its cameras' fundamental matrices and the matched poses of every camera pair."""
+    scene, funds = adapters.scene(spark, sf_dir).drop("person"), cameras.fundamentals(adapters.CAMERAS)
+    return scene, funds, cut(pairs.match_poses(scene, funds, SCENE))
+
+
+def pose_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_matches(spark, sf_dir)[2], 4)
+
+
+def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scene, funds, matches = _matches(spark, sf_dir)
+    return _rounded(pairs.pair_statistics(scene, matches, list(funds), SCENE))
+
+
+def crossing_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches where two of the people are within 150 mm of each other, by their nose, and where they are not."""
+    noses = adapters.skeleton(spark, sf_dir).where("joint = 0 and x is not null")
+    people = noses.select(F.floor(F.col("frame") / adapters.CLIP).cast("long").alias("seq_id"), (F.col("frame") % adapters.CLIP).alias("frame"), F.col("seq_id").alias("person"), "x", "y", "z")
+    return _rounded(pairs.crossing_statistics(_matches(spark, sf_dir)[2], people, SCENE, near=150.0))
+
+
+@query("skeleton")
+def worst_frames(p):
+    return quality.worst_frames(_rounded(quality.outlier_flags(p, velocity=400.0, jitter=600.0)))
+
+
+@query("skeleton")
+def flag_counts(p):
+    return reports.flag_counts(quality.outlier_flags(p, velocity=400.0, jitter=600.0))
+
+
+@query("detections", 3)
+def drift_report(d):
+    """Each camera's detections over the frames."""
+    return reports.drift_report(reports.detection_metrics(d.withColumn("seq_id", F.col("cam"))))
+
+
+@query("skeleton", 3)
+def skeleton_drift(p):
+    return reports.drift_report(reports.skeleton_metrics(p), first=10, last=15, limits=(0.03, 0.04, 0.3))
+
+
+@query("channel")
+def calibration_health(c):
+    return reports.calibration_health(c, window=10, sigmas=1.0)
+
+
+@query("skeleton")
+def trajectory_health(p):
+    return reports.calibration_health(reports.trajectory_roughness(p), window=10, sigmas=1.5)
+
+
+@query("channel")
+def deblur_impact(c):
+    """Each channel's values against the time since the sample before."""
+    return reports.deblur_impact(c.withColumn("q", F.col("t") - F.lag("t").over(windows.by(["seq_id"]))))
+
+
+def cross_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skeletons against a tracker that is off by some mm and lacks a seventh of the points."""
+    p = adapters.skeleton(spark, sf_dir)
+    there = F.pmod(F.col("joint") + F.col("frame"), F.lit(7)) > 0
+    other = p.select("seq_id", "frame", "joint", *[F.when(there, F.col(c) + 3 + F.col("joint") % 4).alias(c) for c in "xyz"])
+    return _rounded(reports.cross_tracker(p, other, adapters.cameras(spark), 360.0, 270.0))
+
+
+QUERIES |= {f.__name__: f for f in (fused_drops, unmatched_detections, pose_matches, pair_statistics, crossing_statistics, cross_tracker)}
+
+
 def track_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.track_summary(_tracks(spark, sf_dir)[2])
 
