@@ -100,14 +100,16 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pcm(data: bytes) -> tuple[int, np.ndarray]:
-    """(rate, first channel scaled to a peak of 1) of a WAV file of 8, 16 or 32 bits; silence if it can't be read."""
+    """(rate, first channel scaled to a peak of 1) of a WAV file of 8, 16, 24 or 32 bits; silence if it can't be read."""
     try:
         with wave.open(io.BytesIO(data)) as w:
             rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
             raw = w.readframes(w.getnframes())
     except (wave.Error, EOFError):
         return 0, np.zeros(0)
-    x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).reshape(-1, channels)[:, 0].astype(float)
+    if width == 3:  # widened to 32 bits, the sign with it
+        raw = np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 3), ((0, 0), (1, 0))).tobytes()
+    x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 3: "<i4", 4: "<i4"}[width]).reshape(-1, channels)[:, 0].astype(float)
     x = x - 128 if width == 1 else x
     return rate, x / np.abs(x).max() if len(x) and np.abs(x).max() > 0 else x
 
