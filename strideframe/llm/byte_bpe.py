@@ -65,6 +65,61 @@ with recursive s(k, id, done, step) as (
 select k >> {POS_BITS} as w, id, k & {2**POS_BITS - 1} as p, done from s where done or step = {STEPS} order by k
 """
 
+#: A long part takes many places in one step. Let L be the bytes of the longest token that the part's bytes can make.
+#:
+#: A pair of rank r is calm where none of the pairs that its new id would make with its neighbours, or with its own kind beside
+#: it, ranks below r. A calm pair that ranks lowest among the pairs that start from L bytes before it to 2 L after it is
+#: contracted by the one-at-a-time rule sooner or later, with its neighbours as they are: what would take one of its tokens or
+#: change a neighbour first has to grow a token beside it, of at most L bytes, out of pairs there, and the first of those would
+#: rank below r or, further left, at r; the latter can't grow before where it is calm, else the pair waits. To contract it at once
+#: changes no other choice, as what it makes possible ranks above r. Pairs of equal rank that overlap go every second one from
+#: the left, and only as far as each of them is lowest around its own place. Another pair may make lower ranks possible within
+#: L bytes of it: it is contracted where it is the lowest, and the leftmost of that rank, from 4 L before to 4 L after, so that
+#: nothing which goes before it reaches those bytes. Contractions of one step, taken from the highest rank to the lowest and
+#: from left to right, leave each other's surroundings as they are.
+ENCODE_LONG = """
+with recursive s(k, id, done, step) as (
+  select k, id, false, 0 from word_bytes
+  union all
+  select * from (
+    with a as (
+      select k, id, step, lead(k) over o as nk, lead(id) over o as nid, lag(id) over o as before, lead(id, 2) over o as after
+      from s where not done and step < {steps} window o as (order by k)
+    ),
+    pairs as materialized (select a.*, m.id as merged, m.safe from a left join merges m on m.pair = a.id::bigint * 1048576 + a.nid),
+    calm as (
+      select p.*, p.safe or (coalesce(l.id, 1048576) > merged and coalesce(r.id, 1048576) > merged and coalesce(b.id, 1048576) > merged) as calm
+      from pairs p left join merges l on l.pair = case when not p.safe then before::bigint * 1048576 + merged end
+      left join merges r on r.pair = case when not p.safe then merged::bigint * 1048576 + after end
+      left join merges b on b.pair = case when not p.safe then merged::bigint * 1048576 + merged end
+      where merged is not null
+    ),
+    around as (
+      select k, nk, merged, calm,
+        min(merged) over (order by k range between {reach} preceding and {reach} * 2 following) as near,
+        min(case when not calm then merged end) over (order by k range between {reach} preceding and 1 preceding) as restless,
+        min(merged) over (order by k range between {reach} * 4 preceding and 1 preceding) as left_low,
+        min(merged) over (order by k range between 1 following and {reach} * 4 following) as right_low,
+        lag(nk) over (order by k) is distinct from k or lag(merged) over (order by k) is distinct from merged as starts
+      from calm
+    ),
+    chains as (
+      select *, case when calm then merged = near and restless is distinct from merged else merged < coalesce(left_low, 1048576) and merged <= coalesce(right_low, 1048576) end as low,
+        sum(starts::int) over (order by k rows unbounded preceding) as chain
+      from around
+    ),
+    turns as (select *, row_number() over (partition by chain order by k) as n, bool_and(low and calm) over (partition by chain order by k rows unbounded preceding) as settled from chains),
+    acts as materialized (select unnest([k, nk]) as k, unnest([merged, -1]) as id from turns where case when calm then settled and n % 2 = 1 else low end)
+    select p.k, coalesce(t.id, p.id), not exists (select 1 from calm), p.step + 1
+    from pairs p left join acts t on t.k = p.k where t.id is distinct from -1
+  )
+)
+select id, k as p, done from s where done or step = {steps} order by k
+"""
+
+#: Bytes of a part from which it is long, and rows times steps of a query over long parts.
+LONG, LONG_ROWS = 256, 3_000_000
+
 DECODE = """
 select t.w, string_agg(v.hex, '' order by t.p) as hex from tokens t join vocab v on v.id = t.id group by t.w
 """
@@ -93,6 +148,11 @@ class Codec:
         for tok in ranks:
             beside[[a << 8 | b for a, b in zip(tok, tok[1:], strict=False)]] = True
         self.beside = beside
+        self.tokens = list(ranks)
+        self.has = np.zeros((len(ranks), 256), bool)  # which bytes each token holds
+        for k, tok in enumerate(ranks):
+            self.has[k, list(tok)] = True
+        self.sizes = np.fromiter(map(len, ranks), np.int64, len(ranks))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         merges = pa.table({"pair": left * 1048576 + right, "id": pa.array(merged, pa.int32()), "safe": ~np.isin(merged, unsafe)})
         vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
@@ -117,6 +177,16 @@ class Codec:
         first = np.flatnonzero(cut)
         rows = pa.table({"k": (part << POS_BITS) | (np.arange(len(raw)) - first[part]), "id": self.byte_ids[raw]})
         at, ids = [], []
+        size = np.diff(first, append=len(raw))
+        if (size > LONG).any():
+            long = (size > LONG)[part]
+            for p in np.flatnonzero(size > LONG):
+                here = part == p
+                at.append(rows.column("k").to_numpy()[here])
+                ids.append(self._long(raw[here]))
+                at[-1] = at[-1][ids[-1][0]]
+                ids[-1] = ids[-1][1]
+            rows = rows.filter(pa.array(~long))
         while len(rows):
             self.db.register("word_bytes", rows)
             got = self.db.sql(ENCODE).to_arrow_table()
@@ -130,6 +200,20 @@ class Codec:
         owner = own[first][at[order] >> POS_BITS]
         return np.split(ids[order], np.searchsorted(owner, np.arange(1, len(words))))
 
+    def _long(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places at which the tokens of one long part start, and their ids."""
+        held = np.zeros(256, bool)
+        held[raw] = True
+        reach = int(self.sizes[~(self.has & ~held).any(axis=1)].max())
+        place, ids, over = np.arange(len(raw)), self.byte_ids[raw], False
+        while not over:
+            steps = max(1, min(STEPS, LONG_ROWS // len(place)))
+            self.db.register("word_bytes", pa.table({"k": place, "id": pa.array(ids, pa.int32())}))
+            got = self.db.sql(ENCODE_LONG.format(steps=steps, reach=reach)).to_arrow_table()
+            self.db.unregister("word_bytes")
+            place, ids, over = got.column("p").to_numpy(), got.column("id").to_numpy(), bool(got.column("done").to_numpy()[0])
+        return place, ids
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
         lens = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -6,19 +6,23 @@ filter looks up every q-gram of a document in an index of the benchmark, counts
 bands of 2(k+1) diagonals (any k+1 neighbouring diagonals lie within one), keeps the bands that reach the
 bound, and verifies each by an alignment of the benchmark text within the band. k is a tenth of the text.
 
-Texts are compared lower-cased with runs of blanks as one space. A benchmark text is looked for by its windows of ``window``
-characters, one at every eighth of a window and one at its end, so a passage of it of nine eighths of a window is found wherever it lies; a text no
-longer than a window is one window, that is, looked for whole. In windows of fewer than 40 characters or so, k is less than a tenth, so
-that the bound stays above zero. The benchmark is a stated query set: it is taken in blocks of about ``BLOCK_CHARS`` characters, each
-broadcast, against all documents.
-
-Defined results: null or empty texts, of documents or of the benchmark, match nothing; benchmark texts of fewer than q characters are not
-looked for; repeated rows and ids are judged each; an empty benchmark keeps all, an empty table gives none; other columns pass
-(``drop_leaked``) or are not looked at (``find_leaks``). Long texts are taken whole.
+Texts are compared lower-cased with runs of blanks as one space. What is looked for is a stretch of as many characters of a
+benchmark text as a window has, or the whole of one that is no longer: windows start at every eighth of a window and one ends
+with the text, so a passage of nine eighths of a window is found wherever it lies, and what must occur of a text grows with its
+length up to a window without a jump. Without a window, texts of all lengths are looked for whole. In texts of fewer than 40 characters or so, k is less than a tenth,
+so that the bound stays above zero; those of fewer than q characters are looked for as they are, as whole words. The benchmark is
+a stated query set: it is taken in blocks of about ``BLOCK_CHARS`` indexed characters, each broadcast, against all documents.
+A worker builds the index of a block once.
+
+Defined results: null or empty texts, of documents or of the benchmark, match nothing; repeated rows and ids are judged each; an
+empty benchmark keeps all, an empty table gives none; other columns pass (``drop_leaked``) or are not looked at
+(``find_leaks``). Long texts are taken whole.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +32,7 @@ from .common import mix, tidy
 
 Q = 8
 WINDOW = 512
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 _BITS = 22
 _CHARS = 1 << 18  # characters of documents looked at together
 _HITS = 1 << 20  # shared q-grams counted together
@@ -56,35 +60,52 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 class Index:
     """The q-grams of a block of benchmark texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, window: int = WINDOW):
+    def __init__(self, items: list[tuple[int, str]], rate: float, window: int | None = None):
         self.ids: list[int] = []
+        self.short: dict[str, list[int]] = {}
         codes = []
         for item, text in items:
             text = normal(text)
-            last = max(len(text) - window, 0)
-            for at in sorted({*range(0, last, max(window // 8, 1)), last}):
-                if len(text) >= Q:
+            if 0 < len(text) < Q:
+                self.short.setdefault(text, []).append(item)
+            elif text:
+                size = min(window or len(text), len(text))
+                for at in sorted({*range(0, len(text) - size, max(size // 8, 1)), len(text) - size}):
                     self.ids.append(item)
-                    codes.append(_codes(text[at : at + window]))
+                    codes.append(_codes(text[at : at + size]))
+        self.words = sorted({t.count(" ") + 1 for t in self.short})
         self.m = np.array([len(c) for c in codes], np.int64)
         self.k = np.minimum((rate * self.m).astype(np.int64), (self.m - Q) // Q)
         self.need = self.m + 1 - Q * (self.k + 1)
         self.codes = codes
-        grams = [_grams(c) for c in codes]
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.gram, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.item = np.repeat(np.arange(len(codes)), [len(g) for g in grams])[order] if grams else np.zeros(0, np.int64)
-        self.pos = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
+        sizes = self.m - Q + 1
+        flat = np.concatenate([_grams(c) for c in codes]) if codes else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable").astype(np.int32)
+        flat = flat[order]
+        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.gram, self.first, self.count = flat[starts], starts.astype(np.int32), np.diff(starts, append=len(flat)).astype(np.int32)
+        del flat
+        self.item = np.repeat(np.arange(len(codes), dtype=np.int32), sizes)[order]
+        self.pos = (order - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)[order]).astype(np.int32)
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.kmax = int(self.k.max()) if codes else 0
         self.mmax = int(self.m.max()) if codes else 0
 
+    def _short(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """As ``find``, of the benchmark texts that are too short for a q-gram."""
+        out = []
+        for o, text in enumerate(texts if self.short else ()):
+            words = text.split(" ")
+            held = {" ".join(words[k : k + n]) for n in self.words for k in range(len(words) - n + 1)}
+            out += [(o, i, 0) for t in held & self.short.keys() for i in sorted(set(self.short[t]))]
+        return out
+
     def find(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text, benchmark id, edits) of each normalised text and benchmark text within the budget."""
+        short = self._short(texts)
         if not self.codes:
-            return []
+            return short
         pad = np.zeros(self.mmax + 4 * self.kmax + 8, np.uint32)
         gap = np.zeros(self.kmax + Q, np.uint32)  # no alignment within the budget crosses it
         parts, starts, at = [pad], [], len(pad)
@@ -101,15 +122,15 @@ class Index:
         same = self.gram[g] == h[where]
         where, g = where[same], g[same]
         if not len(where):
-            return []
+            return short
         top = len(doc) + 2
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        n, lo = np.cumsum(self.count[g]), 0
+        n, lo = np.cumsum(self.count[g], dtype=np.int64), 0
         while lo < len(where):
             hi = max(lo + 1, int(np.searchsorted(n, (n[lo - 1] if lo else 0) + _HITS, "right")))
-            size = self.count[g[lo:hi]]
+            size = self.count[g[lo:hi]].astype(np.int64)
             hit = np.repeat(self.first[g[lo:hi]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            place, item = np.repeat(where[lo:hi], size), self.item[hit]
+            place, item = np.repeat(where[lo:hi], size), self.item[hit].astype(np.int64)
             band = (place - self.pos[hit]) // (self.k[item] + 1)
             key = ((np.searchsorted(starts, place, "right") - 1) * len(self.codes) + item) * top + band + 1
             keys, at = np.unique(np.concatenate([keys, key, key - 1]), return_inverse=True)
@@ -132,7 +153,7 @@ class Index:
                 if e <= self.k[i]:
                     pair = int(o), self.ids[i]
                     found[pair] = min(found.get(pair, 1 << 30), int(e))
-        return [(o, i, e) for (o, i), e in found.items()]
+        return short + [(o, i, e) for (o, i), e in found.items()]
 
     def _align(self, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Fewest edits that turn each item into a stretch of ``doc``, on the diagonals from ``start``."""
@@ -163,26 +184,39 @@ def _runs(texts: list[str]):
         yield first, texts[first:]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, rate: float):
-    """A broadcast index for each block of the benchmark."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, rate: float, window: int | None):
+    """For each block of the benchmark a function that gives its index within a task."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    size = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    chars = F.char_length("text")
+    size = items.agg(F.sum(chars if window is None else F.when(chars > window, 8 * chars).otherwise(chars))).first()[0] or 0
     n = size // BLOCK_CHARS + 1
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         if rows:
-            yield docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
+            shared, name = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows]), uuid.uuid4().hex
+            yield lambda shared=shared, name=name: _index(name, shared, rate, window)
+
+
+#: The index that the worker used last, by the name of its block.
+_LAST: dict[str, Index] = {}
+
+
+def _index(name: str, shared, rate: float, window: int | None) -> Index:
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Index(shared.value, rate, window)
+    return _LAST[name]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, window: int | None = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits) of every document row that holds a benchmark text."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     out = None
-    for shared in _blocks(docs, benchmark, rate):
+    for index_of in _blocks(docs, benchmark, rate, window):
 
-        def run(batches, shared=shared):
-            index = Index(shared.value, rate, window)
+        def run(batches, index_of=index_of):
+            index = index_of()
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
@@ -197,12 +231,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, window:
     return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, edits int")
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, window: int | None = WINDOW, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark text."""
-    for shared in _blocks(docs, benchmark, rate):
+    for index_of in _blocks(docs, benchmark, rate, window):
 
-        def run(batches, shared=shared):
-            index = Index(shared.value, rate, window)
+        def run(batches, index_of=index_of):
+            index = index_of()
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)

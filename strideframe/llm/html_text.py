@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+import unicodedata
+from collections import defaultdict
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from .common import tidy
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist rp".split())
 #: What svg and math hold but do not show.
 UNSEEN = frozenset("desc metadata symbol clippath mask marker pattern annotation annotation-xml mphantom".split())
 #: Where svg and math hold HTML or text again.
@@ -68,21 +70,25 @@ class Node:
 
 
 class Stack(list):
-    """The open elements, and how many of each tag are open."""
+    """The open elements, and for each tag the places of its open ones, so that the nearest of some tags is found at once."""
 
     def __init__(self, root: Node):
         super().__init__([root])
-        self.open: Counter[str] = Counter()
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
 
     def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self))
         self.append(node)
-        self.open[node.tag] += 1
 
     def cut(self, at: int) -> None:
-        for node in self[at:]:
-            self.open[node.tag] -= 1
+        for node in reversed(self[at:]):
+            self.places[node.tag].pop()
         del self[at:]
 
+    def nearest(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max([self.places[t][-1] for t in tags if t in self.places and self.places[t]], default=0)
+
 
 class Ends:
     """Where tags end: at the next ``>`` outside quotes. Stops from which no end was found are kept, so that all searches together are one pass."""
@@ -162,38 +168,24 @@ def parse(source: str) -> Node:
 
 def _foreign(stack: Stack) -> bool:
     """Whether the next tag is one of svg or math."""
-    if not (stack.open["svg"] or stack.open["math"]):
-        return False
-    return next((n.tag in ("svg", "math") for n in reversed(stack) if n.tag in ("svg", "math") or n.tag in INTEGRATION), False)
+    return stack.nearest(("svg", "math")) > stack.nearest(INTEGRATION)
 
 
 def _close(stack: Stack, tags: frozenset[str], stop: frozenset[str]) -> None:
-    if not any(stack.open[t] for t in tags):
-        return
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            stack.cut(k)
-            return
-        if stack[k].tag in stop:
-            return
+    at = stack.nearest(tags)
+    if at and at >= stack.nearest(stop):
+        stack.cut(at)
 
 
 def _enter(stack: Stack, tag: str) -> None:
     """Make room for a tag of a table: close what it can't stand in, open the row that a cell lacks."""
-    if not any(stack.open[t] for t in _TABLE):
-        return
-    at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in _TABLE), 0)
+    at = stack.nearest(_TABLE)
     if tag == "table":  # a table right inside another one ends it
-        if stack[at].tag in _INNER:
+        if at and stack[at].tag in _INNER:
             _close(stack, frozenset({"table"}), frozenset())
         return
-    if not at or stack[at].tag == "template":
-        return
-    while at and stack[at].tag not in PARENT[tag]:
-        at -= 1
-        if stack[at].tag == "template":
-            return
-    if not at:
+    at = stack.nearest(PARENT[tag])
+    if not at or at < stack.nearest(("template",)):
         return
     stack.cut(at + 1)
     if tag in _CELL and stack[at].tag != "tr":
@@ -206,7 +198,7 @@ def _put(stack: Stack, item: Node | str) -> None:
     """Add a text or element; what can't stand between the cells of a table goes before the table."""
     to = stack[-1].children
     if stack[-1].tag in _INNER and (item.strip() if isinstance(item, str) else item.tag not in PARENT):
-        k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table"), 0)
+        k = stack.nearest(("table",))
         if k:
             to = stack[k - 1].children
             at = next((i for i in range(len(to) - 1, -1, -1) if to[i] is stack[k]), len(to))
@@ -233,6 +225,8 @@ def _style(node: Node) -> dict[str, str]:
 
 def left_out(node: Node) -> bool:
     """Whether the element and all in it is not rendered."""
+    if node.tag == "dialog" and "open" not in node.attrs:
+        return True
     return node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden") or _style(node).get("display") == "none"
 
 
@@ -334,6 +328,13 @@ def _grid(table: Node, shown: bool) -> list[list[tuple[Node | None, int, bool]]]
     return rows
 
 
+def columns_of(text: str) -> int:
+    """How many columns a text takes where letters stand in a grid: wide ones two, marks above others none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def _layout(cells: list[list[tuple[list[str], int]]]) -> list[str]:
     """Rows of (lines of a cell, span) in columns of the width of their widest one-column cell."""
     width: dict[int, int] = {}
@@ -341,7 +342,7 @@ def _layout(cells: list[list[tuple[list[str], int]]]) -> list[str]:
         at = 0
         for lines, span in row:
             if span == 1:
-                width[at] = max(width.get(at, 0), *map(len, lines), 0)
+                width[at] = max(width.get(at, 0), *map(columns_of, lines), 0)
             at += span
     out = []
     for row in cells:
@@ -350,7 +351,8 @@ def _layout(cells: list[list[tuple[list[str], int]]]) -> list[str]:
             at, parts = 0, []
             for lines, span in row:
                 room = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
+                line = lines[k] if k < len(lines) else ""
+                parts.append(line + " " * (room - columns_of(line)))
                 at += span
             out.append(" | ".join(parts).rstrip())
     return out
@@ -409,7 +411,10 @@ def render(root: Node) -> str:
                 elif tag in ("ul", "ol", "menu"):
                     counters.pop()
 
-            frames.append([iter(child.children), to, close, pre + (tag == "pre"), shown])
+            inside = child.children
+            if tag == "details" and "open" not in child.attrs:  # closed: its first summary alone shows
+                inside = [c for c in inside if isinstance(c, Node) and c.tag == "summary"][:1]
+            frames.append([iter(inside), to, close, pre + (tag == "pre"), shown])
         elif tag == "text" and not pre:  # of svg: placed by itself
             to.words(" ")
             frames.append([iter(child.children), to, lambda to=to: to.words(" "), pre, shown])

@@ -102,6 +102,30 @@ def test_bpe_long_and_random_words(monkeypatch):
     assert [x.tolist() for x in codec.encode(words)] == want
 
 
+def test_bpe_long_words_take_many_places_at_once(monkeypatch):
+    """Random and periodic words, cut into long parts from 30 bytes on, against tiktoken."""
+    codec, enc, rnd = byte_bpe.codec(VOCAB), own_encoding(), random.Random(5)
+    monkeypatch.setattr(byte_bpe, "LONG", 30)
+    words = []
+    for _ in range(120):
+        letters = rnd.choice(["ab", "the", "aeiothns", "=-", "abcdefghijklmnopqrstuvwxyz", "=-*#", "ing", "erstion", "  \n\t", "0123456789", "ÃÂ"])
+        unit = "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 12)))
+        words.append((unit * rnd.randrange(1, 60) + "".join(rnd.choice(letters) for _ in range(rnd.randrange(300))))[:700].encode())
+    want = [enc._core_bpe.encode_single_piece(w) for w in words]
+    assert [x.tolist() for x in codec.encode(words)] == want
+    monkeypatch.setattr(byte_bpe, "LONG_ROWS", 1000)  # a step or so for each query
+    assert [x.tolist() for x in codec.encode(words[:40])] == want[:40]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "aeiothns", "a", "thethethat"])
+def test_bpe_time_of_a_long_word(letters):
+    codec, enc, rnd = byte_bpe.codec(VOCAB), own_encoding(), random.Random(6)
+    word = (letters * 4000 if letters == "thethethat" else "".join(rnd.choice(letters) for _ in range(40_000))).encode()
+    began = time.time()
+    got = codec.encode([word])[0].tolist()
+    assert time.time() - began < 15 and got == enc._core_bpe.encode_single_piece(word)
+
+
 def test_bpe_empty_table(nothing):
     assert byte_bpe.encode_decode(nothing, VOCAB, P.PATTERN).count() == 0
 
@@ -364,6 +388,41 @@ def test_leaks_in_blocks_and_pieces_and_empty(spark, nothing, monkeypatch):
     assert decontaminate.find_leaks(nothing, bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 8, 511, 512, 513, 1500])
+@pytest.mark.parametrize("window", [None, 512])
+def test_leaks_of_texts_of_every_length(size, window):
+    """Against all alignments: whole texts, or any of their windows."""
+    rnd = random.Random(size)
+    words = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(100)) for _ in range(n))
+    item = words(600)[:size].strip().ljust(size, "x") if size > 8 else "ab cd"[:size].ljust(size, "y")
+    texts = [words(20) + " " + item + " " + words(20), words(300), words(9) + " " + item[: len(item) // 2], item, "x" + item + "x", words(3) + " " + item[: size - size // 15]]
+    got = {(o, i): e for o, i, e in decontaminate.Index([(4, item), (5, "")], 0.1, window).find(texts)}
+    want = {}
+    if size < decontaminate.Q:
+        want = {(o, 4): 0 for o, t in enumerate(texts) if f" {item} " in f" {t} "}
+    else:
+        m = min(window or size, size)
+        k = min(int(0.1 * m), (m - 8) // 8)
+        for o, t in enumerate(texts):
+            for at in sorted({*range(0, size - m, m // 8), size - m}):
+                e = plain.edits(item[at : at + m], t)
+                if e <= k:
+                    want[o, 4] = min(e, want.get((o, 4), e))
+    assert got == want and (0, 4) in got and (1, 4) not in got
+
+
+def test_leak_index_of_long_texts_is_small():
+    import tracemalloc
+
+    rnd = np.random.RandomState(1)
+    items = [(k, "".join(map(chr, rnd.randint(97, 122, 5000)))) for k in range(100)]
+    tracemalloc.start()
+    index = decontaminate.Index(items, 0.1, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.m) == 100 and peak < 4 * (1 << 20) + 75 * 500_000  # a block of 2,000,000 characters: about 150 MB
+
+
 # ---- HTML ----
 
 
@@ -608,6 +667,21 @@ def test_broken_pages_are_read_in_one_pass(source):
     assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("head, many", [("<span><table><tr><td>", ("<b>", "</span>")), ("<dd><dl>", ("<b>", "<dt></dt>")), ("<table><tr><td>", ("<b>", "<table></table>")), ("<svg>", ("<g>", "<path/>")), ("<table>", ("x<tr>",))])
+def test_deep_pages_are_read_in_one_pass(head, many):
+    """A page of about 1 MB, whose open elements are not walked for each tag."""
+    began = time.time()
+    html_text.parse(head + "".join(x * 80_000 for x in many))
+    assert time.time() - began < 5
+
+
+def test_what_browsers_hold_back():
+    assert page_text("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>") == "漢kan"
+    assert page_text("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+    assert page_text("<details><summary>S</summary>more<summary>x</summary></details><details open><summary>T</summary>seen</details>") == "S\nT\nseen"
+    assert page_text("<table><tr><td>漢字</td><td>a</td></tr><tr><td>abcd</td><td>b</td></tr><tr><td>e\u0301</td><td>c</td></tr></table>").split("\n") == ["漢字 | a", "abcd | b", "e\u0301    | c"]
+
+
 def test_inherited_visibility():
     assert html_text.page_text("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>") == "yes"
     assert html_text.page_text("<table style='visibility:collapse'><tr><td>a</td><td style='visibility:visible'>b</td></tr></table>").split() == ["|", "b"]
