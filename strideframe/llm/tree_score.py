@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from .common import discard, n_shuffle, pieces, shared_dir, staged, tidy, word_h
 
 DEPTH = 5
 END = b"\n"
+#: The end as a token: the hash of a blank, which no word holds.
+END_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 CHUNK_BYTES = 16 << 20
 BLOCK_GRAMS = 250_000
 SLOTS = 256  # at least; more where there are many chunks
@@ -62,8 +65,7 @@ def byte_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of each text, the end token last, and how many."""
     h, lens = word_hashes([t + b" " for t in texts])
-    end, _ = word_hashes([b"\0end"])
-    return np.insert(h, np.cumsum(lens), end[0]), lens + 1
+    return np.insert(h, np.cumsum(lens), END_KEY), lens + 1
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -443,7 +445,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = base.withColumn("is_text", F.lit(1)).unionByName(known.withColumn("is_text", F.lit(0)), allowMissingColumns=True)
     rows = rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "is_text")
     out = rows.mapInArrow(tidy(run), f"doc_id {kind}, row long, n_tokens long, n_bytes long, base double, known long, score double")
-    out = out.groupBy("doc_id", "row").agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_bytes", "known", "base", "score")])
     is_held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
     return out.select(
         "doc_id",
