@@ -135,6 +135,32 @@ class _Writer:
         self.sink.close()
 
 
+LEAST = -(2**63)  # what null ids count as
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """(id, text) in ``n`` partitions whose ids ascend. The bounds are quantiles of the ids alone, so no text is read for them.
+
+    An id that fills several partitions (it is then several of the bounds) is spread over them by the hash of its texts.
+    """
+    own = F.coalesce("id", F.lit(LEAST))
+    bounds = rows.select(own.alias("id")).agg(F.percentile_approx("id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    if not bounds:
+        return rows.coalesce(1)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    known = F.array(*[F.lit(b) for b in bounds])
+
+    def below(fits):
+        """How many bounds fit, by binary search: they ascend."""
+        step = lambda at, size: F.when((at + size <= len(bounds)) & fits(F.get(F.col("__bounds"), at + size - 1)), at + size).otherwise(at)
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+    placed = rows.withColumn("__bounds", known).withColumn("__low", below(lambda b: b < own)).withColumn("__high", below(lambda b: b <= own))
+    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    part = F.col("__low") + F.when(F.col("__high") > F.col("__low"), F.floor(share * (F.col("__high") - F.col("__low") + 1)).cast("int")).otherwise(0)
+    return placed.withColumn("__part", part).drop("__bounds", "__low", "__high").repartitionById(n, "__part").select("id", "text")
+
+
 def write_tokens(docs: DataFrame, vocab_path: str, folder: str, length: int = 1024, end_id: int = 2, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write; returns one row for each file (FILES), in document order by ``part``.
 
@@ -144,7 +170,7 @@ def write_tokens(docs: DataFrame, vocab_path: str, folder: str, length: int = 10
     if not wide and largest > 65535:
         raise ValueError(f"id {largest} takes more than 16 bits: write with wide=True")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    dealt = base.repartitionByRange(n_shuffle(docs.sparkSession), F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
+    dealt = _dealt(base, n_shuffle(docs.sparkSession)).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

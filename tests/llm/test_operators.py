@@ -294,6 +294,18 @@ def test_tree_scores_equal_the_plain_tree(spark, monkeypatch):
     assert [again[i].n_known for i, _ in rows] == [got[i].n_known for i, _ in rows]
 
 
+def test_end_token_is_no_word():
+    words = [b"\0end", b"end", b"x"]
+    keys, lens = tree_score.token_keys([b" ".join(words), b""])
+    assert lens.tolist() == [4, 1] and keys[3] == keys[4] and keys[3] not in keys[:3]
+
+
+def test_repeated_rows_each_have_a_score(spark):
+    rows = [(1, "one two"), (1, "one two"), (2, "two"), (2, "two"), (2, "two")]
+    out = tree_score.score_texts(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r.doc_id for r in out) == [1, 1, 2, 2, 2] and len({(r.doc_id, r.score) for r in out}) == 2
+
+
 def test_tree_counts_and_packing():
     rng = np.random.default_rng(4)
     for size in (1, 7, 70_000, 200_000):
@@ -343,6 +355,24 @@ def test_token_files_round_trip(spark, edge_docs, edge_rows, tmp_path):
     assert not reader.batches[0].column("ids").flatten().to_numpy().flags.owndata  # a view of the mapped file
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_token_files_partitions_ascend(spark, n):
+    """Ids ascend over the partitions, and an id that fills several is spread over them."""
+    rnd = random.Random(n)
+    rows = [(rnd.choice([None, 5, 5, 5, rnd.randrange(1000)]), f"text {k}") for k in range(2000)]
+    got = token_files._dealt(spark.createDataFrame(rows, "id long, text string"), n).withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(((r.id, r.text) for r in got), key=repr) == sorted(rows, key=repr)
+    low = lambda i: -(2**63) if i is None else i
+    ends = {}
+    for r in got:
+        a, b = ends.get(r.p, (low(r.id), low(r.id)))
+        ends[r.p] = min(a, low(r.id)), max(b, low(r.id))
+    spans = [ends[p] for p in sorted(ends)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    if n >= 7:
+        assert max(sum(r.p == p for r in got) for p in ends) < 2.5 * 2000 / n + 100
+
+
 def test_token_files_null_ids_and_empty_table(spark, nothing, tmp_path):
     df = spark.createDataFrame([(None, "b"), (1, None), (None, "a")], DOCS)
     files = common.staged(token_files.write_tokens(df, P.path("word_bpe_49k.json"), f"file://{tmp_path}/a"), f"file://{tmp_path}/fa")
