@@ -10,7 +10,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.numeric import assign, iou, ious
 
@@ -138,6 +140,134 @@ class BoxTracker:
         return out
 
 
+class BoxTracks:
+    """``BoxTracker`` over many sequences at once: a frame of all of them takes a fixed number of array operations.
+
+    Row s of the state is sequence s, its slots are that sequence's tracks; a track that is too old leaves its slot. The
+    filter's noises are the same in a box's four measures, so one covariance of place and speed serves all four (z is 4
+    places, 4 speeds, the covariance by rows). Sums run in ``BoxFilter``'s order, so identities are ``BoxTracker``'s.
+    """
+
+    def __init__(self, high: float = 0.5, low: float = 0.1, iou_high: float = 0.3, iou_low: float = 0.5, max_age: int = 30):
+        self.high, self.low, self.iou_high, self.iou_low, self.max_age = high, low, iou_high, iou_low, max_age
+        self.z, self.seen, self.ids, self.next_id = np.zeros((0, 12, 8)), np.zeros((0, 8), int), np.zeros((0, 8), int), np.zeros(0, int)
+
+    def reserve(self, rows: int, slots: int = 0) -> None:
+        """Room for that many sequences and tracks of each."""
+        old, width = self.seen.shape
+        more = (max(rows - old, 0), max(slots - width, 0))
+        self.z = np.pad(self.z, ((0, more[0]), (0, 0), (0, more[1])))
+        self.seen = np.pad(self.seen, ((0, more[0]), (0, more[1])), constant_values=-(2**40))  # older than any track
+        self.ids, self.next_id = np.pad(self.ids, ((0, more[0]), (0, more[1]))), np.pad(self.next_id, (0, more[0]))
+
+    def step(self, frame: int, s: np.ndarray, box: np.ndarray, conf: np.ndarray) -> np.ndarray:
+        """Identities of a frame's detections, given by sequence (``s``, in groups), box (n, 4) and confidence."""
+        start = np.ones(len(s), bool)
+        np.not_equal(s[1:], s[:-1], out=start[1:])
+        rows, at = s[start], start.cumsum() - 1
+        z, seen = self.z[rows], self.seen[rows]
+        z[:, :4] += z[:, 4:8]
+        cross = z[:, 9] + z[:, 11]
+        z[:, 8] = z[:, 8] + z[:, 10] + cross + 0.01
+        z[:, 10] += z[:, 11]
+        z[:, 9] = cross
+        z[:, 11] += 0.01
+        half = np.maximum(z[:, 2:4], 1.0) / 2
+        lo, hi = z[:, :2] - half, z[:, :2] + half
+        size = hi - lo
+        area = np.maximum(size[:, 0] * size[:, 1], 1.0)
+        side = np.maximum(np.minimum(hi[at], box[:, 2:, None]) - np.maximum(lo[at], box[:, :2, None]), 0)
+        inter = side[:, 0] * side[:, 1]
+        wide = box[:, 2:] - box[:, :2]
+        overlap = inter / (area[at] + np.maximum(wide[:, 0] * wide[:, 1], 1.0)[:, None] - inter)
+        sure = conf >= self.high
+        gate = np.where(sure, self.iou_high, np.where(conf >= self.low, self.iou_low, np.inf))
+        fits = (overlap >= gate[:, None]) & (frame - seen <= self.max_age)[at]
+        measured = np.concatenate([(box[:, :2] + box[:, 2:]) / 2, np.maximum(wide, 1.0)], axis=1)
+        out = np.full(len(s), -1)
+        if fits.any():
+            d, k = self._pairs(fits, overlap, sure, rows, at)
+            a = at[d]
+            x = z[a, :, k]
+            scale = 1.0 / (x[:, 8] + 10.0)
+            g, h = (x[:, 8] * scale)[:, None], (x[:, 10] * scale)[:, None]
+            off = measured[d] - x[:, :4]
+            z[a, :, k] = np.concatenate([x[:, :4] + g * off, x[:, 4:8] + h * off, x[:, 8:10] - g * x[:, 8:10], x[:, 10:] - h * x[:, 8:10]], axis=1)
+            seen[a, k], out[d] = frame, self.ids[rows[a], k]
+        new = np.flatnonzero(out < 0)
+        a = at[new]
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        free = (frame - seen > self.max_age).cumsum(axis=1)
+        if len(a) and (short := int((nth + 1 - free[a, -1]).max())) > 0:
+            width = seen.shape[1]
+            self.reserve(len(self.seen), width + max(short, width // 2))
+            more = self.seen.shape[1] - width
+            z, seen = np.pad(z, ((0, 0), (0, 0), (0, more))), np.pad(seen, ((0, 0), (0, more)), constant_values=-(2**40))
+            free = (frame - seen > self.max_age).cumsum(axis=1)
+        k = (free[a] > nth[:, None]).argmax(axis=1)
+        out[new] = self.next_id[rows[a]] + nth
+        z[a, :4, k], z[a, 4:, k], seen[a, k] = measured[new], (0, 0, 0, 0, 10, 0, 0, 10), frame
+        self.ids[rows[a], k] = out[new]
+        self.next_id += np.bincount(rows[a], minlength=len(self.next_id))
+        self.z[rows], self.seen[rows] = z, seen
+        return out
+
+    def _pairs(self, fits, overlap, sure, rows, at) -> tuple[np.ndarray, np.ndarray]:
+        """Detections and their slots: the sure ones first, the faint ones among the tracks left; where several compete, by assignment."""
+        found: list[tuple[int, int]] = []
+        taken: set[tuple[int, int]] = set()
+        by_row: dict[tuple[bool, int], list[tuple[int, int]]] = {}
+        for d, k in zip(*(x.tolist() for x in np.nonzero(fits)), strict=True):
+            by_row.setdefault((not sure[d], int(at[d])), []).append((d, k))
+        for (_, a), pairs in sorted(by_row.items()):
+            pairs = [p for p in pairs if (a, p[1]) not in taken]
+            ds, ks = sorted({d for d, _ in pairs}), sorted({k for _, k in pairs}, key=lambda k: self.ids[rows[a], k])
+            if len(ds) < len(pairs) or len(ks) < len(pairs):
+                cost = np.full((len(ks), len(ds)), np.inf)
+                for d, k in pairs:
+                    cost[ks.index(k), ds.index(d)] = 1 - overlap[d, k]
+                pairs = [(ds[j], ks[i]) for i, j in assign(cost)]
+            found += pairs
+            taken |= {(a, k) for _, k in pairs}
+        return np.array([d for d, _ in found], int), np.array([k for _, k in found], int)
+
+
+def _box_tracks(dets: DataFrame, seq: str, options: dict) -> DataFrame:
+    """Sequences side by side: each task steps its sequences together, frame by frame, and holds their tracks and one frame."""
+    numbers = ["x1", "y1", "x2", "y2", "conf"]
+
+    def run(batches):
+        tracks, row_of, rest = BoxTracks(**options), {}, None
+
+        def stepped(b: pa.RecordBatch) -> pa.RecordBatch:
+            codes = b.column("seq_id").dictionary_encode(null_encoding="encode")
+            s = np.array([row_of.setdefault(v, len(row_of)) for v in codes.dictionary.to_pylist()], int)[codes.indices.to_numpy()]
+            tracks.reserve(len(row_of))
+            frames = b.column("frame").to_numpy()
+            *box, conf = (b.column(c).to_numpy(zero_copy_only=False) for c in numbers)
+            box, ends = np.stack(box, axis=1), [*(np.flatnonzero(frames[1:] != frames[:-1]) + 1).tolist(), len(frames)]
+            out = [tracks.step(int(frames[i]), s[i:j], box[i:j], conf[i:j]) for i, j in zip([0, *ends], ends)]
+            return pa.RecordBatch.from_arrays([b.column("seq_id"), b.column("frame"), b.column("actor_id"), pa.array(np.concatenate(out), pa.int32())], ["seq_id", "frame", "actor_id", "global_id"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if rest is not None:
+                b = pa.concat_batches([rest, b])
+            frames = b.column("frame").to_numpy()
+            cut = int(np.searchsorted(frames, frames[-1]))  # the last frame may go on in the next batch
+            if cut:
+                yield stepped(b.slice(0, cut))
+            rest = b.slice(cut)
+        if rest is not None:
+            yield stepped(rest)
+
+    rows = dets.where("frame is not null").select("seq_id", *[F.col(c).cast("int").alias(c) for c in ("frame", "actor_id")], *[F.col(c).cast("double").alias(c) for c in numbers])
+    # Many sequences to a task, as they cost little more than one; some tasks for each core, as sequences differ.
+    parts = 3 * dets.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(parts, "seq_id").sortWithinPartitions("frame", "seq_id", "actor_id").mapInArrow(run, OUT.format(seq=seq))
+
+
 def frames_of(pdf: pd.DataFrame):
     """(frame, actors, markers) of a sequence in order; ties of a frame by actor id."""
     for frame, part in pdf.sort_values(["frame", "actor_id"]).groupby("frame", sort=True):
@@ -148,11 +278,12 @@ def frames_of(pdf: pd.DataFrame):
 def track(dets: DataFrame, method: str = "feature", **options) -> DataFrame:
     """(seq_id, frame, actor_id, global_id), one serial pass over each sequence. A ``marker`` column anchors the feature tracker's identities."""
     seq = dets.schema["seq_id"].dataType.simpleString()
+    if method == "box":
+        return _box_tracks(dets, seq, options)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker = FeatureTracker(**options) if method == "feature" else BoxTracker(**options)
-        given = (lambda markers: (markers,)) if method == "feature" else (lambda markers: ())
-        rows = [(key[0], f, a, g) for f, actors, markers in frames_of(pdf) for a, g in tracker.step(f, actors, *given(markers)).items()]
+        tracker = FeatureTracker(**options)
+        rows = [(key[0], f, a, g) for f, actors, markers in frames_of(pdf) for a, g in tracker.step(f, actors, markers).items()]
         return pd.DataFrame(rows, columns=["seq_id", "frame", "actor_id", "global_id"])
 
     return dets.groupBy("seq_id").applyInPandas(run, OUT.format(seq=seq))
@@ -160,6 +291,4 @@ def track(dets: DataFrame, method: str = "feature", **options) -> DataFrame:
 
 def track_summary(tracks: DataFrame) -> DataFrame:
     """Per track: first and last frame, frames seen."""
-    from pyspark.sql import functions as F
-
     return tracks.groupBy("seq_id", "global_id").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("frames"))
