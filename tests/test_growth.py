@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from strideframe.operators import track
+from strideframe.operators import reports, track
 
 
 def boxes(seqs, frames, seed=1):
@@ -49,3 +49,15 @@ def test_box_tracks_hold_tracks_and_one_frame_whatever_the_batches(spark):
         assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # no sequence is a table of its own
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_drift_report_ranks_only_the_ends_of_a_sequence(spark):
+    """No task ranks all frames of a sequence; sequences without a number are reported too."""
+    rows = [(s, f, 1 + f % 3, 0.9 - 0.01 * (f % 40), 1.0) for s in (0, None) for f in range(80)]
+    metrics = spark.createDataFrame(rows, "seq_id long, frame int, n_detections long, confidence double, completeness double")
+    report = reports.drift_report(metrics, first=10, last=15)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4 and plan.count("+- Window ") + plan.count(":- Window ") == 2  # before and after each shuffle
+    got = {r.seq_id: r for r in report.collect()}
+    assert got.keys() == {0, None} and got[0].frames == got[None].frames == 80 and got[0].now_confidence == got[None].now_confidence
+    assert got[None].base_confidence is None and got[0].high_alerts > 0
