@@ -34,6 +34,13 @@ def pair_costs(dets: DataFrame, pairs: dict[tuple[int, int], np.ndarray], conf:
     return both.groupBy(*keys, "cam_a", "cam_b", "i", "j").agg(F.percentile("d", F.lit(0.5)).alias("cost"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
 
 
+def few_rows(batches, most: int = 64):
+    """Arrow batches in parts of few rows, for rows with long lists that become Python objects."""
+    for b in batches:
+        for start in range(0, b.num_rows, most):
+            yield b.slice(start, most)
+
+
 def _joined(nodes: list[tuple[int, int]], edges: list[dict], limit: float) -> list[int]:
     """An actor for each node of a frame: an assignment for each camera pair, then union-find."""
     up = {n: n for n in nodes}
@@ -63,7 +70,7 @@ def _joined(nodes: list[tuple[int, int]], edges: list[dict], limit: float) -> li
 def associate(dets: DataFrame, costs: DataFrame, limit: float = 50.0, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
     """(keys, cam, det_pos, actor_id): detections of one person, by an assignment for each camera pair and union-find in each frame.
 
-    A frame is a row with its detections and costs, so a call serves a whole batch of frames.
+    A frame is a row with its detections and costs, so a call serves a whole batch of frames, some at a time.
     """
     nodes = dets.select(*keys, F.col("cam").cast("int"), F.col("det_pos").cast("int")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cam", "det_pos"))).alias("nodes"))
     edge = F.struct(*[F.col(c).cast("int").alias(c) for c in ("cam_a", "i", "cam_b", "j")], "cost")
@@ -71,7 +78,7 @@ def associate(dets: DataFrame, costs: DataFrame, limit: float = 50.0, keys: tupl
     kinds = ", ".join(f"{k} {dets.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             at, out = [], []
             for k, (own, edges) in enumerate(zip(b.column("nodes").to_pylist(), b.column("edges").to_pylist(), strict=True)):
                 own = [(n["cam"], n["det_pos"]) for n in own]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions.geometry import sampson_distance
+from .cameras import few_rows
 
 PAIR = ["cam_a", "cam_b"]
 
@@ -43,7 +44,7 @@ def match_poses(dets: DataFrame, pairs: dict[tuple[int, int], np.ndarray], keys:
 
     A match costs less than ``limit``. Its confidence weighs the detections' own (0.3), the epipolar distance as a share
     of the limit (0.4) and likeness (0.3); below ``sure_from`` it is ambiguous. A row of the assignment is a frame of a
-    camera pair, and a call solves a whole batch.
+    camera pair, and a call solves a whole batch, some rows at a time.
     """
     costs = pose_costs(dets, pairs, keys, conf, limit)
     edges = costs.groupBy(*keys, *PAIR).agg(F.collect_list(F.struct("i", "j", "cost", "epi", "likeness", "sure")).alias("edges"))
@@ -51,7 +52,7 @@ def match_poses(dets: DataFrame, pairs: dict[tuple[int, int], np.ndarray], keys:
     names = ["i", "j", "cost", "epi", "likeness", "sure"]
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             at, out = [], []
             for row, es in enumerate(b.column("edges").to_pylist()):
                 left, right = sorted({e["i"] for e in es}), sorted({e["j"] for e in es})

@@ -1,8 +1,12 @@
 """Steps whose cost or memory must not grow faster than their input: the quick forms against the plain ones."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from strideframe.operators import reports, track
+from strideframe.functions import numeric
+from strideframe.operators import cameras, reports, track
 
 
 def boxes(seqs, frames, seed=1):
@@ -61,3 +65,20 @@ def test_drift_report_ranks_only_the_ends_of_a_sequence(spark):
     got = {r.seq_id: r for r in report.collect()}
     assert got.keys() == {0, None} and got[0].frames == got[None].frames == 80 and got[0].now_confidence == got[None].now_confidence
     assert got[None].base_confidence is None and got[0].high_alerts > 0
+
+
+def test_association_takes_few_frames_at_a_time(spark):
+    """Lists become Python objects for some frames only; frames of a large batch are associated as each alone."""
+    parts = list(cameras.few_rows([pa.record_batch({"x": range(1000)}), pa.record_batch({"x": range(1000, 1003)})]))
+    assert max(b.num_rows for b in parts) <= 64 and [x for b in parts for x in b.column("x").to_pylist()] == list(range(1003))
+    rnd = np.random.RandomState(4)
+    k = spark.createDataFrame([(f, c, d, 0, 0.0, 0.0, 1.0) for f in range(300) for c in range(2) for d in range(3) if f != 7 or c], "frame int, cam int, det_pos int, joint int, u double, v double, conf double").coalesce(1)
+    costs = [(f, 0, 1, i, j, float(rnd.rand() * 80)) for f in range(300) if f not in (7, 70) for i in range(3) for j in range(3)]
+    found = cameras.associate(k, spark.createDataFrame(costs, "frame int, cam_a int, cam_b int, i int, j int, cost double"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.frame, {})[(r.cam, r.det_pos)] = r.actor_id
+    for f in range(300):
+        nodes = [(c, d) for c in range(2) for d in range(3) if f != 7 or c]
+        edges = [{"cam_a": a, "cam_b": b, "i": i, "j": j, "cost": c} for g, a, b, i, j, c in costs if g == f]
+        assert got[f] == dict(zip(nodes, cameras._joined(nodes, edges, 50.0)))
