@@ -187,6 +187,65 @@ def assign(cost: np.ndarray, penalty: float | None = None) -> list[tuple[int, in
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, n + 1) if owner[j] <= rows and j <= cols and finite[owner[j] - 1, j - 1])
 
 
+def assigned_means(d: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """For each matrix of ``d`` (b, n, m), of which ``rows`` by ``cols`` count, the mean of the assignment of least total cost.
+
+    Shortest augmenting paths in all matrices at once: rows start at their least column where it is free, each pass adds
+    the next row without a column in every matrix that has one, and every round of a pass scans one row of each.
+    """
+    wide = rows <= cols
+    n, m = np.where(wide, rows, cols), np.where(wide, cols, rows)
+    size = (int(n.max(initial=0)), int(m.max(initial=0)))
+    c = np.full((len(d), *size), np.inf)
+    for turn, lanes in ((False, np.flatnonzero(wide)), (True, np.flatnonzero(~wide))):
+        part = d[lanes].transpose(0, 2, 1) if turn else d[lanes]
+        c[lanes, : part.shape[1], : part.shape[2]] = part[:, : size[0], : size[1]]
+    real = np.arange(size[0]) < n[:, None]
+    c[~(real[:, :, None] & (np.arange(size[1]) < m[:, None])[:, None])] = np.inf
+    u, v = np.where(real, c.min(axis=2, initial=np.inf), 0.0), np.zeros((len(d), size[1]))
+    of_row, of_col = np.full(c.shape[:2], -1), np.full(v.shape, -1)
+    every = np.arange(len(d))
+    for i in range(size[0]):
+        j = c[:, i].argmin(axis=1)
+        at = every[real[:, i] & (of_col[every, j] < 0)]
+        of_row[at, i], of_col[at, j[at]] = j[at], i
+    todo = real & (of_row < 0)
+    nth = todo.cumsum(axis=1)
+    for k in range(1, int(todo.sum(axis=1).max(initial=0)) + 1):
+        lane = every[nth[:, -1] >= k]
+        start = (nth[lane] >= k).argmax(axis=1)
+        path, short, done = np.full((len(lane), size[1]), -1), np.full((len(lane), size[1]), np.inf), np.zeros((len(lane), size[1]), bool)
+        row, least, sink = start.copy(), np.zeros(len(lane)), np.full(len(lane), -1)
+        on = np.arange(len(lane))
+        while len(on):
+            at, i = lane[on], row[on]
+            now = c[at, i] + (least[on] - u[at, i])[:, None] - v[at]
+            before, closed = short[on], done[on]
+            better = (now < before) & ~closed
+            before = np.where(better, now, before)
+            short[on], path[on] = before, np.where(better, i[:, None], path[on])
+            j = np.where(closed, np.inf, before).argmin(axis=1)
+            least[on], done[on, j] = before[np.arange(len(on)), j], True
+            owner = of_col[at, j]
+            sink[on[owner < 0]] = j[owner < 0]
+            row[on] = owner
+            on = on[owner >= 0]
+        rise = np.where(done, least[:, None] - np.where(done, short, 0.0), 0.0)
+        x, j = np.nonzero(done & (of_col[lane] >= 0))
+        u[lane[x], of_col[lane[x], j]] += rise[x, j]
+        u[lane, start] += least
+        v[lane] -= rise
+        on, j = np.arange(len(lane)), sink
+        while len(on):
+            i = path[on, j]
+            of_col[lane[on], j] = i
+            before = of_row[lane[on], i]
+            of_row[lane[on], i] = j
+            on, j = on[i != start[on]], before[i != start[on]]
+    picked = np.where(of_row >= 0, np.take_along_axis(c, np.maximum(of_row, 0)[:, :, None], axis=2)[:, :, 0], 0.0)
+    return picked.sum(axis=1) / n
+
+
 def triangulate(p: np.ndarray, uv: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Points from views: ``p`` (n, c, 3, 4), ``uv`` (n, c, 2), ``weight`` (n, c); missing views have weight 0. NaN where degenerate."""
     w = weight[..., None]

@@ -14,17 +14,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import assign, iou, ious
+from ..functions.numeric import assign, assigned_means, iou, ious
 
 OUT = "seq_id {seq}, frame int, actor_id int, global_id int"
 
 
-def keypoint_distance(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean distance of two sets of normalised points under their best assignment."""
-    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
-    if not d.size or not np.isfinite(d).all():
-        return np.inf
-    return float(np.mean([d[i, j] for i, j in assign(d)]))
+def keypoint_distances(a: list[np.ndarray | None], b: list[np.ndarray | None]) -> np.ndarray:
+    """Mean distances of every set of normalised points of ``a`` to every one of ``b`` under their best assignment; infinite without points.
+
+    All pairs are solved together, sets padded to the largest.
+    """
+    out = np.full((len(a), len(b)), np.inf)
+    whole = lambda sets: [k for k, s in enumerate(sets) if s is not None and s.size and np.isfinite(s).all()]
+    left, right = whole(a), whole(b)
+    if not left or not right:
+        return out
+
+    def padded(sets):
+        p = np.zeros((len(sets), max(len(s) for s in sets), 2))
+        for k, s in enumerate(sets):
+            p[k, : len(s)] = s
+        return p, np.array([len(s) for s in sets])
+
+    (p, n), (q, m) = padded([a[k] for k in left]), padded([b[k] for k in right])
+    d = np.sqrt(((p[:, None, :, None] - q[None, :, None]) ** 2).sum(-1))
+    out[np.ix_(left, right)] = assigned_means(d.reshape(-1, *d.shape[2:]), np.repeat(n, len(m)), np.tile(m, len(n))).reshape(len(n), len(m))
+    return out
 
 
 @dataclass
@@ -64,11 +79,9 @@ class FeatureTracker:
                 self.anchors[marker] = out[actor_id]
         free = [a for a in actors if a["actor_id"] not in out]
         open_tracks = [t for t in live if t["id"] not in out.values()]
-        cost = np.full((len(open_tracks), len(free)), np.inf)
-        for i, t in enumerate(open_tracks):
-            for j, a in enumerate(free):
-                if t["feature"] is not None and a["feature"] is not None:
-                    cost[i, j] = self.keypoint_weight * keypoint_distance(t["feature"], a["feature"]) - self.iou_weight * iou(t["box"], a["box"])
+        cost = self.keypoint_weight * keypoint_distances([t["feature"] for t in open_tracks], [a["feature"] for a in free])
+        for i, j in zip(*np.nonzero(np.isfinite(cost)), strict=True):
+            cost[i, j] -= self.iou_weight * iou(open_tracks[i]["box"], free[j]["box"])
         finite = np.isfinite(cost)
         penalty = max(10 * cost[finite].max(), 2 * self.max_distance) if finite.any() else None
         for i, j in assign(cost, penalty):
@@ -232,6 +245,11 @@ class BoxTracks:
         return np.array([d for d, _ in found], int), np.array([k for _, k in found], int)
 
 
+def _spread(dets: DataFrame) -> DataFrame:
+    """Sequences over some tasks for each core, as they differ, however few bytes they are: the work on a row is long."""
+    return dets.repartition(3 * dets.sparkSession.sparkContext.defaultParallelism, "seq_id")
+
+
 def _box_tracks(dets: DataFrame, seq: str, options: dict) -> DataFrame:
     """Sequences side by side: each task steps its sequences together, frame by frame, and holds their tracks and one frame."""
     numbers = ["x1", "y1", "x2", "y2", "conf"]
@@ -263,9 +281,7 @@ def _box_tracks(dets: DataFrame, seq: str, options: dict) -> DataFrame:
             yield stepped(rest)
 
     rows = dets.where("frame is not null").select("seq_id", *[F.col(c).cast("int").alias(c) for c in ("frame", "actor_id")], *[F.col(c).cast("double").alias(c) for c in numbers])
-    # Many sequences to a task, as they cost little more than one; some tasks for each core, as sequences differ.
-    parts = 3 * dets.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(parts, "seq_id").sortWithinPartitions("frame", "seq_id", "actor_id").mapInArrow(run, OUT.format(seq=seq))
+    return _spread(rows).sortWithinPartitions("frame", "seq_id", "actor_id").mapInArrow(run, OUT.format(seq=seq))
 
 
 def frames_of(pdf: pd.DataFrame):
@@ -286,7 +302,7 @@ def track(dets: DataFrame, method: str = "feature", **options) -> DataFrame:
         rows = [(key[0], f, a, g) for f, actors, markers in frames_of(pdf) for a, g in tracker.step(f, actors, markers).items()]
         return pd.DataFrame(rows, columns=["seq_id", "frame", "actor_id", "global_id"])
 
-    return dets.groupBy("seq_id").applyInPandas(run, OUT.format(seq=seq))
+    return _spread(dets).groupBy("seq_id").applyInPandas(run, OUT.format(seq=seq))
 
 
 def track_summary(tracks: DataFrame) -> DataFrame:

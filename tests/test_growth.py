@@ -82,3 +82,31 @@ def test_association_takes_few_frames_at_a_time(spark):
         nodes = [(c, d) for c in range(2) for d in range(3) if f != 7 or c]
         edges = [{"cam_a": a, "cam_b": b, "i": i, "j": j, "cost": c} for g, a, b, i, j, c in costs if g == f]
         assert got[f] == dict(zip(nodes, cameras._joined(nodes, edges, 50.0)))
+
+
+def test_keypoint_distances_equal_an_assignment_for_each_pair():
+    rnd = np.random.RandomState(0)
+    sets = lambda: [rnd.rand(rnd.randint(1, 9) if k % 3 else rnd.randint(18, 22), 2) for k in range(12)]
+    a, b = sets(), sets()
+    a[3], b[4], a[5] = np.round(a[3] * 2), np.round(b[4] * 2), b[5].copy()  # ties, and the same set
+    want = []
+    for p in a:
+        for q in b:
+            d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(-1))
+            want.append(np.mean([d[i, j] for i, j in numeric.assign(d)]))
+    assert track.keypoint_distances(a, b).ravel() == pytest.approx(np.array(want), abs=1e-12)
+    odd = track.keypoint_distances([None, a[0]], [np.array([[np.nan, 1.0]]), a[0], np.zeros((0, 2))])
+    assert odd[1, 1] == 0 and np.isinf(odd).sum() == 5 and track.keypoint_distances([], b).shape == (0, 12)
+
+
+def test_a_frames_keypoints_are_solved_together(spark, monkeypatch):
+    """One assignment of tracks to actors for each frame, none for each pair of them; small tables still spread over tasks."""
+    calls = []
+    monkeypatch.setattr(track, "assign", lambda *a: calls.append(a) or numeric.assign(*a))
+    tracker, rnd = track.FeatureTracker(), np.random.RandomState(1)
+    for f in range(3):
+        tracker.step(f, [{"actor_id": k, "box": [k, 0, k + 9, 9], "feature": rnd.rand(5, 2)} for k in range(4)])
+    assert len(calls) == 3
+    rows = [(s, 0, 0, 0.0, 0.0, 1.0, 1.0, 1.0, [0.0, 0.0]) for s in range(200)]
+    dets = spark.createDataFrame(rows, "seq_id long, frame int, actor_id int, x1 double, y1 double, x2 double, y2 double, conf double, feature array<double>")
+    assert track.track(dets).select(F.spark_partition_id().alias("p")).distinct().count() > 4
