@@ -1,15 +1,15 @@
 """Byte-level BPE by recursive queries of an embedded DuckDB in every partition.
 
 Spark cuts texts into words by the tokenizer's pattern. Each partition keeps a merge table (pairs of ids
-and the id, hence rank, of their concatenation) in an in-memory DuckDB. The distinct new words of a batch
-become rows of (word, position, id), one for each byte. The recursive query pairs neighbouring rows,
-joins them with the merge table, and contracts each word's leftmost pair of the lowest rank, until no pair
-of the word is in the table. Ids are decoded by an ordered aggregation of their bytes.
+and the id, hence rank, of their concatenation) in an in-memory DuckDB. The distinct new words of some texts
+become rows of (word, tokens), first one token for each byte, each with the rank of the pair that it starts. A step of the
+recursive query contracts each word's leftmost pair of the lowest rank and looks up the two pairs that the new token is in,
+until no pair of the word is in the table. Ids are decoded by an ordered aggregation of their bytes.
 
 A word is cut first between two bytes that no token holds side by side, as nothing can merge across. A query
 takes ``STEPS`` steps at most; words that need more go on in the next one, so what a query holds is bounded.
-Words repeat, so their ids and decoded bytes are kept by word. When a worker has ``MAX_BYTES`` of words, it starts a new store and
-drops the one before the last; words that are used again move to the new one. This changes no result.
+Words repeat, so they are kept in Arrow columns beside their ids and decoded bytes, from which the texts are put together.
+Beyond ``MAX_BYTES`` a worker keeps the words that were used last, half as much. This changes no result.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to nothing; rows and ids may repeat and are
 coded each; an empty table gives an empty result; other columns are not looked at. Long texts and words are taken whole.
@@ -22,47 +22,43 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import tidy
 
-MAX_BYTES = 1_200_000  # bytes of the words that a worker keeps
+MAX_BYTES = 24_000_000  # bytes of the words, ids and decoded words that a worker keeps, with WORD_BYTES for each word
+WORD_BYTES = 32
 BATCH_BYTES = 400_000  # bytes of the words of a query, about
+TEXT_BYTES = 4_000_000  # bytes of texts that are coded together, about
 STEPS = 24
-POS_BITS = 32  # positions within a word
 
-#: One step takes the lowest rank of each word. Where no pair with the new id ranks lower (``safe``), the next leftmost pair is
-#: the next one of this rank, so all of them are contracted at once, every second one where they overlap; else the leftmost alone.
+#: A token in a list: the rank of the pair that it starts (NONE: not in the table), its place in the part, its id. So the least
+#: is the leftmost pair of the lowest rank. PAD stands before and behind the tokens of a part and merges with nothing.
+ID_BITS, RANK_AT = 20, 42
+PAD = 2**ID_BITS - 1
+NONE = 2**ID_BITS
+
 ENCODE = f"""
-with recursive s(k, id, done, step) as (
-  select k, id, false, 0 from word_bytes
+with recursive s(w, x, low, step) as (
+  select w, x, list_min(x), 0 from word_tokens
   union all
-  select * from (
-    with a as (select k, id, step, lead(k) over (order by k) as nk, lead(id) over (order by k) as nid from s where not done and step < {STEPS}),
-    pairs as materialized (
-      select a.k, a.id, a.step, a.nk, m.id as merged, m.safe
-      from a left join merges m on m.pair = case when a.nk >> {POS_BITS} = a.k >> {POS_BITS} then a.id::bigint * 1048576 + a.nid end
-    ),
-    best as materialized (
-      select k >> {POS_BITS} as w, min((merged::bigint << {POS_BITS}) | (k & {2**POS_BITS - 1})) as b
-      from pairs where merged is not null group by 1
-    ),
-    hits as (
-      select k, nk, merged, row_number() over (order by k) as n, lag(nk) over (order by k) as before
-      from pairs join best on best.w = k >> {POS_BITS}
-      where merged = b >> {POS_BITS} and (safe or k & {2**POS_BITS - 1} = b & {2**POS_BITS - 1})
-    ),
-    runs as (select *, max(case when before is distinct from k then n end) over (order by k rows unbounded preceding) as first from hits),
-    acts as materialized (
-      select unnest([k, nk]) as k, unnest([merged, -1]) as id from runs where (n - first) % 2 = 0
+  select w, y, list_min(y), step + 1 from (
+    select w, step, list_concat(
+      x[:p - 2],
+      [(coalesce(l.id, {NONE})::bigint << {RANK_AT}) | before, (coalesce(r.id, {NONE})::bigint << {RANK_AT}) | (low & {2**RANK_AT - 2**ID_BITS}) | merged],
+      x[p + 2:]
+    ) as y
+    from (
+      select *, low >> {RANK_AT} as merged, x[p - 1] & {2**RANK_AT - 1} as before, x[p + 2] & {PAD} as after
+      from (select *, list_position(x, low)::bigint as p from s where low < {NONE << RANK_AT} and step < {STEPS})
     )
-    select p.k, coalesce(t.id, p.id), best.w is null, p.step + 1
-    from pairs p left join acts t on t.k = p.k left join best on best.w = p.k >> {POS_BITS}
-    where t.id is distinct from -1
+    left join merges l on l.pair = ((before & {PAD}) << {ID_BITS}) | merged
+    left join merges r on r.pair = (merged << {ID_BITS}) | after
   )
 )
-select k >> {POS_BITS} as w, id, k & {2**POS_BITS - 1} as p, done from s where done or step = {STEPS} order by k
+select w, x, low >= {NONE << RANK_AT} as done from s where low >= {NONE << RANK_AT} or step = {STEPS}
 """
 
 #: A long part takes many places in one step. Let L be the bytes of the longest token that the part's bytes can make.
@@ -118,10 +114,10 @@ select id, k as p, done from s where done or step = {steps} order by k
 """
 
 #: Bytes of a part from which it is long, and rows times steps of a query over long parts.
-LONG, LONG_ROWS = 256, 3_000_000
+LONG, LONG_ROWS = 1024, 3_000_000
 
 DECODE = """
-select t.w, string_agg(v.hex, '' order by t.p) as hex from tokens t join vocab v on v.id = t.id group by t.w
+select t.w, string_agg(v.hex, '' order by t.p) as hex from tokens t join vocab v on v.id = t.id group by t.w order by t.w
 """
 
 
@@ -148,6 +144,7 @@ class Codec:
         for tok in ranks:
             beside[[a << 8 | b for a, b in zip(tok, tok[1:], strict=False)]] = True
         self.beside = beside
+        self.byte_pairs = np.array([ranks.get(bytes([k >> 8, k & 255]), NONE) for k in range(1 << 16)], np.int64)  # their ranks
         self.tokens = list(ranks)
         self.has = np.zeros((len(ranks), 256), bool)  # which bytes each token holds
         for k, tok in enumerate(ranks):
@@ -160,45 +157,59 @@ class Codec:
         self.db.register("v", vocab)
         self.db.execute("create table merges as select * from m")
         self.db.execute("create table vocab as select * from v")
-        self.words: dict[str, tuple[bytes, bytes | None]] = {}  # ids, and what they decode to where that is not the word
-        self.before: dict[str, tuple[bytes, bytes | None]] = {}
-        self.kept = 0
+        self.words = pa.array([], pa.large_string())  # with their ids, what these decode to, and the turns in which they were used last
+        self.ids = self.raw = pa.array([], pa.large_binary())
+        self.used, self.turn = np.zeros(0, np.int64), 0
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word."""
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids, counts = self._encode(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+        return np.split(ids, np.cumsum(counts)[:-1]) if words else []
+
+    def _encode(self, raw: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that lie one behind the other in ``raw``, and how many each has."""
         if not len(raw):
-            return [np.zeros(0, np.int32) for _ in words]
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        own = np.repeat(np.arange(len(words)), lens)
+            return np.zeros(0, np.int32), np.zeros(len(lens), np.int64)
+        own = np.repeat(np.arange(len(lens)), lens)
+        pair = raw[:-1].astype(np.int64) << 8 | raw[1:]
         cut = np.ones(len(raw), bool)  # where a part that merges by itself starts
-        cut[1:] = (own[1:] != own[:-1]) | ~self.beside[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        cut[1:] = (own[1:] != own[:-1]) | ~self.beside[pair]
         part = np.cumsum(cut) - 1
         first = np.flatnonzero(cut)
-        rows = pa.table({"k": (part << POS_BITS) | (np.arange(len(raw)) - first[part]), "id": self.byte_ids[raw]})
-        at, ids = [], []
         size = np.diff(first, append=len(raw))
-        if (size > LONG).any():
-            long = (size > LONG)[part]
-            for p in np.flatnonzero(size > LONG):
-                here = part == p
-                at.append(rows.column("k").to_numpy()[here])
-                ids.append(self._long(raw[here]))
-                at[-1] = at[-1][ids[-1][0]]
-                ids[-1] = ids[-1][1]
-            rows = rows.filter(pa.array(~long))
-        while len(rows):
-            self.db.register("word_bytes", rows)
-            got = self.db.sql(ENCODE).to_arrow_table()
-            self.db.unregister("word_bytes")
-            w, i, p, done = (got.column(f).to_numpy() for f in ("w", "id", "p", "done"))
-            at.append((w[done].astype(np.int64) << POS_BITS) | p[done])
-            ids.append(i[done])
-            rows = pa.table({"k": (w[~done].astype(np.int64) << POS_BITS) | p[~done], "id": pa.array(i[~done], pa.int32())})
-        at, ids = np.concatenate(at), np.concatenate(ids).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        owner = own[first][at[order] >> POS_BITS]
-        return np.split(ids[order], np.searchsorted(owner, np.arange(1, len(words))))
+        parts, counts, ids = [], [], []
+        for p in np.flatnonzero(size > LONG):
+            ids.append(self._long(raw[first[p] : first[p] + size[p]])[1])
+            parts.append([p])
+            counts.append([len(ids[-1])])
+        short = np.flatnonzero(size <= LONG)
+        starts = np.zeros(len(size), np.int64)
+        starts[short] = np.cumsum(size[short] + 2) - size[short] - 2
+        ends = starts[short] + size[short] + 2
+        tokens = np.full(int(ends[-1]) if len(ends) else 0, NONE << RANK_AT | PAD)
+        rank = np.full(len(raw), NONE)
+        rank[:-1][~cut[1:]] = self.byte_pairs[pair[~cut[1:]]]
+        place = np.arange(len(raw)) - first[part] + 1
+        here = (size <= LONG)[part]
+        tokens[(starts[part] + place)[here]] = (rank << RANK_AT | place << ID_BITS | self.byte_ids[raw])[here]
+        table = pa.table({"w": short, "x": pa.LargeListArray.from_arrays(np.append(0, ends), tokens)})
+        edges = np.flatnonzero(np.diff(ends // (2 * BATCH_BYTES))) + 1  # one word alone can have many parts
+        for lo, hi in zip([0, *edges], [*edges, len(short)], strict=True):
+            rows = table.slice(lo, hi - lo)
+            while len(rows):
+                self.db.register("word_tokens", rows)
+                got = self.db.sql(ENCODE).to_arrow_table()
+                self.db.unregister("word_tokens")
+                ready = got.filter(got.column("done"))
+                x = ready.column("x").combine_chunks()
+                own_ids = x.flatten().to_numpy() & PAD
+                parts.append(ready.column("w").to_numpy())
+                counts.append(x.value_lengths().to_numpy() - 2)
+                ids.append(own_ids[own_ids != PAD])
+                rows = got.filter(pc.invert(got.column("done"))).select(["w", "x"])
+        parts, counts, ids = np.concatenate(parts).astype(np.int64), np.concatenate(counts).astype(np.int64), np.concatenate(ids).astype(np.int32)
+        turned = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(counts)), ids).take(pa.array(np.argsort(parts)))
+        return turned.flatten().to_numpy(), np.bincount(own[first][parts], counts, len(lens)).astype(np.int64)
 
     def _long(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places at which the tokens of one long part start, and their ids."""
@@ -216,46 +227,59 @@ class Codec:
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        out = [b""] * len(ids)
-        if lens.sum():
-            w = np.repeat(np.arange(len(ids), dtype=np.int64), lens)
-            self.db.register("tokens", pa.table({"w": w, "p": np.arange(len(w)), "id": np.concatenate(ids).astype(np.int32)}))
-            got = self.db.sql(DECODE).to_arrow_table()
-            self.db.unregister("tokens")
-            for k, x in zip(got.column("w").to_pylist(), got.column("hex").to_pylist(), strict=True):
-                out[k] = bytes.fromhex(x)
-        return out
-
-    def learn(self, words: list[str]) -> None:
-        """Encode and decode the words not yet kept, in queries of bounded size."""
-        if self.kept > MAX_BYTES:
-            self.before, self.words, self.kept = self.words, {}, 0
-        new = []
-        for w in words:
-            if w not in self.words:
-                known = self.before.get(w)
-                if known is None:
-                    new.append(w)
-                else:
-                    self.words[w] = known
-                    self.kept += len(w)
-        at = 0
-        while at < len(new):
-            part, size = [], 0
-            while at < len(new) and (not part or size + len(new[at]) <= BATCH_BYTES):
-                part.append(new[at].encode())
-                size += len(part[-1])
-                at += 1
-            self.kept += size
-            ids = self.encode(part)
-            for word, own, i, raw in zip(new[at - len(part) : at], part, ids, self.decode(ids), strict=True):
-                self.words[word] = i.astype("<u4").tobytes(), (None if raw == own else raw)
-
-    def coded(self, word: str) -> tuple[bytes, bytes]:
-        """The ids of a learned word and the bytes they decode to."""
-        ids, raw = self.words[word]
-        return ids, word.encode() if raw is None else raw
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        raw, sizes = self._decode(np.concatenate([np.zeros(0, np.int32), *ids]), counts)
+        return [raw[end - n : end] for n, end in zip(sizes, np.cumsum(sizes), strict=True)]
+
+    def _decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of lists of ids that lie one behind the other, and how many each has."""
+        sizes = np.zeros(len(counts), np.int64)
+        if not len(ids):
+            return b"", sizes
+        self.db.register("tokens", pa.table({"w": np.repeat(np.arange(len(counts)), counts), "p": np.arange(len(ids)), "id": ids.astype(np.int32)}))
+        got = self.db.sql(DECODE).to_arrow_table()
+        self.db.unregister("tokens")
+        digits, starts = laid(got.column("hex").combine_chunks().cast(pa.large_binary()))
+        sizes[counts > 0] = np.diff(starts) // 2
+        return bytes.fromhex(digits.tobytes().decode()), sizes
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """The places of distinct words among those kept; new ones are encoded and decoded, in queries of bounded size."""
+        self.turn += 1
+        sizes = sum(np.diff(laid(x)[1]) for x in (self.words.cast(pa.large_binary()), self.ids, self.raw)) + WORD_BYTES
+        if sizes.sum() > MAX_BYTES:
+            order = np.argsort(-self.used, kind="stable")
+            keep = pa.array(np.sort(order[np.cumsum(sizes[order]) <= MAX_BYTES // 2]))
+            self.words, self.ids, self.raw, self.used = self.words.take(keep), self.ids.take(keep), self.raw.take(keep), self.used[keep.to_numpy()]
+        known = pc.index_in(words, value_set=self.words)
+        at = known.fill_null(-1).to_numpy().astype(np.int64)
+        new = words.filter(known.is_null())
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        raw, starts = laid(new.cast(pa.large_binary()))
+        coded, decoded = [self.ids], [self.raw]
+        edges = np.flatnonzero(np.diff(starts[1:] // BATCH_BYTES)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(new)], strict=True):
+            ids, counts = self._encode(raw[starts[lo] : starts[hi]], np.diff(starts[lo : hi + 1]))
+            coded.append(binary(ids.astype("<i4"), counts * 4))
+            decoded.append(binary(*self._decode(ids, counts)))
+        self.words, self.ids, self.raw = (pa.concat_arrays(x) for x in ([self.words, new], coded, decoded))
+        self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        self.used[at] = self.turn
+        return at
+
+
+def laid(values: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values one behind the other, and where each starts and the last one ends."""
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, starts, data = values.buffers()
+    starts = np.frombuffer(starts, np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]], starts - starts[0]
+
+
+def binary(data: bytes | np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+    """Values of these sizes that lie one behind the other."""
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(data)])
 
 
 @cache
@@ -278,32 +302,29 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str =
     def run(batches):
         own = codec(vocab_path)
         for b in batches:
-            for first in range(0, b.num_rows, 512):
-                part = b.slice(first, 512)
-                lists = part.column("__words")
-                flat = lists.flatten().dictionary_encode()
-                dictionary = flat.dictionary.to_pylist()
-                own.learn(dictionary)
-                ids = np.empty(len(dictionary), object)
-                raw = np.empty(len(dictionary), object)
-                for k, w in enumerate(dictionary):
-                    ids[k], raw[k] = own.coded(w)
-                at = flat.indices.to_numpy()
-                ids, raw = ids[at], raw[at]
-                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-                n, hashes, decoded, kept = [], [], [], []
-                for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
-                    x, text = b"".join(ids[lo:hi]), b"".join(raw[lo:hi])
-                    n.append(len(x) // 4)
-                    hashes.append(hashlib.sha256(x).hexdigest())
-                    decoded.append(hashlib.sha256(text).hexdigest())
-                    if with_ids:
-                        kept.append((np.frombuffer(x, "<u4").astype(np.int32), text))
-                cols = [part.column(id_col), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    cols += [pa.array([k for k, _ in kept], pa.list_(pa.int32())), pa.array([t for _, t in kept], pa.binary())]
-                    names += ["token_ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+            lists = b.column("__words")
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            _, starts = laid(lists.flatten().cast(pa.large_binary()))
+            edges = np.flatnonzero(np.diff(starts[ends] // TEXT_BYTES)) + 1
+            for lo, hi in zip([0, *edges], [*edges, b.num_rows], strict=True):
+                done = coded(own, b.slice(lo, hi - lo))
+                yield from (done.slice(k, 512) for k in range(0, hi - lo, 512))
+
+    def coded(own, part):
+        lists = part.column("__words")
+        flat = lists.flatten().dictionary_encode()
+        at = pa.array(own.learn(flat.dictionary.cast(pa.large_string()))).take(flat.indices)
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        ids, id_starts = laid(own.ids.take(at))
+        raw, raw_starts = laid(own.raw.take(at))
+        x, t = id_starts[ends], raw_starts[ends]
+        hashes = [hashlib.sha256(ids[lo:hi]).hexdigest() for lo, hi in zip(x[:-1], x[1:], strict=True)]
+        decoded = [hashlib.sha256(raw[lo:hi]).hexdigest() for lo, hi in zip(t[:-1], t[1:], strict=True)]
+        cols = [part.column(id_col), pa.array(np.diff(x) // 4), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            cols += [pa.ListArray.from_arrays(pa.array(x // 4, pa.int32()), ids.view("<i4")), binary(raw, np.diff(t)).cast(pa.binary())]
+            names += ["token_ids", "decoded"]
+        return pa.RecordBatch.from_arrays(cols, names)
 
     return base.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

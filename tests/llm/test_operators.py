@@ -6,11 +6,13 @@ import math
 import random
 import re
 import time
+import types
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -126,6 +128,83 @@ def test_bpe_time_of_a_long_word(letters):
     assert time.time() - began < 15 and got == enc._core_bpe.encode_single_piece(word)
 
 
+def test_bpe_time_of_many_words():
+    """A step costs a word's contraction, not a pass over all its tokens (8 s and more where it was one)."""
+    codec, enc, rnd = byte_bpe.codec(VOCAB), own_encoding(), random.Random(8)
+    words = [(" " + "".join(rnd.choice(["th", "re", "an", "ing", "es", "tion", "ñ", "ou", "h"]) for _ in range(rnd.randrange(2, 8)))).encode() for _ in range(200_000)]
+    took = []
+    for _ in range(2):
+        began = time.process_time()
+        got = codec.encode(words)
+        took.append(time.process_time() - began)
+    assert min(took) < 4.5
+    assert [x.tolist() for x in got[:20_000]] == [enc._core_bpe.encode_single_piece(w) for w in words[:20_000]]
+
+
+def test_bpe_time_of_words_of_hundreds_of_bytes():
+    """They go through one query together (0.25 s each where every one had its own)."""
+    codec, enc, rnd = byte_bpe.codec(VOCAB), own_encoding(), random.Random(11)
+    words = ["".join(rnd.choice("aeiothns") for _ in range(rnd.randrange(257, 900))).encode() for _ in range(40)]
+    began = time.process_time()
+    got = codec.encode(words)
+    assert time.process_time() - began < 4 and [x.tolist() for x in got] == [enc._core_bpe.encode_single_piece(w) for w in words]
+
+
+class CountedTables:
+    """A database that counts the tables given to it."""
+
+    def __init__(self, db):
+        self.db, self.n = db, 0
+
+    def register(self, *a):
+        self.n += 1
+        return self.db.register(*a)
+
+    def __getattr__(self, name):
+        return getattr(self.db, name)
+
+
+def test_bpe_known_words_are_not_coded_again(monkeypatch):
+    """3 MB of distinct words, as a task has them, are coded once; what is kept is bounded and changes no result."""
+    rnd = random.Random(9)
+    words = list({" " + "".join(rnd.choice("aeiothnsr") for _ in range(9)) for _ in range(300_000)})
+    part = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([words[k::3000] for k in range(3000)])], ["doc_id", "__words"])
+    codec = byte_bpe.Codec(VOCAB)
+    codec.db = CountedTables(codec.db)
+    monkeypatch.setattr(byte_bpe, "codec", lambda path: codec)
+    monkeypatch.setattr(byte_bpe, "split_words", lambda *a: types.SimpleNamespace(alias=lambda name: None))
+    monkeypatch.setattr(byte_bpe, "F", types.SimpleNamespace(col=lambda name: None))
+    kind = types.SimpleNamespace(dataType=types.SimpleNamespace(simpleString=lambda: "bigint"))
+    docs = types.SimpleNamespace(select=lambda *a: docs, schema={"doc_id": kind}, mapInArrow=lambda f, schema: f)
+    run = byte_bpe.encode_decode(docs, VOCAB, P.PATTERN)
+    first = pa.Table.from_batches(run([part]))
+    coded = codec.db.n
+    assert coded > 0 and pa.Table.from_batches(run([part])).equals(first) and codec.db.n == coded
+    enc = own_encoding()
+    assert first.column("n_tokens").to_pylist() == [len(enc.encode_ordinary("".join(words[k::3000]))) for k in range(3000)]
+    monkeypatch.setattr(byte_bpe, "MAX_BYTES", 2_000_000)
+    for k in range(0, 3000, 500):
+        assert pa.Table.from_batches(run([part.slice(k, 500)])).equals(first.slice(k, 500))
+        assert len(codec.words) * byte_bpe.WORD_BYTES < 2_000_000 + 50_000 * byte_bpe.WORD_BYTES
+    assert codec.db.n > coded
+
+
+def test_bpe_equal_ranks_go_from_the_left(tmp_path):
+    """Vocabularies at random, in which a token comes from several pairs and from tokens of higher rank."""
+    rnd = random.Random(10)
+    for n in range(8):
+        tokens = list({bytes(rnd.choice(b"abc"[: 2 + n % 2]) for _ in range(rnd.randrange(2, 6))) for _ in range(60)})
+        rnd.shuffle(tokens)
+        ranks = {t: k for k, t in enumerate([*(bytes([b]) for b in range(256)), *tokens])}
+        (tmp_path / f"{n}").write_text("".join(f"{base64.b64encode(t).decode()} {k}\n" for t, k in ranks.items()))
+        enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        words = [w for _ in range(300) if (w := bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 60)))) not in ranks]
+        codec = byte_bpe.Codec(str(tmp_path / f"{n}"))
+        got = codec.encode(words)
+        assert [x.tolist() for x in got] == [enc._core_bpe.encode_single_piece(w) for w in words]
+        assert codec.decode(got) == words
+
+
 def test_bpe_empty_table(nothing):
     assert byte_bpe.encode_decode(nothing, VOCAB, P.PATTERN).count() == 0
 
