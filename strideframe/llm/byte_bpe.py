@@ -18,6 +18,7 @@ coded each; an empty table gives an empty result; other columns are not looked a
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -31,7 +32,8 @@ from .common import tidy
 MAX_BYTES = 24_000_000  # bytes of the words, ids and decoded words that a worker keeps, with WORD_BYTES for each word
 WORD_BYTES = 32
 BATCH_BYTES = 400_000  # bytes of the words of a query, about
-TEXT_BYTES = 4_000_000  # bytes of texts that are coded together, about
+TEXT_BYTES = 4_000_000  # bytes of texts whose words are looked up together, about
+ROWS, ROWS_BYTES = 512, 1_000_000  # rows, and bytes of their texts, that are put together from words at once, about
 STEPS = 24
 
 #: A token in a list: the rank of the pair that it starts (NONE: not in the table), its place in the part, its id. So the least
@@ -145,10 +147,10 @@ class Codec:
             beside[[a << 8 | b for a, b in zip(tok, tok[1:], strict=False)]] = True
         self.beside = beside
         self.byte_pairs = np.array([ranks.get(bytes([k >> 8, k & 255]), NONE) for k in range(1 << 16)], np.int64)  # their ranks
-        self.tokens = list(ranks)
-        self.has = np.zeros((len(ranks), 256), bool)  # which bytes each token holds
+        self.has = np.zeros((len(ranks), 32), np.uint8)  # which bytes each token holds, a bit for each
         for k, tok in enumerate(ranks):
-            self.has[k, list(tok)] = True
+            for b in tok:
+                self.has[k, b >> 3] |= 128 >> (b & 7)
         self.sizes = np.fromiter(map(len, ranks), np.int64, len(ranks))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         merges = pa.table({"pair": left * 1048576 + right, "id": pa.array(merged, pa.int32()), "safe": ~np.isin(merged, unsafe)})
@@ -215,7 +217,7 @@ class Codec:
         """The places at which the tokens of one long part start, and their ids."""
         held = np.zeros(256, bool)
         held[raw] = True
-        reach = int(self.sizes[~(self.has & ~held).any(axis=1)].max())
+        reach = int(self.sizes[~(self.has & np.packbits(~held)).any(axis=1)].max())
         place, ids, over = np.arange(len(raw)), self.byte_ids[raw], False
         while not over:
             steps = max(1, min(STEPS, LONG_ROWS // len(place)))
@@ -246,7 +248,7 @@ class Codec:
     def learn(self, words: pa.Array) -> np.ndarray:
         """The places of distinct words among those kept; new ones are encoded and decoded, in queries of bounded size."""
         self.turn += 1
-        sizes = sum(np.diff(laid(x)[1]) for x in (self.words.cast(pa.large_binary()), self.ids, self.raw)) + WORD_BYTES
+        sizes = sum(np.diff(laid(x)[1]) for x in (self.words, self.ids, self.raw)) + WORD_BYTES
         if sizes.sum() > MAX_BYTES:
             order = np.argsort(-self.used, kind="stable")
             keep = pa.array(np.sort(order[np.cumsum(sizes[order]) <= MAX_BYTES // 2]))
@@ -255,7 +257,7 @@ class Codec:
         at = known.fill_null(-1).to_numpy().astype(np.int64)
         new = words.filter(known.is_null())
         at[at < 0] = len(self.words) + np.arange(len(new))
-        raw, starts = laid(new.cast(pa.large_binary()))
+        raw, starts = laid(new)
         coded, decoded = [self.ids], [self.raw]
         edges = np.flatnonzero(np.diff(starts[1:] // BATCH_BYTES)) + 1
         for lo, hi in zip([0, *edges], [*edges, len(new)], strict=True):
@@ -268,13 +270,33 @@ class Codec:
         return at
 
 
-def laid(values: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all values one behind the other, and where each starts and the last one ends."""
+def offsets(values: pa.Array) -> np.ndarray:
+    """Where each string, binary value or list starts in what lies below, and where the last one ends; not copied."""
     if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, starts, data = values.buffers()
-    starts = np.frombuffer(starts, np.int64)[values.offset : values.offset + len(values) + 1]
-    return np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]], starts - starts[0]
+        return np.zeros(1, np.int64)
+    wide = any(f(values.type) for f in (pa.types.is_large_string, pa.types.is_large_binary, pa.types.is_large_list))
+    return np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1]
+
+
+def laid(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings or binary values one behind the other, and where each starts and the last one ends."""
+    starts = offsets(values)
+    data = values.buffers()[2] if len(values) else None
+    return np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]], starts.astype(np.int64) - starts[0]
+
+
+def text_ends(lists: pa.Array) -> np.ndarray:
+    """Bytes of the words up to each list's end; the words' own offsets are not copied."""
+    starts = offsets(lists.flatten())
+    words = offsets(lists)
+    return starts[words[1:] - words[0]].astype(np.int64) - starts[0]
+
+
+def stretches(ends: np.ndarray, size: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Cuts rows, whose texts end at these bytes, into stretches of about ``size`` bytes and at most ``rows`` rows."""
+    edges = [0, *(np.flatnonzero(np.diff(ends // size)) + 1), len(ends)]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        yield from ((k, min(k + rows, hi)) for k in range(lo, hi, rows))
 
 
 def binary(data: bytes | np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
@@ -293,38 +315,42 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, token_ids, decoded]) of every row's whole text."""
+def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool | None = None) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, token_ids][, decoded]) of every row's whole text; ``with_decoded``: as ``with_ids`` unless given."""
+    with_decoded = with_ids if with_decoded is None else with_decoded
     base = docs.select(id_col, split_words(F.col(text_col), pattern).alias("__words"))
     kind = base.schema[id_col].dataType.simpleString()
-    extra = ", token_ids array<int>, decoded binary" if with_ids else ""
+    extra = ", token_ids array<int>" * with_ids + ", decoded binary" * with_decoded
 
     def run(batches):
         own = codec(vocab_path)
         for b in batches:
-            lists = b.column("__words")
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            _, starts = laid(lists.flatten().cast(pa.large_binary()))
-            edges = np.flatnonzero(np.diff(starts[ends] // TEXT_BYTES)) + 1
-            for lo, hi in zip([0, *edges], [*edges, b.num_rows], strict=True):
-                done = coded(own, b.slice(lo, hi - lo))
-                yield from (done.slice(k, 512) for k in range(0, hi - lo, 512))
-
-    def coded(own, part):
-        lists = part.column("__words")
-        flat = lists.flatten().dictionary_encode()
-        at = pa.array(own.learn(flat.dictionary.cast(pa.large_string()))).take(flat.indices)
-        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-        ids, id_starts = laid(own.ids.take(at))
-        raw, raw_starts = laid(own.raw.take(at))
-        x, t = id_starts[ends], raw_starts[ends]
+            ends = text_ends(b.column("__words"))
+            for lo, hi in stretches(ends, TEXT_BYTES, b.num_rows):
+                part = b.slice(lo, hi - lo)
+                flat = part.column("__words").flatten().dictionary_encode()
+                places = own.learn(flat.dictionary.cast(pa.large_string()))
+                words = offsets(part.column("__words"))
+                words = words - words[0]
+                for first, last in stretches(ends[lo:hi], ROWS_BYTES, ROWS):
+                    at = pa.array(places[flat.indices[words[first] : words[last]].to_numpy()])
+                    yield coded(own, part.column(id_col).slice(first, last - first), at, words[first : last + 1] - words[first])
+
+    def coded(own, keys, at, ends):
+        ids, starts = laid(own.ids.take(at))
+        x = starts[ends]
         hashes = [hashlib.sha256(ids[lo:hi]).hexdigest() for lo, hi in zip(x[:-1], x[1:], strict=True)]
+        raw, starts = laid(own.raw.take(at))
+        t = starts[ends]
         decoded = [hashlib.sha256(raw[lo:hi]).hexdigest() for lo, hi in zip(t[:-1], t[1:], strict=True)]
-        cols = [part.column(id_col), pa.array(np.diff(x) // 4), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+        cols = [keys, pa.array(np.diff(x) // 4), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
         names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            cols += [pa.ListArray.from_arrays(pa.array(x // 4, pa.int32()), ids.view("<i4")), binary(raw, np.diff(t)).cast(pa.binary())]
-            names += ["token_ids", "decoded"]
+            cols.append(pa.ListArray.from_arrays(pa.array(x // 4, pa.int32()), ids.view("<i4")))
+            names.append("token_ids")
+        if with_decoded:
+            cols.append(binary(raw, np.diff(t)).cast(pa.binary()))
+            names.append("decoded")
         return pa.RecordBatch.from_arrays(cols, names)
 
     return base.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import types
 import zlib
 
@@ -189,6 +190,39 @@ def test_bpe_known_words_are_not_coded_again(monkeypatch):
     assert codec.db.n > coded
 
 
+#: Tells the peak of what Arrow takes from it; it outlives all arrays.
+POOL = pa.proxy_memory_pool(pa.default_memory_pool())
+
+
+def test_bpe_memory_of_many_words(monkeypatch):
+    """A worker's Arrow and NumPy memory beside the batch stays below 32 bytes for each of its words."""
+    codec, default = byte_bpe.Codec(VOCAB), pa.default_memory_pool()
+    codec.learn(pa.array([" a", " be"], pa.large_string()))
+    monkeypatch.setattr(byte_bpe, "codec", lambda path: codec)
+    monkeypatch.setattr(byte_bpe, "split_words", lambda *a: types.SimpleNamespace(alias=lambda name: None))
+    monkeypatch.setattr(byte_bpe, "F", types.SimpleNamespace(col=lambda name: None))
+    kind = types.SimpleNamespace(dataType=types.SimpleNamespace(simpleString=lambda: "bigint"))
+    docs = types.SimpleNamespace(select=lambda *a: types.SimpleNamespace(schema={"doc_id": kind}, mapInArrow=lambda run, schema: run))
+    run = byte_bpe.encode_decode(docs, VOCAB, P.PATTERN, with_ids=True)
+    rows, n = 1500, 1000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(rows)), "__words": pa.array([[" a", " be"] * (n // 2)] * rows, pa.list_(pa.string()))})
+    want = own_encoding().encode_ordinary(" a be" * (n // 2))
+    pa.set_memory_pool(POOL)
+    tracemalloc.start()
+    try:
+        total = 0
+        for out in run(iter([batch.slice(100)])):  # from row 100: places within a larger array
+            assert out.column("token_ids")[0].as_py() == want
+            assert out.column("doc_id")[0].as_py() == 100 + total
+            total += out.num_rows
+        peak = POOL.max_memory() + tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(default)
+    assert total == rows - 100
+    assert peak < 32 * total * n
+
+
 def test_bpe_equal_ranks_go_from_the_left(tmp_path):
     """Vocabularies at random, in which a token comes from several pairs and from tokens of higher rank."""
     rnd = random.Random(10)
