@@ -31,7 +31,7 @@ from .common import tidy
 
 MAX_BYTES = 24_000_000  # bytes of the words, ids and decoded words that a worker keeps, with WORD_BYTES for each word
 WORD_BYTES = 32
-BATCH_BYTES = 400_000  # bytes of the words of a query, about
+BATCH_BYTES = 200_000  # bytes of the words of a query, about
 TEXT_BYTES = 4_000_000  # bytes of texts whose words are looked up together, about
 ROWS, ROWS_BYTES = 512, 1_000_000  # rows, and bytes of their texts, that are put together from words at once, about
 STEPS = 24
@@ -252,19 +252,23 @@ class Codec:
         if sizes.sum() > MAX_BYTES:
             order = np.argsort(-self.used, kind="stable")
             keep = pa.array(np.sort(order[np.cumsum(sizes[order]) <= MAX_BYTES // 2]))
-            self.words, self.ids, self.raw, self.used = self.words.take(keep), self.ids.take(keep), self.raw.take(keep), self.used[keep.to_numpy()]
+            self.words, self.used = self.words.take(keep), self.used[keep.to_numpy()]
+            self.ids = self.ids.take(keep)
+            self.raw = self.raw.take(keep)
         known = pc.index_in(words, value_set=self.words)
         at = known.fill_null(-1).to_numpy().astype(np.int64)
         new = words.filter(known.is_null())
         at[at < 0] = len(self.words) + np.arange(len(new))
         raw, starts = laid(new)
-        coded, decoded = [self.ids], [self.raw]
+        coded, decoded = [], []
         edges = np.flatnonzero(np.diff(starts[1:] // BATCH_BYTES)) + 1
         for lo, hi in zip([0, *edges], [*edges, len(new)], strict=True):
             ids, counts = self._encode(raw[starts[lo] : starts[hi]], np.diff(starts[lo : hi + 1]))
             coded.append(binary(ids.astype("<i4"), counts * 4))
             decoded.append(binary(*self._decode(ids, counts)))
-        self.words, self.ids, self.raw = (pa.concat_arrays(x) for x in ([self.words, new], coded, decoded))
+        self.words = pa.concat_arrays([self.words, new])  # one by one: each has its old and new form at once
+        self.ids = pa.concat_arrays([self.ids, *coded])
+        self.raw = pa.concat_arrays([self.raw, *decoded])
         self.used = np.append(self.used, np.zeros(len(new), np.int64))
         self.used[at] = self.turn
         return at
